@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .langid import op1
 from .ngram_join import op8
 from .rules import SQL3, op3
+from .shards import op4
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1,
     "op3_quality_rules": op3,
+    "op4_two_pass_shuffle": op4,
     "op8_ngram_jaccard_join": op8,
 }
 SQL: dict[str, str] = {
