@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import SQL10, op10
 from .langid import op1
+from .mixing import op7
 from .ngram_join import op8
 from .rules import SQL3, op3
 from .shards import op4
@@ -15,8 +17,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1,
     "op3_quality_rules": op3,
     "op4_two_pass_shuffle": op4,
+    "op7_pareto_mixing": op7,
     "op8_ngram_jaccard_join": op8,
+    "op10_decontamination": op10,
 }
 SQL: dict[str, str] = {
     "op3_quality_rules": SQL3,
+    "op10_decontamination": SQL10,
 }
