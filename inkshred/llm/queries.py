@@ -13,12 +13,14 @@ from .ngram_join import op8
 from .rules import SQL3, op3
 from .secrets import op5
 from .shards import op4
+from .toxicity import op6
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1,
     "op3_quality_rules": op3,
     "op4_two_pass_shuffle": op4,
     "op5_randomness_battery": op5,
+    "op6_levenshtein_toxicity": op6,
     "op7_pareto_mixing": op7,
     "op8_ngram_jaccard_join": op8,
     "op10_decontamination": op10,
