@@ -10,22 +10,28 @@ from .decontaminate import SQL10, op10
 from .langid import op1
 from .mixing import op7
 from .ngram_join import op8
+from .quality import op9
 from .rules import SQL3, op3
 from .secrets import op5
 from .shards import op4
 from .toxicity import op6
+from .url_rules import op2
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1,
+    "op2_url_association_rules": op2,
     "op3_quality_rules": op3,
     "op4_two_pass_shuffle": op4,
     "op5_randomness_battery": op5,
     "op6_levenshtein_toxicity": op6,
     "op7_pareto_mixing": op7,
     "op8_ngram_jaccard_join": op8,
+    "op9_hierarchical_bayes_quality": op9,
     "op10_decontamination": op10,
 }
 SQL: dict[str, str] = {
+    "op2_url_association_rules": op2,
     "op3_quality_rules": SQL3,
+    "op9_hierarchical_bayes_quality": op9,
     "op10_decontamination": SQL10,
 }
