@@ -56,7 +56,7 @@ def runs(nodes: DataFrame) -> DataFrame:
     inside = F.col("path").rlike(r"(^|/)p/((hyperlink|fldSimple)/)?r/")
     deep = F.when(F.col("path").rlike(r"(^|/)p/(hyperlink|fldSimple)/r/[^/]+(/[^/]+)?$"), 1).otherwise(0)
     below = F.regexp_extract("path", r"(?:^|/)p/(?:(?:hyperlink|fldSimple)/)?r/(.*)$", 1)
-    x = nodes.filter(inside).withColumn("below", below).filter("instr(below, 'r/') = 0")
+    x = nodes.filter(inside).withColumn("below", below).filter(~F.col("below").rlike(r"(^|/)r/"))
     x = x.withColumn("levels", F.size(F.split("below", "/")))
     x = x.withColumn("run", F.get("ancestors", F.size("ancestors") - 1 - F.col("levels")))
     x = x.withColumn("para", F.get("ancestors", F.size("ancestors") - 2 - F.col("levels") - deep))
@@ -185,7 +185,7 @@ def sections(nodes: DataFrame) -> DataFrame:
 def content_types(nodes: DataFrame, part_rows: DataFrame) -> DataFrame:
     """doc_id, part_key, content_type: the override of the part, else the default of its ending, else empty."""
     ct = nodes.filter("part_key = '[content_types].xml'")
-    over = ct.filter("tag = 'Override'").select("doc_id", F.lower(F.ltrim(F.lit("/"), _attr("PartName"))).alias("part_key"), _attr("ContentType").alias("o")).dropDuplicates(["doc_id", "part_key"])
+    over = ct.filter("tag = 'Override'").select("doc_id", F.lower(F.ltrim(_attr("PartName"), F.lit("/"))).alias("part_key"), _attr("ContentType").alias("o")).dropDuplicates(["doc_id", "part_key"])
     base = ct.filter("tag = 'Default'").select("doc_id", F.lower(_attr("Extension")).alias("ending"), _attr("ContentType").alias("d")).dropDuplicates(["doc_id", "ending"])
     p = part_rows.filter("part_key is not null").select("doc_id", "part_key", F.regexp_extract("part_key", r"\.([^./]*)$", 1).alias("ending"))
     return p.join(over, ["doc_id", "part_key"], "left").join(base, ["doc_id", "ending"], "left").select("doc_id", "part_key", F.coalesce("o", "d", F.lit("")).alias("content_type"))
