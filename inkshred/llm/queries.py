@@ -30,8 +30,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10,
 }
 SQL: dict[str, str] = {
-    "op2_url_association_rules": op2,
     "op3_quality_rules": SQL3,
-    "op9_hierarchical_bayes_quality": op9,
     "op10_decontamination": SQL10,
 }
