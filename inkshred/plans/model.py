@@ -199,7 +199,29 @@ def images(nodes: DataFrame, media_dims: DataFrame) -> DataFrame:
         F.min(F.when(F.col("tag") == "extent", strict_int(_attr("cx")))).alias("cx"), F.min(F.when(F.col("tag") == "extent", strict_int(_attr("cy")))).alias("cy"),
         F.min(F.when(F.col("tag") == "docPr", _attr("descr"))).alias("description"),
         F.when(F.max(F.when(F.col("tag") == "anchor", 1)) == 1, "floating").otherwise("inline").alias("position"),
+        F.coalesce(F.max(F.when(F.col("tag") == "anchor", _attr("behindDoc") == "1")), F.lit(False)).alias("behind_text"),
+        F.min(F.when(F.col("tag") == "anchor", strict_int(_attr("relativeHeight")))).alias("z_order"),
+        F.min(F.when(F.col("tag").startswith("wrap"), F.lower(F.substring("tag", 5, 20)))).alias("wrap"),
+        *(F.min(F.when(F.col("path").endswith(f"position{d}/align"), F.lower("text"))).alias(f"{d.lower()}_align") for d in "HV"),
+        *(F.min(F.when(F.col("path").endswith(f"position{d}/posOffset"), strict_int(F.col("text")))).alias(f"offset_{a}") for d, a in (("H", "x"), ("V", "y"))),
     )
     rels = relationships(nodes).select("doc_id", "rel_id", "target").withColumn("media_key", F.lower(F.concat(F.lit("word/"), F.regexp_replace("target", r"^(/?word/|\./|/|(\.\./)+)", ""))))
     dims = media_dims.select("doc_id", F.col("part_key").alias("media_key"), "width_px", "height_px")
     return got.join(rels, ["doc_id", "rel_id"], "left").join(dims, ["doc_id", "media_key"], "left").drop("part_key")
+
+
+def section_parts(nodes: DataFrame) -> DataFrame:
+    """doc_id, section, kind (header or footer), type and part_key: the references of every section, resolved; the first of a type wins."""
+    refs = nodes.filter(F.col("path").rlike(rf"^{BODY}/(p/pPr/)?sectPr/(header|footer)Reference$"))
+    refs = refs.select("doc_id", "node", _up(1).alias("section"), F.replace("tag", F.lit("Reference"), F.lit("")).alias("kind"), F.coalesce(F.when(_attr("type").isin("first", "even"), _attr("type")), F.lit("default")).alias("type"), _attr("id").alias("rel_id"))
+    at = F.row_number().over(Window.partitionBy("doc_id", "section", "kind", "type").orderBy("node"))
+    refs = refs.withColumn("r", at).filter("r = 1").drop("r", "node")
+    rels = relationships(nodes).select("doc_id", "rel_id", F.lower(F.concat(F.lit("word/"), F.regexp_replace("target", r"^(/?word/|\./|/)", ""))).alias("part_key"))
+    return refs.join(rels, ["doc_id", "rel_id"], "left")
+
+
+def core_properties(nodes: DataFrame) -> DataFrame:
+    """doc_id, title, subject, creator, keywords (array), description, created, modified; times stay text."""
+    p = nodes.filter("part_key = 'docprops/core.xml'")
+    one = lambda tag: F.min(F.when(F.col("tag") == tag, F.col("text")))
+    return p.groupBy("doc_id").agg(*(one(t).alias(t) for t in ("title", "subject", "creator", "description", "created", "modified")), F.split(one("keywords"), r",\s*").alias("keywords"))

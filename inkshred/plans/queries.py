@@ -56,6 +56,22 @@ def opc_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.drop("data", "error_code", "error_message").join(types, ["doc_id", "part_key"]).select("doc_id", "part_key", "kind", "content_type")
 
 
+def properties_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source and language as title and creator of every document's package, read back."""
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("block_idx"), F.lit(0).alias("run_idx"), F.lit("x").alias("text"), F.col("source").alias("title"), F.col("lang").alias("creator"))
+    content = sink.assemble(sink.document_xml(sink.paragraph_xml(docs.drop("title", "creator"))), docs.select("doc_id", "title", "creator"))
+    got = model.core_properties(source.nodes(source.parts(content), "core_properties"))
+    return got.select(F.col("doc_id").cast("long").alias("doc_id"), "title", "creator")
+
+
+def image_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes read from PNG headers made of the parts' numbers."""
+    word = lambda c: F.lpad(F.hex(c), 8, "0")
+    data = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), word(F.col("p_size")), word(F.col("p_partkey")), F.lit("0806000000")))
+    media = _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.lit("word/media/image1.png").alias("part_key"), data.alias("data"))
+    return source.image_dims(media).select(F.col("doc_id").cast("long").alias("p_partkey"), "width_px", "height_px", "width_emu", "height_emu")
+
+
 def paragraph_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.text_blocks(_t(spark, sf_dir, "documents")).select("doc_id", F.col("block_idx").cast("long").alias("block_idx"), "text")
 
@@ -195,7 +211,7 @@ def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "docx_roundtrip_text": roundtrip_text, "docx_roundtrip_paragraphs": paragraph_roundtrip, "docx_roundtrip_tables": table_roundtrip, "opc_parts": opc_parts, "paragraph_blocks": paragraph_blocks,
+    "docx_roundtrip_text": roundtrip_text, "docx_roundtrip_paragraphs": paragraph_roundtrip, "docx_roundtrip_tables": table_roundtrip, "opc_parts": opc_parts, "docx_roundtrip_properties": properties_roundtrip, "image_dims": image_dims, "paragraph_blocks": paragraph_blocks,
     "doc_counts": doc_counts, "first_n_paragraphs": first_n_paragraphs, "find_replace_runs": find_replace_runs, "heading_bookmarks": heading_bookmarks, "section_ordinal": section_ordinal,
     "run_concat": run_concat, "table_dims": table_dims, "table_cell_at": table_cell_at, "row_insert_delete": row_insert_delete, "merge_region": merge_region, "merge_overlap": merge_overlap,
     "rel_resolve": rel_resolve, "content_type_lookup": content_type_lookup, "missing_targets": missing_targets, "hex_encode": hex_encode, "hex_decode": hex_decode, "unit_convert": unit_convert,
@@ -224,6 +240,8 @@ SQL = {
 ('word/websettings.xml', 'web_settings', 'application/vnd.openxmlformats-officedocument.wordprocessingml.webSettings+xml'),
 ('docprops/core.xml', 'core_properties', 'application/vnd.openxmlformats-package.core-properties+xml'),
 ('docprops/app.xml', 'app_properties', 'application/vnd.openxmlformats-officedocument.extended-properties+xml')) p(part_key, kind, content_type)""",
+    "docx_roundtrip_properties": "SELECT doc_id, nullif(source, '') AS title, nullif(lang, '') AS creator FROM documents",
+    "image_dims": "SELECT p_partkey, p_size AS width_px, p_partkey::INTEGER AS height_px, p_size::BIGINT * 9525 AS width_emu, p_partkey * 9525 AS height_emu FROM part",
     "paragraph_blocks": _LINES,
     "doc_counts": f"SELECT doc_id, count(*) AS n_paragraphs, sum(length(text))::BIGINT AS n_chars FROM ({_LINES}) GROUP BY doc_id",
     "first_n_paragraphs": f"SELECT doc_id, block_idx, substr(text, 1, 60) AS text FROM ({_LINES}) WHERE block_idx < 3",

@@ -117,8 +117,11 @@ def table_xml(cells: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "block_idx").agg(F.concat(F.lit("<w:tbl><w:tblPr/>"), grid, _folded("row_idx", F.col("row")), F.lit("</w:tbl>")).alias("xml"))
 
 
-def section_xml(width: int = 11906, height: int = 16838, margins: dict | None = None, columns: int = 1, landscape: bool = False) -> str:
-    """The final sectPr; landscape swaps a portrait size, columns are written where there are several."""
+def section_xml(width: int = 11906, height: int = 16838, margins: dict | None = None, columns: int = 1, landscape: bool = False, references: tuple = ()) -> str:
+    """The final sectPr; landscape swaps a portrait size, columns are written where there are several.
+
+    references: (kind, type, rel_id) of headers and footers.
+    """
     from ..ooxml import MARGINS
 
     m = MARGINS | (margins or {})
@@ -127,7 +130,8 @@ def section_xml(width: int = 11906, height: int = 16838, margins: dict | None =
     turn = ' w:orient="landscape"' if landscape else ""
     around = " ".join(f'w:{k}="{m[k]}"' for k in ("top", "right", "bottom", "left", "header", "footer"))
     several = f'<w:cols w:num="{columns}" w:space="720"/>' if columns > 1 else ""
-    return f'<w:sectPr><w:pgSz w:w="{width}" w:h="{height}"{turn}/><w:pgMar {around} w:gutter="0"/>{several}</w:sectPr>'
+    refs = "".join(f'<w:{kind}Reference w:type="{which}" r:id="{rel_id}"/>' for kind, which, rel_id in references)
+    return f'<w:sectPr>{refs}<w:pgSz w:w="{width}" w:h="{height}"{turn}/><w:pgMar {around} w:gutter="0"/>{several}</w:sectPr>'
 
 
 def document_xml(block_rows: DataFrame, section: str | None = None) -> DataFrame:
@@ -142,23 +146,55 @@ def styles_xml(styles: list[dict] | None = None) -> str:
     return f'{HEAD}<w:styles xmlns:w="{W}">{"".join(map(one, styles or []))}</w:styles>'
 
 
+def drawing(rel_id: Column, number: Column, cx: Column, cy: Column, description: Column, position: dict[str, Column] | None = None) -> Column:
+    """An inline picture, or a floating one with ``position`` (offset_x, offset_y, behind, z_order)."""
+    text = lambda c: escaped(F.coalesce(c.cast("string"), F.lit("")))
+    extent = F.concat(F.lit('<wp:extent cx="'), text(cx), F.lit('" cy="'), text(cy), F.lit('"/>'))
+    about = F.concat(F.lit('<wp:docPr id="'), text(number), F.lit('" name="Picture '), text(number), F.lit('" descr="'), text(description), F.lit('"/>'))
+    picture = F.concat(
+        F.lit('<a:graphic xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><a:graphicData uri="http://schemas.openxmlformats.org/drawingml/2006/picture"><pic:pic xmlns:pic="http://schemas.openxmlformats.org/drawingml/2006/picture"><pic:nvPicPr><pic:cNvPr id="'),
+        text(number), F.lit('" name="Picture"/><pic:cNvPicPr/></pic:nvPicPr><pic:blipFill><a:blip r:embed="'), text(rel_id),
+        F.lit('"/><a:stretch><a:fillRect/></a:stretch></pic:blipFill><pic:spPr><a:xfrm><a:off x="0" y="0"/><a:ext cx="'), text(cx), F.lit('" cy="'), text(cy),
+        F.lit('"/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></pic:spPr></pic:pic></a:graphicData></a:graphic>'),
+    )
+    space = F.lit('xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"')
+    if position is None:
+        return F.concat(F.lit("<w:drawing><wp:inline "), space, F.lit(">"), extent, about, picture, F.lit("</wp:inline></w:drawing>"))
+    at = lambda tag, base, c: F.concat(F.lit(f'<wp:{tag} relativeFrom="{base}"><wp:posOffset>'), text(c), F.lit(f"</wp:posOffset></wp:{tag}>"))
+    head = F.concat(F.lit("<w:drawing><wp:anchor "), space, F.lit(' behindDoc="'), F.when(position["behind"], "1").otherwise("0"), F.lit('" relativeHeight="'), text(position["z_order"]), F.lit('">'))
+    return F.concat(head, at("positionH", "column", position["offset_x"]), at("positionV", "paragraph", position["offset_y"]), extent, F.lit("<wp:wrapSquare wrapText=\"bothSides\"/>"), about, picture, F.lit("</wp:anchor></w:drawing>"))
+
+
+def header_xml(paragraphs: DataFrame, kind: str = "header") -> DataFrame:
+    """doc_id, data: one header or footer part from paragraphs (doc_id, block_idx, xml)."""
+    tag = "hdr" if kind == "header" else "ftr"
+    whole = F.concat(F.lit(f'{HEAD}<w:{tag} xmlns:w="{W}" xmlns:r="{R}">'), _folded("block_idx", F.col("xml")), F.lit(f"</w:{tag}>"))
+    return paragraphs.groupBy("doc_id").agg(F.encode(whole, "UTF-8").alias("data"))
+
+
 def _packed(batches: Iterator[pa.RecordBatch], styles: str) -> Iterator[pa.RecordBatch]:
     defaults = '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>'
-    types = f'{HEAD}<Types xmlns="{CONTENT_TYPES}">{defaults}' + "".join(f'<Override PartName="{n}" ContentType="{t}"/>' for n, t in OVERRIDES) + "</Types>"
+    override = lambda n, t: f'<Override PartName="{n}" ContentType="{t}"/>'
+    fixed = defaults + "".join(override(*x) for x in OVERRIDES)
     rel = lambda i, kind, target: f'<Relationship Id="{i}" Type="{R}/{kind}" Target="{target}"/>'
     core_rel = '<Relationship Id="rId2" Type="http://schemas.openxmlformats.org/package/2006/relationships/metadata/core-properties" Target="docProps/core.xml"/>'
     root = f'{HEAD}<Relationships xmlns="{PACKAGE_RELS}">{rel("rId1", "officeDocument", "word/document.xml")}{core_rel}{rel("rId3", "extended-properties", "docProps/app.xml")}</Relationships>'
-    links = f'{HEAD}<Relationships xmlns="{PACKAGE_RELS}">{"".join(rel(*x) for x in BASE_RELS)}</Relationships>'
+    base = "".join(rel(*x) for x in BASE_RELS)
     plain = lambda tag: f'{HEAD}<w:{tag} xmlns:w="{W}"/>'
     app = f'{HEAD}<Properties xmlns="{EXTENDED}"/>'
     for batch in batches:
         out = []
-        core = batch.column("core_xml").to_pylist()
-        for document, props in zip(batch.column("document_xml").to_pylist(), core, strict=True):
+        core, extra = batch.column("core_xml").to_pylist(), batch.column("extra").to_pylist()
+        for document, props, more in zip(batch.column("document_xml").to_pylist(), core, extra, strict=True):
+            more = sorted((m for m in more or [] if m["data"]), key=lambda m: m["rel_id"])
+            links = f'{HEAD}<Relationships xmlns="{PACKAGE_RELS}">{base}{"".join(rel(m["rel_id"], m["rel_kind"], m["target"]) for m in more)}</Relationships>'
+            types = f'{HEAD}<Types xmlns="{CONTENT_TYPES}">{fixed}{"".join(override("/word/" + m["target"], m["content_type"]) for m in more)}</Types>'
             held = io.BytesIO()
             with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
                 for name, data in (("[Content_Types].xml", types), ("_rels/.rels", root), ("word/document.xml", document), ("word/_rels/document.xml.rels", links), ("docProps/core.xml", props), ("docProps/app.xml", app), ("word/styles.xml", styles), ("word/fontTable.xml", plain("fonts")), ("word/theme/theme1.xml", HEAD + THEME), ("word/settings.xml", plain("settings")), ("word/webSettings.xml", plain("webSettings"))):
                     z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data, zipfile.ZIP_DEFLATED)  # a fixed time: equal rows give equal bytes
+                for m in more:
+                    z.writestr(zipfile.ZipInfo("word/" + m["target"], (1980, 1, 1, 0, 0, 0)), m["data"], zipfile.ZIP_DEFLATED)
             out.append(held.getvalue())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "content"])
 
@@ -172,10 +208,22 @@ def core_xml(columns: list[str]) -> Column:
     return F.concat(F.lit(f'{HEAD}<cp:coreProperties xmlns:cp="{CORE}" xmlns:dc="http://purl.org/dc/elements/1.1/">'), *inner, F.lit("</cp:coreProperties>"))
 
 
-def assemble(documents: DataFrame, metadata: DataFrame | None = None, styles: list[dict] | None = None) -> DataFrame:
-    """doc_id, content: one package per (doc_id, document_xml) row."""
+_EXTRA = "array<struct<rel_id:string,rel_kind:string,target:string,content_type:string,data:binary>>"
+
+
+def assemble(documents: DataFrame, metadata: DataFrame | None = None, styles: list[dict] | None = None, parts: DataFrame | None = None) -> DataFrame:
+    """doc_id, content: one package per (doc_id, document_xml) row.
+
+    parts: further parts (doc_id, rel_id, rel_kind, target below word/,
+    content_type, data) such as headers, footers, media and numbering; those
+    without bytes are left out.
+    """
     d = documents if metadata is None else documents.join(metadata, "doc_id", "left")
-    d = d.select(F.col("doc_id").cast("string").alias("doc_id"), "document_xml", core_xml(d.columns).alias("core_xml"))
+    extra = F.lit(None).cast(_EXTRA)
+    if parts is not None:
+        more = parts.groupBy("doc_id").agg(F.collect_list(F.struct("rel_id", "rel_kind", "target", "content_type", "data")).alias("extra"))
+        d, extra = d.join(more, "doc_id", "left"), F.col("extra")
+    d = d.select(F.col("doc_id").cast("string").alias("doc_id"), "document_xml", core_xml(d.columns).alias("core_xml"), extra.alias("extra"))
     sheet = styles_xml(styles)
     return d.mapInArrow(lambda batches: _packed(batches, sheet), "doc_id string, content binary")
 

@@ -184,3 +184,30 @@ def test_stream_of_packages(spark, tmp_path):
     streaming.paragraph_sink(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["doc 0", "doc 1", "doc 2"]
     assert source.packages(spark, str(tmp_path / "in")).count() == 3
+
+
+def test_headers_media_and_properties_survive_a_round_trip(spark):
+    png = b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR" + struct.pack(">II", 4, 6) + b"\x08\x06\x00\x00\x00"
+    runs = spark.createDataFrame([("d", 0, 0, "Section 1 Header")], "doc_id string, block_idx int, run_idx int, text string")
+    header = sink.header_xml(sink.paragraph_xml(runs)).select("doc_id", F.lit("rId6").alias("rel_id"), F.lit("header").alias("rel_kind"), F.lit("header1.xml").alias("target"), F.lit("x/header").alias("content_type"), "data")
+    media = spark.createDataFrame([("d", "rId7", "image", "media/image1.png", "image/png", bytearray(png)), ("d", "rId8", "image", "media/none.png", "image/png", None)], header.schema)
+    box = {"offset_x": F.lit(10), "offset_y": F.lit(-20), "behind": F.lit(True), "z_order": F.lit(3)}
+    picture = lambda at: F.concat(F.lit("<w:p><w:r>"), sink.drawing(F.lit("rId7"), F.lit(1), F.lit(38100), F.lit(57150), F.lit('a "picture"'), at), F.lit("</w:r></w:p>"))
+    body = spark.range(1).select(F.lit("d").alias("doc_id"), F.explode(F.array(F.struct(F.lit(0).alias("block_idx"), picture(None).alias("xml")), F.struct(F.lit(1).alias("block_idx"), picture(box).alias("xml")))).alias("b")).select("doc_id", "b.*")
+    section = sink.section_xml(references=(("header", "default", "rId6"), ("header", "default", "rId9")), landscape=True, columns=2)
+    meta = spark.createDataFrame([("d", "T", "me", ["a", "b"])], "doc_id string, title string, creator string, keywords array<string>")
+    content = sink.assemble(sink.document_xml(body, section), meta, parts=header.union(media)).first().content
+    parts, nodes, got_runs = opened(spark, content)
+    (part,) = one(model.section_parts(nodes))
+    assert (part["kind"], part["type"], part["part_key"]) == ("header", "default", "word/header1.xml")
+    assert [p["text"] for p in one(model.paragraphs(nodes, got_runs).filter("container = 'header'"))] == ["Section 1 Header"]
+    images = {i["position"]: i for i in one(model.images(nodes, source.image_dims(parts.filter("kind = 'media'"))))}
+    assert {k: (i["width_px"], i["cx"], i["description"]) for k, i in images.items()} == {"inline": (4, 38100, 'a "picture"'), "floating": (4, 38100, 'a "picture"')}
+    f = images["floating"]
+    assert (f["offset_x"], f["offset_y"], f["behind_text"], f["z_order"], f["wrap"], images["inline"]["behind_text"]) == (10, -20, True, 3, "square", False)
+    (props,) = one(model.core_properties(nodes))
+    assert (props["title"], props["creator"], props["keywords"]) == ("T", "me", ["a", "b"])
+    (s,) = one(model.sections(nodes))
+    assert (s["width"], s["height"], s["orientation"], s["columns"]) == (16838, 11906, "landscape", 2)
+    types = {t["part_key"]: t["content_type"] for t in one(model.content_types(nodes, parts))}
+    assert types["word/header1.xml"] == "x/header" and types["word/media/image1.png"] == "image/png" and "word/media/none.png" not in types
