@@ -85,7 +85,6 @@ def build(langs: list[str], lang: np.ndarray, window: np.ndarray, n: np.ndarray,
     # the context of no bytes: counted symbols, else an escape to the uniform alphabet
     bits = [_shorter(counts[None], np.full((1, width, size), np.log2(256.0)))]
     nodes = {(): 0}
-    levels = [[()]]
     step = {}
     for k in range(1, depth + 1):
         part = (window >> 8) & ((1 << (8 * k)) - 1)
@@ -107,7 +106,6 @@ def build(langs: list[str], lang: np.ndarray, window: np.ndarray, n: np.ndarray,
         for i, c in enumerate(level):
             nodes[c] = start + i
             step[int(parents[i]), int(symbol[c[-1]])] = start + i
-        levels.append(level)
     total = len(nodes)
     moves = np.tile(np.concatenate([np.arange(total) + total, np.arange(total) + total])[:, None], (1, width)).astype(np.int32)
     for (node, s), child in step.items():
