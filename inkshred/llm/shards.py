@@ -1,9 +1,10 @@
 """Operator 4: two-pass external shuffle into shards, on DataFrame functions alone.
 
 Pass 1 scatters the records uniformly over memory-sized buckets by a seeded
-hash and counts each bucket.  Pass 2 shuffles each bucket by Fisher-Yates
-(Spark's ``shuffle`` function draws the permutation of an array so) and lays
-the buckets end to end: record p of n goes to shard p * shards div n, so shard
+hash and counts each bucket.  Pass 2 shuffles each bucket by Fisher-Yates, its
+swaps drawn from a hash of seed, bucket and step (Spark's own ``shuffle``
+depends on the partition a row is in, so a lost task could not repeat it), and
+lays the buckets end to end: record p of n goes to shard p * shards div n, so shard
 counts differ by one at most (law ``rows``) and a shard is a run of buckets
 that is written without a further exchange.
 """
@@ -18,6 +19,20 @@ from pyspark.sql import functions as F
 from .common import table
 
 BUCKET_BYTES = 8 << 20
+BUCKET_ROWS = 1024
+TASK_BYTES = 32 << 20
+
+
+def permutation(n, seed, bucket):
+    """Fisher-Yates on 0 .. n-1: for i from the last place down, swap i with a place up to it."""
+
+    def swap(a, i):
+        j = F.pmod(F.xxhash64(F.lit(seed), bucket, i), i + 1).cast("int")
+        moved = F.concat(F.slice(a, 1, j), F.array(F.get(a, i)), F.slice(a, j + 2, i - j - 1), F.array(F.get(a, j)), F.slice(a, i + 2, F.size(a) - i - 1))
+        return F.when(i == j, a).otherwise(moved)
+
+    one = F.array(F.lit(0))
+    return F.when(n < 2, one).otherwise(F.aggregate(F.sequence(F.greatest(n, F.lit(2)) - 1, F.lit(1), F.lit(-1)), F.sequence(F.lit(0), F.greatest(n, F.lit(2)) - 1), swap))
 
 
 def shard(docs: DataFrame, shards: int = 24, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, size: str | None = None) -> DataFrame:
@@ -36,7 +51,8 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 17, bucket_bytes: int =
     names = docs.columns
     bytes_of = F.col(size) if size else F.coalesce(F.octet_length("text"), F.lit(0)) + 8
     total, n = docs.agg(F.coalesce(F.sum(bytes_of.cast("long")), F.lit(0)), F.count("*")).first()
-    buckets = max(1, math.ceil(total / bucket_bytes))
+    buckets = max(1, math.ceil(total / bucket_bytes), math.ceil(n / BUCKET_ROWS))
+    tasks = min(buckets, max(1, math.ceil(total / TASK_BYTES), math.ceil(n / (256 * BUCKET_ROWS))))
     key = F.xxhash64(F.lit(seed), *names)
     placed = docs.select(F.pmod(key, F.lit(buckets)).cast("int").alias("_bucket"), F.struct(key.alias("_key"), *names).alias("_row"))
 
@@ -45,9 +61,11 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 17, bucket_bytes: int =
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
 
-    # pass 2: one bucket is one array of about bucket_bytes
-    rows = placed.repartition(max(1, min(buckets, 1 << 20)), "_bucket").groupBy("_bucket").agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
-    mixed = rows.join(starts, "_bucket").select("_start", F.posexplode(F.expr(f"shuffle(_rows, {seed})")).alias("_i", "_row"))
+    # pass 2: one bucket is one array of about bucket_bytes or BUCKET_ROWS rows, whichever is less
+    rows = placed.repartition(tasks, "_bucket").groupBy("_bucket").agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
+    order = permutation(F.size("_rows"), seed, F.col("_bucket"))
+    rows = rows.withColumn("_order", order).select("_bucket", F.transform("_order", lambda k: F.get("_rows", k)).alias("_rows"))
+    mixed = rows.join(starts, "_bucket").select("_start", F.posexplode("_rows").alias("_i", "_row"))
     p = F.col("_start") + F.col("_i")
     at = F.expr(f"cast((_start + _i) * {shards} div {max(n, 1)} as int)")
     first = F.expr(f"(cast({n} as bigint) * shard + {shards - 1}) div {shards}")
