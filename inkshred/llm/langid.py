@@ -95,13 +95,16 @@ def build(langs: list[str], lang: np.ndarray, window: np.ndarray, n: np.ndarray,
         contexts = [tuple(int(x >> (8 * j)) & 255 for j in range(k)) for x in keys]
         keep &= [c[:-1] in nodes and nodes[c[:-1]] is not None for c in contexts]
         rank = np.cumsum(keep) - 1
-        counts = np.zeros((int(keep.sum()), width, size))
+        counts = np.zeros((int(keep.sum()), width, size), np.float32)  # exact up to 2^24
         own = keep[inverse]
         np.add.at(counts, (rank[inverse[own]], symbol[window[own] & 255], lang[own]), n[own])
         parents = np.array([nodes[c[:-1]] for c, y in zip(contexts, keep, strict=True) if y], np.int64)
         start = len(nodes)
-        above = np.concatenate(bits) if len(bits) > 1 else bits[0]
-        bits.append(_shorter(counts, above[parents]))
+        above, first = bits[-1], start - len(bits[-1])  # parents are one byte shorter: the level before
+        level_bits = np.empty(counts.shape, np.float32)
+        for a in range(0, len(counts), 1024):  # in pieces, so that the driver holds no further copies of the level
+            level_bits[a : a + 1024] = _shorter(counts[a : a + 1024], above[parents[a : a + 1024] - first])
+        bits.append(level_bits)
         level = [c for c, y in zip(contexts, keep, strict=True) if y]
         for i, c in enumerate(level):
             nodes[c] = start + i
@@ -110,7 +113,7 @@ def build(langs: list[str], lang: np.ndarray, window: np.ndarray, n: np.ndarray,
     moves = np.tile(np.concatenate([np.arange(total) + total, np.arange(total) + total])[:, None], (1, width)).astype(np.int32)
     for (node, s), child in step.items():
         moves[node, s] = child
-    return Model(langs, symbol, moves, np.concatenate(bits).astype(np.float32), depth)
+    return Model(langs, symbol, moves, np.concatenate(bits).astype(np.float32, copy=False), depth)
 
 
 def _shorter(counts: np.ndarray, above: np.ndarray) -> np.ndarray:
