@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_key, written
+from .common import scratch, table, text_key, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows that may be broadcast (some 64 MB as a hashed relation); beyond it the join shuffles.
@@ -79,7 +79,8 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 7
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that hold no item, columns unchanged (null texts stay)."""
-    bad = written(contaminated(docs, items, **options).select("k1", "k2").distinct(), "bad")
+    with scratch(docs.sparkSession):
+        bad = written(contaminated(docs, items, **options).select("k1", "k2").distinct(), "bad", keep=True)
     names = docs.columns
     keyed = docs.select(*(F.col(c).alias(f"in_{c}") for c in names), *text_key(F.col("text")))
     kept = keyed.join(_bounded(bad, bad.count()), ["k1", "k2"], "left_anti")
