@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table, written
+from .common import WORD, scratch, table, written
 
 SLICES = 1 << 16
 CAP = 3
@@ -69,19 +69,11 @@ def _rows(docs: DataFrame, seed: int, extra: list[str]) -> DataFrame:
     return docs.select(*extra, words_of(F.col("text")).alias("size"), _source_key().alias("skey"), u.alias("uniform"))
 
 
-def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for every row of ``docs``.
-
-    size: words of the text (null: 0).  copies: how often the mix takes the
-    document, 0 to CAP.  Null and empty texts have size 0 and may be taken at
-    no cost.  u comes from a hash of seed, doc_id and text, so reruns agree;
-    rows equal in both share one u and are taken together.  A null source is a
-    source of its own, after all others.  Extra columns are ignored; an empty
-    table gives an empty one.
-    """
-    rows = written(_rows(docs, seed, ["doc_id", "source"]), "sizes")
-    sizes = rows.groupBy("skey", "source").agg(F.sum("size").alias("source_size"))
-    goal = written(targets(sizes.drop("skey")).withColumn("skey", _source_key()).drop("source"), "targets")
+def _plan(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two tables with a row per source: its target and copies per document, and the rank at which its sample is cut."""
+    sizes = rows.groupBy("skey").agg(F.sum("size").alias("source_size"))
+    sizes = sizes.select(F.when(F.col("skey") != "-", F.substring("skey", 2, 1 << 30)).alias("source"), "source_size")
+    goal = written(targets(sizes).withColumn("skey", _source_key()).drop("source"), "targets", keep=True)
     plan = goal.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     ranked = written(_ranked(rows, plan), "ranked")
     free = ranked.filter("more and size > 0")
@@ -107,17 +99,42 @@ def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
     gap = F.col("missing") - F.col("got")
     rest = free.join(bound, "skey").filter(~inside & (F.abs(F.col("size") - gap) < gap))
     extra = rest.groupBy("skey").agg(F.min(F.struct(F.abs(F.col("size") - gap).alias("off"), F.col("rank"), F.col("uniform"))).alias("x")).select("skey", F.col("x.uniform").alias("extra"))
-    out = ranked.join(bound, "skey").join(extra, "skey", "left")
+    return plan, written(bound.join(extra, "skey", "left"), "cuts", keep=True)
+
+
+def _copies(rows: DataFrame, plan: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Add source_size, target and copies to the rows, from the row and two tables with a row per source."""
+    r = _ranked(rows, plan).join(cuts, "skey")
+    inside = F.when(F.col("closed"), F.col("rank") <= F.col("bound")).otherwise(F.col("rank") < F.col("bound"))
     taken = F.when(F.col("more") & (inside | F.coalesce(F.col("uniform") == F.col("extra"), F.lit(False))), 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + taken).cast("int").alias("copies"), "uniform")
+    return r.select(*rows.columns, "source_size", "target", (F.col("whole") + taken).cast("int").alias("copies"))
+
+
+def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies for every row of ``docs``.
+
+    size: words of the text (null: 0).  copies: how often the mix takes the
+    document, 0 to CAP.  Null and empty texts have size 0 and may be taken at
+    no cost.  u comes from a hash of seed, doc_id and text, so reruns agree;
+    rows equal in both share one u and are taken together.  A null source is a
+    source of its own, after all others.  Extra columns are ignored; an empty
+    table gives an empty one.
+    """
+    rows = written(_rows(docs, seed, ["doc_id", "source"]), "sizes")
+    return _copies(rows, *_plan(rows)).select("doc_id", "source", "size", "source_size", "target", "copies", "uniform")
 
 
 def mixed(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """The documents as the mix has them: each ``copies`` times, columns unchanged."""
+    """The documents as the mix has them: each ``copies`` times, columns unchanged.
+
+    A row's copies follow from the row and its source's cuts, so no text is
+    shuffled: only sizes are, to find the cuts.
+    """
     names = docs.columns
-    chosen = mix(docs, seed).filter("copies > 0").select("doc_id", "uniform", "copies").distinct()
-    u = _rows(docs, seed, [F.col(c).alias(f"in_{c}") for c in names]).select(*(f"in_{c}" for c in names), F.col("uniform"))
-    many = u.join(chosen, (u.in_doc_id.eqNullSafe(chosen.doc_id)) & (u.uniform == chosen.uniform)).select(*(f"in_{c}" for c in names), F.explode(F.sequence(F.lit(1), "copies")))
+    with scratch(docs.sparkSession):
+        plan, cuts = _plan(written(_rows(docs, seed, []), "sizes"))
+    rows = _rows(docs, seed, [F.col(c).alias(f"in_{c}") for c in names])
+    many = _copies(rows, plan, cuts).filter("copies > 0").select(*(f"in_{c}" for c in names), F.explode(F.sequence(F.lit(1), "copies")))
     return many.select(*(F.col(f"in_{c}").alias(c) for c in names))
 
 
