@@ -320,6 +320,43 @@ def test_toxic_documents_are_found(spark, docs, empty):
     assert {x.score for x in toxicity.score(docs, None).collect()} == {0.0}
 
 
+def test_letters_beyond_the_common_scripts():
+    a = toxicity.compile_lexicon(["바보들아", "𝕓𝕒𝕕𝕠𝕟𝕖"])
+    text = "바보들아 바보들이 가나다라 𝕓𝕒𝕕𝕠𝕟𝕖 𝕓𝕒𝕕𝕒𝕟𝕖"
+    f = toxicity._features([a], pa.array([text]))
+    assert f[0].tolist() == [2, 2, 0, 0, 0, 0, 5]
+
+
+def test_no_family_of_copies_takes_the_lexicon(spark):
+    r = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    terms = sorted({"".join(r.choice(letters) for _ in range(6)) for _ in range(70)})
+    own = ["own" + "".join(r.choice(letters) for _ in range(6)) for _ in range(320)]
+    toxic = [[terms[(j + m) % len(terms)] for m in (0, 5, 23)] for j in range(210)]
+    texts = [(" ".join([*(r.choice(WORDS) for _ in range(20)), *t]), 1) for t in toxic]
+    texts += [(" ".join(r.choice(WORDS) for _ in range(20)), 0) for _ in range(1500)]
+    for _ in range(40):  # near copies, and exact ones of the last
+        w = list(own)
+        w[r.randrange(len(w))] = r.choice(WORDS)
+        texts.append((" ".join(w), 1))
+    texts += [texts[-1]] * 20
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    model = toxicity.train(df, spark.createDataFrame([(i, x) for i, (_, x) in enumerate(texts)], "doc_id long, toxic int"))
+    used = collections.Counter(t for three in toxic for t in set(three))
+    assert len(terms) > 60 and min(used[t] for t in terms) >= 6
+    assert model.words == terms
+
+
+def test_twins_against_all_pairs():
+    r = random.Random(6)
+    for _ in range(200):
+        base = [set(r.sample(range(30), r.randint(1, 12))) for _ in range(8)]
+        own = {f"w{i}": {x for x in r.choice(base) if r.random() < 0.9} | set(r.sample(range(40), r.randint(0, 1))) for i in range(30)}
+        own = {w: d for w, d in own.items() if d}
+        want = {w for w, d in own.items() for v, e in own.items() if v != w and 4 * len(d & e) >= 3 * len(d | e)}
+        assert toxicity.twins(own) == want
+
+
 # 7 -- mixing
 
 
