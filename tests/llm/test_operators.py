@@ -487,6 +487,40 @@ def test_quality_shrinks_sparse_sites(spark, docs, empty):
     assert quality.assess(docs, lab).count() == docs.count() and quality.assess(empty, lab).count() == 0
 
 
+def test_quality_knows_the_pages_of_a_document(spark, docs, empty):
+    r = random.Random(9)
+    text = [" ".join(r.choice(WORDS) for _ in range(40)) for _ in range(300)]
+    urls = [f"https://{'bad' if i % 3 == 0 else 'Good'}.example.org/{'x' if i % 2 else 'y'}/{i}{'.html?a=1' if i % 5 else '/'}" for i in range(280)]
+    urls += ["http://good.example.org/x/0", "http://good.example.org/x/0#again", "http://nobody.example.org/9999", "http://bad.example.org/about", None]
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    df = spark.createDataFrame([*enumerate(text), (None, text[0])], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 3 > 0 or i % 4 == 0)) for i in range(290)], "doc_id long, quality int")
+    out = {x.doc_id: x for x in quality.assess(df, lab, sites=quality.page_sites(pages)).collect()}
+    assert len(out) == 301
+    base = out[299].host_rate
+    for i in (*range(280, 300), None):
+        assert (out[i].host, out[i].path, out[i].host_rate, out[i].path_rate) == (None, None, base, base) and out[i].score == pytest.approx(out[i].p_document)
+    for i in range(280):
+        assert out[i].host == ("bad" if i % 3 == 0 else "good") + ".example.org" and out[i].path == ("/x/" if i % 2 else "/y/")
+        if i:
+            assert (out[i].host_rate < base and out[i].score < out[i].p_document) == (i % 3 == 0)
+    assert out[3].host_rate < out[0].host_rate < out[1].host_rate  # shown by both hosts
+    assert quality.assess(docs, lab, sites=quality.page_sites(pages)).count() == docs.count()
+    assert quality.assess(docs, lab, sites=quality.page_sites(pages.limit(0))).filter("host is null and path is null").count() == docs.count()
+    assert quality.assess(empty, lab, sites=quality.page_sites(pages)).count() == 0
+
+
+def test_quality_query_reads_urls(spark):
+    shown = collections.defaultdict(set)
+    for x in spark.read.parquet(f"{DATA}/pages.parquet").collect():
+        host, rest = x.url.split("://", 1)[1].split("/", 1)
+        folder, number = re.match(r"(.*/)([0-9]+)", "/" + rest).groups()
+        shown[int(number)].add((host.lower(), folder))
+    got = quality.op9(spark, DATA).collect()
+    assert len(got) == spark.read.parquet(f"{DATA}/documents.parquet").count()
+    assert all((x.host, x.path) == min(shown.get(x.doc_id, [(None, None)])) for x in got)
+
+
 # 10 -- decontamination
 
 
