@@ -54,13 +54,18 @@ def _source_key() -> Column:
 
 
 def _ranked(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """Rows with the certain copies and the rank v in [0, 1]: a monotone form of Pareto's odds ratio."""
+    """Rows with the certain copies and the rank v in [0, 1]: a monotone form of Pareto's odds ratio.
+
+    more: whether a row may have one copy beyond the certain ones.  Where the
+    rate is a whole number none has, and nothing is ranked (sources of empty
+    texts alone cost nothing and are taken).
+    """
     r = docs.join(plan, "skey")
     whole = F.floor(F.col("rate")).cast("long")
     p = F.col("rate") - whole
     odds = (F.col("uniform") / (1 - F.col("uniform"))) * (1 - p) / p
     rank = F.when(p <= 0, 1.0).otherwise(odds / (1 + odds))
-    return r.select(*docs.columns, "source_size", "target", whole.alias("whole"), rank.alias("rank"), (whole < CAP).alias("more"))
+    return r.select(*docs.columns, "source_size", "target", whole.alias("whole"), rank.alias("rank"), ((whole < CAP) & ((p > 0) | (F.col("source_size") == 0))).alias("more"))
 
 
 def _rows(docs: DataFrame, seed: int, extra: list[str]) -> DataFrame:

@@ -393,6 +393,15 @@ def test_mix_targets_and_copies(docs, empty):
 # 8 -- n-gram Jaccard join
 
 
+def test_whole_rates_need_no_order(spark):
+    one = spark.createDataFrame([(i, "w " * (i % 7), "s") for i in range(200)], "doc_id long, text string, source string")
+    _, cuts = mixing._plan(mixing._rows(one, 11, ["doc_id", "source"]))
+    assert [x.bound for x in cuts.collect()] == [2.0]  # no slice is ordered row by row
+    assert {x.copies for x in mixing.mix(one).collect()} == {1}
+    nothing = one.union(spark.createDataFrame([(i, None, "t") for i in range(300, 320)], one.schema))
+    assert {x.copies for x in mixing.mix(nothing).collect() if x.source == "t"} == {1}
+
+
 def plain_groups(rows, k=5):
     sets = {}
     for d, t in rows:
