@@ -456,6 +456,15 @@ def test_one_of_each(docs, empty):
     assert ngram_join.one_of_each(empty).count() == 0
 
 
+def test_one_of_each_keeps_unlinked_texts_of_one_id(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a), (1, b), (1, b), (2, c), (3, c), (4, b), (5, d), (5, d), (None, d), (6, a), (6, c), (None, None), (None, None), (7, " "), (7, None)]
+    out = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = collections.Counter((x.doc_id, x.text) for x in out)
+    assert sum(n for (_, t), n in got.items() if t == a) == 1  # of ids 1 and 6, which name other texts too
+    assert {k: n for k, n in got.items() if k[1] != a} == {(4, b): 1, (2, c): 1, (5, d): 1, (None, None): 2, (7, " "): 1, (7, None): 1}
+
+
 def test_components(spark):
     r = random.Random(6)
     edges = [(i, i + 1) for i in range(0, 200)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(60)] + [(5, 5), (None, 3)]
