@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -17,17 +18,28 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor shares, named by ``spark.checkpoint.dir``.
 
-    Only where the cluster leaves it unset (local tests) a folder of this
-    machine is used and set.
+    A session of one machine (``local[..]``, as in tests) that leaves it unset
+    gets a folder of this machine; on a cluster that would scatter the rows
+    over the executors' own disks, so there an unset folder is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="inkshred-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-_scratch: list[list[str]] = []
+#: The tables to remove, per thread: each runs its own stages.
+_local = threading.local()
+
+
+def _scratch() -> list[list[str]]:
+    if not hasattr(_local, "open"):
+        _local.open = []
+    return _local.open
 
 
 @contextmanager
@@ -37,11 +49,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     Only for work whose result is itself written with ``keep``: nothing may
     read the others afterwards, not even a retry.
     """
-    _scratch.append([])
+    _scratch().append([])
     try:
         yield
     finally:
-        for name in _scratch.pop():
+        for name in _scratch().pop():
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -54,12 +66,39 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _scratch and not keep:
-        _scratch[-1].append(path)
+    if _scratch() and not keep:
+        _scratch()[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that may be broadcast: some 16 MB, 32 MB as a hashed relation.
+BROADCAST_ROWS = 1 << 20
+
+
+def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` (written, of narrow rows) marked for broadcast up to BROADCAST_ROWS rows; beyond, joins shuffle it."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
+def without(rows: DataFrame, some: DataFrame, on: list[str], passes: int = 4) -> DataFrame:
+    """The rows not named in ``some`` (written, of narrow rows).
+
+    Up to ``passes`` broadcasts, each of a checked size, are joined one after
+    another in the one scan of ``rows``; beyond that both sides are shuffled.
+    """
+    n = some.count()
+    parts = -(-n // BROADCAST_ROWS)
+    if not n:
+        return rows
+    if parts > passes:
+        return rows.join(some, on, "left_anti")
+    for i in range(parts):
+        own = some if parts == 1 else some.filter(F.pmod(F.xxhash64(*on), F.lit(parts)) == i)
+        rows = rows.join(F.broadcast(own), on, "left_anti")
+    return rows
+
+
 def crc_of(doc_id: Column) -> Column:
     """crc32 of the id as text; a null id counts as the empty text (0)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")))
