@@ -1,26 +1,35 @@
 """Operator 4: two-pass external shuffle into shards, on DataFrame functions alone.
 
 Pass 1 scatters the records uniformly over memory-sized buckets by a seeded
-hash and counts each bucket.  Pass 2 shuffles each bucket by Fisher-Yates, its
-swaps drawn from a hash of seed, bucket and step (Spark's own ``shuffle``
-depends on the partition a row is in, so a lost task could not repeat it), and
-lays the buckets end to end: record p of n goes to shard p * shards div n, so shard
-counts differ by one at most (law ``rows``) and a shard is a run of buckets
-that is written without a further exchange.
+hash and writes the buckets to the shared folder.  Pass 2 reads each bucket
+whole, shuffles it by Fisher-Yates, its swaps drawn from a hash of seed, bucket
+and step (Spark's own ``shuffle`` depends on the partition a row is in, so a
+lost task could not repeat it), and lays the buckets end to end: record p of n
+goes to shard p * shards div n, so shard counts differ by one at most (law
+``rows``) and a shard is a run of buckets that is written where it was read.
+
+Rows equal in every column are numbered (counted once, expanded again), and
+their number is part of the hash, so copies of a document scatter like others
+and no bucket outgrows its size.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shared_dir, table, written
 
 BUCKET_BYTES = 8 << 20
 BUCKET_ROWS = 1024
 TASK_BYTES = 32 << 20
+#: Copies of one row that one task expands; more are dealt out first.
+RUN = 1024
+#: Buckets whose starts are summed together.
+GROUP = 4096
 
 
 def permutation(n, seed, bucket):
@@ -35,53 +44,90 @@ def permutation(n, seed, bucket):
     return F.when(n < 2, one).otherwise(F.aggregate(F.sequence(F.greatest(n, F.lit(2)) - 1, F.lit(1), F.lit(-1)), F.sequence(F.lit(0), F.greatest(n, F.lit(2)) - 1), swap))
 
 
+def numbered(docs: DataFrame, most: int) -> DataFrame:
+    """Every row with ``_copy``, its number (0, 1, ..) among the rows equal to it.
+
+    most: how often a row occurs at most.  Equal rows are counted, in the tasks
+    that read them first, and expanded again, RUN at a time.
+    """
+    names = docs.columns
+    if most < 2:
+        return docs.withColumn("_copy", F.lit(0).cast("long"))
+    each = docs.groupBy(*names).agg(F.count("*").alias("_n"))
+    each = each.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {RUN}"))).alias("_run"))
+    if most > RUN:
+        each = each.repartition("_run", F.xxhash64(*names))
+    last = F.least(F.col("_n"), (F.col("_run") + 1) * RUN) - 1
+    return each.select(*names, F.explode(F.sequence(F.col("_run") * RUN, last)).alias("_copy"))
+
+
+def starts(counts: DataFrame) -> DataFrame:
+    """(bucket, start) from (bucket, n): what lies before each bucket, summed in groups of GROUP buckets, then over the groups."""
+    group = F.floor(F.col("bucket") / GROUP).alias("group")
+    before = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)  # a row for each GROUP buckets, some 32 GB of input
+    groups = counts.groupBy(group).agg(F.sum("n").alias("n")).select("group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inner = Window.partitionBy("group").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("group", group).join(groups, "group").select("bucket", (F.col("base") + F.coalesce(F.sum("n").over(inner), F.lit(0))).alias("start"))
+
+
 def shard(docs: DataFrame, shards: int = 24, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, size: str | None = None) -> DataFrame:
     """Every row once, with shard (0 to shards-1) and slot (0, 1, .. in it) added.
 
     size: a column with the bytes of a record; without it the bytes of
-    ``text`` plus 8 (null text: 8).  The bucket comes from a hash of the seed
-    and all of a row's columns, so copies of a text under other ids scatter,
-    and runs on the same rows agree whatever their partitioning.  Rows equal
-    in every column are told apart by nothing and share a bucket; their order
-    among themselves has no meaning.  Nulls anywhere are values like others;
-    an empty table gives an empty one.  Columns already named shard or slot
-    are replaced.
+    ``text`` plus 8 (null text: 8).  The bucket comes from a hash of the seed,
+    all of a row's columns and its number among equal rows, so copies scatter,
+    whether or not they have ids of their own, and runs on the same rows agree
+    whatever their partitioning.  Nulls anywhere are values like others, a
+    record longer than a bucket fills one, and an empty table gives an empty
+    one.  Columns already named shard or slot are replaced.
     """
     docs = docs.drop("shard", "slot")
     names = docs.columns
-    bytes_of = F.col(size) if size else F.coalesce(F.octet_length("text"), F.lit(0)) + 8
+    bytes_of: Column = F.col(size) if size else F.coalesce(F.octet_length("text"), F.lit(0)) + 8
     total, n = docs.agg(F.coalesce(F.sum(bytes_of.cast("long")), F.lit(0)), F.count("*")).first()
+    docs = docs.select(*(F.col(c).alias(f"in_{c}") for c in names))
+    row = F.xxhash64(*docs.columns)
+    most = docs.groupBy(row.alias("row")).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(total / bucket_bytes), math.ceil(n / BUCKET_ROWS))
     tasks = min(buckets, max(1, math.ceil(total / TASK_BYTES), math.ceil(n / (256 * BUCKET_ROWS))))
-    key = F.xxhash64(F.lit(seed), *names)
-    placed = docs.select(F.pmod(key, F.lit(buckets)).cast("int").alias("_bucket"), F.struct(key.alias("_key"), *names).alias("_row"))
-
-    # pass 1: where each bucket starts; one row per bucket_bytes of input
-    counts = docs.select(F.pmod(key, F.lit(buckets)).cast("int").alias("_bucket")).groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-
-    # pass 2: one bucket is one array of about bucket_bytes or BUCKET_ROWS rows, whichever is less
-    rows = placed.repartition(tasks, "_bucket").groupBy("_bucket").agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
-    order = permutation(F.size("_rows"), seed, F.col("_bucket"))
-    rows = rows.withColumn("_order", order).select("_bucket", F.transform("_order", lambda k: F.get("_rows", k)).alias("_rows"))
-    mixed = rows.join(starts, "_bucket").select("_start", F.posexplode("_rows").alias("_i", "_row"))
-    p = F.col("_start") + F.col("_i")
-    at = F.expr(f"cast((_start + _i) * {shards} div {max(n, 1)} as int)")
+
+    # pass 1: a bucket is one array of about bucket_bytes or BUCKET_ROWS rows, whichever is less; neighbouring buckets share a task
+    placed = numbered(docs, most).select(F.pmod(F.xxhash64(F.lit(seed), row, "_copy"), F.lit(buckets)).cast("int").alias("bucket"), F.struct(row.alias("key"), "_copy", *docs.columns).alias("row"))
+    placed = placed.withColumn("run", F.expr(f"cast(cast(bucket as bigint) * {tasks} div {buckets} as int)"))
+    rows = placed.repartition(tasks, "run").groupBy("run", "bucket").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    rows = written(rows.select("bucket", F.size("rows").alias("n"), "rows"), "buckets", keep=True)
+
+    # pass 2
+    order = permutation(F.col("n"), seed, F.col("bucket"))
+    mixed = rows.withColumn("order", order).select("bucket", F.transform("order", lambda k: F.get("rows", k)).alias("rows"))
+    at = written(starts(rows.select("bucket", "n")), "starts", keep=True)
+    mixed = mixed.join(F.broadcast(at) if buckets <= 1 << 20 else at, "bucket").select("start", F.posexplode("rows").alias("i", "row"))
+    p = F.col("start") + F.col("i")
+    which = F.expr(f"cast((start + i) * {shards} div {max(n, 1)} as int)")
     first = F.expr(f"(cast({n} as bigint) * shard + {shards - 1}) div {shards}")
-    out = mixed.select("_row", p.alias("_p"), at.alias("shard"))
-    return out.select(*(F.col("_row")[c].alias(c) for c in names), "shard", (F.col("_p") - first).alias("slot"))
+    out = mixed.select("row", p.alias("p"), which.alias("shard"))
+    return out.select(*(F.col("row")[f"in_{c}"].alias(c) for c in names), "shard", (F.col("p") - first).alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """Write one folder per shard, each record in its slot's order."""
+    """Write one folder per shard, each record in its slot's order.
+
+    Every task writes the buckets it read, runs of neighbours that lie in few
+    shards; a shard is several files, each a stretch of slots, so no shard is
+    one task's work.
+    """
     names = [c for c in sharded.columns if c not in ("shard", "slot")]
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").select("shard", "slot", *names).write.partitionBy("shard").mode("overwrite").parquet(path)
+    sharded.sortWithinPartitions("shard", "slot").select("shard", "slot", *names).write.partitionBy("shard").mode("overwrite").parquet(path)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Whole ``documents`` shuffled and written as shards; the result is the digest of the records read back.
+
+    A null text has size 8 and the checksum of the empty text.
+    """
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    sharded = shard(table(spark, sf_dir, "documents"))
+    write_shards(sharded, path)
+    out = spark.read.schema(sharded.schema).parquet(path)
     text = F.coalesce("text", F.lit(""))
-    slim = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    out = shard(slim, size="size")
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
