@@ -1,16 +1,23 @@
 """Operator 7: mixing sources to target weights by Pareto order sampling.
 
 Each source's target in words divided by its size gives the copies r that each
-of its documents should have on average.  floor(r) whole copies of every
-document are certain; the rest of the target is a sample of fixed size without
-replacement: documents are ranked by u/(1-u) over p/(1-p), where u is a
-seeded uniform number of the row and p its remaining inclusion probability
-(Rosen 1997), and taken in that order while they fit.  A last document is
-chosen among the others, the one whose size comes nearest to what is missing.
-
-A rank over a whole source would be one task for a hot source.  So words are
-summed over 2^16 slices of the rank first (combined before the shuffle), and
-only the slice in which the target falls is ordered row by row.
+of its words should have on average.  floor(r) whole copies of every document
+are certain; the words that are still missing are a sample without replacement
+with unequal probabilities: a document's inclusion probability p grows with its
+size, p = min(1, size / t), where t is such that the expected words are those
+missing.  Documents with p = 1 are certain; the others are ranked by their
+random odds u/(1-u) divided by their inclusion odds p/(1-p) (Rosen 1997), u a
+seeded uniform number of the row, and taken in that order.  The sample's size
+is fixed in words, the unit of the targets: the order is cut where the next
+document would exceed them, the following ones are taken in order while they
+fit into what is left, and a last document is chosen among the others, the one
+whose size comes nearest to what is missing.
+
+Nothing is sorted by source as a whole, as a source may be hot.  t follows from
+sums over classes of size (16 for each doubling).  The cut follows from sums
+over slices of the rank (128 for each doubling of the odds ratio), and only
+the slice in which the target falls, at most some 0.14 % of a source, is
+ordered row by row.  All these sums are combined before the shuffle.
 """
 
 from __future__ import annotations
@@ -18,9 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, scratch, table, written
+from .common import WORD, bounded, scratch, table, written
 
-SLICES = 1 << 16
+#: Classes of size, and slices of the rank, for each doubling.
+SIZE_CLASSES, SLICES = 16, 128
 CAP = 3
 
 
@@ -54,18 +62,39 @@ def _source_key() -> Column:
 
 
 def _ranked(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """Rows with the certain copies and the rank v in [0, 1]: a monotone form of Pareto's odds ratio.
+    """Rows with the certain copies, their probability of one more, and the rank: log2 of Pareto's odds ratio.
 
-    more: whether a row may have one copy beyond the certain ones.  Where the
-    rate is a whole number none has, and nothing is ranked (sources of empty
-    texts alone cost nothing and are taken).
+    Rows that are certain or out of the question have no rank (sources of
+    empty texts alone cost nothing and are taken).
     """
     r = docs.join(plan, "skey")
-    whole = F.floor(F.col("rate")).cast("long")
-    p = F.col("rate") - whole
-    odds = (F.col("uniform") / (1 - F.col("uniform"))) * (1 - p) / p
-    rank = F.when(p <= 0, 1.0).otherwise(odds / (1 + odds))
-    return r.select(*docs.columns, "source_size", "target", whole.alias("whole"), rank.alias("rank"), ((whole < CAP) & ((p > 0) | (F.col("source_size") == 0))).alias("more"))
+    p = F.when(F.col("source_size") == 0, 1.0).when(F.col("threshold").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.col("size") / F.col("threshold")))
+    r = r.select(*docs.columns, "source_size", "target", F.floor("rate").cast("long").alias("whole"), p.alias("probability"))
+    drawn = (F.col("probability") > 0) & (F.col("probability") < 1)
+    odds = F.col("uniform") / (1 - F.col("uniform")) * (1 - F.col("probability")) / F.col("probability")
+    certain = F.col("whole") + F.when(F.col("probability") >= 1, 1).otherwise(0)
+    return r.withColumn("certain", certain).withColumn("rank", F.when(drawn, F.log2(odds))).drop("whole")
+
+
+def _thresholds(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """(skey, threshold): the size from which a document is certain, so that sum(min(1, size / threshold) size) is the part of the target beyond whole copies.
+
+    At the largest size of each class that sum is exact; between two of them
+    the inverse is interpolated.
+    """
+    sized = rows.filter("size > 0").groupBy("skey", F.floor(F.log2("size") * SIZE_CLASSES).alias("class"))
+    sized = sized.agg(F.sum("size").alias("w"), F.sum((F.col("size").cast("decimal(19,0)") * F.col("size")).cast("decimal(38,0)")).cast("double").alias("q"), F.max("size").alias("m"))
+    along = Window.partitionBy("skey").orderBy("class")  # some hundreds of rows a source
+    above = F.coalesce(F.sum("w").over(along.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    sized = sized.select("skey", "class", "m", above.alias("above"), F.sum("q").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("below"))
+    sized = sized.withColumn("g", F.col("above") + F.col("below") / F.col("m"))
+    sized = sized.select("*", F.lag("m").over(along).alias("m0"), F.lag("g").over(along).alias("g0"))
+    part = plan.select("skey", (F.col("target") - F.floor("rate") * F.col("source_size")).alias("part")).filter("part > 0")
+    x = sized.join(part, "skey")
+    # the first class whose sum is not above the part, else all documents lie below the threshold
+    between = 1 / (1 / F.col("m") + (1 / F.col("m0") - 1 / F.col("m")) * (F.col("part") - F.col("g")) / (F.col("g0") - F.col("g")))
+    t = F.when(F.col("m0").isNull(), F.col("below") / (F.col("part") - F.col("above"))).otherwise(between)
+    return x.groupBy("skey").agg(F.coalesce(F.min_by(F.when(F.col("g") <= F.col("part"), t), F.when(F.col("g") <= F.col("part"), F.col("class"))), F.max("below") / F.first("part")).alias("threshold"))
 
 
 def _rows(docs: DataFrame, seed: int, extra: list[str]) -> DataFrame:
@@ -75,65 +104,91 @@ def _rows(docs: DataFrame, seed: int, extra: list[str]) -> DataFrame:
 
 
 def _plan(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two tables with a row per source: its target and copies per document, and the rank at which its sample is cut."""
+    """Two tables with a row per source: its target, whole copies and threshold, and the rank at which its sample is cut."""
     sizes = rows.groupBy("skey").agg(F.sum("size").alias("source_size"))
     sizes = sizes.select(F.when(F.col("skey") != "-", F.substring("skey", 2, 1 << 30)).alias("source"), "source_size")
-    goal = written(targets(sizes).withColumn("skey", _source_key()).drop("source"), "targets", keep=True)
+    goal = written(targets(sizes).withColumn("skey", _source_key()).drop("source"), "targets")
     plan = goal.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    ranked = written(_ranked(rows, plan), "ranked")
-    free = ranked.filter("more and size > 0")
+    plan = written(plan.join(_thresholds(rows, plan), "skey", "left"), "plan", keep=True)
+    ranked = written(_ranked(rows, bounded(plan)).select("skey", "size", "uniform", "certain", "rank"), "ranked")
+    free = ranked.filter("rank is not null")
+
+    missing = goal.join(ranked.groupBy("skey").agg(F.sum(F.col("certain") * F.col("size")).alias("certain")), "skey")
+    cuts = _cut(free, written(missing.select("skey", (F.col("target") - F.col("certain")).alias("missing")), "missing"), 1)
+    # what the document at the cut would have exceeded: the next ones in order that fit
+    again = free.join(bounded(cuts), "skey").filter(~_inside(1) & (F.col("size") <= F.col("left1"))).select(*free.columns)
+    cuts = cuts.join(_cut(again, cuts.select("skey", F.col("left1").alias("missing")), 2), "skey", "left")
+    cuts = written(cuts, "cuts")
+    # one more document where it brings the source nearer to its target
+    gap = F.col("left2")
+    rest = free.join(bounded(cuts), "skey").filter(~_taken() & (F.abs(F.col("size") - gap) < gap))
+    extra = rest.groupBy("skey").agg(F.min(F.struct(F.abs(F.col("size") - gap).alias("off"), F.col("rank"), F.col("uniform"))).alias("x")).select("skey", F.col("x.uniform").alias("extra"))
+    return plan, written(cuts.join(extra, "skey", "left"), "cuts", keep=True)
+
+
+def _cut(free: DataFrame, missing: DataFrame, turn: int) -> DataFrame:
+    """(skey, bound, closed, left): the rank up to which the rows fit into what is missing, whether it belongs to them, and what is left.
 
+    missing: (skey, missing), written.  Without an end all rows fit.
+    """
     # the slice of the rank in which each source's target falls
-    cut = F.least(F.floor(F.col("rank") * SLICES), F.lit(SLICES - 1)).cast("int")
+    cut = F.floor(F.col("rank") * SLICES).cast("long")
     slices = free.groupBy("skey", cut.alias("slice")).agg(F.sum("size").alias("n"))
-    missing = goal.join(ranked.groupBy("skey").agg(F.sum(F.col("whole") * F.col("size")).alias("certain")), "skey").select("skey", (F.col("target") - F.col("certain")).alias("missing"))
-    along = Window.partitionBy("skey").orderBy("slice")
-    slices = slices.withColumn("upto", F.sum("n").over(along)).join(missing, "skey")
-    edge = slices.filter("upto > missing").groupBy("skey").agg(F.min("slice").alias("slice"), F.min_by(F.col("upto") - F.col("n"), "slice").alias("before"), F.first("missing").alias("missing"))
+    along = Window.partitionBy("skey").orderBy("slice")  # some thousands of rows a source
+    slices = slices.withColumn("upto", F.sum("n").over(along)).join(bounded(missing), "skey")
+    past = F.col("upto") > F.col("missing")
+    edge = slices.groupBy("skey").agg(F.min(F.when(past, F.col("slice"))).alias("slice"), F.coalesce(F.max(F.when(~past, F.col("upto"))), F.lit(0)).alias("before"), F.first("missing").alias("missing"))
+    edge = written(edge, "edges")
     # inside it, row by row (equal ranks stay together)
-    edge_rows = free.withColumn("slice", cut).join(edge, ["skey", "slice"])
+    edge_rows = free.withColumn("slice", cut).join(bounded(edge), ["skey", "slice"])
     inner = Window.partitionBy("skey").orderBy("rank")
     fit = edge_rows.withColumn("upto", F.col("before") + F.sum("size").over(inner)).filter("upto <= missing")
     fit = fit.groupBy("skey").agg(F.max("rank").alias("last"), F.max("upto").alias("got"))
-    bound = missing.join(edge.select("skey", "slice", "before"), "skey", "left").join(fit, "skey", "left")
-    # without an edge all that is free is taken; nothing fitting in the edge's slice: all slices below it
-    bound = bound.select("skey", "missing", F.when(F.col("slice").isNull(), 2.0).otherwise(F.coalesce("last", (F.col("slice") / F.lit(float(SLICES))))).alias("bound"), F.col("last").isNotNull().alias("closed"), F.coalesce("got", "before", "missing").alias("got"))
-    bound = written(bound, "bounds")
-    inside = F.when(F.col("closed"), F.col("rank") <= F.col("bound")).otherwise(F.col("rank") < F.col("bound"))
-    # one more document where it brings the source nearer to its target
-    gap = F.col("missing") - F.col("got")
-    rest = free.join(bound, "skey").filter(~inside & (F.abs(F.col("size") - gap) < gap))
-    extra = rest.groupBy("skey").agg(F.min(F.struct(F.abs(F.col("size") - gap).alias("off"), F.col("rank"), F.col("uniform"))).alias("x")).select("skey", F.col("x.uniform").alias("extra"))
-    return plan, written(bound.join(extra, "skey", "left"), "cuts", keep=True)
+    bound = missing.join(edge.drop("missing"), "skey", "left").join(fit, "skey", "left")
+    # nothing fitting in the edge's slice: all slices below it
+    end = F.when(F.col("slice").isNull(), F.lit(float("inf"))).otherwise(F.coalesce("last", F.col("slice") / F.lit(float(SLICES))))
+    left = F.greatest(F.lit(0.0), F.col("missing") - F.coalesce("got", "before", F.lit(0)))
+    return written(bound.select("skey", end.alias(f"bound{turn}"), F.col("last").isNotNull().alias(f"closed{turn}"), left.alias(f"left{turn}")), "bounds")
+
+
+def _inside(turn: int) -> Column:
+    """Whether a row's rank lies before its source's cut of a turn."""
+    return F.when(F.col(f"closed{turn}"), F.col("rank") <= F.col(f"bound{turn}")).otherwise(F.col("rank") < F.col(f"bound{turn}"))
+
+
+def _taken() -> Column:
+    return _inside(1) | ((F.col("size") <= F.col("left1")) & _inside(2))
 
 
 def _copies(rows: DataFrame, plan: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Add source_size, target and copies to the rows, from the row and two tables with a row per source."""
-    r = _ranked(rows, plan).join(cuts, "skey")
-    inside = F.when(F.col("closed"), F.col("rank") <= F.col("bound")).otherwise(F.col("rank") < F.col("bound"))
-    taken = F.when(F.col("more") & (inside | F.coalesce(F.col("uniform") == F.col("extra"), F.lit(False))), 1).otherwise(0)
-    return r.select(*rows.columns, "source_size", "target", (F.col("whole") + taken).cast("int").alias("copies"))
+    """Add source_size, target, probability, rank and copies to the rows, from the row and two tables with a row per source."""
+    r = _ranked(rows, bounded(plan)).join(bounded(cuts), "skey")
+    taken = F.col("rank").isNotNull() & (_taken() | F.coalesce(F.col("uniform") == F.col("extra"), F.lit(False)))
+    return r.select(*rows.columns, "source_size", "target", "probability", "rank", (F.col("certain") + F.when(taken, 1).otherwise(0)).cast("int").alias("copies"))
 
 
 def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for every row of ``docs``.
+    """doc_id, source, size, source_size, target, probability, rank, copies, uniform for every row of ``docs``.
 
     size: words of the text (null: 0).  copies: how often the mix takes the
-    document, 0 to CAP.  Null and empty texts have size 0 and may be taken at
-    no cost.  u comes from a hash of seed, doc_id and text, so reruns agree;
+    document, 0 to CAP.  probability: of one copy beyond the whole ones; null
+    and empty texts have size 0 and get none (where a whole source is empty,
+    one each).  rank: log2 of the odds ratio, null where nothing is drawn.  u comes from a hash of seed, doc_id and text, so reruns agree;
     rows equal in both share one u and are taken together.  A null source is a
     source of its own, after all others.  Extra columns are ignored; an empty
     table gives an empty one.
     """
     rows = written(_rows(docs, seed, ["doc_id", "source"]), "sizes")
-    return _copies(rows, *_plan(rows)).select("doc_id", "source", "size", "source_size", "target", "copies", "uniform")
+    return _copies(rows, *_plan(rows)).select("doc_id", "source", "size", "source_size", "target", "probability", "rank", "copies", "uniform")
 
 
 def mixed(docs: DataFrame, seed: int = 11) -> DataFrame:
     """The documents as the mix has them: each ``copies`` times, columns unchanged.
 
     A row's copies follow from the row and its source's cuts, so no text is
-    shuffled: only sizes are, to find the cuts.
+    shuffled: only sizes are, to find the cuts.  Null texts and sources, ties
+    and repeated rows are handled as in ``mix``; columns may have any names;
+    an empty table gives an empty one.
     """
     names = docs.columns
     with scratch(docs.sparkSession):
@@ -144,5 +199,6 @@ def mixed(docs: DataFrame, seed: int = 11) -> DataFrame:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words the mix takes of it (whole documents, 0 to CAP times)."""
     out = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "probability")
