@@ -125,14 +125,19 @@ def _shorter(counts: np.ndarray, above: np.ndarray) -> np.ndarray:
     return np.where(total == 0, above, np.where(counts > 0, own, escape))
 
 
-def train(docs: DataFrame, held_out: Column, depth: int = 3, sample: int = 1000, max_contexts: int = 20000) -> Model | None:
-    """Fit on at most about ``sample`` texts of each language with ``held_out`` false; None without any."""
+def train(docs: DataFrame, held_out: Column, depth: int = 3, sample: int = 1000, max_contexts: int = 20000, most_langs: int = 1000) -> Model | None:
+    """Fit on at most about ``sample`` texts of each language with ``held_out`` false; None without any.
+
+    The model is of bounded size, whatever the corpus: the ``most_langs``
+    languages with the most texts are learned (equal counts: by name), and of
+    the contexts of each length the ``max_contexts`` most frequent ones in the
+    sample; a longer context that is not kept is coded by its shorter one.
+    """
     able = docs.filter(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    per = {r.lang: r.n for r in able.groupBy("lang").agg(F.count("*").alias("n")).limit(1001).collect()}
-    if len(per) > 1000:
-        raise ValueError("lang has over 1000 values; a model holds one tree of each")
+    per = {r.lang: r.n for r in able.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     if not per:
         return None
+    able = able.filter(F.col("lang").isin(*per))
     rate = F.create_map(*(F.lit(x) for lang, n in sorted(per.items()) for x in (lang, min(1.0, sample / n))))
     drawn = able.filter(F.pmod(F.xxhash64(F.lit("ppm"), "doc_id", "text"), F.lit(1 << 30)) < F.element_at(rate, F.col("lang")) * (1 << 30))
     rows = _counts(drawn, depth).toPandas()
@@ -206,6 +211,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those not held out."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs, held_out(F.col("doc_id")))
     out = identify(docs.select("doc_id", "text"), model)
@@ -213,7 +219,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stage(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
-    """The rows whose language is told (not ``und``, score at least min_score), columns unchanged."""
+    """The rows whose language is told (not ``und``, score at least min_score), columns unchanged.
+
+    Null texts and texts without letters go; rows without an id or language
+    are judged like others, and repeated rows alike.  Columns may have any
+    names; an empty table, or one without labels, keeps nothing.
+    """
     model = train(docs, held_out(F.col("doc_id")))
     names = docs.columns
     slim = identify(docs.withColumnsRenamed({c: f"in_{c}" for c in names}).withColumn("text", F.col("in_text").cast("string")), model)

@@ -13,13 +13,11 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import bounded, table, written
 
 #: (action, rule): a host with all its subdomains and the beginning of the path.
 GIVEN = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1 << 20
 BAD = "label:bad"
 
 
@@ -78,7 +76,7 @@ def fired(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, n_rules): distinct urls that meet at least one rule, through the inverted index."""
     index = written(rules.select("rule_id", F.size("antecedent").alias("n"), F.explode("antecedent").alias("item")), "index")
     met = urls.select("url").filter("url is not null").distinct().select("url", F.explode(tokens(F.col("url"))).alias("item"))
-    met = met.join(F.broadcast(index) if index.count() <= BROADCAST_ROWS else index, "item").groupBy("url", "rule_id", "n").count().filter("count = n")
+    met = met.join(bounded(index), "item").groupBy("url", "rule_id", "n").count().filter("count = n")
     return met.groupBy("url").agg(F.count("*").alias("n_rules"))
 
 
