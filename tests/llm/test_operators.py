@@ -13,7 +13,7 @@ from conftest import DATA
 from oracle import check
 from pyspark.sql import functions as F
 
-from inkshred.llm import decontaminate, kernel, langid, mixing, ngram_join, quality, queries, rules, secrets, shards, toxicity, url_rules
+from inkshred.llm import common, decontaminate, kernel, langid, mixing, ngram_join, quality, queries, rules, secrets, shards, toxicity, url_rules
 from inkshred.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, extra string"
@@ -68,6 +68,25 @@ def test_word_kernel(monkeypatch):
         assert all(len(v) == 1 for v in named.values()) and len({x for v in named.values() for x in v}) == len(named)
 
 
+def test_shared_folder_is_never_guessed_on_a_cluster():
+    class Cluster:
+        conf = {}
+        master = "spark://host:7077"
+
+    Cluster.sparkContext = Cluster
+    with pytest.raises(ValueError):
+        common.shared_dir(Cluster)
+    Cluster.conf = {"spark.checkpoint.dir": "hdfs://x/"}
+    assert common.shared_dir(Cluster) == "hdfs://x"
+
+
+def test_without_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 30)
+    rows, some = spark.range(200), spark.range(0, 200, 2)
+    for passes in (4, 1):
+        assert sorted(x.id for x in common.without(rows, some, ["id"], passes).collect()) == list(range(1, 200, 2))
+
+
 # 1 -- language identification
 
 
@@ -116,6 +135,12 @@ def test_languages_are_told(spark):
     assert len(out) > 40 and (out.lang == out.lang_pred).mean() > 0.95 and out.score.between(0, 1).all()
 
 
+def test_many_languages_are_no_error(spark):
+    rows = [(i, f"text of {'abc'[i % 3] * 4}", f"l{i % 30}") for i in range(90)]
+    df = spark.createDataFrame([*rows, (90, "text of aaaa", "l3")], "doc_id long, text string, lang string")
+    assert langid.train(df, F.lit(False), most_langs=4).langs == ["l0", "l1", "l10", "l3"]
+
+
 def test_language_edges(docs, empty, spark):
     model = langid.train(docs, langid.held_out(F.col("doc_id")))
     out = langid.identify(docs.withColumn("score", F.lit("old")), model)
@@ -208,6 +233,42 @@ def test_shards_are_a_permutation(docs, empty, tmp_path):
     assert docs.sparkSession.read.parquet(str(tmp_path / "s")).count() == docs.count()
 
 
+def test_equal_rows_scatter_and_the_order_is_replayed(spark, monkeypatch):
+    monkeypatch.setattr(shards, "RUN", 64)
+    rows = [(i % 40, f"text {i % 40}") for i in range(400)] + [(99, "hot")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = shards.shard(df, shards=6, bucket_bytes=4000)
+    got = out.collect()
+    assert collections.Counter((x.doc_id, x.text) for x in got) == collections.Counter(rows)
+    by = collections.defaultdict(list)
+    for x in got:
+        by[x.shard].append(x.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    hot = collections.Counter(x.shard for x in got if x.doc_id == 99)
+    assert min(hot.values()) > 3000 / 6 / 1.3
+    few = collections.defaultdict(set)
+    for x in got:
+        few[x.doc_id].add(x.shard)
+    assert sum(len(v) for k, v in few.items() if k != 99) / 40 > 4  # of 6 shards, 10 copies each
+    again = shards.shard(df.repartition(7), shards=6, bucket_bytes=4000)
+    assert collections.Counter(map(tuple, again.collect())) == collections.Counter(map(tuple, got))
+    # Fisher-Yates replayed
+    swaps = spark.range(1, 50).select(F.col("id").cast("int").alias("i"), F.pmod(F.xxhash64(F.lit(17), F.lit(3), F.col("id").cast("int")), F.col("id").cast("int") + 1).alias("j")).collect()
+    want = list(range(50))
+    for i, j in sorted(((s.i, s.j) for s in swaps), reverse=True):
+        want[i], want[j] = want[j], want[i]
+    order = spark.range(1).select(shards.permutation(F.lit(50), 17, F.lit(3)).alias("o")).first().o
+    assert order == want
+
+
+def test_bucket_starts(spark, monkeypatch):
+    monkeypatch.setattr(shards, "GROUP", 7)
+    r = random.Random(1)
+    n = {b: r.randint(1, 9) for b in range(100) if r.random() < 0.8}
+    got = {x.bucket: x.start for x in shards.starts(spark.createDataFrame(list(n.items()), "bucket int, n long")).collect()}
+    assert got == {b: sum(v for c, v in n.items() if c < b) for b in n}
+
+
 def test_shuffle_is_uniform(spark):
     n = 4000
     out = shards.shard(spark.range(n).selectExpr("id as doc_id", "cast(null as string) as text"), bucket_bytes=800, shards=4).toPandas()
@@ -393,10 +454,47 @@ def test_mix_targets_and_copies(docs, empty):
 # 8 -- n-gram Jaccard join
 
 
+def test_pareto_sample_replayed(spark):
+    r = random.Random(17)
+    rows = [(i, "w " * int(r.paretovariate(0.9) * 5), r.choice("abcdefg")) for i in range(2500)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    drawn = 0
+    for source in "abcdefg":
+        own = [x for x in got if x.source == source]
+        whole = int(own[0].target // own[0].source_size)
+        part = own[0].target - whole * own[0].source_size
+        # p = min(1, size / t) with the expected words that are missing
+        lo, hi = 0.0, 1e12
+        for _ in range(200):
+            t = (lo + hi) / 2
+            lo, hi = (t, hi) if sum(min(1, x.size / t) * x.size for x in own) > part else (lo, t)
+        assert all(x.probability == pytest.approx(min(1, x.size / t), rel=0.03) for x in own)
+        assert len({round(x.probability, 6) for x in own}) > 10
+        certain = [x for x in own if x.probability >= 1]
+        assert all(x.copies == whole + 1 for x in certain)
+        free = [x for x in own if 0 < x.probability < 1]
+        assert all(x.rank == pytest.approx(math.log2(x.uniform / (1 - x.uniform) / (x.probability / (1 - x.probability))), abs=1e-9) for x in free)
+        left, want = part - sum(x.size for x in certain), set()
+        for _ in range(2):  # in order up to the first that does not fit, then on with those that fit into what is left
+            room = left
+            for x in sorted((x for x in free if x.doc_id not in want and x.size <= (room if want else 1e12)), key=lambda x: x.rank):
+                if x.size > left:
+                    break
+                left -= x.size
+                want.add(x.doc_id)
+        taken = {x.doc_id for x in free if x.copies > whole}
+        assert want <= taken and len(taken - want) <= 1
+        by_order = sorted(free, key=lambda x: x.uniform)
+        drawn += [x.doc_id for x in by_order[: len(taken)]] != [x.doc_id for x in sorted(free, key=lambda x: x.rank)[: len(taken)]]
+        words_taken = sum(x.size * x.copies for x in own)
+        assert abs(words_taken - own[0].target) <= 5 + own[0].target / 100
+    assert drawn == 7  # the order is not that of the uniform numbers
+
+
 def test_whole_rates_need_no_order(spark):
     one = spark.createDataFrame([(i, "w " * (i % 7), "s") for i in range(200)], "doc_id long, text string, source string")
     _, cuts = mixing._plan(mixing._rows(one, 11, ["doc_id", "source"]))
-    assert [x.bound for x in cuts.collect()] == [2.0]  # no slice is ordered row by row
+    assert {x.bound1 for x in cuts.collect()} == {math.inf}  # no slice is ordered row by row
     assert {x.copies for x in mixing.mix(one).collect()} == {1}
     nothing = one.union(spark.createDataFrame([(i, None, "t") for i in range(300, 320)], one.schema))
     assert {x.copies for x in mixing.mix(nothing).collect() if x.source == "t"} == {1}
@@ -448,6 +546,12 @@ def test_jaccard_of_a_family_of_near_copies(spark):
     assert len(set(want.values())) > 1
 
 
+def test_sketch_is_summed_in_levels(spark, docs, monkeypatch):
+    whole = ngram_join.rarity(docs.select("text"))
+    monkeypatch.setattr(ngram_join, "FAN", 2)
+    assert (ngram_join.rarity(docs.select("text").repartition(5)) == whole).all() and whole.max() > 0
+
+
 def test_one_of_each(docs, empty):
     want, _ = plain_groups([(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None])
     out = ngram_join.one_of_each(docs)
@@ -559,13 +663,16 @@ def test_decontamination_against_containment(spark, docs, empty):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     bench = spark.createDataFrame(items, "item_id long, text string")
 
-    def grams(t):
+    def grams(t, k=5):
         w = [x.lower() for x in words(t)]
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
 
-    held = {i: grams(t) for i, t in items if grams(t)}
-    bad = {t for _, t in rows for g in held.values() if t and 100 * len(g & grams(t)) >= 75 * len(g)}
+    held = {i: (grams(t, k), k) for i, t in items if (k := min(5, len(words(t))))}
+    bad = {t for _, t in rows for g, k in held.values() if t and 100 * len(g & grams(t, k)) >= 75 * len(g)}
     left = decontaminate.clean(df, bench)
     assert left.columns == df.columns and sorted(str(x.text) for x in left.collect()) == sorted(str(t) for _, t in rows if t not in bad)
-    assert 20 < len(bad) < 80
+    assert 20 < len(bad) < 80 and any(len(words(items[i % 63][1])) == 3 and rows[i][1] in bad for i in range(80))
+    want = {(t, i, len(g & grams(t, k)), len(g)) for _, t in rows for i, (g, k) in held.items() if t and 100 * len(g & grams(t, k)) >= 75 * len(g)}
+    found = decontaminate.contaminated(df, bench).join(df.select(*common.text_key(F.col("text")), "text").distinct(), ["k1", "k2"]).collect()
+    assert {(x.text, x.item_id, x.n_shared, x.n_item) for x in found} == want and len(found) == len(want)
     assert decontaminate.clean(empty, bench).count() == 0 and decontaminate.clean(docs, bench.limit(0)).count() == docs.count()
