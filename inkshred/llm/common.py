@@ -72,6 +72,19 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of one Arrow batch of texts, in the JVM, on the wire and in the Python worker.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def mapped(df: DataFrame, kernel, schema) -> DataFrame:
+    """``mapInArrow`` with batches of about BATCH_BYTES, as texts may be long; a session that sets its own bound keeps it."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(kernel, schema)
+
+
 #: Rows of a few numbers that may be broadcast: some 16 MB, 32 MB as a hashed relation.
 BROADCAST_ROWS = 1 << 20
 

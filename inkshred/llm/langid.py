@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel
-from .common import crc_of, table
+from .common import crc_of, mapped, table
 
 STEP = 1 << 16
 
@@ -70,7 +70,7 @@ def _counts(docs: DataFrame, depth: int) -> DataFrame:
                     key, n = np.unique(key, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key), pa.array(n.astype(np.int64))], ["lang", "window", "n"])
 
-    return docs.select("lang", "text").mapInArrow(count, "lang string, window long, n long").groupBy("lang", "window").agg(F.sum("n").alias("n"))
+    return mapped(docs.select("lang", "text"), count, "lang string, window long, n long").groupBy("lang", "window").agg(F.sum("n").alias("n"))
 
 
 def build(langs: list[str], lang: np.ndarray, window: np.ndarray, n: np.ndarray, depth: int, max_contexts: int) -> Model:
@@ -166,14 +166,14 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
     return out
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, column: str = "text") -> DataFrame:
     """Add lang_pred, score and bits_per_byte to every row, from its whole text alone.
 
     ``und`` with score 0 where the text is null or has no letter (or nothing
     was learned).  score: posterior of the named language among the learned
     ones, all equally likely before.  Equal code lengths go to the language
-    first by name.  The columns must not be present already: those of the same
-    name are replaced.
+    first by name.  ``column`` names the text; added columns replace those of
+    the same name.
     """
     frozen = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score", "bits_per_byte")
@@ -182,7 +182,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = frozen.value
         for batch in batches:
-            text = batch.column("text").fill_null("")
+            text = batch.column(column).cast(pa.string()).fill_null("")
             letters = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
             data, offsets = kernel.buffers(pc.utf8_lower(text))
             if m is None:
@@ -203,7 +203,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *added], [*keep, "lang_pred", "score", "bits_per_byte"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
-    return docs.mapInArrow(score, schema)
+    return mapped(docs, score, schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -227,6 +227,6 @@ def language_stage(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     """
     model = train(docs, held_out(F.col("doc_id")))
     names = docs.columns
-    slim = identify(docs.withColumnsRenamed({c: f"in_{c}" for c in names}).withColumn("text", F.col("in_text").cast("string")), model)
-    kept = slim.filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    judged = identify(docs.withColumnsRenamed({c: f"in_{c}" for c in names}), model, "in_text")
+    kept = judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
     return kept.select(*(F.col(f"in_{c}").alias(c) for c in names))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel
-from .common import table
+from .common import mapped, table
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower")
 
@@ -93,7 +93,7 @@ def measure(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x, pa.int64()) for x in _measured(batch))], [*keep, *MEASURES])
 
-    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(m, T.LongType()) for m in MEASURES)]))
+    return mapped(docs, run, T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(m, T.LongType()) for m in MEASURES)]))
 
 
 def ledger(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import shared_dir, table, written
 
 BUCKET_BYTES = 8 << 20
-BUCKET_ROWS = 1024
+BUCKET_ROWS = 512
 TASK_BYTES = 32 << 20
 #: Copies of one row that one task expands; more are dealt out first.
 RUN = 1024

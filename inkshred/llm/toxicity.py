@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel
-from .common import crc_of, table, text_key, written
+from .common import crc_of, mapped, table, text_key, written
 
 CODES = 0x110000
 #: Words compiled into one table: its states grow faster than its words, so many words are many tables.
@@ -348,7 +348,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model | Non
             x = _features(sent.value, b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("toxic"), *(pa.array(x[:, i]) for i in range(len(FEATURES)))], ["toxic", *FEATURES])
 
-    got = texts.select("toxic", "text").mapInArrow(run, "toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).groupBy("toxic", *FEATURES).count().toPandas()
+    got = mapped(texts.select("toxic", "text"), run, "toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).groupBy("toxic", *FEATURES).count().toPandas()
     x = np.repeat(got[list(FEATURES)].to_numpy(float), got["count"].to_numpy(), axis=0)
     y = np.repeat(got["toxic"].to_numpy(float), got["count"].to_numpy())
     return Model(automata, _logistic(_saturated(x), y), *map(sorted, (found["word"], found["stem"], found["weak"])))
@@ -372,7 +372,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             added = [pa.array(p), pa.array(x[:, :QUOTED].sum(1).astype(np.int64)), pa.array(x[:, QUOTED].astype(np.int64))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *added], [*keep, "score", "hits", "quoted"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("hits", T.LongType()), T.StructField("quoted", T.LongType())]))
+    return mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("hits", T.LongType()), T.StructField("quoted", T.LongType())]))
 
 
 def held_out(doc_id: Column) -> Column:
