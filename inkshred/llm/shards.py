@@ -1,12 +1,12 @@
 """Operator 4: two-pass external shuffle into shards, on DataFrame functions alone.
 
 Pass 1 scatters the records uniformly over memory-sized buckets by a seeded
-hash and writes the buckets to the shared folder.  Pass 2 reads each bucket
-whole, shuffles it by Fisher-Yates, its swaps drawn from a hash of seed, bucket
+hash, through shuffle files; the buckets' sizes are counted before from hashes
+of the rows alone.  Pass 2 reads each bucket whole, shuffles it by Fisher-Yates, its swaps drawn from a hash of seed, bucket
 and step (Spark's own ``shuffle`` depends on the partition a row is in, so a
 lost task could not repeat it), and lays the buckets end to end: record p of n
 goes to shard p * shards div n, so shard counts differ by one at most (law
-``rows``) and a shard is a run of buckets that is written where it was read.
+``rows``) and a shard is a run of buckets that is written where it was shuffled.
 
 Rows equal in every column are numbered (counted once, expanded again), and
 their number is part of the hash, so copies of a document scatter like others
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import shared_dir, table, written
 
 BUCKET_BYTES = 8 << 20
-BUCKET_ROWS = 512
+BUCKET_ROWS = 1024
 TASK_BYTES = 32 << 20
 #: Copies of one row that one task expands; more are dealt out first.
 RUN = 1024
@@ -44,17 +44,13 @@ def permutation(n, seed, bucket):
     return F.when(n < 2, one).otherwise(F.aggregate(F.sequence(F.greatest(n, F.lit(2)) - 1, F.lit(1), F.lit(-1)), F.sequence(F.lit(0), F.greatest(n, F.lit(2)) - 1), swap))
 
 
-def numbered(docs: DataFrame, most: int) -> DataFrame:
-    """Every row with ``_copy``, its number (0, 1, ..) among the rows equal to it.
+def expanded(counted: DataFrame, most: int) -> DataFrame:
+    """Rows with a count ``_n`` as that many rows, numbered in ``_copy`` from 0, RUN at a time in a task.
 
-    most: how often a row occurs at most.  Equal rows are counted, in the tasks
-    that read them first, and expanded again, RUN at a time.
+    most: the largest count.
     """
-    names = docs.columns
-    if most < 2:
-        return docs.withColumn("_copy", F.lit(0).cast("long"))
-    each = docs.groupBy(*names).agg(F.count("*").alias("_n"))
-    each = each.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {RUN}"))).alias("_run"))
+    names = [c for c in counted.columns if c != "_n"]
+    each = counted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {RUN}"))).alias("_run"))
     if most > RUN:
         each = each.repartition("_run", F.xxhash64(*names))
     last = F.least(F.col("_n"), (F.col("_run") + 1) * RUN) - 1
@@ -84,23 +80,26 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 17, bucket_bytes: int =
     docs = docs.drop("shard", "slot")
     names = docs.columns
     bytes_of: Column = F.col(size) if size else F.coalesce(F.octet_length("text"), F.lit(0)) + 8
-    total, n = docs.agg(F.coalesce(F.sum(bytes_of.cast("long")), F.lit(0)), F.count("*")).first()
-    docs = docs.select(*(F.col(c).alias(f"in_{c}") for c in names))
-    row = F.xxhash64(*docs.columns)
-    most = docs.groupBy(row.alias("row")).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    docs = docs.select(*(F.col(c).alias(f"in_{c}") for c in names), bytes_of.cast("long").alias("bytes"))
+    kept = docs.drop("bytes")
+    key = [F.xxhash64(F.lit(i), *kept.columns).alias(f"k{i}") for i in (1, 2)]  # 128 bits tell rows apart
+    keys = written(docs.select(*key, "bytes").groupBy("k1", "k2").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")), "keys", keep=True)
+    total, n, most = keys.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     buckets = max(1, math.ceil(total / bucket_bytes), math.ceil(n / BUCKET_ROWS))
     tasks = min(buckets, max(1, math.ceil(total / TASK_BYTES), math.ceil(n / (256 * BUCKET_ROWS))))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "k1", "k2", "_copy"), F.lit(buckets)).cast("int").alias("bucket")
+    counts = expanded(keys.select("k1", "k2", F.col("n").alias("_n")), most).groupBy(bucket).agg(F.count("*").alias("n"))
+    at = written(starts(counts), "starts", keep=True)
 
     # pass 1: a bucket is one array of about bucket_bytes or BUCKET_ROWS rows, whichever is less; neighbouring buckets share a task
-    placed = numbered(docs, most).select(F.pmod(F.xxhash64(F.lit(seed), row, "_copy"), F.lit(buckets)).cast("int").alias("bucket"), F.struct(row.alias("key"), "_copy", *docs.columns).alias("row"))
+    each = expanded(kept.groupBy(*kept.columns).agg(F.count("*").alias("_n")), most) if most > 1 else kept.withColumn("_copy", F.lit(0).cast("long"))
+    placed = each.select("*", *key).select(bucket, F.struct("k1", "k2", "_copy", *kept.columns).alias("row"))
     placed = placed.withColumn("run", F.expr(f"cast(cast(bucket as bigint) * {tasks} div {buckets} as int)"))
     rows = placed.repartition(tasks, "run").groupBy("run", "bucket").agg(F.array_sort(F.collect_list("row")).alias("rows"))
-    rows = written(rows.select("bucket", F.size("rows").alias("n"), "rows"), "buckets", keep=True)
 
     # pass 2
-    order = permutation(F.col("n"), seed, F.col("bucket"))
+    order = permutation(F.size("rows"), seed, F.col("bucket"))
     mixed = rows.withColumn("order", order).select("bucket", F.transform("order", lambda k: F.get("rows", k)).alias("rows"))
-    at = written(starts(rows.select("bucket", "n")), "starts", keep=True)
     mixed = mixed.join(F.broadcast(at) if buckets <= 1 << 20 else at, "bucket").select("start", F.posexplode("rows").alias("i", "row"))
     p = F.col("start") + F.col("i")
     which = F.expr(f"cast((start + i) * {shards} div {max(n, 1)} as int)")
