@@ -21,6 +21,16 @@ def from_hex(text: Column) -> Column:
     return F.when(x != "", F.struct(channel(1).alias("r"), channel(3).alias("g"), channel(5).alias("b")))
 
 
+def is_color(text: Column) -> Column:
+    """Whether a text is a colour ``from_hex`` reads."""
+    return F.coalesce(text.rlike(r"^#?([0-9A-Fa-f]{3}|[0-9A-Fa-f]{6})$"), F.lit(False))
+
+
+def default_position() -> Column:
+    """Where a picture stands that nothing places: inline, left and top, no offset, square wrap, before the text."""
+    return F.struct(F.lit("inline").alias("type"), F.lit("left").alias("h_align"), F.lit("top").alias("v_align"), F.lit(0).cast("long").alias("offset_x"), F.lit(0).cast("long").alias("offset_y"), F.lit("square").alias("wrap"), F.lit(0).alias("z_order"), F.lit(False).alias("behind_text"))
+
+
 def pixels_to_emu(px: Column) -> Column:
     return px.cast("long") * EMU_PER_PIXEL
 

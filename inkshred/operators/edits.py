@@ -71,14 +71,36 @@ def add_blocks(blocks: DataFrame, added: DataFrame, key: str = "doc_id", order:
     return blocks.unionByName(moved, allowMissingColumns=True)
 
 
-def insert_row(rows: DataFrame, at: int, key: str, order: str = "row_idx") -> DataFrame:
-    """Make room at an index: rows from it on move down by one."""
-    return rows.withColumn(order, F.when(F.col(order) >= at, F.col(order) + 1).otherwise(F.col(order)))
+def _rows_at(cells: DataFrame, edits: DataFrame, last: int, key: str, order: str) -> DataFrame:
+    """(key, at) of the edits whose row lies within their table; one edit for each table, the smallest."""
+    size = cells.groupBy(key).agg((F.max(order) + 1).alias("_rows"))
+    return edits.groupBy(key).agg(F.min("at").alias("at")).join(size, key).filter(F.col("at").between(0, F.col("_rows") - 1 + last)).select(key, "at")
 
 
-def delete_row(rows: DataFrame, at: int, key: str, order: str = "row_idx") -> DataFrame:
-    """Remove the row at an index; those below it move up."""
-    return rows.filter(F.col(order) != at).withColumn(order, F.when(F.col(order) > at, F.col(order) - 1).otherwise(F.col(order)))
+def insert_row(cells: DataFrame, edits: DataFrame, key: str = "table_id", order: str = "row_idx") -> DataFrame:
+    """Insert an empty row at index ``at`` (0 to the number of rows) of the tables named in ``edits`` (key, at).
+
+    Rows from it on move down by one; the new row has a cell for every column
+    of its table, all other values null.  An index out of range changes nothing.
+    """
+    at = _rows_at(cells, edits, 1, key, order)
+    moved = cells.join(at, key, "left").withColumn(order, F.when(F.col(order) >= F.col("at"), F.col(order) + 1).otherwise(F.col(order))).drop("at")
+    kinds = dict(cells.dtypes)
+    empty = cells.select(key, "col_idx").distinct().join(at, key).select(key, "col_idx", F.col("at").cast(kinds[order]).alias(order))
+    return moved.unionByName(empty, allowMissingColumns=True)
+
+
+def delete_row(cells: DataFrame, edits: DataFrame, key: str = "table_id", order: str = "row_idx") -> DataFrame:
+    """Delete the row at index ``at`` of the tables named in ``edits`` (key, at); those below it move up, an index out of range changes nothing."""
+    x = cells.join(_rows_at(cells, edits, 0, key, order), key, "left").filter(F.col("at").isNull() | (F.col(order) != F.col("at")))
+    return x.withColumn(order, F.when(F.col(order) > F.col("at"), F.col(order) - 1).otherwise(F.col(order))).drop("at")
+
+
+def row_violations(cells: DataFrame, edits: DataFrame, last: int = 0, key: str = "table_id", order: str = "row_idx") -> DataFrame:
+    """Edits (key, at) with ``violations``: those whose table or row does not exist (last = 1: an insertion may also stand at the end)."""
+    size = cells.groupBy(key).agg((F.max(order) + 1).alias("_rows"))
+    x = edits.join(size, key, "left")
+    return _with_checks(x, {"table": F.col("_rows").isNotNull(), "row": F.col("at").between(0, F.col("_rows") - 1 + last)}).drop("_rows")
 
 
 def table_violations(tables: DataFrame) -> DataFrame:
@@ -87,13 +109,17 @@ def table_violations(tables: DataFrame) -> DataFrame:
 
 
 def merge_cells(cells: DataFrame, regions: DataFrame) -> DataFrame:
-    """Merge rectangles (table_id, r0, c0, rows, cols) of cells (table_id, row_idx, col_idx).
+    """Merge rectangles (table_id, region_id, r0, c0, rows, cols) of cells (table_id, row_idx, col_idx).
+
+    A rectangle that leaves its table, or meets one of a smaller region_id
+    that was merged, is refused, as ``merge_violations`` reports it.
 
     The first row of a rectangle spans ``cols`` columns; its other rows
     continue it; cells right of the first column are continuations that a
     sink leaves out.  One range join on the table's key.
     """
-    r = regions.select(F.col("table_id").alias("_t"), "r0", "c0", "rows", "cols")
+    size = cells.groupBy("table_id").agg((F.max("row_idx") + 1).alias("n_rows"), (F.max("col_idx") + 1).alias("n_cols"))
+    r = accepted(regions, size).select(F.col("table_id").alias("_t"), "r0", "c0", "rows", "cols")
     inside = (F.col("table_id") == F.col("_t")) & F.col("row_idx").between(F.col("r0"), F.col("r0") + F.col("rows") - 1) & F.col("col_idx").between(F.col("c0"), F.col("c0") + F.col("cols") - 1)
     x = cells.join(r, inside, "left")
     hit = F.col("r0").isNotNull()
@@ -103,6 +129,25 @@ def merge_cells(cells: DataFrame, regions: DataFrame) -> DataFrame:
     return x.withColumn("grid_span", span).withColumn("v_merge", merge).withColumn("h_merge_continuation", F.coalesce(hit & ~first_col, F.lit(False))).drop("_t", "r0", "c0", "rows", "cols")
 
 
+def accepted(regions: DataFrame, tables: DataFrame) -> DataFrame:
+    """The rectangles that lie in their table and meet no accepted one before them (by region_id).
+
+    A fold over a table's rectangles in order: each is held against those
+    accepted so far.
+    """
+    x = regions.join(tables.select("table_id", "n_rows", "n_cols"), "table_id")
+    x = x.filter("rows > 0 and cols > 0 and r0 >= 0 and c0 >= 0 and r0 + rows <= n_rows and c0 + cols <= n_cols")
+    of = "region_id", "r0", "c0", "rows", "cols"
+    every = F.array_sort(F.collect_list(F.struct(*of)))
+
+    def meets(a: Column, b: Column) -> Column:
+        return (a["r0"] < b["r0"] + b["rows"]) & (b["r0"] < a["r0"] + a["rows"]) & (a["c0"] < b["c0"] + b["cols"]) & (b["c0"] < a["c0"] + a["cols"])
+
+    x = x.groupBy("table_id").agg(every.alias("every"))
+    kept = F.aggregate("every", F.slice("every", 1, 0), lambda s, r: F.when(F.exists(s, lambda o: meets(o, r)), s).otherwise(F.concat(s, F.array(r))))
+    return x.select("table_id", F.explode(kept).alias("r")).select("table_id", *(F.col("r")[c].alias(c) for c in of))
+
+
 def merge_violations(regions: DataFrame, tables: DataFrame) -> DataFrame:
     """Rectangles with out_of_bounds and overlaps (with an earlier region_id of the table)."""
     r = regions.join(tables.select("table_id", "n_rows", "n_cols"), "table_id", "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import media_type
+
 
 def text_blocks(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, block_idx, text): one paragraph per line of a text; a null text has none."""
@@ -70,3 +72,48 @@ def with_base_rels(rels: DataFrame, documents: DataFrame, base: DataFrame) -> Da
     at = F.row_number().over(Window.partitionBy("doc_id").orderBy("target")) - 1
     rel_id = F.concat(F.lit("rId"), (F.coalesce("next_id", F.lit(1)) + at).cast("string"))
     return rels.unionByName(lacking.select("doc_id", rel_id.alias("rel_id"), "rel_type", "target"), allowMissingColumns=True)
+
+
+def add_relationships(rels: DataFrame, added: DataFrame) -> DataFrame:
+    """Relationships with those added (doc_id, rel_type, target, target_mode), numbered on from their document's largest id, in the order of type and target.
+
+    A target mode other than External counts as internal, which is empty.
+    Added rows without a type or target are left out.
+    """
+    added = added.filter("doc_id is not null and rel_type != '' and target != ''").join(next_rel_id(rels), "doc_id", "left")
+    at = F.row_number().over(Window.partitionBy("doc_id").orderBy("rel_type", "target")) - 1
+    mode = F.when(F.lower(F.trim("target_mode")) == "external", "External").otherwise("")
+    rows = added.select("doc_id", F.concat(F.lit("rId"), (F.coalesce("next_id", F.lit(1)) + at).cast("string")).alias("rel_id"), "rel_type", "target", mode.alias("target_mode"))
+    return rels.unionByName(rows, allowMissingColumns=True)
+
+
+def register_relationships(rels: DataFrame, existing: DataFrame) -> DataFrame:
+    """Relationships with those of another list under their own ids; an id that is taken keeps its row, incomplete rows are left out."""
+    own = existing.filter("rel_id != '' and rel_type != '' and target != ''").withColumn("target_mode", F.when(F.lower(F.trim("target_mode")) == "internal", "").otherwise(F.coalesce(F.trim("target_mode"), F.lit(""))))
+    return rels.unionByName(own.dropDuplicates(["doc_id", "rel_id"]).join(rels.select("doc_id", "rel_id"), ["doc_id", "rel_id"], "left_anti"), allowMissingColumns=True)
+
+
+def remove(rows: DataFrame, removed: DataFrame, keys: tuple[str, ...] = ("doc_id", "rel_id")) -> DataFrame:
+    """Relationships, media or styles without those named; ``not_found`` lists the names that met nothing."""
+    return rows.join(removed.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def not_found(rows: DataFrame, asked: DataFrame, keys: tuple[str, ...] = ("doc_id", "rel_id")) -> DataFrame:
+    """The names asked for (a lookup or removal) that no row has."""
+    return asked.select(*keys).distinct().join(rows.select(*keys), list(keys), "left_anti")
+
+
+def add_media(media: DataFrame, added: DataFrame) -> DataFrame:
+    """Media (doc_id, media_id, target, content_type, data) with those added (doc_id, place, name, data): numbered on in the order of ``place``, named media/image<n>.<ending>."""
+    last = media.groupBy("doc_id").agg(F.max(F.expr("try_cast(regexp_extract(target, '([0-9]+)[.][^.]*$', 1) as int)")).alias("last"))
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("place")) + F.coalesce("last", F.lit(0))
+    rows = added.join(last, "doc_id", "left").withColumn("n", n.cast("string"))
+    target = F.concat(F.lit("media/image"), "n", F.lit("."), F.lower(F.regexp_extract("name", r"\.([^./]*)$", 1)))
+    return media.unionByName(rows.select("doc_id", F.concat(F.lit("img"), "n").alias("media_id"), target.alias("target"), media_type(F.col("name")).alias("content_type"), "data"))
+
+
+def assign_headers(sections: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Sections with ``references``, an array of (kind, type, rel_id), from (doc_id, section_idx, kind, type, rel_id); the first id of a kind and type counts."""
+    one = assigned.groupBy("doc_id", "section_idx", "kind", "type").agg(F.min("rel_id").alias("rel_id"))
+    lists = one.groupBy("doc_id", "section_idx").agg(F.array_sort(F.collect_list(F.struct("kind", "type", "rel_id"))).alias("references"))
+    return sections.drop("references").join(lists, ["doc_id", "section_idx"], "left")

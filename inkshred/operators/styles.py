@@ -61,6 +61,24 @@ def with_styles(base: DataFrame, added: DataFrame) -> DataFrame:
     return base.unionByName(fresh, allowMissingColumns=True)
 
 
+def without_styles(styles: DataFrame, removed: DataFrame, built_in: DataFrame) -> DataFrame:
+    """Styles without the custom ones named; built-in ones stay."""
+    gone = removed.select("style_id").join(built_in.select("style_id"), "style_id", "left_anti")
+    return styles.join(gone, "style_id", "left_anti")
+
+
+def with_default(styles: DataFrame, style_id: str) -> DataFrame:
+    """Styles with the named one as the default of its type; an unknown one changes nothing."""
+    kind = styles.filter(F.col("style_id") == style_id).select(F.col("type").alias("_type")).dropDuplicates()
+    x = styles.join(F.broadcast(kind), F.col("type") == F.col("_type"), "left")  # one row at most
+    return x.withColumn("is_default", F.when(F.col("_type").isNotNull(), F.col("style_id") == style_id).otherwise(F.col("is_default"))).drop("_type")
+
+
+def paragraph_style(style_id: str, name: str, based_on: str | None = "Normal", **values) -> dict:
+    """A custom paragraph style's row: formatting by the column names of ``catalogue`` (size in half points, spacing in twips)."""
+    return {"style_id": style_id, "name": name, "type": "paragraph", "based_on": based_on, "is_default": False, "is_custom": True} | values
+
+
 def themes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, *v) for k, v in THEMES.items()], _THEME_COLUMNS)
 
@@ -71,7 +89,7 @@ def apply_theme(styles: DataFrame, theme: DataFrame) -> DataFrame:
     Touches Normal, Heading1 to 3, Title, Subtitle, Quote, IntenseQuote and
     ListParagraph; whatever a theme does not set stays as it is.
     """
-    x = styles.crossJoin(F.broadcast(theme))  # two constant tables
+    x = styles.crossJoin(F.broadcast(theme))  # presets of a few rows; a style sheet is one row for each pair
     is_ = lambda *ids: F.col("style_id").isin(*ids)
     heading = is_("Heading1", "Heading2", "Heading3")
     use = F.col("use_color")
@@ -84,13 +102,26 @@ def apply_theme(styles: DataFrame, theme: DataFrame) -> DataFrame:
     before = pick(F.col("spacing_before"), (heading, F.col("heading_before")), (is_("Normal"), F.col("para_before")))
     alignment = pick(F.col("alignment"), (heading, F.lit("left")), (is_("Title", "Subtitle", "IntenseQuote"), F.lit("center")))
     italic = pick(F.col("italic"), (is_("Quote"), F.lit(True)))
-    return x.select("theme", "style_id", font.alias("font"), size.alias("size"), bold.alias("bold"), italic.alias("italic"), color.alias("color"), alignment.alias("alignment"), before.alias("spacing_before"), after.alias("spacing_after"))
+    about = [c for c in ("name", "type", "based_on", "is_default", "is_custom", "outline_level") if c in styles.columns]
+    return x.select("theme", "style_id", *about, font.alias("font"), size.alias("size"), bold.alias("bold"), italic.alias("italic"), color.alias("color"), alignment.alias("alignment"), before.alias("spacing_before"), after.alias("spacing_after"))
 
 
 def _mapped(values: dict[str, str], key: Column, other: str) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[key], F.lit(other))
 
 
+def field(kind: Column, target: Column | None = None, display: Column | None = None) -> Column:
+    """struct(type, code, result, is_dirty) of a new field: its default code, placeholder result and a clean state.
+
+    A HYPERLINK takes the target's url and shows ``display``; STYLEREF, SEQ
+    and REF name their target.
+    """
+    target = F.lit(None).cast("string") if target is None else target
+    named = F.when(kind == "HYPERLINK", F.concat(F.lit('HYPERLINK "'), target, F.lit('"'))).when(kind == "STYLEREF", F.concat(F.lit('STYLEREF "'), target, F.lit('"'))).when(kind.isin("SEQ", "REF"), F.concat(kind, F.lit(" "), target))
+    result = F.when(kind == "HYPERLINK", F.coalesce(display if display is not None else F.lit(None), target)).otherwise(_mapped(FIELD_RESULTS, kind, ""))
+    return F.struct(kind.alias("type"), F.coalesce(named, field_code(kind)).alias("code"), result.alias("result"), F.lit(False).alias("is_dirty"))
+
+
 def field_code(kind: Column) -> Column:
     """The default instruction of a field type; empty for others."""
     return _mapped(FIELD_CODES, kind, "")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import ooxml
+
 BODY = "document/body"
 
 
@@ -47,7 +49,7 @@ def blocks(nodes: DataFrame) -> DataFrame:
 
 
 def runs(nodes: DataFrame) -> DataFrame:
-    """doc_id, part_key, para, run, text, breaks, formatting and hyperlink of every run.
+    """doc_id, part_key, para, run, text, breaks, drawings, formatting and hyperlink of every run.
 
     A run's text is its ``t`` texts and a tab for every ``tab`` in order; its
     breaks are listed beside it.  Runs stand in a paragraph or in a hyperlink
@@ -63,7 +65,7 @@ def runs(nodes: DataFrame) -> DataFrame:
     x = x.withColumn("wrapper", F.when(deep == 1, F.get("ancestors", F.size("ancestors") - 2 - F.col("levels"))))
     is_text, is_tab, is_break = F.col("below") == "t", F.col("below") == "tab", F.col("below") == "br"
     piece = F.when(is_text, F.coalesce("text", F.lit(""))).when(is_tab, F.lit("\t"))
-    kind = F.coalesce(_attr("type"), F.lit("line"))
+    kind = F.when(F.lower(_attr("type")).isin("page", "column"), F.lower(_attr("type"))).otherwise("line")
     first = lambda path, value: F.min(F.when(F.col("below") == path, value))
     ordered = lambda test, value: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("node", value.alias("v"))))), lambda s: s["v"])
     out = x.groupBy("doc_id", "part_key", "para", "run", "wrapper").agg(
@@ -74,12 +76,12 @@ def runs(nodes: DataFrame) -> DataFrame:
         F.coalesce(first("rPr/strike", on(_attr("val"))), F.lit(False)).alias("strike"),
         first("rPr/u", F.lower(_attr("val"))).alias("underline"),
         first("rPr/color", _attr("val")).alias("color"),
-        first("rPr/sz", strict_int(_attr("val"))).alias("size"),
+        F.coalesce(first("rPr/sz", strict_int(_attr("val"))), first("rPr/szCs", strict_int(_attr("val")))).alias("size"),
         first("rPr/highlight", F.lower(_attr("val"))).alias("highlight"),
         first("rPr/rFonts", F.coalesce(_attr("ascii"), _attr("hAnsi"))).alias("font"),
-        F.min(F.when(F.col("below") == "instrText", F.col("text"))).alias("instruction"),
-        F.min(F.when(F.col("below") == "fldChar", _attr("fldCharType"))).alias("field_char"),
-        F.max(F.when(F.col("below") == "drawing", F.col("node"))).alias("drawing"),
+        first("rPr/rFonts", _attr("eastAsia")).alias("font_east_asia"),
+        first("rPr/rFonts", _attr("cs")).alias("font_cs"),
+        F.array_sort(F.collect_list(F.when(F.col("below") == "drawing", F.col("node")))).alias("drawings"),
     )
     at = F.row_number().over(Window.partitionBy("doc_id", "part_key", "para").orderBy("run")) - 1
     return out.withColumn("run_idx", at)
@@ -132,18 +134,34 @@ def hyperlinks(nodes: DataFrame, run_rows: DataFrame) -> DataFrame:
 
 
 def fields(nodes: DataFrame, run_rows: DataFrame) -> DataFrame:
-    """doc_id, para, run, code: simple fields and complex ones, the latter at the run that separates code from result.
+    """doc_id, part_key, para, run, code, result, dirty: simple fields and complex ones, the latter at the run that separates code from result.
 
-    The state machine begin, code .., separate, result, end is a running sum
-    over the runs of a paragraph: a code belongs to the last begin before it.
+    The state machine begin, code .., separate, result .., end runs over the
+    nodes of a paragraph in order, however they are dealt over its runs: the
+    depth of a node is a running sum of begins and ends, and a node belongs to
+    the last begin of its depth, so fields may nest.  A field that is never
+    separated is none.
     """
-    simple = nodes.filter(F.col("path").rlike(r"(^|/)p/fldSimple$")).select("doc_id", "part_key", F.col("node").alias("wrapper"), _attr("instr").alias("code"))
-    simple = run_rows.join(simple, ["doc_id", "part_key", "wrapper"]).select("doc_id", "part_key", "para", "run", F.trim("code").alias("code"))
-    along = Window.partitionBy("doc_id", "part_key", "para").orderBy("run")
-    r = run_rows.withColumn("turn", F.sum(F.when(F.col("field_char") == "begin", 1).otherwise(0)).over(along)).filter("turn > 0")
-    code = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("instruction").isNotNull(), F.struct("run", F.col("instruction").alias("v"))))), lambda s: s["v"]), "")
-    complex_ = r.groupBy("doc_id", "part_key", "para", "turn").agg(F.min(F.when(F.col("field_char") == "separate", F.col("run"))).alias("run"), F.trim(code).alias("code")).filter("run is not null")
-    return simple.unionByName(complex_.drop("turn"))
+    simple = nodes.filter(F.col("path").rlike(r"(^|/)p/fldSimple$")).select("doc_id", "part_key", F.col("node").alias("wrapper"), _attr("instr").alias("code"), F.coalesce(on(_attr("dirty")) & _attr("dirty").isNotNull(), F.lit(False)).alias("dirty"))
+    simple = run_rows.join(simple, ["doc_id", "part_key", "wrapper"]).select("doc_id", "part_key", "para", "run", F.trim("code").alias("code"), F.col("text").alias("result"), "dirty")
+    x = nodes.filter(F.col("path").rlike(r"(^|/)p/(hyperlink/)?r/(fldChar|instrText|t|tab)$"))
+    run, para = _up(1), F.when(F.col("path").rlike(r"/hyperlink/r/[^/]+$"), _up(3)).otherwise(_up(2))
+    char = F.when(F.col("tag") == "fldChar", F.lower(_attr("fldCharType")))
+    x = x.select("doc_id", "part_key", para.alias("para"), run.alias("run"), "node", "tag", "text", char.alias("char"), _attr("dirty").alias("said"))
+    along = Window.partitionBy("doc_id", "part_key", "para").orderBy("node")
+    opened = F.sum(F.when(F.col("char") == "begin", 1).when(F.col("char") == "end", -1).otherwise(0)).over(along)
+    x = x.withColumn("depth", opened + F.when(F.col("char") == "end", 1).otherwise(0)).filter("depth > 0")
+    level = Window.partitionBy("doc_id", "part_key", "para", "depth").orderBy("node")
+    x = x.withColumn("turn", F.sum(F.when(F.col("char") == "begin", 1).otherwise(0)).over(level))
+    x = x.withColumn("told", F.max(F.when(F.col("char") == "separate", 1).otherwise(0)).over(Window.partitionBy("doc_id", "part_key", "para", "depth", "turn").orderBy("node")))
+    ordered = lambda test, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("node", value.alias("v"))))), lambda s: s["v"]), "")
+    got = x.groupBy("doc_id", "part_key", "para", "depth", "turn").agg(
+        F.min(F.when(F.col("char") == "separate", F.col("run"))).alias("run"),
+        F.trim(ordered((F.col("tag") == "instrText") & (F.col("told") == 0), F.coalesce("text", F.lit("")))).alias("code"),
+        ordered(F.col("tag").isin("t", "tab") & (F.col("told") == 1), F.when(F.col("tag") == "tab", "\t").otherwise(F.coalesce("text", F.lit("")))).alias("result"),
+        F.coalesce(F.max(F.when((F.col("char") == "begin") & F.col("said").isNotNull(), on(F.col("said")))), F.lit(False)).alias("dirty"),
+    )
+    return simple.unionByName(got.filter("run is not null").drop("depth", "turn"))
 
 
 def tables(nodes: DataFrame) -> DataFrame:
@@ -153,12 +171,27 @@ def tables(nodes: DataFrame) -> DataFrame:
     return rows.join(cells, ["doc_id", "table", "row"], "left").groupBy("doc_id", "table").agg(F.count("*").alias("n_rows"), F.coalesce(F.max("n"), F.lit(0)).alias("n_cols"))
 
 
+def table_properties(nodes: DataFrame) -> DataFrame:
+    """doc_id, table, style_id, alignment, width_type, width of the body's tables."""
+    t = nodes.filter(F.col("path").rlike(rf"^{BODY}/tbl/tblPr/(tblStyle|jc|tblW)$"))
+    one = lambda tag, value: F.min(F.when(F.col("tag") == tag, value))
+    return t.groupBy("doc_id", _up(2).alias("table")).agg(one("tblStyle", _attr("val")).alias("style_id"), one("jc", _attr("val")).alias("alignment"), one("tblW", _attr("type")).alias("width_type"), one("tblW", strict_int(_attr("w"))).alias("width"))
+
+
+def row_heights(nodes: DataFrame) -> DataFrame:
+    """doc_id, row, height of the body's table rows that have one."""
+    return nodes.filter(F.col("path") == f"{BODY}/tbl/tr/trPr/trHeight").select("doc_id", _up(2).alias("row"), strict_int(_attr("val")).alias("height"))
+
+
 def table_cells(nodes: DataFrame, paragraph_rows: DataFrame) -> DataFrame:
     """doc_id, table, row_idx, col_idx, span, vertical merge and text of every cell of the body's tables, nested ones by their parent cell."""
     c = nodes.filter(F.col("path").rlike(r"(^|/)tbl/tr/tc$")).select("doc_id", "part_key", F.col("node").alias("cell"), _up(2).alias("table"), _up(1).alias("row"), F.when(F.col("path").rlike(r"/tc/tbl/tr/tc$"), _up(3)).alias("parent_cell"))
     c = c.withColumn("row_idx", F.dense_rank().over(Window.partitionBy("doc_id", "part_key", "table").orderBy("row")) - 1)
     c = c.withColumn("col_idx", F.row_number().over(Window.partitionBy("doc_id", "part_key", "row").orderBy("cell")) - 1)
-    props = nodes.filter(F.col("path").rlike(r"(^|/)tc/tcPr/(gridSpan|vMerge)$")).groupBy("doc_id", "part_key", _up(2).alias("cell")).agg(
+    props = nodes.filter(F.col("path").rlike(r"(^|/)tc/tcPr/(gridSpan|vMerge|tcW|vAlign|shd)$")).groupBy("doc_id", "part_key", _up(2).alias("cell")).agg(
+        F.min(F.when(F.col("tag") == "tcW", strict_int(_attr("w")))).alias("width"),
+        F.min(F.when(F.col("tag") == "vAlign", F.lower(_attr("val")))).alias("v_align"),
+        F.min(F.when(F.col("tag") == "shd", F.upper(_attr("fill")))).alias("shading"),
         F.min(F.when(F.col("tag") == "gridSpan", strict_int(_attr("val")))).alias("grid_span"),
         F.min(F.when(F.col("tag") == "vMerge", F.coalesce(_attr("val"), F.lit("continue")))).alias("v_merge"),
     )
@@ -179,7 +212,28 @@ def sections(nodes: DataFrame) -> DataFrame:
         one("cols", "num").alias("columns"), F.min(F.when(F.col("tag") == "type", _attr("val"))).alias("break_type"),
     )
     at = F.row_number().over(Window.partitionBy("doc_id").orderBy("section")) - 1
-    return heads.withColumn("section_idx", at).join(got, ["doc_id", "section"], "left").withColumn("columns", F.coalesce("columns", F.lit(1))).withColumn("orientation", F.coalesce("orientation", F.lit("portrait")))
+    own = heads.withColumn("section_idx", at).join(got, ["doc_id", "section"], "left").withColumn("columns", F.coalesce("columns", F.lit(1))).withColumn("orientation", F.coalesce("orientation", F.lit("portrait")))
+    # a document without any section has the default one
+    bare = nodes.filter("path = 'document'").select("doc_id").join(heads.select("doc_id").distinct(), "doc_id", "left_anti")
+    width, height = ooxml.PAGE_SIZES["A4"]
+    default = {"section_idx": 0, "width": width, "height": height, "orientation": "portrait", "columns": 1} | {f"margin_{m}": v for m, v in ooxml.MARGINS.items()}
+    return own.unionByName(bare.select("doc_id", *(F.lit(v).alias(c) for c, v in default.items())), allowMissingColumns=True)
+
+
+def background(nodes: DataFrame) -> DataFrame:
+    """doc_id, color (RRGGBB) of documents with a background."""
+    return nodes.filter("path = 'document/background'").select("doc_id", F.upper(_attr("color")).alias("color")).filter(F.col("color").rlike("^[0-9A-F]{6}$"))
+
+
+def bookmarks(nodes: DataFrame) -> DataFrame:
+    """doc_id, part_key, para, bookmark_id, bookmark_name of the bookmarks that begin in a paragraph."""
+    return nodes.filter(F.col("path").rlike(r"(^|/)p/bookmarkStart$")).select("doc_id", "part_key", _up(1).alias("para"), _attr("id").alias("bookmark_id"), _attr("name").alias("bookmark_name"))
+
+
+def paragraph_styles(paragraph_rows: DataFrame, styles: DataFrame) -> DataFrame:
+    """Paragraphs with the name and formatting of their style (Normal without one); an unknown style leaves nulls."""
+    s = styles.filter("type = 'paragraph'").select(F.col("style_id").alias("_style"), F.struct(*(c for c in styles.columns if c != "style_id")).alias("style"))
+    return paragraph_rows.join(F.broadcast(s), F.coalesce("style_id", F.lit("Normal")) == F.col("_style"), "left").drop("_style")  # a catalogue of some hundred styles
 
 
 def content_types(nodes: DataFrame, part_rows: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +27,7 @@ def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def roundtrip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document as a package and read its text back."""
-    nodes = source.nodes(source.parts(_packages(spark, sf_dir)), "document")
+    nodes = source.nodes(source.parts(_packages(spark, sf_dir), "document"), "document")
     runs = model.runs(nodes)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", "run", "text"))), lambda s: s["text"]), "")
     texts = runs.groupBy("doc_id").agg(text.alias("text"))
@@ -35,24 +38,42 @@ def roundtrip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paragraph_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One paragraph per line through package and back: per document paragraphs and characters."""
     lines = structure.text_blocks(_t(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("doc_id"), "block_idx", F.lit(0).alias("run_idx"), "text")
-    nodes = source.nodes(source.parts(sink.assemble(sink.document_xml(sink.paragraph_xml(lines)))), "document")
+    nodes = source.nodes(source.parts(sink.assemble(sink.document_xml(sink.paragraph_xml(lines))), "document"), "document")
     p = model.paragraphs(nodes, model.runs(nodes)).filter("container = 'body'")
     return p.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n_paragraphs"), F.sum(F.length("text")).alias("n_chars"))
 
 
+def _read(block_rows: DataFrame, *kinds: str, parts: DataFrame | None = None, sections: DataFrame | None = None) -> DataFrame:
+    """The XML nodes of packages written from block rows."""
+    content = sink.assemble(sink.document_xml(block_rows, sections=sections), parts=parts)
+    wanted = kinds or ("document",)
+    return source.nodes(source.parts(content, *wanted), *wanted)
+
+
+def _nation_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as the cells of a table per region, two in a row, written and read again as nodes."""
+    n = edits.number_rows(_t(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", "k")
+    cells = n.select(
+        F.col("n_regionkey").cast("string").alias("doc_id"), F.lit(0).alias("block_idx"), F.floor((F.col("k") - 1) / 2).cast("int").alias("row_idx"), F.pmod(F.col("k") - 1, F.lit(2)).cast("int").alias("col_idx"), F.col("n_name").alias("text"),
+        (F.col("n_nationkey") * 10).alias("width"), F.when(F.col("n_nationkey") % 2 == 0, "center").otherwise("top").alias("v_align"), F.when(F.col("n_nationkey") % 3 == 0, "D9D9D9").alias("shading"),
+    )
+    return _read(sink.table_xml(cells))
+
+
+def _cells(nodes: DataFrame) -> DataFrame:
+    return model.table_cells(nodes, model.paragraphs(nodes, model.runs(nodes)))
+
+
 def table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as the cells of a table per region, through package and back."""
-    n = _t(spark, sf_dir, "nation")
-    cells = edits.number_rows(n, "n_regionkey", "n_nationkey", "k").select(F.col("n_regionkey").cast("string").alias("doc_id"), F.lit(0).alias("block_idx"), F.floor((F.col("k") - 1) / 2).cast("int").alias("row_idx"), F.pmod(F.col("k") - 1, F.lit(2)).cast("int").alias("col_idx"), F.col("n_name").alias("text"))
-    nodes = source.nodes(source.parts(sink.assemble(sink.document_xml(sink.table_xml(cells)))), "document")
-    got = model.table_cells(nodes, model.paragraphs(nodes, model.runs(nodes)))
-    return got.select(F.col("doc_id").cast("int").alias("region"), F.col("row_idx").cast("int").alias("row_idx"), F.col("col_idx").cast("int").alias("col_idx"), "text")
+    got = _cells(_nation_tables(spark, sf_dir))
+    return got.select(F.col("doc_id").cast("int").alias("region"), F.col("row_idx").cast("int").alias("row_idx"), F.col("col_idx").cast("int").alias("col_idx"), "text", "width", "v_align", "shading")
 
 
 def opc_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of every generated package with kind and content type."""
-    parts = source.parts(_packages(spark, sf_dir))
-    types = model.content_types(source.nodes(parts, "content_types"), parts)
+    parts = source.parts(_packages(spark, sf_dir))  # opened twice, once for the names and once for the types alone
+    types = model.content_types(source.nodes(source.parts(_packages(spark, sf_dir), "content_types"), "content_types"), parts)
     return parts.drop("data", "error_code", "error_message").join(types, ["doc_id", "part_key"]).select("doc_id", "part_key", "kind", "content_type")
 
 
@@ -60,7 +81,7 @@ def properties_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source and language as title and creator of every document's package, read back."""
     docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("block_idx"), F.lit(0).alias("run_idx"), F.lit("x").alias("text"), F.col("source").alias("title"), F.col("lang").alias("creator"))
     content = sink.assemble(sink.document_xml(sink.paragraph_xml(docs.drop("title", "creator"))), docs.select("doc_id", "title", "creator"))
-    got = model.core_properties(source.nodes(source.parts(content), "core_properties"))
+    got = model.core_properties(source.nodes(source.parts(content, "core_properties"), "core_properties"))
     return got.select(F.col("doc_id").cast("long").alias("doc_id"), "title", "creator")
 
 
@@ -101,19 +122,20 @@ def run_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _t(spark, sf_dir, "nation").withColumn("row_idx", F.pmod("n_nationkey", F.lit(3)))
-    rows = n.groupBy("n_regionkey", "row_idx").agg(F.count("*").alias("n"))
-    return rows.groupBy(F.col("n_regionkey").alias("table_id")).agg(F.count("*").alias("n_rows"), F.max("n").alias("n_cols"))
+    return model.tables(_nation_tables(spark, sf_dir)).select(F.col("doc_id").cast("int").alias("table_id"), "n_rows", "n_cols")
 
 
 def table_cell_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = edits.number_rows(_t(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", "k")
-    return n.filter("k = 2").select(F.col("n_regionkey").alias("table_id"), F.col("n_name").alias("text"))
+    return _cells(_nation_tables(spark, sf_dir)).filter("row_idx = 1 and col_idx = 0").select(F.col("doc_id").cast("int").alias("table_id"), "text")
 
 
 def row_insert_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _t(spark, sf_dir, "region").select("r_name", F.col("r_regionkey").cast("long").alias("row_idx"))
-    return edits.delete_row(edits.insert_row(r, 1, "r_name"), 3, "r_name")
+    """A row inserted into every region's table at an index of its own, out of range for some, then another one deleted."""
+    n = edits.number_rows(_t(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", "k")
+    cells = n.select(F.col("n_regionkey").alias("table_id"), (F.col("k") - 1).cast("long").alias("row_idx"), F.lit(0).alias("col_idx"), F.col("n_name").alias("text"))
+    at = _t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("table_id"), F.col("r_regionkey").alias("at"))
+    out = edits.delete_row(edits.insert_row(cells, at.withColumn("at", F.col("at") * 3)), at)
+    return out.select("table_id", "row_idx", "text")
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,8 +172,123 @@ def content_type_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.content_type(pages, overrides, defaults).select("page_id", "content_type")
 
 
+def merge_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping rectangles of every table: those that are merged."""
+    tables = _t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("table_id"), F.lit(4).alias("n_rows"), F.lit(4).alias("n_cols"))
+    return edits.accepted(_regions(spark, sf_dir), tables).select("table_id", "region_id")
+
+
+def _one_run(df: DataFrame, key: str, **columns) -> DataFrame:
+    """A document with one paragraph of one run for every row."""
+    return df.select(F.col(key).cast("string").alias("doc_id"), F.lit(0).alias("block_idx"), F.lit(0).alias("run_idx"), *(c.alias(n) for n, c in columns.items()))
+
+
 def missing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "customer").select("c_custkey").join(_t(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    """Pictures whose relationship leads nowhere: every third supplier's medium is left out."""
+    s = _t(spark, sf_dir, "supplier")
+    runs = _one_run(s, "s_suppkey", text=F.lit(""), drawing=sink.drawing(F.lit("rId6"), F.lit(1), F.lit(9525), F.lit(9525), F.col("s_name")))
+    png = F.unhex(F.lit("89504E470D0A1A0A0000000D4948445200000004000000060806000000"))
+    media = s.select(F.col("s_suppkey").cast("string").alias("doc_id"), F.lit("rId6").alias("rel_id"), F.lit("image").alias("rel_kind"), F.lit("media/image1.png").alias("target"), F.lit("image/png").alias("content_type"), F.when(F.col("s_suppkey") % 3 != 0, png).alias("data"))
+    content = sink.assemble(sink.document_xml(sink.paragraph_xml(runs)), parts=media)
+    nodes = source.nodes(source.parts(content, "document", "document_rels"), "document", "document_rels")
+    images = model.images(nodes, source.image_dims(source.parts(content, "media")))
+    return images.filter("target is null and width_px is null").select(F.col("doc_id").cast("long").alias("s_suppkey"), "rel_id", "description")
+
+
+def field_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field per customer, written and read back with code, result and state."""
+    c = _t(spark, sf_dir, "customer")
+    runs = _one_run(c, "c_custkey", text=F.lit(""), field_code=F.concat(F.lit("SEQ "), "c_mktsegment"), field_result=F.col("c_name"), field_dirty=F.col("c_custkey") % 2 == 0)
+    nodes = _read(sink.paragraph_xml(runs))
+    return model.fields(nodes, model.runs(nodes)).select(F.col("doc_id").cast("long").alias("c_custkey"), "code", "result", "dirty")
+
+
+def break_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(F.lit("page"), F.lit("column"), F.lit("line"))
+    runs = _one_run(_t(spark, sf_dir, "customer"), "c_custkey", text=F.col("c_name"), breaks=F.slice(kinds, 1, F.pmod("c_custkey", F.lit(3)).cast("int") + 1))
+    got = model.runs(_read(sink.paragraph_xml(runs)))
+    return got.select(F.col("doc_id").cast("long").alias("c_custkey"), "text", F.array_join("breaks", ",").alias("breaks"))
+
+
+def hyperlink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url as the target of a hyperlink, read back through its relationship."""
+    p = _t(spark, sf_dir, "pages").filter("url is not null and url != ''")
+    runs = _one_run(p, "page_id", text=F.lit("page"), style=F.lit("Hyperlink"), rel_id=F.lit("rId6"))
+    rels = p.select(F.col("page_id").cast("string").alias("doc_id"), F.lit("rId6").alias("rel_id"), F.lit("hyperlink").alias("rel_kind"), F.col("url").alias("target"), F.lit(None).cast("string").alias("content_type"), F.lit(None).cast("binary").alias("data"), F.lit("External").alias("target_mode"))
+    nodes = _read(sink.paragraph_xml(runs), "document", "document_rels", parts=rels)
+    return model.hyperlinks(nodes, model.runs(nodes)).select(F.col("doc_id").cast("long").alias("page_id"), "text", "url")
+
+
+def corrupt_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three of four packages damaged in different ways: what is reported, and the others read."""
+    k = F.pmod(F.col("doc_id").cast("long"), F.lit(4))
+    bad = F.concat(F.substring("content", 1, 70), F.unhex(F.lit("FF" * 30)), F.substring("content", 101, 1 << 30))
+    content = _packages(spark, sf_dir).withColumn("content", F.when(k == 1, F.encode(F.lit("no archive"), "UTF-8")).when(k == 2, F.lit(None)).when(k == 3, bad).otherwise(F.col("content")))
+    parts = source.parts(content, "content_types")
+    out = source.errors(parts, source.nodes(parts, "content_types"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "code", "op", "part")
+
+
+def formatting_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run and paragraph formatting of every part number, written and read back."""
+    p = _t(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (F.pmod(k, F.lit(len(values))) + 1).cast("int"))
+    runs = _one_run(p, "p_partkey", text=F.col("p_name"), bold=k % 2 == 0, italic=k % 3 == 0, strike=k % 5 == 0, underline=pick("none", "single", "double"), highlight=pick("green", "none"), color=F.lpad(F.hex(k), 6, "0"), size=(F.pmod(k, F.lit(40)) + 24).cast("int"), font=pick("Arial", "Times New Roman"), font_east_asia=F.lit("SimSun"), font_cs=pick("Arial", None))
+    about = p.select(k.cast("string").alias("doc_id"), F.lit(0).alias("block_idx"), pick("Heading1", None).alias("style_id"), pick("left", "center", "right").alias("alignment"), (k % 360).alias("spacing_before"), F.lit(120).alias("spacing_after"), F.lit(480).alias("line_value"), F.lit("exact").alias("line_rule"), (k % 720).alias("indent_left"), F.lit(360).alias("indent_right"), F.when(k % 2 == 0, 240).alias("first_line"), F.when(k % 2 == 1, 200).alias("hanging"), F.when(k % 4 == 0, 1).alias("num_id"), F.when(k % 4 == 0, k % 9).alias("num_level"))
+    nodes = _read(sink.paragraph_xml(runs, about))
+    r = model.runs(nodes)
+    got = model.paragraphs(nodes, r).select("doc_id", "style_id", "alignment", "spacing_before", "spacing_after", "line_value", "line_rule", "indent_left", "indent_right", "first_line", "hanging", "num_id", "num_level")
+    names = ("text", "bold", "italic", "strike", "underline", "highlight", "color", "size", "font", "font_east_asia", "font_cs")
+    return r.select("doc_id", *names).join(got, "doc_id").withColumn("p_partkey", F.col("doc_id").cast("long")).drop("doc_id")
+
+
+def section_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sections for every second supplier, one or none for the others, read back in order."""
+    s = _t(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    runs = s.select(k.cast("string").alias("doc_id"), F.explode(F.array(F.lit(0), F.lit(2))).alias("block_idx"), F.lit(0).alias("run_idx"), F.col("s_name").alias("text"))
+    doc = k.cast("string").alias("doc_id")
+    first = s.filter(k % 2 == 0).select(doc, F.lit(0).alias("section_idx"), F.lit(1).alias("block_idx"), F.lit("landscape").alias("orientation"), F.lit(2).alias("columns"), F.lit("evenPage").alias("break_type"), (k % 900 + 1).alias("margin_right"))
+    last = s.filter(k % 3 != 0).select(doc, F.lit(1).alias("section_idx"), F.lit(None).cast("int").alias("block_idx"), F.lit("portrait").alias("orientation"), F.lit(3).alias("columns"), F.lit("nextPage").alias("break_type"), F.lit(1440).alias("margin_right"))
+    nodes = _read(sink.paragraph_xml(runs), sections=first.unionByName(last))
+    return model.sections(nodes).select(F.col("doc_id").cast("long").alias("s_suppkey"), F.col("section_idx").cast("int").alias("section_idx"), "width", "orientation", F.col("columns").cast("int").alias("columns"), "break_type", "margin_right")
+
+
+def _folder(spark: SparkSession) -> str:
+    """A folder of its own below the shared one; without a shared one, in tests on one machine, a temporary one."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="inkshred-")
+    return f"{where.rstrip('/')}/docx-{uuid.uuid4().hex}"
+
+
+def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A .docx file per customer, written, then read by path."""
+    path = _folder(spark)
+    sink.write_files(sink.assemble(sink.document_xml(sink.paragraph_xml(_one_run(_t(spark, sf_dir, "customer"), "c_custkey", text=F.col("c_name"))))), path)
+    files = source.packages(spark, path)
+    runs = model.runs(source.nodes(source.parts(files, "document"), "document"))
+    number = F.regexp_extract("path", r"([0-9]+)\.docx$", 1).cast("long")
+    return files.select("doc_id", number.alias("c_custkey")).join(runs, "doc_id").select("c_custkey", "text")
+
+
+def style_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every theme's style sheet in a package, read back."""
+    sheets = sink.style_sheets(styles.apply_theme(styles.catalogue(spark).filter("type = 'paragraph'"), styles.themes(spark)), "theme")
+    xml = sink.paragraph_xml(_one_run(styles.themes(spark), "theme", text=F.col("theme")))
+    content = sink.assemble(sink.document_xml(xml).join(sheets.withColumnRenamed("theme", "doc_id"), "doc_id"))
+    n = source.nodes(source.parts(content, "styles"), "styles")
+    own = n.filter("path = 'styles/style'").select("doc_id", F.col("node").alias("style"), F.col("attrs")["styleId"].alias("style_id"))
+    inner = n.filter("path in ('styles/style/rPr/sz', 'styles/style/rPr/color')").groupBy("doc_id", F.get("ancestors", F.lit(1)).alias("style")).agg(F.min(F.when(F.col("tag") == "sz", F.col("attrs")["val"].cast("int"))).alias("size"), F.min(F.when(F.col("tag") == "color", F.col("attrs")["val"])).alias("color"))
+    return own.join(inner, ["doc_id", "style"], "left").filter(F.col("style_id").isin("Normal", "Heading1", "Title", "Subtitle", "IntenseQuote")).select(F.col("doc_id").alias("theme"), "style_id", "size", "color")
+
+
+def relationship_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relationships of every region's document: some added, one deleted."""
+    n = edits.number_rows(_t(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", "k")
+    rels = n.select(F.col("n_regionkey").cast("string").alias("doc_id"), F.concat(F.lit("rId"), F.col("k").cast("string")).alias("rel_id"), F.lit("image").alias("rel_type"), F.col("n_name").alias("target"), F.lit("").alias("target_mode"))
+    added = _t(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("doc_id"), F.lit("hyperlink").alias("rel_type"), F.explode(F.array(F.col("r_name"), F.lit(""), F.lower("r_name"))).alias("target"), F.lit("external").alias("target_mode"))
+    gone = _t(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("doc_id"), F.concat(F.lit("rId"), (F.col("r_regionkey") + 1).cast("string")).alias("rel_id"))
+    return structure.remove(structure.add_relationships(rels, added), gone)
 
 
 def hex_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +325,7 @@ def style_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def theme_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = styles.catalogue(spark).filter("type = 'paragraph'")
-    return styles.apply_theme(base, styles.themes(spark)).filter(F.col("style_id").isin("Normal", "Heading1", "Title", "ListParagraph")).select("theme", "style_id", "size", "color", "spacing_after")
+    return styles.apply_theme(base, styles.themes(spark)).filter(F.col("style_id").isin("Normal", "Heading1", "Heading2", "Heading3", "Title", "Subtitle", "Quote", "IntenseQuote", "ListParagraph")).select("theme", "style_id", "size", "color", "spacing_before", "spacing_after")
 
 
 def atoi_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,6 +353,8 @@ QUERIES = {
     "run_concat": run_concat, "table_dims": table_dims, "table_cell_at": table_cell_at, "row_insert_delete": row_insert_delete, "merge_region": merge_region, "merge_overlap": merge_overlap,
     "rel_resolve": rel_resolve, "content_type_lookup": content_type_lookup, "missing_targets": missing_targets, "hex_encode": hex_encode, "hex_decode": hex_decode, "unit_convert": unit_convert,
     "part_name_norm": part_name_norm, "field_classify": field_classify, "hyperlink_extract": hyperlink_extract, "style_catalogue": style_catalogue, "theme_apply": theme_apply,
+    "merge_accepted": merge_accepted, "field_roundtrip": field_roundtrip, "break_kinds": break_kinds, "hyperlink_roundtrip": hyperlink_roundtrip, "corrupt_packages": corrupt_packages,
+    "formatting_roundtrip": formatting_roundtrip, "section_roundtrip": section_roundtrip, "docx_files": docx_files, "style_sheets": style_sheets, "relationship_edits": relationship_edits,
     "atoi_validate": atoi_validate, "edit_violations": edit_violations, "violations": violations, "dedupe_first": dedupe_first,
 }
 
@@ -225,10 +364,20 @@ _PAD = "lpad(upper(to_hex(p_partkey % {})), 2, '0')"
 _COLOR = "concat(" + ", ".join(_PAD.format(m) for m in (256, 251, 241)) + ")"
 _PATH = r"lower(regexp_replace(replace('./' || replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '/', '\'), '\', '/'), '^(\./|/)+', ''))"
 
+# The presets' colours (primary, secondary, text, light text, heading), sizes and spacings, whether headings are coloured.
+_THEMES = """(VALUES ('corporate', '2F5496', '4F81BD', '000000', '595959', '2F5496', 22, 0, 160, 240, 120, 480, 32, 26, 24, true),
+('startup', '6A5ACD', '48D1CC', '212121', '757575', '6A5ACD', 22, 0, 200, 320, 160, 560, 36, 28, 24, true),
+('modern', '34495E', '95A5A6', '2C3E50', '7F8C8D', '34495E', 22, 0, 240, 400, 200, 640, 34, 28, 24, true),
+('fintech', '005288', '007BA7', '212121', '616161', '005288', 22, 0, 140, 280, 140, 400, 30, 26, 22, true),
+('academic', '000000', '404040', '000000', '606060', '000000', 24, 0, 0, 240, 120, 480, 28, 26, 24, false),
+('tech-presentation', '007ACC', '505050', '212121', '6C757D', '007ACC', 22, 0, 160, 320, 160, 480, 32, 26, 24, true),
+('tech-darkmode', '4FC0FF', 'CE9178', 'D4D4D4', '969696', '4FC0FF', 22, 0, 160, 320, 160, 480, 32, 26, 24, true)) t(theme, pri, sec, txt, light, head, body, pb, pa, hb, ha, ss, h1, h2, h3, use_color)"""
+_THEME_COLOR = "CASE WHEN style_id IN ('Normal', 'ListParagraph') THEN txt WHEN style_id IN ('Subtitle', 'Quote') THEN light WHEN style_id = 'IntenseQuote' THEN sec WHEN NOT use_color THEN NULL WHEN style_id = 'Title' THEN pri ELSE head END"
+
 SQL = {
     "docx_roundtrip_text": r"SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\t-\r\x{85}\p{Z}]')), '') AS text FROM documents",
     "docx_roundtrip_paragraphs": rf"SELECT doc_id, count(*) AS n_paragraphs, sum(CASE WHEN regexp_matches(text, '[^\t-\r\x{{85}}\p{{Z}}]') THEN length(text) ELSE 0 END)::BIGINT AS n_chars FROM ({_LINES}) GROUP BY doc_id",
-    "docx_roundtrip_tables": "SELECT n_regionkey AS region, (k // 2)::INTEGER AS row_idx, (k % 2)::INTEGER AS col_idx, n_name AS text FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS k FROM nation)",
+    "docx_roundtrip_tables": "SELECT n_regionkey AS region, (k // 2)::INTEGER AS row_idx, (k % 2)::INTEGER AS col_idx, n_name AS text, n_nationkey::BIGINT * 10 AS width, CASE WHEN n_nationkey % 2 = 0 THEN 'center' END AS v_align, CASE WHEN n_nationkey % 3 = 0 THEN 'D9D9D9' END AS shading FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS k FROM nation)",
     "opc_parts": """SELECT doc_id::VARCHAR AS doc_id, part_key, kind, content_type FROM documents, (VALUES
 ('[content_types].xml', 'content_types', 'application/xml'), ('_rels/.rels', 'rels', 'application/vnd.openxmlformats-package.relationships+xml'),
 ('word/_rels/document.xml.rels', 'document_rels', 'application/vnd.openxmlformats-package.relationships+xml'),
@@ -249,9 +398,11 @@ SQL = {
     "heading_bookmarks": "SELECT conv_id, turn, n AS bookmark_id, '_Toc' || n AS bookmark_name FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations WHERE role = 'user')",
     "section_ordinal": "SELECT conv_id, turn, coalesce(sum(CASE WHEN role = 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS section_idx FROM conversations",
     "run_concat": "SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
-    "table_dims": "SELECT n_regionkey AS table_id, count(*) AS n_rows, max(n) AS n_cols FROM (SELECT n_regionkey, n_nationkey % 3 AS r, count(*) AS n FROM nation GROUP BY ALL) GROUP BY n_regionkey",
-    "table_cell_at": "SELECT n_regionkey AS table_id, n_name AS text FROM nation QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) = 2",
-    "row_insert_delete": "SELECT r_name, CASE WHEN i > 3 THEN i - 1 ELSE i END AS row_idx FROM (SELECT r_name, (CASE WHEN r_regionkey >= 1 THEN r_regionkey + 1 ELSE r_regionkey END)::BIGINT AS i FROM region) WHERE i <> 3",
+    "table_dims": "SELECT n_regionkey AS table_id, (count(*) + 1) // 2 AS n_rows, least(count(*), 2) AS n_cols FROM nation GROUP BY n_regionkey",
+    "table_cell_at": "SELECT n_regionkey AS table_id, n_name AS text FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS k FROM nation) WHERE k = 2",
+    "row_insert_delete": """WITH c AS (SELECT n_regionkey AS t, k AS i, n_name FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS k FROM nation)), s AS (SELECT t, count(*) AS n FROM c GROUP BY t),
+i AS (SELECT c.t, CASE WHEN 3 * c.t <= n AND i >= 3 * c.t THEN i + 1 ELSE i END AS i, n_name FROM c JOIN s ON c.t = s.t UNION ALL SELECT t, 3 * t, NULL FROM s WHERE 3 * t <= n), m AS (SELECT t, max(i) + 1 AS n FROM i GROUP BY t)
+SELECT i.t AS table_id, (CASE WHEN i.t < n AND i.i > i.t THEN i.i - 1 ELSE i.i END)::BIGINT AS row_idx, n_name AS text FROM i JOIN m ON i.t = m.t WHERE NOT (i.t < n AND i.i = i.t)""",
     "merge_region": f"""WITH g AS (SELECT r_regionkey AS table_id, a.i AS row_idx, b.i AS col_idx FROM region, (SELECT unnest([0, 1, 2, 3]) AS i) a, (SELECT unnest([0, 1, 2, 3]) AS i) b),
 m AS (SELECT * FROM ({_REGIONS}) QUALIFY row_number() OVER (PARTITION BY table_id ORDER BY region_id) = 1)
 SELECT g.table_id, row_idx, col_idx, (CASE WHEN r0 IS NOT NULL AND col_idx = c0 THEN cols ELSE 1 END)::INTEGER AS grid_span,
@@ -262,7 +413,7 @@ FROM r a LEFT JOIN r b ON a.table_id = b.table_id AND b.region_id < a.region_id
     "rel_resolve": "SELECT n_name, rel_id, r_name AS target FROM (SELECT n_name, CASE WHEN n_nationkey < 20 THEN n_regionkey ELSE n_regionkey + 100 END AS rel_id FROM nation) LEFT JOIN region ON rel_id = r_regionkey",
     "content_type_lookup": r"""WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS n FROM pages), o AS (SELECT n FROM p WHERE page_id = 0)
 SELECT page_id, CASE WHEN n IN (SELECT n FROM o) THEN 'text/override' WHEN lower(regexp_extract(n, '\.([^./]*)$', 1)) = 'html' THEN 'text/html' WHEN lower(regexp_extract(n, '\.([^./]*)$', 1)) = 'xml' THEN 'application/xml' ELSE '' END AS content_type FROM p""",
-    "missing_targets": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "missing_targets": "SELECT s_suppkey, 'rId6' AS rel_id, s_name AS description FROM supplier WHERE s_suppkey % 3 = 0",
     "hex_encode": f"SELECT p_partkey, {_COLOR} AS color FROM part",
     "hex_decode": f"""WITH c AS (SELECT p_partkey, {_COLOR} AS color FROM part), x AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN color WHEN 1 THEN color[1] || color[1] || color[2] || color[2] || color[3] || color[3] END AS h FROM c)
 SELECT p_partkey, ('0x' || h[1:2])::INTEGER AS r, ('0x' || h[3:4])::INTEGER AS g, ('0x' || h[5:6])::INTEGER AS b FROM x""",
@@ -271,9 +422,30 @@ SELECT p_partkey, ('0x' || h[1:2])::INTEGER AS r, ('0x' || h[3:4])::INTEGER AS g
     "field_classify": "SELECT event_id, CASE " + " ".join(f"WHEN starts_with(u, '{p}') THEN '{p}'" for p in ("PAGE", "NUMPAGES", "TOC", "DATE", "TIME", "STYLEREF", "SEQ", "REF", "HYPERLINK")) + " ELSE 'CUSTOM' END AS field_type FROM (SELECT event_id, upper(trim(CASE WHEN event_id % 2 = 0 THEN 'page' ELSE 'ref ' END || event_type)) AS u FROM events)",
     "hyperlink_extract": """SELECT page_id, regexp_extract(html, 'href="([^"]*)"', 1) AS href FROM pages""",
     "style_catalogue": "SELECT * FROM (VALUES ('paragraph', 29::BIGINT, 1::BIGINT, 28::BIGINT), ('character', 6, 1, 5), ('table', 8, 1, 7)) t(type, n, n_default, n_based)",
-    "theme_apply": "SELECT theme, style_id, CASE style_id WHEN 'Normal' THEN body WHEN 'Heading1' THEN h1 WHEN 'Title' THEN h1 + 8 ELSE body END AS size, CASE WHEN style_id IN ('Normal', 'ListParagraph') THEN txt WHEN NOT use_color THEN NULL WHEN style_id = 'Title' THEN pri ELSE head END AS color, CASE style_id WHEN 'Normal' THEN pa WHEN 'Heading1' THEN ha WHEN 'Title' THEN ha * 2 ELSE pa // 2 END AS spacing_after FROM (VALUES "
-    + ", ".join(f"('{k}', '{v[0]}', '{v[4]}', '{v[6]}', {v[9]}, {v[11]}, {v[14]}, {v[16]}, {v[22]})" for k, v in styles.THEMES.items())
-    + ") t(theme, pri, txt, head, body, pa, ha, h1, use_color), (VALUES ('Normal'), ('Heading1'), ('Title'), ('ListParagraph')) s(style_id)",
+    "theme_apply": f"""SELECT theme, style_id, CASE style_id WHEN 'Heading1' THEN h1 WHEN 'Heading2' THEN h2 WHEN 'Heading3' THEN h3 WHEN 'Title' THEN h1 + 8 WHEN 'Subtitle' THEN body + 4 WHEN 'IntenseQuote' THEN body + 2 WHEN 'Quote' THEN NULL ELSE body END AS size, {_THEME_COLOR} AS color,
+CASE WHEN style_id LIKE 'Heading%' THEN hb WHEN style_id = 'Normal' THEN pb WHEN style_id = 'IntenseQuote' THEN 120 END AS spacing_before,
+CASE WHEN style_id LIKE 'Heading%' THEN ha WHEN style_id = 'Normal' THEN pa WHEN style_id = 'Title' THEN ha * 2 WHEN style_id = 'Subtitle' THEN ss WHEN style_id = 'ListParagraph' THEN pa // 2 WHEN style_id = 'IntenseQuote' THEN 120 END AS spacing_after
+FROM {_THEMES}, (VALUES ('Normal'), ('Heading1'), ('Heading2'), ('Heading3'), ('Title'), ('Subtitle'), ('Quote'), ('IntenseQuote'), ('ListParagraph')) s(style_id)""",
+    "merge_accepted": f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY region_id) AS k FROM ({_REGIONS}) WHERE r0 + rows <= 4 AND c0 + cols <= 4),
+f AS (SELECT table_id, k, [region_id] AS ids FROM r WHERE k = 1 UNION ALL
+SELECT r.table_id, r.k, CASE WHEN EXISTS (SELECT 1 FROM r o WHERE o.table_id = r.table_id AND list_contains(f.ids, o.region_id) AND r.r0 < o.r0 + o.rows AND o.r0 < r.r0 + r.rows AND r.c0 < o.c0 + o.cols AND o.c0 < r.c0 + r.cols) THEN f.ids ELSE list_append(f.ids, r.region_id) END
+FROM f JOIN r ON r.table_id = f.table_id AND r.k = f.k + 1)
+SELECT table_id, unnest(ids) AS region_id FROM f QUALIFY row_number() OVER (PARTITION BY table_id ORDER BY k DESC) = 1""",
+    "field_roundtrip": "SELECT c_custkey, 'SEQ ' || c_mktsegment AS code, c_name AS result, c_custkey % 2 = 0 AS dirty FROM customer",
+    "break_kinds": "SELECT c_custkey, c_name AS text, ['page', 'page,column', 'page,column,line'][(c_custkey % 3 + 1)::INTEGER] AS breaks FROM customer",
+    "hyperlink_roundtrip": "SELECT page_id, 'page' AS text, url FROM pages WHERE url <> ''",
+    "corrupt_packages": "SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'IO_ERROR' ELSE 'INVALID_STATE' END AS code, 'open' AS op, CASE WHEN doc_id % 4 = 3 THEN '[content_types].xml' END AS part FROM documents WHERE doc_id % 4 <> 0",
+    "formatting_roundtrip": """SELECT p_partkey, p_name AS text, p_partkey % 2 = 0 AS bold, p_partkey % 3 = 0 AS italic, p_partkey % 5 = 0 AS strike, [NULL, 'single', 'double'][(p_partkey % 3 + 1)::INTEGER] AS underline, ['green', NULL][(p_partkey % 2 + 1)::INTEGER] AS highlight, lpad(upper(to_hex(p_partkey)), 6, '0') AS color, p_partkey % 40 + 24 AS size,
+['Arial', 'Times New Roman'][(p_partkey % 2 + 1)::INTEGER] AS font, 'SimSun' AS font_east_asia, ['Arial', NULL][(p_partkey % 2 + 1)::INTEGER] AS font_cs, ['Heading1', NULL][(p_partkey % 2 + 1)::INTEGER] AS style_id, [NULL, 'center', 'right'][(p_partkey % 3 + 1)::INTEGER] AS alignment, nullif(p_partkey % 360, 0) AS spacing_before, 120::BIGINT AS spacing_after, 480::BIGINT AS line_value, 'exact' AS line_rule,
+nullif(p_partkey % 720, 0) AS indent_left, 360::BIGINT AS indent_right, CASE WHEN p_partkey % 2 = 0 THEN 240::BIGINT END AS first_line, CASE WHEN p_partkey % 2 = 1 THEN 200::BIGINT END AS hanging, CASE WHEN p_partkey % 4 = 0 THEN 1::BIGINT END AS num_id, CASE WHEN p_partkey % 4 = 0 THEN p_partkey % 9 END AS num_level FROM part""",
+    "section_roundtrip": """SELECT s_suppkey, 0 AS section_idx, 16838::BIGINT AS width, 'landscape' AS orientation, 2 AS columns, 'evenPage' AS break_type, (s_suppkey % 900 + 1)::BIGINT AS margin_right FROM supplier WHERE s_suppkey % 2 = 0
+UNION ALL SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END, 11906, 'portrait', CASE WHEN s_suppkey % 3 <> 0 THEN 3 ELSE 1 END, NULL, 1440 FROM supplier""",
+    "docx_files": "SELECT c_custkey, c_name AS text FROM customer",
+    "style_sheets": f"SELECT theme, style_id, nullif(CASE style_id WHEN 'Heading1' THEN h1 WHEN 'Title' THEN h1 + 8 WHEN 'Subtitle' THEN body + 4 WHEN 'IntenseQuote' THEN body + 2 ELSE body END, 22) AS size, {_THEME_COLOR} AS color FROM {_THEMES}, (VALUES ('Normal'), ('Heading1'), ('Title'), ('Subtitle'), ('IntenseQuote')) s(style_id)",
+    "relationship_edits": """WITH n AS (SELECT n_regionkey AS r, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k, n_name FROM nation),
+a AS (SELECT r, k, 'image' AS rel_type, n_name AS target, '' AS target_mode FROM n UNION ALL
+SELECT r_regionkey, (SELECT count(*) FROM n WHERE r = r_regionkey) + i, 'hyperlink', CASE i WHEN 1 THEN r_name ELSE lower(r_name) END, 'External' FROM region, (VALUES (1), (2)) v(i))
+SELECT r::VARCHAR AS doc_id, 'rId' || k AS rel_id, rel_type, target, target_mode FROM a WHERE k <> r + 1""",
     "atoi_validate": "SELECT p_partkey, CASE WHEN regexp_full_match(t, '[+-]?[0-9]{1,18}') THEN try_cast(t AS BIGINT) END AS value FROM (SELECT p_partkey, [' ', 'x', '-', '+', ''][(p_partkey % 5 + 1)::INTEGER] || p_size AS t FROM part)",
     "edit_violations": "SELECT p_partkey, CASE WHEN p_partkey * 3 BETWEEN 2 AND 3276 THEN p_partkey * 3 ELSE 22 END::INTEGER AS size, CASE WHEN p_partkey % 2 = 0 THEN 'double' ELSE 'none' END AS underline, array_to_string(list_filter([CASE WHEN p_partkey * 3 NOT BETWEEN 2 AND 3276 THEN 'size' END, CASE WHEN p_partkey % 2 <> 0 THEN 'underline' END], lambda x: x IS NOT NULL), ',') AS violations FROM part",
     "violations": "SELECT * FROM (SELECT doc_id, array_to_string(list_filter([CASE WHEN length(coalesce(text, '')) = 0 THEN 'empty' END, CASE WHEN length(text) > 20000 THEN 'chars' END, CASE WHEN len(string_split(text, chr(10))) > 100 THEN 'blocks' END], lambda x: x IS NOT NULL), ',') AS violations FROM documents) WHERE violations <> ''",

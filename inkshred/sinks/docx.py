@@ -7,14 +7,18 @@ itself is written by a small kernel, one package per row.
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import quote
+from xml.sax.saxutils import quoteattr
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..ooxml import CONTENT_TYPES, CORE, EXTENDED, PACKAGE_RELS, WORD_TYPE, R, W
+from ..ooxml import CONTENT_TYPES, CORE, EXTENDED, MARGINS, PACKAGE_RELS, PAGE_SIZES, WORD_TYPE, R, W
 
 HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 #: Parts every package has; relationship ids rId1 to rId5 of the main document belong to them.
@@ -47,13 +51,17 @@ def run_properties(columns: list[str]) -> Column:
     flag = lambda c, tag: F.when(F.col(c), F.lit(f"<w:{tag}/>")).otherwise(F.lit(""))
     value = lambda c, tag, test: F.when(test, F.concat(F.lit(f'<w:{tag} w:val="'), escaped(F.col(c).cast("string")), F.lit('"/>'))).otherwise(F.lit(""))
     inner = []
-    if have("font"):
-        inner.append(F.when(F.col("font").isNotNull(), F.concat(F.lit('<w:rFonts w:ascii="'), escaped("font"), F.lit('" w:hAnsi="'), escaped("font"), F.lit('"/>'))).otherwise(F.lit("")))
+    if have("style"):
+        inner.append(value("style", "rStyle", F.col("style").isNotNull()))
+    fonts = [(c, a) for c, a in (("font", "ascii"), ("font", "hAnsi"), ("font_east_asia", "eastAsia"), ("font_cs", "cs")) if have(c)]
+    if fonts:
+        named = F.concat(*(F.when(F.col(c).isNotNull(), F.concat(F.lit(f' w:{a}="'), escaped(c), F.lit('"'))).otherwise(F.lit("")) for c, a in fonts))
+        inner.append(F.when(named == "", F.lit("")).otherwise(F.concat(F.lit("<w:rFonts"), named, F.lit("/>"))))
     inner += [flag(c, tag) for c, tag in (("bold", "b"), ("italic", "i"), ("strike", "strike")) if have(c)]
     if have("color"):
         inner.append(value("color", "color", F.col("color").isNotNull()))
     if have("size"):
-        inner.append(value("size", "sz", F.col("size").isNotNull() & (F.col("size") != 22)))
+        inner += [value("size", tag, F.col("size").isNotNull() & (F.col("size") != 22)) for tag in ("sz", "szCs")]
     if have("highlight"):
         inner.append(value("highlight", "highlight", F.col("highlight").isNotNull() & (F.col("highlight") != "none")))
     if have("underline"):
@@ -62,12 +70,40 @@ def run_properties(columns: list[str]) -> Column:
     return F.when(both == "", F.lit("")).otherwise(F.concat(F.lit("<w:rPr>"), both, F.lit("</w:rPr>")))
 
 
+def field_xml(code: Column, result: Column, dirty: Column, props: Column) -> Column:
+    """A complex field: begin, code, separate, result, end, each in a run of its own."""
+    char = lambda kind, more="": f'<w:r><w:fldChar w:fldCharType="{kind}"{more}/></w:r>'
+    begin = F.when(F.coalesce(dirty, F.lit(False)), F.lit(char("begin", ' w:dirty="true"'))).otherwise(F.lit(char("begin")))
+    shown = F.when(F.coalesce(result, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit("<w:r>"), props, text_element(result), F.lit("</w:r>")))
+    return F.concat(begin, F.lit('<w:r><w:instrText xml:space="preserve">'), escaped(code), F.lit("</w:instrText></w:r>"), F.lit(char("separate")), shown, F.lit(char("end")))
+
+
 def run_xml(columns: list[str]) -> Column:
-    """One run; its text is split at line ends into runs with a break between."""
+    """One run; its text is split at line ends into runs with a break between.
+
+    Where the columns are there: ``breaks`` (page, column, line) follow the
+    text, ``drawing`` is XML inside the run, a ``field_code`` with its
+    ``field_result`` and ``field_dirty`` goes before the text, and a
+    ``rel_id`` or ``anchor`` makes the whole a hyperlink.
+    """
+    have = lambda c: c in columns
     props = run_properties(columns)
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    each = F.transform(lines, lambda x, i: F.concat(F.when(i > 0, F.concat(F.lit("<w:r>"), props, F.lit("<w:br/></w:r>"))).otherwise(F.lit("")), F.lit("<w:r>"), props, text_element(x), F.lit("</w:r>")))
-    return F.array_join(each, "")
+    inside = F.col("drawing") if have("drawing") else F.lit("")
+    if have("breaks"):
+        one = lambda b: F.when(b.isin("page", "column"), F.concat(F.lit('<w:br w:type="'), b, F.lit('"/>'))).otherwise(F.lit("<w:br/>"))
+        inside = F.concat(F.coalesce(F.array_join(F.transform("breaks", one), ""), F.lit("")), F.coalesce(inside, F.lit("")))
+    last = F.size(lines) - 1
+    each = F.transform(lines, lambda x, i: F.concat(F.when(i > 0, F.concat(F.lit("<w:r>"), props, F.lit("<w:br/></w:r>"))).otherwise(F.lit("")), F.lit("<w:r>"), props, text_element(x), F.when(i == last, F.coalesce(inside, F.lit(""))).otherwise(F.lit("")), F.lit("</w:r>")))
+    out = F.array_join(each, "")
+    if have("field_code"):
+        optional = lambda c: F.col(c) if have(c) else F.lit(None)
+        field = field_xml(F.col("field_code"), optional("field_result").cast("string"), optional("field_dirty").cast("boolean"), props)
+        out = F.when(F.col("field_code").isNull(), out).otherwise(F.concat(field, F.when(F.coalesce("text", F.lit("")) == "", F.lit("")).otherwise(out)))
+    for c, a in (("anchor", "w:anchor"), ("rel_id", "r:id")):
+        if have(c):
+            out = F.when(F.col(c).isNull(), out).otherwise(F.concat(F.lit(f'<w:hyperlink {a}="'), escaped(c), F.lit('">'), out, F.lit("</w:hyperlink>")))
+    return out
 
 
 def _folded(order: str, xml: Column) -> Column:
@@ -77,44 +113,78 @@ def _folded(order: str, xml: Column) -> Column:
 def paragraph_xml(runs: DataFrame, paragraphs: DataFrame | None = None) -> DataFrame:
     """doc_id, block_idx, xml: paragraphs from runs (doc_id, block_idx, run_idx, text and formatting).
 
-    ``paragraphs`` adds style_id, alignment, spacing_before and spacing_after
-    where it has them; paragraphs without runs come from it too.
+    ``paragraphs`` adds style_id, num_id and num_level, spacing_before,
+    spacing_after, line_value and line_rule, indent_left, indent_right,
+    first_line and hanging, alignment, outline_level, and bookmark_id with
+    bookmark_name, where it has them; paragraphs without runs come from it too.
     """
     inner = runs.groupBy("doc_id", "block_idx").agg(_folded("run_idx", run_xml(runs.columns)).alias("inner"))
-    props = [F.lit("")]
+    head, before, after = F.lit(""), F.lit(""), F.lit("")
     if paragraphs is not None:
         inner = paragraphs.join(inner, ["doc_id", "block_idx"], "left")
-        value = lambda c, tag: F.when(F.col(c).isNotNull(), F.concat(F.lit(f'<w:{tag} w:val="'), escaped(c), F.lit('"/>'))).otherwise(F.lit(""))
-        if "style_id" in paragraphs.columns:
-            props.append(value("style_id", "pStyle"))
-        space = [F.when(F.coalesce(F.col(c), F.lit(0)) != 0, F.concat(F.lit(f' w:{a}="'), F.col(c).cast("string"), F.lit('"'))).otherwise(F.lit("")) for c, a in (("spacing_before", "before"), ("spacing_after", "after")) if c in paragraphs.columns]
-        if space:
-            props.append(F.when(F.concat(*space) == "", F.lit("")).otherwise(F.concat(F.lit("<w:spacing"), *space, F.lit("/>"))))
-        if "alignment" in paragraphs.columns:
-            props.append(F.when(F.coalesce(F.col("alignment"), F.lit("left")) != "left", value("alignment", "jc")).otherwise(F.lit("")))
-    head = F.concat(*props)
-    head = F.when(head == "", F.lit("")).otherwise(F.concat(F.lit("<w:pPr>"), head, F.lit("</w:pPr>")))
-    return inner.select("doc_id", "block_idx", F.concat(F.lit("<w:p>"), head, F.coalesce("inner", F.lit("")), F.lit("</w:p>")).alias("xml"))
+        head = paragraph_properties(paragraphs.columns)
+        if "bookmark_id" in paragraphs.columns:
+            mark = lambda tag, more: F.when(F.col("bookmark_id").isNotNull(), F.concat(F.lit(f'<w:{tag} w:id="'), escaped(F.col("bookmark_id").cast("string")), F.lit('"'), more, F.lit("/>"))).otherwise(F.lit(""))
+            before, after = mark("bookmarkStart", F.concat(F.lit(' w:name="'), escaped("bookmark_name"), F.lit('"'))), mark("bookmarkEnd", F.lit(""))
+    return inner.select("doc_id", "block_idx", F.concat(F.lit("<w:p>"), head, before, F.coalesce("inner", F.lit("")), after, F.lit("</w:p>")).alias("xml"))
+
+
+def _element(columns: list[str], tag: str, attributes: dict[str, str], skip: tuple = ()) -> Column:
+    """An element with those attributes whose columns are there and not null (nor among ``skip``); nothing without any."""
+    of = {c: a for c, a in attributes.items() if c in columns}
+    if not of:
+        return F.lit("")
+    text = lambda c: F.col(c).cast("string")
+    said = F.concat(*(F.when(F.col(c).isNotNull() & ~text(c).isin(*skip) if skip else F.col(c).isNotNull(), F.concat(F.lit(f' w:{a}="'), escaped(text(c)), F.lit('"'))).otherwise(F.lit("")) for c, a in of.items()))
+    return F.when(said == "", F.lit("")).otherwise(F.concat(F.lit(f"<w:{tag}"), said, F.lit("/>")))
+
+
+def paragraph_properties(columns: list[str]) -> Column:
+    """pPr of the columns present, in the order of the format; default values are left out."""
+    numbering = F.concat(_element(columns, "ilvl", {"num_level": "val"}), _element(columns, "numId", {"num_id": "val"}))
+    inner = F.concat(
+        _element(columns, "pStyle", {"style_id": "val"}),
+        F.when(F.col("num_id").isNull(), F.lit("")).otherwise(F.concat(F.lit("<w:numPr>"), numbering, F.lit("</w:numPr>"))) if "num_id" in columns else F.lit(""),
+        _element(columns, "spacing", {"spacing_before": "before", "spacing_after": "after", "line_value": "line", "line_rule": "lineRule"}, ("0",)),
+        _element(columns, "ind", {"indent_left": "left", "indent_right": "right", "first_line": "firstLine", "hanging": "hanging"}, ("0",)),
+        _element(columns, "jc", {"alignment": "val"}, ("left",)),
+        _element(columns, "outlineLvl", {"outline_level": "val"}),
+    )
+    return F.when(inner == "", F.lit("")).otherwise(F.concat(F.lit("<w:pPr>"), inner, F.lit("</w:pPr>")))
 
 
 def table_xml(cells: DataFrame) -> DataFrame:
-    """doc_id, block_idx, xml: tables from cells (doc_id, block_idx, row_idx, col_idx, text, optional grid_span, v_merge, h_merge_continuation).
+    """doc_id, block_idx, xml: tables from cells (doc_id, block_idx, row_idx, col_idx, text, optional width, grid_span, v_merge, shading, v_align, h_merge_continuation and xml).
 
-    Cells that continue a horizontal merge are left out.
+    Cells that continue a horizontal merge are left out.  A cell has a
+    paragraph for every line of its text, and after them its ``xml`` (nested
+    tables).  Table properties (table_style, table_alignment, table_width in
+    twips) and row_height are columns of the cells, equal in a table or row.
     """
     have = cells.columns
     if "h_merge_continuation" in have:
         cells = cells.filter(~F.col("h_merge_continuation"))
-    props = []
+    props = [F.lit("")]
+    if "width" in have:
+        props = [F.when(F.col("width").isNotNull(), F.concat(F.lit('<w:tcW w:type="dxa" w:w="'), F.col("width").cast("string"), F.lit('"/>'))).otherwise(F.lit(""))]
     if "grid_span" in have:
         props.append(F.when(F.col("grid_span") > 1, F.concat(F.lit('<w:gridSpan w:val="'), F.col("grid_span").cast("string"), F.lit('"/>'))).otherwise(F.lit("")))
     if "v_merge" in have:
         props.append(F.when(F.col("v_merge") == "restart", F.lit('<w:vMerge w:val="restart"/>')).when(F.col("v_merge") == "continue", F.lit("<w:vMerge/>")).otherwise(F.lit("")))
-    head = F.concat(F.lit("<w:tcPr>"), *props, F.lit("</w:tcPr>")) if props else F.lit("")
-    cell = F.concat(F.lit("<w:tc>"), head, F.lit("<w:p><w:r>"), text_element(F.col("text")), F.lit("</w:r></w:p></w:tc>"))
-    rows = cells.groupBy("doc_id", "block_idx", "row_idx").agg(F.concat(F.lit("<w:tr>"), _folded("col_idx", cell), F.lit("</w:tr>")).alias("row"), F.count("*").alias("n"))
+    if "shading" in have:
+        props.append(F.when(F.col("shading").isNotNull(), F.concat(F.lit('<w:shd w:val="clear" w:color="auto" w:fill="'), escaped("shading"), F.lit('"/>'))).otherwise(F.lit("")))
+    props.append(_element(have, "vAlign", {"v_align": "val"}, ("top",)))
+    head = F.concat(*props)
+    head = F.when(head == "", F.lit("")).otherwise(F.concat(F.lit("<w:tcPr>"), head, F.lit("</w:tcPr>")))
+    lines = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.concat(F.lit("<w:p><w:r>"), text_element(x), F.lit("</w:r></w:p>"))), "")
+    nested = F.coalesce(F.concat("xml", F.lit("<w:p/>")), F.lit("")) if "xml" in have else F.lit("")
+    cell = F.concat(F.lit("<w:tc>"), head, lines, nested, F.lit("</w:tc>"))
+    tall = F.when(F.max("row_height").isNull(), F.lit("")).otherwise(F.concat(F.lit('<w:trPr><w:trHeight w:val="'), F.max("row_height").cast("string"), F.lit('"/></w:trPr>'))) if "row_height" in have else F.lit("")
+    said = {"table_style": '<w:tblStyle w:val="{}"/>', "table_width": '<w:tblW w:type="dxa" w:w="{}"/>', "table_alignment": '<w:jc w:val="{}"/>'}
+    about = [F.when(F.max(c).isNull(), F.lit("")).otherwise(F.concat(F.lit(x.split("{}")[0]), escaped(F.max(c).cast("string")), F.lit(x.split("{}")[1]))) for c, x in said.items() if c in have]
+    rows = cells.groupBy("doc_id", "block_idx", "row_idx").agg(F.concat(F.lit("<w:tr>"), tall, _folded("col_idx", cell), F.lit("</w:tr>")).alias("row"), F.count("*").alias("n"), F.concat(F.lit("<w:tblPr>"), *about, F.lit("</w:tblPr>")).alias("about"))
     grid = F.concat(F.lit("<w:tblGrid>"), F.expr("repeat('<w:gridCol/>', cast(max(n) as int))"), F.lit("</w:tblGrid>"))
-    return rows.groupBy("doc_id", "block_idx").agg(F.concat(F.lit("<w:tbl><w:tblPr/>"), grid, _folded("row_idx", F.col("row")), F.lit("</w:tbl>")).alias("xml"))
+    return rows.groupBy("doc_id", "block_idx").agg(F.concat(F.lit("<w:tbl>"), F.max("about"), grid, _folded("row_idx", F.col("row")), F.lit("</w:tbl>")).alias("xml"))
 
 
 def section_xml(width: int = 11906, height: int = 16838, margins: dict | None = None, columns: int = 1, landscape: bool = False, references: tuple = ()) -> str:
@@ -122,8 +192,6 @@ def section_xml(width: int = 11906, height: int = 16838, margins: dict | None =
 
     references: (kind, type, rel_id) of headers and footers.
     """
-    from ..ooxml import MARGINS
-
     m = MARGINS | (margins or {})
     if landscape and width < height:
         width, height = height, width
@@ -134,11 +202,61 @@ def section_xml(width: int = 11906, height: int = 16838, margins: dict | None =
     return f'<w:sectPr>{refs}<w:pgSz w:w="{width}" w:h="{height}"{turn}/><w:pgMar {around} w:gutter="0"/>{several}</w:sectPr>'
 
 
-def document_xml(block_rows: DataFrame, section: str | None = None) -> DataFrame:
-    """doc_id, document_xml from (doc_id, block_idx, xml), blocks in order."""
-    head = f'{HEAD}<w:document xmlns:w="{W}" xmlns:r="{R}"><w:body>'
-    body = F.concat(F.lit(head), _folded("block_idx", F.col("xml")), F.lit(f"{section or section_xml()}</w:body></w:document>"))
-    return block_rows.groupBy("doc_id").agg(body.alias("document_xml"))
+def section_properties(columns: list[str], last: Column) -> Column:
+    """sectPr of section columns (width, height, orientation, margin_*, columns, break_type, references); the last one has no break type.
+
+    Missing values are the defaults; a landscape section turns a portrait size.
+    """
+    of = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in columns else F.lit(default)
+    wide = of("orientation", "portrait") == "landscape"
+    w, h = of("width", PAGE_SIZES["A4"][0]), of("height", PAGE_SIZES["A4"][1])
+    size = F.concat(F.lit('<w:pgSz w:w="'), F.when(wide, F.greatest(w, h)).otherwise(w).cast("string"), F.lit('" w:h="'), F.when(wide, F.least(w, h)).otherwise(h).cast("string"), F.when(wide, F.lit('" w:orient="landscape"/>')).otherwise(F.lit('"/>')))
+    margins = F.concat(F.lit("<w:pgMar"), *(F.concat(F.lit(f' w:{m}="'), of(f"margin_{m}", v).cast("string"), F.lit('"')) for m, v in MARGINS.items()), F.lit(' w:gutter="0"/>'))
+    several = F.when(of("columns", 1) > 1, F.concat(F.lit('<w:cols w:num="'), of("columns", 1).cast("string"), F.lit('" w:space="720"/>'))).otherwise(F.lit(""))
+    kind = F.when(last | (of("break_type", "") == ""), F.lit("")).otherwise(F.concat(F.lit('<w:type w:val="'), of("break_type", ""), F.lit('"/>')))
+    refs = F.lit("")
+    if "references" in columns:
+        one = lambda r: F.concat(F.lit("<w:"), r["kind"], F.lit('Reference w:type="'), r["type"], F.lit('" r:id="'), escaped(r["rel_id"]), F.lit('"/>'))
+        refs = F.coalesce(F.array_join(F.transform("references", one), ""), F.lit(""))
+    return F.concat(F.lit("<w:sectPr>"), refs, kind, size, margins, several, F.lit("</w:sectPr>"))
+
+
+def document_xml(block_rows: DataFrame, section: str | None = None, sections: DataFrame | None = None, backgrounds: DataFrame | None = None) -> DataFrame:
+    """doc_id, document_xml from (doc_id, block_idx, xml), blocks in order.
+
+    sections: (doc_id, section_idx, block_idx and section columns); one with a
+    block_idx ends there, with a paragraph of its own, the one without is its
+    document's last.  Documents without any get ``section``, the default one.
+    backgrounds: (doc_id, color).
+    """
+    spaces = f'xmlns:w="{W}" xmlns:r="{R}"'
+    last = F.lit(section or section_xml())
+    if sections is not None:
+        breaks = F.concat(F.lit("<w:p><w:pPr>"), section_properties(sections.columns, F.lit(False)), F.lit("</w:pPr></w:p>"))
+        block_rows = block_rows.select("doc_id", "block_idx", "xml").unionByName(sections.filter("block_idx is not null").select("doc_id", "block_idx", breaks.alias("xml")))
+    body = block_rows.groupBy("doc_id").agg(_folded("block_idx", F.col("xml")).alias("body"))
+    back = F.lit("")
+    if sections is not None:
+        body = body.join(sections.filter("block_idx is null").select("doc_id", section_properties(sections.columns, F.lit(True)).alias("last")), "doc_id", "left")
+        last = F.coalesce("last", last)
+    if backgrounds is not None:
+        body = body.join(backgrounds.select("doc_id", F.col("color").alias("_back")), "doc_id", "left")
+        back = F.coalesce(F.concat(F.lit('<w:background w:color="'), escaped("_back"), F.lit('"/>')), F.lit(""))
+    return body.select("doc_id", F.concat(F.lit(f"{HEAD}<w:document {spaces}>"), back, F.lit("<w:body>"), "body", last, F.lit("</w:body></w:document>")).alias("document_xml"))
+
+
+def style_sheets(styles: DataFrame, *keys: str) -> DataFrame:
+    """(keys, styles_xml): a style sheet for each key (a theme, a document; one for all without any), from catalogue rows with their formatting."""
+    columns = styles.columns
+    have = lambda c: c in columns
+    inner = F.concat(
+        F.lit('<w:name w:val="'), escaped("name"), F.lit('"/>'), _element(columns, "basedOn", {"based_on": "val"}), _element(columns, "next", {"next": "val"}),
+        paragraph_properties([c for c in columns if c != "style_id"]), run_properties([c for c in columns if c in ("font", "bold", "italic", "color", "size")]),
+    )
+    flags = [F.when(F.col(c), F.lit(f' w:{a}="1"')).otherwise(F.lit("")) for c, a in (("is_default", "default"), ("is_custom", "customStyle")) if have(c)]
+    one = F.concat(F.lit('<w:style w:type="'), F.col("type"), F.lit('"'), *flags, F.lit(' w:styleId="'), escaped("style_id"), F.lit('">'), inner, F.lit("</w:style>"))
+    sheet = F.concat(F.lit(f'{HEAD}<w:styles xmlns:w="{W}">'), _folded("style_id", one), F.lit("</w:styles>"))
+    return styles.groupBy(*keys).agg(sheet.alias("styles_xml"))
 
 
 def styles_xml(styles: list[dict] | None = None) -> str:
@@ -172,26 +290,32 @@ def header_xml(paragraphs: DataFrame, kind: str = "header") -> DataFrame:
     return paragraphs.groupBy("doc_id").agg(F.encode(whole, "UTF-8").alias("data"))
 
 
+def safe_target(target: str) -> str:
+    """A part's name below word/: forward slashes, no way up or out."""
+    return "/".join(x for x in target.replace("\\", "/").split("/") if x not in ("", ".", ".."))
+
+
 def _packed(batches: Iterator[pa.RecordBatch], styles: str) -> Iterator[pa.RecordBatch]:
     defaults = '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>'
     override = lambda n, t: f'<Override PartName="{n}" ContentType="{t}"/>'
     fixed = defaults + "".join(override(*x) for x in OVERRIDES)
-    rel = lambda i, kind, target: f'<Relationship Id="{i}" Type="{R}/{kind}" Target="{target}"/>'
+    rel = lambda i, kind, target, mode="": f'<Relationship Id={quoteattr(i)} Type="{R}/{kind}" Target={quoteattr(target)}{mode and f" TargetMode={quoteattr(mode)}"}/>'
     core_rel = '<Relationship Id="rId2" Type="http://schemas.openxmlformats.org/package/2006/relationships/metadata/core-properties" Target="docProps/core.xml"/>'
     root = f'{HEAD}<Relationships xmlns="{PACKAGE_RELS}">{rel("rId1", "officeDocument", "word/document.xml")}{core_rel}{rel("rId3", "extended-properties", "docProps/app.xml")}</Relationships>'
     base = "".join(rel(*x) for x in BASE_RELS)
     plain = lambda tag: f'{HEAD}<w:{tag} xmlns:w="{W}"/>'
-    app = f'{HEAD}<Properties xmlns="{EXTENDED}"/>'
+    app = f'{HEAD}<Properties xmlns="{EXTENDED}"><Application>inkshred</Application></Properties>'
     for batch in batches:
         out = []
-        core, extra = batch.column("core_xml").to_pylist(), batch.column("extra").to_pylist()
-        for document, props, more in zip(batch.column("document_xml").to_pylist(), core, extra, strict=True):
-            more = sorted((m for m in more or [] if m["data"]), key=lambda m: m["rel_id"])
-            links = f'{HEAD}<Relationships xmlns="{PACKAGE_RELS}">{base}{"".join(rel(m["rel_id"], m["rel_kind"], m["target"]) for m in more)}</Relationships>'
+        columns = (batch.column(c).to_pylist() for c in ("document_xml", "core_xml", "styles_xml", "extra"))
+        for document, props, own_styles, more in zip(*columns, strict=True):
+            more = sorted((m for m in more or [] if m["data"] or m["target_mode"]), key=lambda m: m["rel_id"])
+            links = f'{HEAD}<Relationships xmlns="{PACKAGE_RELS}">{base}{"".join(rel(m["rel_id"], m["rel_kind"], m["target"], m["target_mode"] or "") for m in more)}</Relationships>'
+            more = [m | {"target": safe_target(m["target"])} for m in more if not m["target_mode"]]
             types = f'{HEAD}<Types xmlns="{CONTENT_TYPES}">{fixed}{"".join(override("/word/" + m["target"], m["content_type"]) for m in more)}</Types>'
             held = io.BytesIO()
             with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-                for name, data in (("[Content_Types].xml", types), ("_rels/.rels", root), ("word/document.xml", document), ("word/_rels/document.xml.rels", links), ("docProps/core.xml", props), ("docProps/app.xml", app), ("word/styles.xml", styles), ("word/fontTable.xml", plain("fonts")), ("word/theme/theme1.xml", HEAD + THEME), ("word/settings.xml", plain("settings")), ("word/webSettings.xml", plain("webSettings"))):
+                for name, data in (("[Content_Types].xml", types), ("_rels/.rels", root), ("word/document.xml", document), ("word/_rels/document.xml.rels", links), ("docProps/core.xml", props), ("docProps/app.xml", app), ("word/styles.xml", own_styles or styles), ("word/fontTable.xml", plain("fonts")), ("word/theme/theme1.xml", HEAD + THEME), ("word/settings.xml", plain("settings")), ("word/webSettings.xml", plain("webSettings"))):
                     z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data, zipfile.ZIP_DEFLATED)  # a fixed time: equal rows give equal bytes
                 for m in more:
                     z.writestr(zipfile.ZipInfo("word/" + m["target"], (1980, 1, 1, 0, 0, 0)), m["data"], zipfile.ZIP_DEFLATED)
@@ -200,30 +324,38 @@ def _packed(batches: Iterator[pa.RecordBatch], styles: str) -> Iterator[pa.Recor
 
 
 def core_xml(columns: list[str]) -> Column:
-    """Core properties from title, subject, creator, keywords (array) and description where present."""
+    """Core properties from title, subject, creator, keywords (array), description, created and modified (texts in W3CDTF) where present."""
     tag = lambda name, value: F.when(value.isNotNull() & (value != ""), F.concat(F.lit(f"<{name}>"), escaped(value), F.lit(f"</{name}>"))).otherwise(F.lit(""))
     inner = [tag(name, F.col(c)) for c, name in (("title", "dc:title"), ("subject", "dc:subject"), ("creator", "dc:creator"), ("description", "dc:description")) if c in columns]
     if "keywords" in columns:
         inner.append(tag("cp:keywords", F.array_join("keywords", ", ")))
-    return F.concat(F.lit(f'{HEAD}<cp:coreProperties xmlns:cp="{CORE}" xmlns:dc="http://purl.org/dc/elements/1.1/">'), *inner, F.lit("</cp:coreProperties>"))
+    for c in ("created", "modified"):
+        if c in columns:
+            inner.append(F.when(F.col(c).isNotNull(), F.concat(F.lit(f'<dcterms:{c} xsi:type="dcterms:W3CDTF">'), escaped(F.col(c).cast("string")), F.lit(f"</dcterms:{c}>"))).otherwise(F.lit("")))
+    spaces = 'xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:dcterms="http://purl.org/dc/terms/" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"'
+    return F.concat(F.lit(f'{HEAD}<cp:coreProperties xmlns:cp="{CORE}" {spaces}>'), *inner, F.lit("</cp:coreProperties>"))
 
 
-_EXTRA = "array<struct<rel_id:string,rel_kind:string,target:string,content_type:string,data:binary>>"
+_EXTRA = "array<struct<rel_id:string,rel_kind:string,target:string,content_type:string,data:binary,target_mode:string>>"
 
 
 def assemble(documents: DataFrame, metadata: DataFrame | None = None, styles: list[dict] | None = None, parts: DataFrame | None = None) -> DataFrame:
     """doc_id, content: one package per (doc_id, document_xml) row.
 
-    parts: further parts (doc_id, rel_id, rel_kind, target below word/,
-    content_type, data) such as headers, footers, media and numbering; those
-    without bytes are left out.
+    A column ``styles_xml`` of the documents is their style sheet (see
+    ``style_sheets``).  parts: further parts (doc_id, rel_id, rel_kind, target
+    below word/, content_type, data) such as headers, footers, media and
+    numbering; with a target_mode it is a relationship to something outside,
+    such as a hyperlink's; those with neither bytes nor mode are left out.
     """
     d = documents if metadata is None else documents.join(metadata, "doc_id", "left")
     extra = F.lit(None).cast(_EXTRA)
     if parts is not None:
-        more = parts.groupBy("doc_id").agg(F.collect_list(F.struct("rel_id", "rel_kind", "target", "content_type", "data")).alias("extra"))
+        mode = F.nullif(F.col("target_mode"), F.lit("")) if "target_mode" in parts.columns else F.lit(None)
+        more = parts.groupBy("doc_id").agg(F.collect_list(F.struct("rel_id", "rel_kind", "target", "content_type", "data", mode.cast("string").alias("target_mode"))).alias("extra"))
         d, extra = d.join(more, "doc_id", "left"), F.col("extra")
-    d = d.select(F.col("doc_id").cast("string").alias("doc_id"), "document_xml", core_xml(d.columns).alias("core_xml"), extra.alias("extra"))
+    own = F.col("styles_xml") if "styles_xml" in d.columns else F.lit(None).cast("string")
+    d = d.select(F.col("doc_id").cast("string").alias("doc_id"), "document_xml", core_xml(d.columns).alias("core_xml"), own.alias("styles_xml"), extra.alias("extra"))
     sheet = styles_xml(styles)
     return d.mapInArrow(lambda batches: _packed(batches, sheet), "doc_id string, content binary")
 
@@ -231,3 +363,71 @@ def assemble(documents: DataFrame, metadata: DataFrame | None = None, styles: li
 def save(packages: DataFrame, path: str) -> None:
     """Write (doc_id, content) packages as rows of a Parquet table, the form in which a cluster keeps many small files."""
     packages.write.mode("overwrite").parquet(path)
+
+
+def file_name(doc_id: str) -> str:
+    """A document's file: its id, percent-encoded."""
+    return quote(doc_id, safe="") + ".docx"
+
+
+def write_files(packages: DataFrame, path: str) -> DataFrame:
+    """Write each (doc_id, content) package as <doc_id>.docx below ``path`` and return the list of files (doc_id, file, bytes).
+
+    Every task writes its own packages through the file system of the path
+    (file, hdfs, s3, gs), which all executors must share.  A file is
+    written under another name and then moved, so a file that is there is
+    whole, and a task that is tried again replaces its files by equal ones.
+    The list is kept as a table beside them, in ``_files``.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, folder = fs.FileSystem.from_uri(path)
+        where.create_dir(folder, recursive=True)
+        for batch in batches:
+            files, sizes = [], []
+            for doc_id, content in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                name = file_name(doc_id)
+                part = f"{folder}/.{uuid.uuid4().hex}"
+                with where.open_output_stream(part) as out:
+                    out.write(content)
+                where.move(part, f"{folder}/{name}")
+                files.append(name)
+                sizes.append(len(content))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(files, pa.string()), pa.array(sizes, pa.int64())], ["doc_id", "file", "bytes"])
+
+    rows = packages.filter("doc_id is not null and content is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "content")
+    rows.mapInArrow(write, "doc_id string, file string, bytes long").write.mode("overwrite").parquet(f"{path}/_files")
+    return packages.sparkSession.read.parquet(f"{path}/_files")
+
+
+def rewrite(packages: DataFrame, changed: DataFrame) -> DataFrame:
+    """(doc_id, content): packages with some parts replaced or added, every other part kept byte for byte.
+
+    changed: (doc_id, part_name, data).  Parts keep their order and names
+    compare as in the scan; a document without changes, or that is no archive,
+    is returned as it is.
+    """
+    from ..sources.docx import BROKEN, key_of
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for content, new in zip(batch.column("content").to_pylist(), batch.column("new").to_pylist(), strict=True):
+                held = io.BytesIO()
+                try:
+                    if not new:
+                        raise ValueError("nothing to change")
+                    left = {key_of(x["part_name"]): (x["part_name"], x["data"]) for x in new}
+                    with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                        for e in old.infolist():
+                            _, data = left.pop(key_of(e.filename), (None, None))
+                            z.writestr(e, old.read(e) if data is None else data, e.compress_type)
+                        for name, data in left.values():
+                            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data, zipfile.ZIP_DEFLATED)
+                    out.append(held.getvalue())
+                except (*BROKEN, TypeError):
+                    out.append(content)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "content"])
+
+    new = changed.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("part_name", "data"))).alias("new"))
+    return packages.select("doc_id", "content").join(new, "doc_id", "left").mapInArrow(run, "doc_id string, content binary")

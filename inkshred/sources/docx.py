@@ -8,26 +8,41 @@ Everything above, from paragraphs to sections, is DataFrame code over the rows.
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
+from functools import partial
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ooxml import KNOWN_PARTS
 
-PARTS = "doc_id string, part_name string, part_key string, data binary, error_code string, error_message string"
+PARTS = "doc_id string, part_name string, part_key string, data binary, error_code string, error_message string, kind string"
 NODES = "doc_id string, part_key string, node int, parent int, place int, path string, ancestors array<int>, tag string, attrs map<string,string>, text string, error_code string, error_message string"
-#: A package's contents may unpack to this many bytes.
+#: A package's contents may unpack to this many bytes, unless the scan is told otherwise.
 MOST_BYTES = 1 << 30
+#: What an archive or one of its members may raise where its bytes are damaged.
+BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, struct.error, ValueError, OSError, RuntimeError, NotImplementedError)
 
 
-def normal_name(name: Column) -> Column:
+def key_of(name: str) -> str:
     """Part names compare by forward slashes, without leading ./ and /, in lower case."""
-    return F.lower(F.regexp_replace(F.replace(name, F.lit("\\"), F.lit("/")), r"^(\./|/)+", ""))
+    return re.sub(r"^(\./|/)+", "", name.replace("\\", "/")).lower()
+
+
+def kind_of(key: str) -> str:
+    """The kind of a part by its key: one with a place of its own, a header, footer, medium or list of relationships, or an additional one."""
+    if key in KNOWN_PARTS:
+        return KNOWN_PARTS[key]
+    for kind in ("header", "footer"):
+        if re.match(rf"word/{kind}[^/]*\.xml$", key):
+            return kind
+    return "media" if key.startswith("word/media/") else "rels" if key.endswith(".rels") else "additional"
 
 
 def packages(spark: SparkSession, path: str) -> DataFrame:
@@ -36,9 +51,9 @@ def packages(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.sha2("path", 256).alias("doc_id"), "path", F.col("length").alias("package_size"), "content")
 
 
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "part_name", "part_key", "data", "error_code", "error_message"]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.string()]
+def _opened(batches: Iterator[pa.RecordBatch], kinds: frozenset, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "part_name", "part_key", "data", "error_code", "error_message", "kind"]
+    types = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.string(), pa.string()]
     for batch in batches:
         for doc_id, content in zip(batch.column("doc_id").to_pylist(), batch.column("content"), strict=True):
             rows = []
@@ -47,24 +62,40 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     raise ValueError("no bytes")
                 with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
                     entries = [e for e in archive.infolist() if not e.is_dir()]
-                    if sum(e.file_size for e in entries) > MOST_BYTES:
+                    if sum(e.file_size for e in entries) > most_bytes:
                         raise ValueError("unpacks to too many bytes")
-                    last = {e.filename.replace("\\", "/").lstrip("./").lower(): e for e in entries}
-                    rows = [(doc_id, e.filename, key, archive.read(e), None, None) for key, e in last.items()]
+                    last = {key_of(e.filename): e for e in entries}
+                    for key, e in last.items():
+                        kind = kind_of(key)
+                        if kinds and kind not in kinds:
+                            continue  # not unpacked at all
+                        try:
+                            rows.append((doc_id, e.filename, key, archive.read(e), None, None, kind))
+                        except BROKEN as x:  # a damaged member costs its own part only
+                            rows.append((doc_id, e.filename, key, None, "IO_ERROR", str(x), kind))
                 missing = {"[content_types].xml", "word/document.xml"} - last.keys()
-                rows += [(doc_id, None, key, None, "INVALID_STATE", f"missing part {key}") for key in sorted(missing)]
-            except (zipfile.BadZipFile, ValueError, OSError, RuntimeError, NotImplementedError) as e:
-                rows = [(doc_id, None, None, None, "INVALID_STATE", str(e))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                rows += [(doc_id, None, key, None, "INVALID_STATE", f"missing part {key}", None) for key in sorted(missing)]
+            except BROKEN as x:
+                rows = [(doc_id, None, None, None, "INVALID_STATE", str(x), None)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names)
+
 
+def parts(docs: DataFrame, *kinds: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """One row per part of (doc_id, content) packages, with its kind and size; failures are rows with error_code.
+
+    kinds: the kinds wanted (all without any); others are not even unpacked.
+    A package that would unpack to over ``most_bytes`` is an error row.
+    """
+    open_ = partial(_opened, kinds=frozenset(kinds), most_bytes=most_bytes)
+    return docs.select("doc_id", "content").mapInArrow(open_, PARTS).withColumn("size", F.octet_length("data").cast("long"))
 
-def parts(docs: DataFrame) -> DataFrame:
-    """One row per part of (doc_id, content) packages, with its kind and size; failures are rows with error_code."""
-    kind = F.create_map(*(F.lit(x) for pair in KNOWN_PARTS.items() for x in pair))[F.col("part_key")]
-    key = F.col("part_key")
-    kind = F.coalesce(kind, F.when(key.rlike(r"^word/header[^/]*\.xml$"), "header").when(key.rlike(r"^word/footer[^/]*\.xml$"), "footer").when(key.startswith("word/media/"), "media").when(key.endswith(".rels"), "rels").when(key.isNotNull(), "additional"))
-    out = docs.select("doc_id", "content").mapInArrow(_opened, PARTS)
-    return out.withColumn("kind", kind).withColumn("size", F.octet_length("data").cast("long"))
+
+class _Tree(ElementTree.TreeBuilder):
+    """A tree of a part without a document type, in whatever encoding: nothing is ever expanded."""
+
+    def doctype(self, name, pubid, system):
+        raise ValueError("document types are not read")
 
 
 def _local(name: str) -> str:
@@ -77,10 +108,8 @@ def flatten(data: bytes) -> list[tuple]:
     Names are local.  Character data of white space alone is dropped.  A part
     with a document type is refused, so no entity is ever expanded.
     """
-    if b"<!DOCTYPE" in data:
-        raise ValueError("document types are not read")
     rows: list[tuple] = []
-    todo = [(ElementTree.fromstring(data), None, 0, "", [])]
+    todo = [(ElementTree.fromstring(data, ElementTree.XMLParser(target=_Tree())), None, 0, "", [])]
     while todo:
         element, parent, place, above, ancestors = todo.pop()
         node, tag = len(rows), _local(element.tag)
@@ -99,7 +128,7 @@ def _flattened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, key, data in zip(batch.column("doc_id").to_pylist(), batch.column("part_key").to_pylist(), batch.column("data"), strict=True):
             try:
                 rows = [(doc_id, key, *r[:6], list(r[6].items()), r[7], None, None) for r in flatten(data.as_py())]
-            except (ElementTree.ParseError, ValueError) as e:
+            except (ElementTree.ParseError, ValueError, LookupError) as e:
                 rows = [(doc_id, key, None, None, None, None, None, None, None, None, "XML_ERROR", str(e))]
             for a in range(0, len(rows), 1 << 14):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + (1 << 14)], strict=True), kinds, strict=True)], names)

@@ -18,10 +18,13 @@ def package_stream(spark: SparkSession, path: str, per_trigger: int = 1000) -> D
 
 
 def paragraph_sink(stream: DataFrame, out: str, checkpoint: str):
-    """Start a query that appends the paragraphs of every arriving package to a Parquet table."""
+    """Start a query that writes the paragraphs of every arriving package to a Parquet table, partitioned by epoch.
+
+    A batch that is tried again replaces its own epoch, so nothing is written twice.
+    """
 
     def batch(rows: DataFrame, epoch: int) -> None:
-        nodes = docx.nodes(docx.parts(rows), "document")
-        model.paragraphs(nodes, model.runs(nodes)).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
+        nodes = docx.nodes(docx.parts(rows, "document"), "document")
+        model.paragraphs(nodes, model.runs(nodes)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start()
