@@ -145,7 +145,7 @@ def test_edit_limits(spark):
 
 def test_merges(spark):
     grid = spark.range(16).selectExpr("1 as table_id", "cast(id div 4 as int) as row_idx", "cast(id % 4 as int) as col_idx")
-    region = spark.createDataFrame([(1, 0, 0, 2, 2)], "table_id int, r0 int, c0 int, rows int, cols int")
+    region = spark.createDataFrame([(1, 1, 0, 0, 2, 2)], "table_id int, region_id int, r0 int, c0 int, rows int, cols int")
     got = {(r.row_idx, r.col_idx): (r.grid_span, r.v_merge, r.h_merge_continuation) for r in edits.merge_cells(grid, region).collect()}
     assert [got[k] for k in ((0, 0), (1, 0), (0, 1), (1, 1), (2, 2))] == [(2, "restart", False), (2, "continue", False), (1, "none", True), (1, "none", True), (1, "none", False)]
 
@@ -211,3 +211,156 @@ def test_headers_media_and_properties_survive_a_round_trip(spark):
     assert (s["width"], s["height"], s["orientation"], s["columns"]) == (16838, 11906, "landscape", 2)
     types = {t["part_key"]: t["content_type"] for t in one(model.content_types(nodes, parts))}
     assert types["word/header1.xml"] == "x/header" and types["word/media/image1.png"] == "image/png" and "word/media/none.png" not in types
+
+
+def test_nested_and_packed_fields(spark):
+    char = lambda kind, more="": f'<w:fldChar w:fldCharType="{kind}"{more}/>'
+    instr = lambda text: f"<w:instrText>{text}</w:instrText>"
+    packed = f"<w:p><w:r>{char('begin')}{instr('REF ')}{instr('bookmark')}{char('separate')}<w:t>see</w:t>{char('end')}</w:r></w:p>"
+    nested = f"<w:p><w:r>{char('begin', ' w:dirty="1"')}{instr('IF ')}</w:r><w:r>{char('begin')}{instr('PAGE')}{char('separate')}<w:t>3</w:t>{char('end')}</w:r><w:r>{instr(' = 1')}{char('separate')}<w:t>yes</w:t>{char('end')}</w:r><w:r><w:t>after</w:t></w:r></w:p>"
+    never = f"<w:p><w:r>{char('begin')}{instr('TIME')}{char('end')}</w:r><w:r>{char('end')}</w:r></w:p>"
+    _, nodes, runs = opened(spark, package(packed + nested + never))
+    got = sorted((f["code"], f["result"], f["dirty"]) for f in one(model.fields(nodes, runs)))
+    assert got == [("IF  = 1", "yes", True), ("PAGE", "3", False), ("REF bookmark", "see", False)]
+
+
+def test_break_kinds_and_several_drawings(spark):
+    drawing = '<w:drawing><wp:inline xmlns:wp="wp"><wp:docPr descr="%s"/></wp:inline></w:drawing>'
+    body = f'<w:p><w:r><w:br w:type="textWrapping"/><w:br w:type="Page"/><w:br w:type="odd"/><w:br/>{drawing % "a"}{drawing % "b"}</w:r></w:p>'
+    _, nodes, runs = opened(spark, package(body))
+    (r,) = one(runs)
+    assert r["breaks"] == ["line", "page", "line", "line"] and len(r["drawings"]) == 2
+
+
+def test_document_types_are_refused_in_any_encoding(spark):
+    evil = '<?xml version="1.0" encoding="UTF-16"?><!DOCTYPE a [<!ENTITY b "c">]><a>&b;</a>'
+    for data in (evil.encode("utf-16"), b'<!DOCTYPE a><a/>'):
+        with pytest.raises(ValueError):
+            source.flatten(data)
+    assert source.flatten(b"<a><![CDATA[<!DOCTYPE]]></a>")[0][7] == "<!DOCTYPE"
+    assert source.flatten('<?xml version="1.0" encoding="UTF-16"?><a>\u00e9</a>'.encode("utf-16"))[0][7] == "\u00e9"
+
+
+def test_a_damaged_member_costs_its_part(spark):
+    whole = package("<w:p><w:r><w:t>here</w:t></w:r></w:p>", word__media__image1_DOT_png=b"x" * 5000)
+    held = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(whole)) as old, zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for name in old.namelist():
+            z.writestr(name, old.read(name) if "media" not in name else bytes(range(256)) * 40)
+    data = bytearray(held.getvalue())
+    at = data.index(b"word/media/image1.png") + len("word/media/image1.png")
+    data[at + 5 : at + 60] = b"\xff" * 55
+    parts, nodes, runs = opened(spark, bytes(data))
+    assert [(e["code"], e["part"]) for e in one(source.errors(parts, nodes))] == [("IO_ERROR", "word/media/image1.png")]
+    assert [r["text"] for r in one(runs)] == ["here"]
+    docs = spark.createDataFrame([("0", data)], "doc_id string, content binary")
+    assert {p["kind"] for p in one(source.parts(docs, "document"))} == {"document"}
+    assert [p["error_message"] for p in one(source.parts(docs, most_bytes=10))] == ["unpacks to too many bytes"]
+
+
+def test_part_names_agree(spark):
+    names = ["./word\\Document.xml", "/word/a", ".//./x", ".hidden/y", "../up"]
+    got = [r.k for r in spark.createDataFrame([(n,) for n in names], "n string").select(scalars.part_name(F.col("n")).alias("k")).collect()]
+    assert got == [source.key_of(n) for n in names] and got[3] == ".hidden/y"
+
+
+def test_merges_refuse_overlap(spark):
+    grid = spark.range(9).selectExpr("1 as table_id", "cast(id div 3 as int) as row_idx", "cast(id % 3 as int) as col_idx")
+    regions = spark.createDataFrame([(1, 1, 0, 0, 2, 2), (1, 2, 1, 1, 2, 2), (1, 3, 2, 0, 1, 3), (1, 4, 2, 2, 2, 2)], "table_id int, region_id int, r0 int, c0 int, rows int, cols int")
+    got = edits.merge_cells(grid, regions)
+    assert got.count() == 9
+    assert {(r.row_idx, r.col_idx) for r in got.filter("grid_span > 1").collect()} == {(0, 0), (1, 0), (2, 0)}
+
+
+def test_row_edits_of_several_tables(spark):
+    cells = spark.range(12).selectExpr("cast(id div 6 as int) as table_id", "cast(id % 6 div 2 as int) as row_idx", "cast(id % 2 as int) as col_idx", "cast(id as string) as text")
+    at = spark.createDataFrame([(0, 1), (1, 4), (7, 0)], "table_id int, at int")
+    got = {(r.table_id, r.row_idx, r.col_idx): r.text for r in edits.insert_row(cells, at).collect()}
+    assert len(got) == 14 and got[(0, 1, 0)] is None and got[(0, 2, 0)] == "2" and got[(1, 1, 0)] == "8"
+    assert {r.table_id: r.violations for r in edits.row_violations(cells, at, 1).collect()} == {0: [], 1: ["row"], 7: ["table"]}
+    left = {(r.table_id, r.row_idx, r.col_idx): r.text for r in edits.delete_row(cells, at).collect()}
+    assert len(left) == 10 and left[(0, 1, 0)] == "4" and (0, 2, 0) not in left
+
+
+def test_relationships_and_media_edits(spark):
+    rels = spark.createDataFrame([("d", "rId3", "image", "a.png", ""), ("d", "own", "image", "b.png", "")], "doc_id string, rel_id string, rel_type string, target string, target_mode string")
+    added = spark.createDataFrame([("d", "hyperlink", "http://x", "External"), ("e", "header", "header1.xml", "Internal"), ("d", "", "y", None)], "doc_id string, rel_type string, target string, target_mode string")
+    got = {(r.doc_id, r.rel_id): (r.target, r.target_mode) for r in structure.add_relationships(rels, added).collect()}
+    assert got[("d", "rId4")] == ("http://x", "External") and got[("e", "rId1")] == ("header1.xml", "") and len(got) == 4
+    more = structure.register_relationships(rels, spark.createDataFrame([("d", "rId3", "t", "taken", ""), ("d", "rId9", "t", "new", "internal")], rels.schema))
+    assert {r.rel_id: r.target for r in more.collect()} == {"rId3": "a.png", "own": "b.png", "rId9": "new"}
+    asked = spark.createDataFrame([("d", "own"), ("d", "nobody")], "doc_id string, rel_id string")
+    assert structure.remove(rels, asked).count() == 1 and [r.rel_id for r in structure.not_found(rels, asked).collect()] == ["nobody"]
+    media = spark.createDataFrame([("d", "img1", "media/image1.png", "image/png", bytearray(b"a"))], "doc_id string, media_id string, target string, content_type string, data binary")
+    new = structure.add_media(media, spark.createDataFrame([("d", 1, "x.JPG", bytearray(b"b")), ("e", 0, "y.gif", bytearray(b"c"))], "doc_id string, place int, name string, data binary"))
+    assert sorted((r.doc_id, r.media_id, r.target, r.content_type) for r in new.collect()) == [("d", "img1", "media/image1.png", "image/png"), ("d", "img2", "media/image2.jpg", "image/jpeg"), ("e", "img1", "media/image1.gif", "image/gif")]
+
+
+def test_custom_styles_defaults_and_lookups(spark):
+    base = styles.catalogue(spark)
+    mine = spark.createDataFrame([styles.paragraph_style("Mine", "My own", size=30, bold=True)], "style_id string, name string, type string, based_on string, is_default boolean, is_custom boolean, size int, bold boolean")
+    every = styles.with_styles(base, mine)
+    gone = spark.createDataFrame([("Mine",), ("Title",)], "style_id string")
+    assert {r.style_id for r in every.collect()} - {r.style_id for r in styles.without_styles(every, gone, base).collect()} == {"Mine"}
+    assert [r.style_id for r in styles.with_default(every, "Mine").filter("is_default and type = 'paragraph'").collect()] == ["Mine"]
+    p = spark.createDataFrame([("Mine",), (None,), ("Nobody",)], "style_id string")
+    assert {r.style_id: r.style and r.style.name for r in model.paragraph_styles(p, every).collect()} == {"Mine": "My own", None: "Normal", "Nobody": None}
+    sheet = sink.style_sheets(every.fillna(False, ["is_custom"])).first().styles_xml
+    assert '<w:style w:type="paragraph" w:customStyle="1" w:styleId="Mine"><w:name w:val="My own"/><w:basedOn w:val="Normal"/><w:rPr><w:b/><w:sz w:val="30"/>' in sheet
+    f = spark.range(1).select(styles.field(F.lit("HYPERLINK"), F.lit("http://x"), F.lit("X")).alias("a"), styles.field(F.lit("PAGE")).alias("b"), styles.field(F.lit("SEQ"), F.lit("Table")).alias("c")).first()
+    assert (f.a.code, f.a.result, f.b.code, f.b.result, f.c.code) == ('HYPERLINK "http://x"', "X", "PAGE", "1", "SEQ Table")
+    q = spark.createDataFrame([(x,) for x in ("#F00", "abcdef", "abcd", None)], "c string").select(scalars.is_color(F.col("c")).alias("k"), scalars.default_position().alias("p")).collect()
+    assert [r.k for r in q] == [True, True, False, False] and q[0].p.wrap == "square"
+
+
+def test_packages_are_rewritten_around_what_is_kept(spark):
+    old = package("<w:p/>", customXml__item1_DOT_xml=b"<kept/>")
+    docs = spark.createDataFrame([("a", bytearray(old)), ("b", bytearray(b"no archive")), ("c", bytearray(old))], "doc_id string, content binary")
+    new = spark.createDataFrame([("a", "/word/Document.xml", bytearray(b"<new/>")), ("a", "word/more.xml", bytearray(b"<more/>")), ("b", "x", bytearray(b"y"))], "doc_id string, part_name string, data binary")
+    got = {r.doc_id: bytes(r.content) for r in sink.rewrite(docs, new).collect()}
+    assert got["b"] == b"no archive" and got["c"] == old
+    with zipfile.ZipFile(io.BytesIO(got["a"])) as z:
+        assert z.namelist() == ["[Content_Types].xml", "word/document.xml", "word/_rels/document.xml.rels", "customXml/item1.xml", "word/more.xml"]
+        assert z.read("word/document.xml") == b"<new/>" and z.read("customXml/item1.xml") == b"<kept/>"
+
+
+def test_files_backgrounds_bookmarks_and_times(spark, tmp_path):
+    runs = spark.createDataFrame([("a/1", 0, 0, "x"), ("b", 0, 0, "y")], "doc_id string, block_idx int, run_idx int, text string")
+    about = spark.createDataFrame([("a/1", 0, 0, "_Toc0"), ("b", 0, None, None)], "doc_id string, block_idx int, bookmark_id int, bookmark_name string")
+    back = spark.createDataFrame([("b", "00ff00")], "doc_id string, color string")
+    meta = spark.createDataFrame([("a/1", "2024-01-02T03:04:05Z")], "doc_id string, created string")
+    content = sink.assemble(sink.document_xml(sink.paragraph_xml(runs, about), backgrounds=back), meta)
+    where = "file://" + str(tmp_path / "out")
+    for _ in range(2):  # a second run replaces the files
+        files = sink.write_files(content, where)
+    assert sorted(r.file for r in files.collect()) == ["a%2F1.docx", "b.docx"] and sorted(p.name for p in (tmp_path / "out").glob("*.docx")) == ["a%2F1.docx", "b.docx"]
+    read = source.packages(spark, where)
+    nodes = source.nodes(source.parts(read))
+    assert [r.color for r in model.background(nodes).collect()] == ["00FF00"]
+    assert [(r.bookmark_id, r.bookmark_name) for r in model.bookmarks(nodes).collect()] == [("0", "_Toc0")]
+    assert {r.created for r in model.core_properties(nodes).collect()} == {"2024-01-02T03:04:05Z", None}
+    assert {(r.width, r.margin_top, r.columns) for r in model.sections(nodes).collect()} == {(11906, 1440, 1)}
+
+
+def test_default_section_and_table_properties(spark):
+    body = '<w:tbl><w:tblPr><w:tblStyle w:val="TableGrid"/><w:tblW w:type="dxa" w:w="5000"/><w:jc w:val="center"/></w:tblPr><w:tr><w:trPr><w:trHeight w:val="400"/></w:trPr><w:tc><w:p/></w:tc></w:tr></w:tbl>'
+    _, nodes, _ = opened(spark, package(body))
+    (t,) = one(model.table_properties(nodes))
+    assert (t["style_id"], t["alignment"], t["width_type"], t["width"]) == ("TableGrid", "center", "dxa", 5000)
+    assert [r["height"] for r in one(model.row_heights(nodes))] == [400]
+    assert [(s["width"], s["height"], s["margin_header"], s["section_idx"]) for s in one(model.sections(nodes))] == [(11906, 16838, 720, 0)]
+    cells = spark.createDataFrame([("d", 0, 0, 0, "a\nb", 400, "TableGrid", "center", 5000)], "doc_id string, block_idx int, row_idx int, col_idx int, text string, row_height int, table_style string, table_alignment string, table_width int")
+    _, nodes, runs = opened(spark, sink.assemble(sink.document_xml(sink.table_xml(cells))).first().content)
+    (t,) = one(model.table_properties(nodes))
+    assert (t["style_id"], t["alignment"], t["width"]) == ("TableGrid", "center", 5000) and [r["height"] for r in one(model.row_heights(nodes))] == [400]
+    assert [c["text"] for c in one(model.table_cells(nodes, model.paragraphs(nodes, runs)))] == ["a\nb"]
+
+
+def test_header_assignment(spark):
+    sections = spark.createDataFrame([("d", 0), ("d", 1)], "doc_id string, section_idx int")
+    given = spark.createDataFrame([("d", 1, "header", "default", "rId7"), ("d", 1, "header", "default", "rId6"), ("d", 1, "footer", "first", "rId8")], "doc_id string, section_idx int, kind string, type string, rel_id string")
+    got = {r.section_idx: r.references and [tuple(x) for x in r.references] for r in structure.assign_headers(sections, given).collect()}
+    assert got == {0: None, 1: [("footer", "first", "rId8"), ("header", "default", "rId6")]}
+    last = structure.assign_headers(sections, given).filter("section_idx = 1").withColumn("block_idx", F.lit(None).cast("int"))
+    block = spark.createDataFrame([("d", 0, "<w:p/>")], "doc_id string, block_idx int, xml string")
+    assert '<w:headerReference w:type="default" r:id="rId6"/>' in sink.document_xml(block, sections=last).first().document_xml
