@@ -11,7 +11,7 @@ from .langid import op1
 from .mixing import op7
 from .ngram_join import op8
 from .quality import op9
-from .rules import SQL3, op3
+from .rules import SQL3, SQL3_ABLATIONS, op3, op3_ablations
 from .secrets import op5
 from .shards import op4
 from .toxicity import op6
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1,
     "op2_url_association_rules": op2,
     "op3_quality_rules": op3,
+    "quality_rule_ablations": op3_ablations,
     "op4_two_pass_shuffle": op4,
     "op5_randomness_battery": op5,
     "op6_levenshtein_toxicity": op6,
@@ -31,5 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 SQL: dict[str, str] = {
     "op3_quality_rules": SQL3,
+    "quality_rule_ablations": SQL3_ABLATIONS,
     "op10_decontamination": SQL10,
 }

@@ -126,7 +126,13 @@ def ablations(rows: DataFrame) -> DataFrame:
     return both.groupBy("policy", "rule").agg(count(hit.bitwiseAND(F.col("bit")) != 0)("failed"), count(hit == F.col("bit"))("failed_alone"), count(hit == 0)("kept"), count(without == 0)("kept_without"))
 
 
+def op3_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all documents, per policy and rule: what it fails, fails alone, what the policy keeps, and keeps without the rule."""
+    return ablations(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ledger row: measurements, failure bits and verdicts; a null text counts as empty."""
     rows = ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     rows = apply_policy(rows, "v2").withColumn("base_failed", F.col("failures").bitwiseAND(F.lit(POLICIES["base"]).cast("long")) != 0)
     return rows.select("doc_id", *MEASURES[:5], "base_failed", "kept", "failures", *MEASURES[5:])
@@ -148,3 +154,9 @@ f AS (SELECT *, (@BITS)::BIGINT AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept,
        failures, n_lines, n_upper, n_lower FROM f
 """.replace("@BITS", " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, (_, rule) in enumerate(RULES)))
+
+SQL3_ABLATIONS = f"""
+WITH l AS ({SQL3}), p(policy, mask) AS (VALUES {", ".join(f"('{p}', {m})" for p, m in POLICIES.items())}), r(rule, bit) AS (VALUES {", ".join(f"('{name}', {1 << i})" for i, (name, _) in enumerate(RULES))})
+SELECT policy, rule, count(*) FILTER (WHERE failures & mask & bit <> 0) AS failed, count(*) FILTER (WHERE failures & mask = bit) AS failed_alone,
+count(*) FILTER (WHERE failures & mask = 0) AS kept, count(*) FILTER (WHERE failures & (mask - bit) = 0) AS kept_without FROM l, p, r WHERE mask & bit <> 0 GROUP BY policy, rule
+"""

@@ -8,7 +8,15 @@ the alphabet and a lag-1 serial correlation, combined by Bonferroni.  Words,
 paths and identifiers have tiny p values.  Benjamini-Hochberg within each
 stratum of encoding and length class chooses, from histograms of p, which
 tokens are dismissed as structured, so that at most ``fdr`` of the dismissed
-are random in expectation; the others are reported as ``random`` spans.
+are random in expectation.
+
+What is reported is controlled too.  A model of the corpus' own text, counts of
+neighbouring characters in all of its shorter words, gives every token a second
+p value, under the hypothesis "made as words are" (its likelihood against mean
+and spread of the words').  Benjamini-Hochberg in the same strata chooses the
+tokens that are not, so that at most ``fdr`` of them are text in expectation.
+``random`` spans are the tokens that pass both: not shown to be structured, and
+shown not to be text.
 
 Everything is DataFrame expressions: offsets come from splitting a text at
 the matches and summing lengths.
@@ -16,6 +24,8 @@ the matches and summing lengths.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +39,12 @@ TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 ALPHABET = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Characters of the text model: others, a to z whatever their case, digits.
+SYMBOLS = 28
+#: Neighbouring characters a corpus must have for the text test to be applied.
+LEAST_PAIRS = 10000
+
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -103,29 +119,81 @@ def randomness(tokens: DataFrame, column: str = "token") -> DataFrame:
     return t.withColumn("p", p).drop(*(c for c in t.columns if c.startswith("_")))
 
 
-def dismissed_from(tokens: DataFrame, fdr: float) -> DataFrame:
-    """(encoding, length_class, level): per stratum the -log p level from which Benjamini-Hochberg dismisses.
+def _pairs(word: Column) -> Column:
+    """The neighbouring characters of a word as numbers below SYMBOLS squared."""
+    symbols = F.transform(F.filter(F.split(F.lower(word), ""), lambda c: c != ""), lambda c: F.when(c.rlike("[0-9]"), SYMBOLS - 1).otherwise(F.instr(F.lit(LETTERS), c)))
+    return F.transform(F.array(symbols), lambda x: F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: a * SYMBOLS + b))[0]
+
+
+def _likelihood(pairs: Column, weights: list[float]) -> Column:
+    table = F.array(*map(F.lit, weights))
+    return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + F.get(table, x))
+
+
+def text_model(docs: DataFrame) -> tuple[list[float], float, float] | None:
+    """(log p of each character after another, their mean and spread per pair) over the words of all texts.
+
+    Words are the runs of token characters that are too short for a token,
+    counted once per word and weighted by their count; the driver gets a number
+    for each pair of symbols.  None where the corpus has under LEAST_PAIRS.
+    """
+    words = docs.filter("text is not null").select(F.explode(F.split("text", "[^A-Za-z0-9+/_=-]+")).alias("word")).filter(F.length("word").between(2, 19))
+    words = written(words.groupBy("word").agg(F.count("*").alias("n")), "words")
+    counts = {r.pair: r.n for r in words.select("n", F.explode(_pairs(F.col("word"))).alias("pair")).groupBy("pair").agg(F.sum("n").alias("n")).collect()}
+    if sum(counts.values()) < LEAST_PAIRS:
+        return None
+    before = [sum(counts.get(a * SYMBOLS + b, 0) for b in range(SYMBOLS)) for a in range(SYMBOLS)]
+    weights = [math.log((counts.get(a * SYMBOLS + b, 0) + 0.5) / (before[a] + 0.5 * SYMBOLS)) for a in range(SYMBOLS) for b in range(SYMBOLS)]
+    mean = sum(counts.get(i, 0) * w for i, w in enumerate(weights)) / sum(counts.values())
+    k = F.length("word") - 1
+    off = _likelihood(_pairs(F.col("word")), weights) - k * mean
+    spread = words.agg((F.sum(F.col("n") * F.pow(off, 2)) / F.sum(F.col("n") * k)).alias("v")).first().v
+    return weights, mean, math.sqrt(max(spread, 1e-6))
+
+
+def texture(tokens: DataFrame, model: tuple[list[float], float, float], column: str = "token") -> DataFrame:
+    """Add p_text: how likely a word made as the corpus' words are would be as unlikely as the token."""
+    weights, mean, spread = model
+    k = F.length(column) - 1
+    z = (_likelihood(_pairs(F.col(column)), weights) - k * mean) / (spread * F.sqrt(k.cast("double")))
+    return tokens.withColumn("p_text", F.greatest(F.least(F.lit(1.0), normal_tail(-z)), F.lit(1e-300)))
+
+
+def rejected_from(tokens: DataFrame, fdr: float, level: str = "level") -> DataFrame:
+    """(encoding, length_class, start): per stratum the -log p level from which Benjamini-Hochberg rejects.
 
     p is counted in 400 levels of -10 ln p (each taken at its largest p, so the
     rate is kept); a stratum's window has 400 rows whatever the corpus.
     """
-    counts = tokens.groupBy("encoding", "length_class", "level").agg(F.count("*").alias("n"))
+    counts = tokens.groupBy("encoding", "length_class", F.col(level).alias("level")).agg(F.count("*").alias("n"))
     of = Window.partitionBy("encoding", "length_class")
     rank = F.sum("n").over(of.orderBy(F.desc("level")))
     passed = counts.select("encoding", "length_class", "level", (F.exp(-F.col("level") / 10.0) <= fdr * rank / F.sum("n").over(of)).alias("ok"))
-    return passed.filter("ok").groupBy("encoding", "length_class").agg(F.min("level").alias("dismissed"))
+    return passed.filter("ok").groupBy("encoding", "length_class").agg(F.min("level").alias("start"))
+
+
+def _level(p: str) -> Column:
+    return F.least(F.floor(-10 * F.ln(p)), F.lit(400)).cast("int")
 
 
 def random_spans(docs: DataFrame, fdr: float = 0.01) -> DataFrame:
-    """(k1, k2, found): per text the spans of tokens that pass as random, outside its base spans."""
+    """(k1, k2, found): per text the spans of tokens outside its base spans that are not shown to be structured and shown not to be text.
+
+    In a corpus too small for a text model only the first is asked.
+    """
     texts = docs.filter(F.col("text").rlike(TOKEN)).select(*text_key(F.col("text")), "text")
     t = texts.select("k1", "k2", "text", base_spans(F.col("text")).alias("base"), F.explode(spans(F.col("text"), TOKEN, 3)).alias("s"))
     t = t.filter(~F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (F.col("s.start") < b["end"])))
     t = t.select("k1", "k2", "s", F.expr("substring(text, s.start + 1, s.end - s.start)").alias("token"))
     t = t.groupBy("k1", "k2", "s").agg(F.first("token").alias("token"))  # a copied text counts once
-    t = randomness(t).withColumn("length_class", F.floor(F.log2(F.length("token"))).cast("int")).withColumn("level", F.least(F.floor(-10 * F.ln("p")), F.lit(400)).cast("int"))
+    model = text_model(docs)
+    t = texture(t, model) if model else t.withColumn("p_text", F.lit(None).cast("double"))
+    t = randomness(t).withColumn("length_class", F.floor(F.log2(F.length("token"))).cast("int")).withColumn("level", _level("p")).withColumn("text_level", _level("p_text"))
     t = written(t.drop("token"), "tokens")
-    kept = t.join(dismissed_from(t, fdr), ["encoding", "length_class"], "left").filter("dismissed is null or level < dismissed")
+    of = ["encoding", "length_class"]
+    kept = t.join(rejected_from(t, fdr).withColumnRenamed("start", "dismissed"), of, "left").filter("dismissed is null or level < dismissed")
+    if model:
+        kept = kept.join(rejected_from(t, fdr, "text_level").withColumnRenamed("start", "told"), of).filter("text_level >= told")
     return kept.groupBy("k1", "k2").agg(F.collect_list("s").alias("found"))
 
 
@@ -150,6 +218,7 @@ def _listed(column: Column) -> Column:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base spans, counted and digested, and all its spans; a null text counts as empty."""
     out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     every = F.array_sort(F.concat("base", "found"))

@@ -203,6 +203,10 @@ def test_rule_measurements(docs, empty):
     assert rules.ledger(empty).count() == 0
 
 
+def test_ablations_against_sql(spark):
+    assert rules.op3_ablations(spark, DATA).count() == sum(bin(m).count("1") for m in rules.POLICIES.values())
+
+
 def test_policies_and_ablations(docs):
     rows = rules.ledger(docs).cache()
     failed = [r.failures for r in rows.collect()]
@@ -308,6 +312,72 @@ def test_randomness_tells_keys_from_words(spark):
     assert got.count() == len(keys + prose) and sum(n[: len(keys)]) >= 57 and sum(n[len(keys) :]) <= 2
 
 
+def test_reported_tokens_are_controlled(spark):
+    r = random.Random(21)
+    parts = ["tion", "ther", "ing", "con", "ment", "ver", "al", "ret", "sou", "lan", "per", "est", "ma", "ni"]
+    vocabulary = ["".join(r.choice(parts) for _ in range(r.randint(1, 4))) for _ in range(500)]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(60)) for _ in range(150)]
+    camel = []
+    while len(camel) < 150:
+        name = r.choice(vocabulary) + "".join(r.choice(vocabulary).capitalize() for _ in range(3))
+        if 20 <= len(name) < 64:
+            camel.append(name)
+    keys = ["".join(r.choice(secrets.ALPHABET["base64"]) for _ in range(40)) for _ in range(60)]
+    df = spark.createDataFrame([(i, f"{texts[i % 150]} {x} end") for i, x in enumerate(camel + keys)], "doc_id long, text string")
+    n = [x.n for x in secrets.scan(df).orderBy("doc_id").select(F.size("found").alias("n")).collect()]
+    assert sum(n[:150]) <= 2 and sum(n[150:]) >= 56
+    # the text model and p values by the definition
+    weights, mean, spread = model = secrets.text_model(df)
+    symbol = lambda c: 27 if c in "0123456789" else secrets.LETTERS.find(c) + 1
+    pairs = lambda w: [symbol(a) * 28 + symbol(b) for a, b in zip(w.lower(), w.lower()[1:], strict=False)]
+    used = collections.Counter(w for x in df.collect() for w in re.findall("[A-Za-z0-9+/_=-]+", x.text) if 2 <= len(w) <= 19)
+    counts = collections.Counter()
+    for w, k in used.items():
+        for q in pairs(w):
+            counts[q] += k
+    before = collections.Counter()
+    for q, k in counts.items():
+        before[q // 28] += k
+    want = [math.log((counts[q] + 0.5) / (before[q // 28] + 14)) for q in range(784)]
+    assert weights == pytest.approx(want) and mean == pytest.approx(sum(k * want[q] for q, k in counts.items()) / sum(counts.values()))
+    off = {w: sum(want[q] for q in pairs(w)) - (len(w) - 1) * mean for w in used}
+    assert spread**2 == pytest.approx(sum(k * off[w] ** 2 for w, k in used.items()) / sum(k * (len(w) - 1) for w, k in used.items()))
+    some = spark.createDataFrame([(x,) for x in camel[:20] + keys[:5]], "token string")
+    for x in secrets.texture(some, model).collect():
+        z = (sum(want[q] for q in pairs(x.token)) - (len(x.token) - 1) * mean) / (spread * math.sqrt(len(x.token) - 1))
+        assert x.p_text == pytest.approx(max(0.5 * math.erfc(-z / math.sqrt(2)), 1e-300), rel=1e-2, abs=1e-6)
+
+
+def test_battery_p_values_and_rejection_replayed(spark):
+    r = random.Random(22)
+    tokens = ["".join(r.choice(secrets.ALPHABET[k]) for _ in range(n)) for k in secrets.ALPHABET for n in (20, 33, 64)] + ["a" * 25, "abcdefghijklmnopqrstuvwxyz", "Zz" * 15]
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    for x in secrets.randomness(spark.createDataFrame([(t,) for t in tokens], "token string")).collect():
+        kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", x.token) else "base32" if re.fullmatch("[A-Z2-7]+", x.token) else "base64"
+        assert x.encoding == kind
+        a, v = len(secrets.ALPHABET[kind]), [secrets.ALPHABET[kind].index(c) for c in (x.token.lower() if kind == "hex" else x.token)]
+        n = len(v)
+        chi2 = sum(k * k for k in collections.Counter(v).values()) * a / n - n
+        q = 2 / (9 * (a - 1))
+        p1 = tail(((max(chi2, 0) / (a - 1)) ** (1 / 3) - (1 - q)) / math.sqrt(q))
+        up = [y >= a / 2 for y in v]
+        n1, runs = sum(up), 1 + sum(l != m for l, m in zip(up, up[1:], strict=False))  # noqa: E741
+        m = 2 * n1 * (n - n1) / n + 1
+        var = (m - 1) * (m - 2) / (n - 1)
+        p2 = 2 * tail(abs(runs - m) / math.sqrt(var)) if var > 0 else 2.0 ** (1 - n)
+        mean = sum(v) / n
+        ss, cov = sum((y - mean) ** 2 for y in v), sum((y - mean) * (z - mean) for y, z in zip(v, v[1:], strict=False))
+        p3 = 2 * tail(abs(cov / ss) * math.sqrt(n)) if ss > 0 else 2.0 ** (1 - n)
+        assert (x.p_chi2, x.p_runs, x.p_serial) == pytest.approx((p1, p2, p3), abs=1e-6)
+        assert x.p == pytest.approx(max(min(1, 3 * min(x.p_chi2, x.p_runs, x.p_serial)), 1e-300))
+    rows = [(r.choice(["hex", "base64"]), r.randint(4, 6), min(400, int(r.expovariate(1 / r.choice([10, 80]))))) for _ in range(3000)]
+    got = {(x.encoding, x.length_class): x.start for x in secrets.rejected_from(spark.createDataFrame(rows, "encoding string, length_class int, level int"), 0.05).collect()}
+    for key in {x[:2] for x in rows}:
+        p = sorted(math.exp(-x[2] / 10) for x in rows if x[:2] == key)
+        passed = [q for i, q in enumerate(p, 1) if q <= 0.05 * sum(y <= q for y in p) / len(p)]
+        assert got.get(key) == (round(-10 * math.log(max(passed))) if passed else None)
+
+
 def test_normal_tail(spark):
     z = [-3.0, -1.0, 0.0, 0.5, 1.96, 4.0, 8.0]
     got = [x.p for x in spark.createDataFrame([(x,) for x in z], "z double").select(secrets.normal_tail(F.col("z")).alias("p")).collect()]
