@@ -1,15 +1,20 @@
-"""A small fluent builder: one document's rows, validated, ready for the sink.
+"""Fluent builders: rows of documents, validated, ready for the sink.
 
-The first error sticks: ``build`` then returns no rows but the error.
+``Template`` makes a document of every row of a DataFrame, as Spark expressions;
+``DocumentBuilder`` makes a single one by hand.  In the latter the first error
+sticks: ``build`` then returns no rows but the error.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ooxml
+from .operators import edits
+from .sinks import docx as sink
 
 _RUNS = "doc_id string, block_idx int, run_idx int, text string, bold boolean, italic boolean, underline string, color string, size int"
 _PARAGRAPHS = "doc_id string, block_idx int, style_id string, alignment string"
@@ -109,3 +114,107 @@ class ParagraphBuilder:
 
     def end(self) -> DocumentBuilder:
         return self.document
+
+
+def _value(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+#: Formatting of a template's runs, paragraphs, cells and sections, with the types of the model.
+_RUN = {"font": "string", "size": "int", "color": "string", "bold": "boolean", "italic": "boolean", "strike": "boolean", "underline": "string", "highlight": "string"}
+_PARAGRAPH = {"style_id": "string", "alignment": "string", "line_rule": "string"} | dict.fromkeys(("indent_left", "indent_right", "first_line", "hanging", "spacing_before", "spacing_after", "line_value", "num_id", "num_level"), "int") | {f"border_{s}": "struct<style:string,size:bigint,color:string>" for s in ooxml.BORDER_SIDES}
+_CELL = {"width": "int", "v_align": "string", "shading": "string", "table_style": "string", "table_alignment": "string", "table_width": "int", "row_height": "int"} | {f"border_{s}": "struct<style:string,size:bigint,color:string>" for s in ooxml.BORDER_SIDES}
+_SECTION = {"width": "int", "height": "int", "orientation": "string", "columns": "int", "break_type": "string"} | {f"margin_{m}": "int" for m in ooxml.MARGINS}
+_KEYS = {"runs": ("block_idx", "run_idx"), "paragraphs": ("block_idx",), "cells": ("block_idx", "row_idx", "col_idx"), "sections": ("section_idx", "block_idx")}
+
+
+class Template:
+    """One document for each row of ``rows``, every value a Column of the row or a constant.
+
+    ``Template(customers, "c_custkey").paragraph("Heading1").text(F.col("c_name"), bold=True).table([["a", F.col("b")]]).section(columns=2).packages()``
+
+    What the template itself gets wrong (a run before any paragraph, an
+    unknown property, a table of no or too many cells) raises ValueError; a
+    row's value out of range is left out and named in the ``violations`` of
+    the rows that ``build`` returns.  A null text is an empty one.  Rows that
+    share a key would share a document, so the key must be unique.
+    """
+
+    def __init__(self, rows: DataFrame, key: str, title: Column | str | None = None, creator: Column | str | None = None) -> None:
+        self.rows, self.key = rows, key
+        self.metadata = {k: _value(v) for k, v in (("title", title), ("creator", creator)) if v is not None}
+        self._made: dict[str, list[dict]] = {k: [] for k in _KEYS}
+        self._blocks = 0
+        self._runs = -1  # of the last paragraph; -1: no paragraph is open
+
+    def _add(self, kind: str, known: dict[str, str], values: dict, **at) -> None:
+        unknown = values.keys() - known.keys()
+        if unknown:
+            raise ValueError(f"{kind} have no {', '.join(sorted(unknown))}")
+        self._made[kind].append(at | {c: _value(v).cast(known[c]) for c, v in values.items()})
+
+    def paragraph(self, style_id: Column | str | None = None, **properties) -> Template:
+        self._add("paragraphs", _PARAGRAPH, properties | ({"style_id": style_id} if style_id is not None else {}), block_idx=self._blocks)
+        self._blocks, self._runs = self._blocks + 1, 0
+        return self
+
+    def text(self, text: Column | str, **formatting) -> Template:
+        """A run of the last paragraph."""
+        if self._runs < 0:
+            raise ValueError("text before any paragraph")
+        self._add("runs", _RUN, formatting, block_idx=self._blocks - 1, run_idx=self._runs, text=F.coalesce(_value(text).cast("string"), F.lit("")))
+        self._runs += 1
+        return self
+
+    def table(self, cells: list[list[Column | str]], **properties) -> Template:
+        """A table; ``properties`` hold for all of its cells."""
+        wide = max(map(len, cells), default=0)
+        if not (ooxml.ROWS[0] <= len(cells) <= ooxml.ROWS[1] and ooxml.COLS[0] <= wide <= ooxml.COLS[1]):
+            raise ValueError(f"a table of {len(cells)} x {wide}")
+        for r, line in enumerate(cells):
+            for c, text in enumerate(line):
+                self._add("cells", _CELL, properties, block_idx=self._blocks, row_idx=r, col_idx=c, text=F.coalesce(_value(text).cast("string"), F.lit("")))
+        self._blocks, self._runs = self._blocks + 1, -1
+        return self
+
+    def section(self, last: bool = False, **properties) -> Template:
+        """Ends a section here; ``last`` sets the document's final one."""
+        self._add("sections", _SECTION, properties, section_idx=len(self._made["sections"]), block_idx=None if last else self._blocks)
+        self._blocks, self._runs = self._blocks + (not last), -1
+        return self
+
+    def build(self) -> dict[str, DataFrame]:
+        """The kinds there are of runs, paragraphs, cells and sections, with ``violations``."""
+        known = {"runs": _RUN, "paragraphs": _PARAGRAPH, "cells": _CELL, "sections": _SECTION}
+        rules = {"runs": edits.set_run, "paragraphs": edits.set_paragraph, "cells": edits.set_cell, "sections": edits.set_section}
+        out = {}
+        for kind, made in self._made.items():
+            if not made:
+                continue
+            keys = [*_KEYS[kind], *(["text"] if kind in ("runs", "cells") else [])]
+            used = [c for c in known[kind] if any(c in m for m in made)]
+            null = lambda m, c: F.lit(None).cast(known[kind][c]) if c not in m else m[c]  # noqa: B023, E731
+            one = [F.struct(*((m[c] if isinstance(m[c], Column) else F.lit(m[c]).cast("int")).alias(c) for c in keys), *(null(m, c).alias(c) for c in used)) for m in made]
+            each = self.rows.select(F.col(self.key).cast("string").alias("doc_id"), F.explode(F.array(*one)).alias("made"))
+            bare = each.select("doc_id", *(F.col(f"made.{c}").alias(c) for c in keys), *(F.lit(None).cast(known[kind][c]).alias(c) for c in used), "made")
+            out[kind] = rules[kind](bare, **{c: F.col(f"made.{c}") for c in used}).drop("made")
+        return out
+
+    def packages(self) -> DataFrame:
+        """doc_id, content: the packages of ``build``'s rows."""
+        if not self._blocks:
+            raise ValueError("an empty document")
+        made = {k: x.drop("violations") for k, x in self.build().items()}
+        blocks = []
+        if "paragraphs" in made:
+            runs = made.get("runs")
+            if runs is None:
+                runs = made["paragraphs"].select("doc_id", "block_idx", F.lit(0).alias("run_idx"), F.lit("").alias("text"))
+            blocks.append(sink.paragraph_xml(runs, made["paragraphs"]))
+        if "cells" in made:
+            blocks.append(sink.table_xml(made["cells"]))
+        rows = blocks[0] if blocks else made["sections"].select("doc_id", F.lit(0).alias("block_idx"), F.lit("").alias("xml"))
+        for more in blocks[1:]:
+            rows = rows.unionByName(more)
+        about = self.rows.select(F.col(self.key).cast("string").alias("doc_id"), *(c.cast("string").alias(k) for k, c in self.metadata.items())) if self.metadata else None
+        return sink.assemble(sink.document_xml(rows, sections=made.get("sections")), about)

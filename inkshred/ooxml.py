@@ -47,3 +47,7 @@ KNOWN_PARTS = {
     "docprops/core.xml": "core_properties", "docprops/app.xml": "app_properties", "docprops/custom.xml": "custom_properties",
 }
 ERROR_CODES = ("INVALID_STATE", "VALIDATION_ERROR", "IO_ERROR", "XML_ERROR", "NOT_FOUND", "UNSUPPORTED", "INTERNAL_ERROR")
+
+# Border lines, and the sides of a border in the order of the format.
+BORDER_LINES = ("none", "single", "dotted", "dashed", "double", "triple", "thick")
+BORDER_SIDES = ("top", "left", "bottom", "right")

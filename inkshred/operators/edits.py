@@ -31,7 +31,7 @@ def set_run(df: DataFrame, **values: Column) -> DataFrame:
 
 
 def set_paragraph(df: DataFrame, **values: Column) -> DataFrame:
-    """Set style_id, alignment, indents, spacing, line and numbering of paragraphs; first line and hanging exclude each other."""
+    """Set style_id, alignment, indents, spacing, line, numbering and borders of paragraphs; first line and hanging exclude each other."""
     v = values
     alone = {"first_line": "hanging", "hanging": "first_line"}
     rules = {
@@ -54,11 +54,18 @@ def set_section(df: DataFrame, **values: Column) -> DataFrame:
 
 
 def set_cell(df: DataFrame, **values: Column) -> DataFrame:
-    """Set width, v_align, grid_span, v_merge, shading or text of cells."""
+    """Set width, v_align, grid_span, v_merge, shading, borders or text of cells."""
     rules = {"width": lambda x: x >= 0, "v_align": lambda x: x.isin(*ooxml.CELL_ALIGNMENTS), "grid_span": lambda x: x >= 1, "v_merge": lambda x: x.isin(*ooxml.V_MERGES)}
     return set_values(df, values, {c: rules[c](x) for c, x in values.items() if c in rules})
 
 
+def border(style: Column | str, size: Column | int = 4, color: Column | str = "auto") -> Column:
+    """A side's value for border_top, border_left, border_bottom and border_right of paragraphs and cells; a line that is not known is none."""
+    said = lambda x: x if isinstance(x, Column) else F.lit(x)
+    line = said(style)
+    return F.struct(F.when(line.isin(*ooxml.BORDER_LINES), line).otherwise("none").alias("style"), said(size).cast("long").alias("size"), said(color).alias("color"))
+
+
 def replace_text(df: DataFrame, old: str, new: str, column: str = "text") -> DataFrame:
     """Runs whose whole text equals ``old`` get ``new``."""
     return df.withColumn(column, F.when(F.col(column) == old, F.lit(new)).otherwise(F.col(column)))

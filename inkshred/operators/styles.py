@@ -43,9 +43,21 @@ THEMES = {
 }
 _THEME_COLUMNS = (
     "theme string, primary string, secondary string, accent string, background string, text_color string, text_light string, heading_color string, body_font string, heading_font string, body_size int, "
-    "para_before int, para_after int, line int, heading_before int, heading_after int, section_space int, h1 int, h2 int, h3 int, h1_bold boolean, h2_bold boolean, h3_bold boolean, use_color boolean"
+    "para_before int, para_after int, line int, heading_before int, heading_after int, section_space int, h1 int, h2 int, h3 int, h1_bold boolean, h2_bold boolean, h3_bold boolean, use_color boolean, "
+    "muted string, success string, warning string, error string, monospace string, small_size int"
 )
 
+# What the presets name and applying them does not use: muted, success, warning, error colour, monospace font, size of small text.
+PALETTES = {
+    "corporate": ("D9D9D9", "00B050", "FFC000", "C00000", "Courier New", 18),
+    "startup": ("E5E5E5", "2ECC71", "F1C40F", "E74C3C", "Consolas", 18),
+    "modern": ("ECF0F1", "27AE60", "F39C12", "C0392B", "Consolas", 18),
+    "fintech": ("E0E0E0", "4CAF50", "FF9800", "D32F2F", "Courier New", 18),
+    "academic": ("C0C0C0", "008000", "FFA500", "8B0000", "Courier New", 20),
+    "tech-presentation": ("EEEEEE", "28A745", "FFC107", "DC3545", "Fira Code", 18),
+    "tech-darkmode": ("2D2D2D", "49CC90", "FFCB6B", "FF5555", "Fira Code", 18),
+}
+
 
 def catalogue(spark: SparkSession) -> DataFrame:
     """style_id, name, type, based_on, is_default and formatting of the built-in styles."""
@@ -80,7 +92,24 @@ def paragraph_style(style_id: str, name: str, based_on: str | None = "Normal", *
 
 
 def themes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, *v) for k, v in THEMES.items()], _THEME_COLUMNS)
+    """The presets, a row each; a variant is a row with other values (``withColumn``)."""
+    return spark.createDataFrame([(k, *v, *PALETTES[k]) for k, v in THEMES.items()], _THEME_COLUMNS)
+
+
+def apply_palette(runs: DataFrame, theme: DataFrame, role: str = "role") -> DataFrame:
+    """Runs (theme, a role, formatting) coloured by their role in a theme.
+
+    The roles are primary, secondary, accent, text, text_light, heading,
+    muted, success, warning, error; ``code`` takes the monospace font and
+    ``small`` the small size.  Other roles and themes leave a run as it is.
+    """
+    colors = {"primary": "primary", "secondary": "secondary", "accent": "accent", "text": "text_color", "text_light": "text_light", "heading": "heading_color"} | {c: c for c in ("muted", "success", "warning", "error")}
+    said = F.create_map(*(x for r, c in colors.items() for x in (F.lit(r), F.col(c))))
+    named = theme.select("theme", said.alias("_colors"), F.col("monospace").alias("_code"), F.col("small_size").alias("_small"))
+    old = lambda c: F.col(c) if c in runs.columns else F.lit(None)
+    out = runs.join(F.broadcast(named), "theme", "left")  # presets of a few rows
+    out = out.withColumns({"color": F.coalesce(F.col("_colors")[F.col(role)], old("color")), "font": F.coalesce(F.when(F.col(role) == "code", F.col("_code")), old("font")), "size": F.coalesce(F.when(F.col(role) == "small", F.col("_small")), old("size"))})
+    return out.drop("_colors", "_code", "_small")
 
 
 def apply_theme(styles: DataFrame, theme: DataFrame) -> DataFrame:

@@ -34,6 +34,11 @@ def on(value: Column) -> Column:
     return ~F.lower(F.coalesce(value, F.lit("true"))).isin("0", "false", "off")
 
 
+def _border() -> Column:
+    """A border side's line, its width in eighths of a point and its colour."""
+    return F.struct(F.lower(_attr("val")).alias("style"), strict_int(_attr("sz")).alias("size"), _attr("color").alias("color"))
+
+
 def paragraph_nodes(nodes: DataFrame) -> DataFrame:
     """Paragraph elements of bodies, cells, headers and footers with their container."""
     p = nodes.filter("tag = 'p'")
@@ -88,14 +93,14 @@ def runs(nodes: DataFrame) -> DataFrame:
 
 
 def paragraphs(nodes: DataFrame, run_rows: DataFrame) -> DataFrame:
-    """Every paragraph with container, style, alignment, spacing, indents, numbering and text.
+    """Every paragraph with container, style, alignment, spacing, indents, numbering, borders and text.
 
     The text is the run texts in order without separators; breaks add nothing.
     """
     p = paragraph_nodes(nodes)
-    props = nodes.filter(F.col("path").rlike(r"(^|/)p/pPr/([^/]+|numPr/[^/]+)$"))
+    props = nodes.filter(F.col("path").rlike(r"(^|/)p/pPr/((numPr|pBdr)/)?[^/]+$"))
     below = F.regexp_extract("path", r"(?:^|/)p/pPr/(.*)$", 1)
-    up = F.when(below.startswith("numPr/"), _up(3)).otherwise(_up(2))
+    up = F.when(below.contains("/"), _up(3)).otherwise(_up(2))
     one = lambda path, value: F.min(F.when(F.col("below") == path, value))
     props = props.withColumn("below", below).groupBy("doc_id", "part_key", up.alias("para")).agg(
         one("pStyle", _attr("val")).alias("style_id"),
@@ -110,6 +115,7 @@ def paragraphs(nodes: DataFrame, run_rows: DataFrame) -> DataFrame:
         one("ind", strict_int(_attr("hanging"))).alias("hanging"),
         one("numPr/numId", strict_int(_attr("val"))).alias("num_id"),
         one("numPr/ilvl", strict_int(_attr("val"))).alias("num_level"),
+        *(one(f"pBdr/{side}", _border()).alias(f"border_{side}") for side in ooxml.BORDER_SIDES),
     )
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run_idx", "text"))), lambda s: s["text"]), "")
     texts = run_rows.groupBy("doc_id", "part_key", "para").agg(text.alias("text"), F.count("*").alias("n_runs"))
@@ -184,11 +190,14 @@ def row_heights(nodes: DataFrame) -> DataFrame:
 
 
 def table_cells(nodes: DataFrame, paragraph_rows: DataFrame) -> DataFrame:
-    """doc_id, table, row_idx, col_idx, span, vertical merge and text of every cell of the body's tables, nested ones by their parent cell."""
+    """doc_id, table, row_idx, col_idx, span, vertical merge, borders and text of every cell of the body's tables, nested ones by their parent cell."""
     c = nodes.filter(F.col("path").rlike(r"(^|/)tbl/tr/tc$")).select("doc_id", "part_key", F.col("node").alias("cell"), _up(2).alias("table"), _up(1).alias("row"), F.when(F.col("path").rlike(r"/tc/tbl/tr/tc$"), _up(3)).alias("parent_cell"))
     c = c.withColumn("row_idx", F.dense_rank().over(Window.partitionBy("doc_id", "part_key", "table").orderBy("row")) - 1)
     c = c.withColumn("col_idx", F.row_number().over(Window.partitionBy("doc_id", "part_key", "row").orderBy("cell")) - 1)
-    props = nodes.filter(F.col("path").rlike(r"(^|/)tc/tcPr/(gridSpan|vMerge|tcW|vAlign|shd)$")).groupBy("doc_id", "part_key", _up(2).alias("cell")).agg(
+    sides = "|".join(ooxml.BORDER_SIDES)
+    props = nodes.filter(F.col("path").rlike(rf"(^|/)tc/tcPr/(gridSpan|vMerge|tcW|vAlign|shd|tcBorders/({sides}))$"))
+    props = props.groupBy("doc_id", "part_key", F.when(F.col("tag").isin(*ooxml.BORDER_SIDES), _up(3)).otherwise(_up(2)).alias("cell")).agg(
+        *(F.min(F.when(F.col("tag") == side, _border())).alias(f"border_{side}") for side in ooxml.BORDER_SIDES),
         F.min(F.when(F.col("tag") == "tcW", strict_int(_attr("w")))).alias("width"),
         F.min(F.when(F.col("tag") == "vAlign", F.lower(_attr("val")))).alias("v_align"),
         F.min(F.when(F.col("tag") == "shd", F.upper(_attr("fill")))).alias("shading"),

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..builder import Template
 from ..functions import scalars
 from ..operators import edits, structure, styles
 from ..sinks import docx as sink
@@ -255,6 +256,57 @@ def section_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.sections(nodes).select(F.col("doc_id").cast("long").alias("s_suppkey"), F.col("section_idx").cast("int").alias("section_idx"), "width", "orientation", F.col("columns").cast("int").alias("columns"), "break_type", "margin_right")
 
 
+def border_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Borders of a paragraph and of a table cell for every part, written and read back side by side."""
+    k = F.col("p_partkey")
+    p = _t(spark, sf_dir, "part")
+    pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (F.pmod(k, F.lit(len(values))) + 1).cast("int"))
+    line = pick("single", "dotted", "double", "none")
+    about = {"border_top": edits.border(line, k % 24 + 1, F.lpad(F.hex(k), 6, "0")), "border_left": edits.border(pick("thick", "none", "zigzag"), 8), "border_right": edits.border("dashed", 2, "FF0000")}
+    content = Template(p, "p_partkey").paragraph(**about).text(F.col("p_name")).table([[F.col("p_brand")]], border_bottom=about["border_top"], border_left=about["border_left"]).packages()
+    nodes = source.nodes(source.parts(content, "document"), "document")
+    got = model.paragraphs(nodes, model.runs(nodes))
+    sides = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"border_{s}").alias("b")) for s in ("top", "left", "bottom", "right")))).alias("x")
+    both = got.filter("container = 'body'").select("doc_id", F.lit("paragraph").alias("place"), sides).unionByName(model.table_cells(nodes, got).select("doc_id", F.lit("cell").alias("place"), sides))
+    return both.filter("x.b.style is not null").select(F.col("doc_id").cast("long").alias("p_partkey"), "place", "x.side", "x.b.style", "x.b.size", "x.b.color")
+
+
+def _letters(spark: SparkSession, sf_dir: str) -> Template:
+    """A letter for every customer: heading, two runs, a table and a landscape first section."""
+    c = _t(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    letter = Template(c, "c_custkey", title=F.col("c_name"), creator=F.col("c_mktsegment")).paragraph("Heading1", alignment="center").text(F.col("c_name"), bold=True)
+    letter.paragraph(spacing_before=k * 300).text("Segment ").text(F.col("c_mktsegment"), italic=k % 2 == 0, size=k)
+    return letter.table([["key", k], ["nation", F.col("c_nationkey")]], table_style="TableGrid").section(orientation="landscape", columns=k % 12).section(last=True)
+
+
+def template_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The letters written and read back: the blocks of each document with style, size and text."""
+    nodes = source.nodes(source.parts(_letters(spark, sf_dir).packages(), "document"), "document")
+    runs = model.runs(nodes)
+    p = model.paragraphs(nodes, runs)
+    sizes = runs.groupBy("doc_id", "para").agg(F.max("size").alias("size"), F.max("italic").alias("italic"))
+    texts = p.filter("container = 'body' and n_runs > 0").join(sizes, ["doc_id", "para"]).select("doc_id", F.col("para_idx").cast("int").alias("at"), F.lit("p").alias("kind"), F.col("style_id").alias("style"), "text", F.col("size").cast("long").alias("size"), "italic", "spacing_before")
+    cells = model.table_cells(nodes, p).select("doc_id", (F.col("row_idx") * 2 + F.col("col_idx")).cast("int").alias("at"), F.lit("tc").alias("kind"), F.lit(None).cast("string").alias("style"), "text")
+    sections = model.sections(nodes).select("doc_id", F.col("section_idx").cast("int").alias("at"), F.lit("sect").alias("kind"), F.col("orientation").alias("style"), F.col("columns").cast("string").alias("text"))
+    out = texts.unionByName(cells, allowMissingColumns=True).unionByName(sections, allowMissingColumns=True)
+    return out.withColumn("c_custkey", F.col("doc_id").cast("long")).drop("doc_id")
+
+
+def template_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the letters ask for and may not have."""
+    made = _letters(spark, sf_dir).build()
+    each = [x.select(F.col("doc_id").cast("long").alias("c_custkey"), F.lit(kind).alias("kind"), F.explode("violations").alias("violation")) for kind, x in made.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+
+
+def theme_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event's run coloured by its role in a theme."""
+    pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (F.pmod("event_id", F.lit(len(values))) + 1).cast("int"))
+    runs = _t(spark, sf_dir, "events").select("event_id", pick("corporate", "academic", "tech-darkmode", "none").alias("theme"), pick("muted", "success", "warning", "error", "code", "small", "primary").alias("role"), F.lit(22).alias("size"))
+    return styles.apply_palette(runs, styles.themes(spark)).select("event_id", "color", "font", "size")
+
+
 def _folder(spark: SparkSession) -> str:
     """A folder of its own below the shared one; without a shared one, in tests on one machine, a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="inkshred-")
@@ -355,6 +407,7 @@ QUERIES = {
     "part_name_norm": part_name_norm, "field_classify": field_classify, "hyperlink_extract": hyperlink_extract, "style_catalogue": style_catalogue, "theme_apply": theme_apply,
     "merge_accepted": merge_accepted, "field_roundtrip": field_roundtrip, "break_kinds": break_kinds, "hyperlink_roundtrip": hyperlink_roundtrip, "corrupt_packages": corrupt_packages,
     "formatting_roundtrip": formatting_roundtrip, "section_roundtrip": section_roundtrip, "docx_files": docx_files, "style_sheets": style_sheets, "relationship_edits": relationship_edits,
+    "border_roundtrip": border_roundtrip, "template_documents": template_documents, "template_violations": template_violations, "theme_palette": theme_palette,
     "atoi_validate": atoi_validate, "edit_violations": edit_violations, "violations": violations, "dedupe_first": dedupe_first,
 }
 
@@ -440,6 +493,20 @@ SELECT table_id, unnest(ids) AS region_id FROM f QUALIFY row_number() OVER (PART
 nullif(p_partkey % 720, 0) AS indent_left, 360::BIGINT AS indent_right, CASE WHEN p_partkey % 2 = 0 THEN 240::BIGINT END AS first_line, CASE WHEN p_partkey % 2 = 1 THEN 200::BIGINT END AS hanging, CASE WHEN p_partkey % 4 = 0 THEN 1::BIGINT END AS num_id, CASE WHEN p_partkey % 4 = 0 THEN p_partkey % 9 END AS num_level FROM part""",
     "section_roundtrip": """SELECT s_suppkey, 0 AS section_idx, 16838::BIGINT AS width, 'landscape' AS orientation, 2 AS columns, 'evenPage' AS break_type, (s_suppkey % 900 + 1)::BIGINT AS margin_right FROM supplier WHERE s_suppkey % 2 = 0
 UNION ALL SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END, 11906, 'portrait', CASE WHEN s_suppkey % 3 <> 0 THEN 3 ELSE 1 END, NULL, 1440 FROM supplier""",
+    "border_roundtrip": """WITH p AS (SELECT p_partkey, ['single', 'dotted', 'double', 'none'][(p_partkey % 4 + 1)::INTEGER] AS line, p_partkey % 24 + 1 AS size, lpad(upper(to_hex(p_partkey)), 6, '0') AS color FROM part),
+b AS (SELECT p_partkey, 'paragraph' AS place, 'top' AS side, line AS style, size, color FROM p UNION ALL SELECT p_partkey, 'cell', 'bottom', line, size, color FROM p
+UNION ALL SELECT p_partkey, place, 'left', 'thick', 8, 'auto' FROM part, (VALUES ('paragraph'), ('cell')) v(place) WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 'paragraph', 'right', 'dashed', 2, 'FF0000' FROM part)
+SELECT * FROM b WHERE style <> 'none'""",
+    "template_documents": """SELECT c_custkey, 0 AS "at", 'p' AS kind, 'Heading1' AS style, c_name AS text, NULL::BIGINT AS size, false AS italic, NULL::BIGINT AS spacing_before FROM customer
+UNION ALL SELECT c_custkey, 1, 'p', NULL, 'Segment ' || c_mktsegment, CASE WHEN c_custkey BETWEEN 2 AND 3276 AND c_custkey <> 22 THEN c_custkey END, c_custkey % 2 = 0, CASE WHEN c_custkey * 300 BETWEEN 1 AND 31680 THEN c_custkey * 300 END FROM customer
+UNION ALL SELECT c_custkey, i, 'tc', NULL, CASE i WHEN 0 THEN 'key' WHEN 1 THEN c_custkey::VARCHAR WHEN 2 THEN 'nation' ELSE c_nationkey::VARCHAR END, NULL, NULL, NULL FROM customer, (VALUES (0), (1), (2), (3)) v(i)
+UNION ALL SELECT c_custkey, 0, 'sect', 'landscape', CASE WHEN c_custkey % 12 BETWEEN 1 AND 10 THEN c_custkey % 12 ELSE 1 END::VARCHAR, NULL, NULL, NULL FROM customer
+UNION ALL SELECT c_custkey, 1, 'sect', 'portrait', '1', NULL, NULL, NULL FROM customer""",
+    "template_violations": """SELECT c_custkey, 'runs' AS kind, 'size' AS violation FROM customer WHERE c_custkey NOT BETWEEN 2 AND 3276
+UNION ALL SELECT c_custkey, 'paragraphs', 'spacing_before' FROM customer WHERE c_custkey * 300 > 31680 UNION ALL SELECT c_custkey, 'sections', 'columns' FROM customer WHERE c_custkey % 12 IN (0, 11)""",
+    "theme_palette": """SELECT event_id, c[k + 1] AS color, CASE WHEN r = 4 AND k < 3 THEN ['Courier New', 'Courier New', 'Fira Code'][k + 1] END AS font, CASE WHEN r = 5 AND k < 3 THEN [18, 20, 18][k + 1] ELSE 22 END AS size
+FROM (SELECT event_id, (event_id % 4)::INTEGER AS k, (event_id % 7)::INTEGER AS r FROM events) JOIN (VALUES (0, ['D9D9D9', 'C0C0C0', '2D2D2D', NULL]), (1, ['00B050', '008000', '49CC90', NULL]), (2, ['FFC000', 'FFA500', 'FFCB6B', NULL]),
+(3, ['C00000', '8B0000', 'FF5555', NULL]), (4, [NULL, NULL, NULL, NULL]), (5, [NULL, NULL, NULL, NULL]), (6, ['2F5496', '000000', '4FC0FF', NULL])) v(role, c) ON r = role""",
     "docx_files": "SELECT c_custkey, c_name AS text FROM customer",
     "style_sheets": f"SELECT theme, style_id, nullif(CASE style_id WHEN 'Heading1' THEN h1 WHEN 'Title' THEN h1 + 8 WHEN 'Subtitle' THEN body + 4 WHEN 'IntenseQuote' THEN body + 2 ELSE body END, 22) AS size, {_THEME_COLOR} AS color FROM {_THEMES}, (VALUES ('Normal'), ('Heading1'), ('Title'), ('Subtitle'), ('IntenseQuote')) s(style_id)",
     "relationship_edits": """WITH n AS (SELECT n_regionkey AS r, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k, n_name FROM nation),

@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..ooxml import CONTENT_TYPES, CORE, EXTENDED, MARGINS, PACKAGE_RELS, PAGE_SIZES, WORD_TYPE, R, W
+from ..ooxml import BORDER_SIDES, CONTENT_TYPES, CORE, EXTENDED, MARGINS, PACKAGE_RELS, PAGE_SIZES, WORD_TYPE, R, W
 
 HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 #: Parts every package has; relationship ids rId1 to rId5 of the main document belong to them.
@@ -115,8 +115,9 @@ def paragraph_xml(runs: DataFrame, paragraphs: DataFrame | None = None) -> DataF
 
     ``paragraphs`` adds style_id, num_id and num_level, spacing_before,
     spacing_after, line_value and line_rule, indent_left, indent_right,
-    first_line and hanging, alignment, outline_level, and bookmark_id with
-    bookmark_name, where it has them; paragraphs without runs come from it too.
+    first_line and hanging, alignment, outline_level, border_top, border_left,
+    border_bottom and border_right, and bookmark_id with bookmark_name, where
+    it has them; paragraphs without runs come from it too.
     """
     inner = runs.groupBy("doc_id", "block_idx").agg(_folded("run_idx", run_xml(runs.columns)).alias("inner"))
     head, before, after = F.lit(""), F.lit(""), F.lit("")
@@ -139,12 +140,24 @@ def _element(columns: list[str], tag: str, attributes: dict[str, str], skip: tup
     return F.when(said == "", F.lit("")).otherwise(F.concat(F.lit(f"<w:{tag}"), said, F.lit("/>")))
 
 
+def borders_xml(columns: list[str], tag: str) -> Column:
+    """An element with those sides whose column border_top, border_left, border_bottom, border_right (style, size, color) names a line."""
+    sides = F.lit("")
+    for side in BORDER_SIDES:
+        b = F.col(f"border_{side}") if f"border_{side}" in columns else None
+        if b is not None:
+            line = F.concat(F.lit(f'<w:{side} w:val="'), escaped(b["style"]), F.lit('" w:sz="'), F.coalesce(b["size"], F.lit(4)).cast("string"), F.lit('" w:space="0" w:color="'), escaped(F.coalesce(b["color"], F.lit("auto"))), F.lit('"/>'))
+            sides = F.concat(sides, F.when(F.coalesce(b["style"], F.lit("none")) == "none", F.lit("")).otherwise(line))
+    return F.when(sides == "", F.lit("")).otherwise(F.concat(F.lit(f"<w:{tag}>"), sides, F.lit(f"</w:{tag}>")))
+
+
 def paragraph_properties(columns: list[str]) -> Column:
     """pPr of the columns present, in the order of the format; default values are left out."""
     numbering = F.concat(_element(columns, "ilvl", {"num_level": "val"}), _element(columns, "numId", {"num_id": "val"}))
     inner = F.concat(
         _element(columns, "pStyle", {"style_id": "val"}),
         F.when(F.col("num_id").isNull(), F.lit("")).otherwise(F.concat(F.lit("<w:numPr>"), numbering, F.lit("</w:numPr>"))) if "num_id" in columns else F.lit(""),
+        borders_xml(columns, "pBdr"),
         _element(columns, "spacing", {"spacing_before": "before", "spacing_after": "after", "line_value": "line", "line_rule": "lineRule"}, ("0",)),
         _element(columns, "ind", {"indent_left": "left", "indent_right": "right", "first_line": "firstLine", "hanging": "hanging"}, ("0",)),
         _element(columns, "jc", {"alignment": "val"}, ("left",)),
@@ -154,7 +167,7 @@ def paragraph_properties(columns: list[str]) -> Column:
 
 
 def table_xml(cells: DataFrame) -> DataFrame:
-    """doc_id, block_idx, xml: tables from cells (doc_id, block_idx, row_idx, col_idx, text, optional width, grid_span, v_merge, shading, v_align, h_merge_continuation and xml).
+    """doc_id, block_idx, xml: tables from cells (doc_id, block_idx, row_idx, col_idx, text, optional width, grid_span, v_merge, shading, v_align, border_top to border_right, h_merge_continuation and xml).
 
     Cells that continue a horizontal merge are left out.  A cell has a
     paragraph for every line of its text, and after them its ``xml`` (nested
@@ -171,6 +184,7 @@ def table_xml(cells: DataFrame) -> DataFrame:
         props.append(F.when(F.col("grid_span") > 1, F.concat(F.lit('<w:gridSpan w:val="'), F.col("grid_span").cast("string"), F.lit('"/>'))).otherwise(F.lit("")))
     if "v_merge" in have:
         props.append(F.when(F.col("v_merge") == "restart", F.lit('<w:vMerge w:val="restart"/>')).when(F.col("v_merge") == "continue", F.lit("<w:vMerge/>")).otherwise(F.lit("")))
+    props.append(borders_xml(have, "tcBorders"))
     if "shading" in have:
         props.append(F.when(F.col("shading").isNotNull(), F.concat(F.lit('<w:shd w:val="clear" w:color="auto" w:fill="'), escaped("shading"), F.lit('"/>'))).otherwise(F.lit("")))
     props.append(_element(have, "vAlign", {"v_align": "val"}, ("top",)))

@@ -364,3 +364,40 @@ def test_header_assignment(spark):
     last = structure.assign_headers(sections, given).filter("section_idx = 1").withColumn("block_idx", F.lit(None).cast("int"))
     block = spark.createDataFrame([("d", 0, "<w:p/>")], "doc_id string, block_idx int, xml string")
     assert '<w:headerReference w:type="default" r:id="rId6"/>' in sink.document_xml(block, sections=last).first().document_xml
+
+
+def test_template_refuses_what_it_gets_wrong(spark):
+    from inkshred.builder import Template
+
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id long, name string")
+    with pytest.raises(ValueError, match="before any paragraph"):
+        Template(rows, "id").text("x")
+    with pytest.raises(ValueError, match="before any paragraph"):
+        Template(rows, "id").paragraph().table([["x"]]).text("x")
+    with pytest.raises(ValueError, match="have no weight"):
+        Template(rows, "id").paragraph().text("x", weight=1)
+    with pytest.raises(ValueError, match="a table of 0 x 0"):
+        Template(rows, "id").table([])
+    with pytest.raises(ValueError, match="empty document"):
+        Template(rows, "id").packages()
+
+
+def test_template_makes_a_document_of_every_row(spark):
+    from inkshred.builder import Template
+
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "x" * 100_000)], "id long, name string")
+    letter = Template(rows, "id").paragraph("Title").paragraph(alignment=F.when(F.col("id") == 1, "sideways").otherwise("center")).text(F.col("name"))
+    assert {(r.doc_id, r.block_idx, tuple(r.violations)) for r in letter.build()["paragraphs"].collect() if r.violations} == {("1", 1, ("alignment",))}
+    nodes = source.nodes(source.parts(letter.packages(), "document"), "document")
+    got = model.paragraphs(nodes, model.runs(nodes)).orderBy("doc_id", "para").collect()
+    assert [(r.doc_id, r.style_id, r.alignment, len(r.text)) for r in got] == [("1", "Title", None, 0), ("1", None, None, 1), ("2", "Title", None, 0), ("2", None, "center", 0), ("3", "Title", None, 0), ("3", None, "center", 100_000)]
+    assert Template(rows.limit(0), "id").paragraph().text("x").packages().count() == 0
+    assert Template(rows, "id").paragraph().packages().count() == 3
+
+
+def test_borders_without_a_line_are_not_written(spark):
+    p = spark.createDataFrame([("d", 0)], "doc_id string, block_idx int").withColumn("border_top", edits.border("none")).withColumn("border_left", F.lit(None).cast("struct<style:string,size:bigint,color:string>")).withColumn("border_right", edits.border("wavy"))
+    runs = spark.createDataFrame([("d", 0, 0, "x")], "doc_id string, block_idx int, run_idx int, text string")
+    assert "pBdr" not in sink.paragraph_xml(runs, p).first().xml
+    order = sink.paragraph_xml(runs, p.withColumn("border_right", edits.border("thick")).withColumn("border_top", edits.border("single", 6, "00FF00"))).first().xml
+    assert order.index('<w:top w:val="single" w:sz="6" w:space="0" w:color="00FF00"/>') < order.index('<w:right w:val="thick" w:sz="4" w:space="0" w:color="auto"/>')
