@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import SQL10, op10
 from .langid import op1
 from .mixing import op7
-from .ngram_join import op8
+from .ngram_join import SQL8_LINKS, op8, op8_links
 from .quality import op9
 from .rules import SQL3, SQL3_ABLATIONS, op3, op3_ablations
 from .secrets import op5
@@ -27,11 +27,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_levenshtein_toxicity": op6,
     "op7_pareto_mixing": op7,
     "op8_ngram_jaccard_join": op8,
+    "ngram_jaccard_link_counts": op8_links,
     "op9_hierarchical_bayes_quality": op9,
     "op10_decontamination": op10,
 }
 SQL: dict[str, str] = {
     "op3_quality_rules": SQL3,
     "quality_rule_ablations": SQL3_ABLATIONS,
+    "ngram_jaccard_link_counts": SQL8_LINKS,
     "op10_decontamination": SQL10,
 }

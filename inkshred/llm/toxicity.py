@@ -380,6 +380,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, learned from the labels not held out; a null text scores as an empty one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
     out = score(docs, train(docs, labels))

@@ -616,6 +616,27 @@ def test_jaccard_of_a_family_of_near_copies(spark):
     assert len(set(want.values())) > 1
 
 
+@pytest.mark.parametrize("options", [{}, {"long_list": 2, "heavy_level": 1, "salts": 3, "block": 50}])
+def test_link_counts_against_all_pairs(spark, docs, empty, options):
+    r = random.Random(9)
+    base = [r.choice(WORDS) for _ in range(100)]
+    family = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(100)] = f"n{r.random()}"
+        family.append((1000 + i, " ".join(w)))
+    rows = [(x.doc_id, x.text) for x in docs.collect()] + family + family[:9] * 2 + [(1000, family[1][1]), (None, family[2][1]), (2000, " "), (2001, None)]
+    sets = []
+    for _, text in rows:
+        w = words((text or "").translate(str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()})
+    linked = [sum(j != i and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)) if a else 0 for i, a in enumerate(sets)]
+    out = ngram_join.link_counts(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()
+    assert collections.Counter((x.doc_id, x.n_links) for x in out) == collections.Counter((i, n) for (i, _), n in zip(rows, linked, strict=True))
+    assert ngram_join.link_counts(empty).count() == 0
+
+
 def test_sketch_is_summed_in_levels(spark, docs, monkeypatch):
     whole = ngram_join.rarity(docs.select("text"))
     monkeypatch.setattr(ngram_join, "FAN", 2)
