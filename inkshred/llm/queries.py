@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .centroids import SQL12, op12
 from .decontaminate import SQL10, op10
+from .fim import SQL11, op11
 from .langid import op1
 from .mixing import op7
 from .ngram_join import SQL8_LINKS, op8, op8_links
@@ -30,10 +32,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ngram_jaccard_link_counts": op8_links,
     "op9_hierarchical_bayes_quality": op9,
     "op10_decontamination": op10,
+    "op11_fill_in_middle": op11,
+    "op12_exponion_clusters": op12,
 }
 SQL: dict[str, str] = {
     "op3_quality_rules": SQL3,
     "quality_rule_ablations": SQL3_ABLATIONS,
     "ngram_jaccard_link_counts": SQL8_LINKS,
     "op10_decontamination": SQL10,
+    "op11_fill_in_middle": SQL11,
+    "op12_exponion_clusters": SQL12,
 }
