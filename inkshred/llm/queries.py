@@ -16,6 +16,7 @@ from .quality import op9
 from .rules import SQL3, SQL3_ABLATIONS, op3, op3_ablations
 from .secrets import op5
 from .shards import op4
+from .token_counts import op13
 from .toxicity import op6
 from .url_rules import op2
 
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10,
     "op11_fill_in_middle": op11,
     "op12_exponion_clusters": op12,
+    "op13_token_counts": op13,
 }
 SQL: dict[str, str] = {
     "op3_quality_rules": SQL3,
