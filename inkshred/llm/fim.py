@@ -27,40 +27,41 @@ def digest(doc_id: Column, seed: int = 42) -> list[Column]:
 
 
 def planned(docs: DataFrame, seed: int = 42, rate: int = 50, spm: int = 80) -> DataFrame:
-    """doc_id, text, form, lengths: what is to become of each document, and the code points of its units.
+    """doc_id, text, form, lengths, n, cut_a, cut_b: what is to become of each document, and the code points of its units.
 
     ``rate`` percent are cut, of these ``spm`` percent begin with the suffix.
     A text that is null (as if empty), empty or holds a sentinel stays plain.
     """
-    _, _, h3, h4 = digest(F.col("doc_id"), seed)
+    h1, h2, h3, h4 = digest(F.col("doc_id"), seed)
     text = F.coalesce(F.col("text"), F.lit(""))
     marked = F.lit(False)
     for sentinel in (PREFIX, SUFFIX, MIDDLE):
         marked = marked | F.contains(text, F.lit(sentinel))
     plain = (text == "") | marked | (F.pmod(h3, F.lit(100)) >= rate)
     form = F.when(plain, "plain").when(F.pmod(h4, F.lit(100)) < spm, "spm").otherwise("psm")
-    return docs.select("doc_id", text.alias("text"), form.alias("form"), F.transform(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), F.length).alias("lengths"))
+    x = docs.select("doc_id", text.alias("text"), form.alias("form"), F.transform(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), F.length).alias("lengths"))
+    n = F.size("lengths").cast("long")
+    a, b = F.pmod(h1, n + 1), F.pmod(h2, n + 1)
+    return x.withColumns({"n": n, "cut_a": F.least(a, b), "cut_b": F.greatest(a, b)})
 
 
-def cut_offsets(rows: DataFrame, seed: int = 42) -> DataFrame:
-    """(row, n, at_a, at_b): the units of (row, doc_id, lengths), and the code points before its two cuts, partitioned by row.
+def cut_offsets(rows: DataFrame) -> DataFrame:
+    """(row, at_a, at_b): the code points before the two cuts of (row, lengths, cut_a, cut_b), partitioned by row.
 
     A document's cut request holds both of its unit ordinals, so that it meets
     the running sums by row alone and keeps their partitioning.  Ordinal 0 is
-    offset 0; an ordinal k is where unit k - 1 ends.  The join is told to merge:
-    the size the planner knows is that of the arrays, not of what they explode to.
+    offset 0; an ordinal k is where unit k - 1 ends; units after the later cut
+    are not asked for.  The join is told to merge: the size the planner knows
+    is that of the arrays, not of what they explode to.
     """
-    dealt = rows.select("row", "doc_id", "lengths").repartition("row")
-    units = dealt.select("row", "doc_id", F.posexplode("lengths").alias("unit", "length"))
+    dealt = rows.select("row", F.slice("lengths", F.lit(1), F.col("cut_b").cast("int")).alias("lengths")).repartition("row")
+    units = dealt.select("row", F.posexplode("lengths").alias("unit", "length"))
     running = F.sum("length").over(Window.partitionBy("row").orderBy("unit").rowsBetween(Window.unboundedPreceding, 0))
-    ends = units.select("row", "doc_id", (F.col("unit") + 1).alias("ordinal"), running.alias("offset"))
-    n = F.size("lengths").cast("long")
-    h1, h2, _, _ = digest(F.col("doc_id"), seed)
-    a, b = F.pmod(h1, n + 1), F.pmod(h2, n + 1)
-    asked = dealt.select(F.col("row").alias("asked"), n.alias("n"), F.least(a, b).alias("cut_a"), F.greatest(a, b).alias("cut_b"))
+    ends = units.select("row", (F.col("unit") + 1).alias("ordinal"), running.alias("offset"))
+    asked = rows.select(F.col("row").alias("asked"), "cut_a", "cut_b")
     met = asked.join(ends.hint("merge"), (F.col("row") == F.col("asked")) & ((F.col("ordinal") == F.col("cut_a")) | (F.col("ordinal") == F.col("cut_b"))), "left")
     at = lambda c: F.coalesce(F.max(F.when(F.col("ordinal") == F.col(c), F.col("offset"))), F.lit(0))
-    return met.groupBy(F.col("asked").alias("row")).agg(F.max("n").alias("n"), at("cut_a").alias("at_a"), at("cut_b").alias("at_b"))
+    return met.groupBy(F.col("asked").alias("row")).agg(at("cut_a").alias("at_a"), at("cut_b").alias("at_b"))
 
 
 def transform(docs: DataFrame, seed: int = 42, rate: int = 50, spm: int = 80) -> DataFrame:
@@ -75,9 +76,9 @@ def transform(docs: DataFrame, seed: int = 42, rate: int = 50, spm: int = 80) ->
     """
     p = planned(docs, seed, rate, spm)
     null = F.lit(None).cast("long")
-    same = p.filter("form = 'plain'").select("doc_id", F.size("lengths").cast("long").alias("n"), "form", F.col("text").alias("output"), null.alias("prefix_chars"), null.alias("middle_chars"))
+    same = p.filter("form = 'plain'").select("doc_id", "n", "form", F.col("text").alias("output"), null.alias("prefix_chars"), null.alias("middle_chars"))
     rows = written(p.filter("form != 'plain'").withColumn("row", F.monotonically_increasing_id()), "cut")
-    x = rows.select("row", "doc_id", "form", "text").join(cut_offsets(rows, seed), "row")
+    x = rows.select("row", "doc_id", "n", "form", "text").join(cut_offsets(rows), "row")
     a, b = F.col("at_a").cast("int"), F.col("at_b").cast("int")
     prefix, middle, suffix = F.substring(F.col("text"), F.lit(1), a), F.substring(F.col("text"), a + 1, b - a), F.substring(F.col("text"), b + 1, F.length("text"))
     psm = F.concat(F.lit(PREFIX), prefix, F.lit(SUFFIX), suffix, F.lit(MIDDLE), middle)
