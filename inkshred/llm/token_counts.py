@@ -32,9 +32,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernel
-from .common import mapped, table
+from .common import carried, mapped, table
 
 #: Characters by what the splitter makes of them: others, letters, numbers, white space but spaces, spaces, apostrophes, letters that end a contraction of two, those that go on by e, l, e, and the end of a stretch.
 OTHER, LETTER, NUMBER, WHITE, SPACE, APOSTROPHE, SHORT, LONG, ELL, EE, END = range(11)
@@ -515,16 +516,16 @@ def token_counts(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
     """
     frozen = docs.sparkSession.sparkContext.broadcast(compile_file(path))
     docs = docs.drop("n_bytes", "n_tokens")
-    names = docs.columns
-    which = names.index(column)
+    x, which = carried(docs), docs.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = frozen.value
         for batch in batches:
             size, tokens = count_texts(batch.column(which).cast(pa.large_string()), c)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size), pa.array(tokens)], [*names, "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size), pa.array(tokens)], [*batch.schema.names, "n_bytes", "n_tokens"])
 
-    return mapped(docs, run, docs.schema.add("n_bytes", "long").add("n_tokens", "long"))
+    out = mapped(x, run, T.StructType([*x.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]))
+    return out.select(*(F.col(i).alias(c) for i, c in zip(x.columns, docs.columns, strict=True)), "n_bytes", "n_tokens")
 
 
 def op13(spark: SparkSession, sf_dir: str, path: str | None = None, limit: int = 1024) -> DataFrame:
