@@ -112,6 +112,18 @@ def without(rows: DataFrame, some: DataFrame, on: list[str], passes: int = 4) ->
     return rows
 
 
+def carried(df: DataFrame, *own: str) -> DataFrame:
+    """``df`` with its columns under the names in_0, in_1, .., which no name of theirs can clash with, and after them ``own`` once more as they are."""
+    names = df.columns
+    x = df.toDF(*(f"in_{i}" for i in range(len(names))))
+    return x.select("*", *(F.col(f"in_{names.index(c)}").alias(c) for c in own))
+
+
+def named(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns that ``carried`` renamed, under their own names again."""
+    return df.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(names)))
+
+
 def crc_of(doc_id: Column) -> Column:
     """crc32 of the id as text; a null id counts as the empty text (0)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")))

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, scratch, table, text_key, without, written
+from .common import bounded, carried, named, scratch, table, text_key, without, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Items of fewer shingles are candidates wherever one of their shingles is.
@@ -113,9 +113,8 @@ def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """
     with scratch(docs.sparkSession):
         bad = written(contaminated(docs, items, **options).select("k1", "k2").distinct(), "bad", keep=True)
-    names = docs.columns
-    keyed = docs.select(*(F.col(c).alias(f"in_{c}") for c in names), *text_key(F.col("text")))
-    return without(keyed, bad, ["k1", "k2"]).select(*(F.col(f"in_{c}").alias(c) for c in names))
+    keyed = carried(docs, "text").select("*", *text_key(F.col("text"))).drop("text")
+    return named(without(keyed, bad, ["k1", "k2"]), docs.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

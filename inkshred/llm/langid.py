@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel
-from .common import crc_of, mapped, table
+from .common import carried, crc_of, mapped, named, table
 
 STEP = 1 << 16
 
@@ -226,7 +226,5 @@ def language_stage(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     names; an empty table, or one without labels, keeps nothing.
     """
     model = train(docs, held_out(F.col("doc_id")))
-    names = docs.columns
-    judged = identify(docs.withColumnsRenamed({c: f"in_{c}" for c in names}), model, "in_text")
-    kept = judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
-    return kept.select(*(F.col(f"in_{c}").alias(c) for c in names))
+    judged = identify(carried(docs), model, f"in_{docs.columns.index('text')}")
+    return named(judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score)), docs.columns)

@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_key, written
+from .common import carried, table, text_key, written
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Runs are maximal, so asking for the length in the pattern drops the same matches as filtering after it.
@@ -204,12 +204,13 @@ def scan(docs: DataFrame, fdr: float = 0.01) -> DataFrame:
     text has none.  Both are functions of the text, so copies agree; columns
     of these names are replaced, ``text`` itself is dropped.
     """
-    names = [c for c in docs.columns if c not in ("text", "base", "found")]
+    docs = docs.drop("base", "found")
+    names = docs.columns
     text = F.coalesce("text", F.lit(""))
-    base = docs.select(*(F.col(c).alias(f"in_{c}") for c in names), *text_key(F.col("text")), base_spans(text).alias("base"))
+    base = carried(docs, "text").select(*(f"in_{i}" for i, c in enumerate(names) if c != "text"), *text_key(F.col("text")), base_spans(text).alias("base"))
     both = base.join(random_spans(docs.select("text"), fdr), ["k1", "k2"], "left")
     found = F.array_sort(F.coalesce("found", F.array().cast(_SPAN)))
-    return both.select(*(F.col(f"in_{c}").alias(c) for c in names), "base", found.alias("found"))
+    return both.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(names) if c != "text"), "base", found.alias("found"))
 
 
 def _listed(column: Column) -> Column:

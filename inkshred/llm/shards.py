@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, written
+from .common import carried, shared_dir, table, written
 
 BUCKET_BYTES = 8 << 20
 BUCKET_ROWS = 1024
@@ -79,9 +79,9 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 17, bucket_bytes: int =
     """
     docs = docs.drop("shard", "slot")
     names = docs.columns
-    bytes_of: Column = F.col(size) if size else F.coalesce(F.octet_length("text"), F.lit(0)) + 8
-    docs = docs.select(*(F.col(c).alias(f"in_{c}") for c in names), bytes_of.cast("long").alias("bytes"))
-    kept = docs.drop("bytes")
+    bytes_of: Column = F.col(f"`{size}`") if size else F.coalesce(F.octet_length("text"), F.lit(0)) + 8
+    docs = carried(docs, size or "text").withColumn("bytes", bytes_of.cast("long"))
+    kept = docs.select(*(f"in_{i}" for i in range(len(names))))
     key = [F.xxhash64(F.lit(i), *kept.columns).alias(f"k{i}") for i in (1, 2)]  # 128 bits tell rows apart
     keys = written(docs.select(*key, "bytes").groupBy("k1", "k2").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")), "keys", keep=True)
     total, n, most = keys.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
@@ -105,7 +105,7 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 17, bucket_bytes: int =
     which = F.expr(f"cast((start + i) * {shards} div {max(n, 1)} as int)")
     first = F.expr(f"(cast({n} as bigint) * shard + {shards - 1}) div {shards}")
     out = mixed.select("row", p.alias("p"), which.alias("shard"))
-    return out.select(*(F.col("row")[f"in_{c}"].alias(c) for c in names), "shard", (F.col("p") - first).alias("slot"))
+    return out.select(*(F.col("row")[f"in_{i}"].alias(c) for i, c in enumerate(names)), "shard", (F.col("p") - first).alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
