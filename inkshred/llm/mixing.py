@@ -221,7 +221,7 @@ def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
     document and 5 % of the drawn words at most where it has over some 20
     documents to draw from, mostly by far less; with fewer, by a document.
     """
-    rows = written(_rows(carried(docs.select("doc_id", "source", "text"), "text", "source"), seed), "sizes")
+    rows = written(_rows(carried(docs.select("doc_id", "source", "text"), "text", "source"), seed).drop("in_2"), "sizes")
     slim = rows.select("size", "skey", "uniform")
     return _copies(rows, *_plan(slim, seed)).select(F.col("in_0").alias("doc_id"), F.col("in_1").alias("source"), "size", "source_size", "target", "probability", "rank", "copies", "uniform")
 
