@@ -58,10 +58,12 @@ def runs(nodes: DataFrame) -> DataFrame:
 
     A run's text is its ``t`` texts and a tab for every ``tab`` in order; its
     breaks are listed beside it.  Runs stand in a paragraph or in a hyperlink
-    or simple field of one; other wrappers are not read.
+    or simple field of one; other wrappers are not read.  Runs without text,
+    break or picture are none, but for the one at which a field parts code
+    from result.
     """
     inside = F.col("path").rlike(r"(^|/)p/((hyperlink|fldSimple)/)?r/")
-    deep = F.when(F.col("path").rlike(r"(^|/)p/(hyperlink|fldSimple)/r/[^/]+(/[^/]+)?$"), 1).otherwise(0)
+    deep = F.when(F.regexp_extract("path", r"(?:^|/)p/(?:(hyperlink|fldSimple)/)?r/", 1) != "", 1).otherwise(0)
     below = F.regexp_extract("path", r"(?:^|/)p/(?:(?:hyperlink|fldSimple)/)?r/(.*)$", 1)
     x = nodes.filter(inside).withColumn("below", below).filter(~F.col("below").rlike(r"(^|/)r/"))
     x = x.withColumn("levels", F.size(F.split("below", "/")))
@@ -87,7 +89,9 @@ def runs(nodes: DataFrame) -> DataFrame:
         first("rPr/rFonts", _attr("eastAsia")).alias("font_east_asia"),
         first("rPr/rFonts", _attr("cs")).alias("font_cs"),
         F.array_sort(F.collect_list(F.when(F.col("below") == "drawing", F.col("node")))).alias("drawings"),
-    )
+        first("rPr/rStyle", _attr("val")).alias("style"),
+        F.coalesce(F.max((F.col("below") == "fldChar") & (F.lower(_attr("fldCharType")) == "separate")), F.lit(False)).alias("parts"),
+    ).filter((F.col("text") != "") | (F.size("breaks") > 0) | (F.size("drawings") > 0) | F.col("parts")).drop("parts")
     at = F.row_number().over(Window.partitionBy("doc_id", "part_key", "para").orderBy("run")) - 1
     return out.withColumn("run_idx", at)
 
@@ -254,6 +258,12 @@ def content_types(nodes: DataFrame, part_rows: DataFrame) -> DataFrame:
     return p.join(over, ["doc_id", "part_key"], "left").join(base, ["doc_id", "ending"], "left").select("doc_id", "part_key", F.coalesce("o", "d", F.lit("")).alias("content_type"))
 
 
+def typed_parts(rows: DataFrame) -> DataFrame:
+    """Parts that carry their package's rules (``sources.docx.typed_parts``) with content_type: the override, else the default of the ending, else empty."""
+    kind = F.coalesce(F.col("overrides")[F.col("part_key")], F.col("defaults")[F.regexp_extract("part_key", r"\.([^./]*)$", 1)], F.lit(""))
+    return rows.filter("part_key is not null and error_code is null").withColumn("content_type", kind).drop("defaults", "overrides")
+
+
 def images(nodes: DataFrame, media_dims: DataFrame) -> DataFrame:
     """Drawings with their relationship, target part, pixel size, EMU extent and description; a missing target leaves nulls."""
     inside = nodes.filter(F.col("path").rlike(r"r/drawing/")).withColumn("drawing", F.get("ancestors", F.size(F.split(F.regexp_extract("path", r"^(.*?r/drawing)/", 1), "/")) - 1))

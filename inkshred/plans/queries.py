@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from ..functions import scalars
 from ..operators import edits, structure, styles
 from ..sinks import docx as sink
 from ..sources import docx as source
+from ..sources.store import shared_folder, stored
 from . import model
 
 
@@ -28,8 +28,7 @@ def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def roundtrip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document as a package and read its text back."""
-    nodes = source.nodes(source.parts(_packages(spark, sf_dir), "document"), "document")
-    runs = model.runs(nodes)
+    runs = model.runs(source.scan(_packages(spark, sf_dir), "document"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", "run", "text"))), lambda s: s["text"]), "")
     texts = runs.groupBy("doc_id").agg(text.alias("text"))
     every = _t(spark, sf_dir, "documents").select("doc_id")
@@ -39,16 +38,14 @@ def roundtrip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paragraph_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One paragraph per line through package and back: per document paragraphs and characters."""
     lines = structure.text_blocks(_t(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("doc_id"), "block_idx", F.lit(0).alias("run_idx"), "text")
-    nodes = source.nodes(source.parts(sink.assemble(sink.document_xml(sink.paragraph_xml(lines))), "document"), "document")
+    nodes = _read(sink.paragraph_xml(lines))
     p = model.paragraphs(nodes, model.runs(nodes)).filter("container = 'body'")
     return p.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n_paragraphs"), F.sum(F.length("text")).alias("n_chars"))
 
 
 def _read(block_rows: DataFrame, *kinds: str, parts: DataFrame | None = None, sections: DataFrame | None = None) -> DataFrame:
-    """The XML nodes of packages written from block rows."""
-    content = sink.assemble(sink.document_xml(block_rows, sections=sections), parts=parts)
-    wanted = kinds or ("document",)
-    return source.nodes(source.parts(content, *wanted), *wanted)
+    """The XML nodes of packages written from block rows, parsed and stored once."""
+    return stored(source.scan(sink.assemble(sink.document_xml(block_rows, sections=sections), parts=parts), *(kinds or ("document",))))
 
 
 def _nation_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,16 +70,14 @@ def table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def opc_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of every generated package with kind and content type."""
-    parts = source.parts(_packages(spark, sf_dir))  # opened twice, once for the names and once for the types alone
-    types = model.content_types(source.nodes(source.parts(_packages(spark, sf_dir), "content_types"), "content_types"), parts)
-    return parts.drop("data", "error_code", "error_message").join(types, ["doc_id", "part_key"]).select("doc_id", "part_key", "kind", "content_type")
+    return model.typed_parts(source.typed_parts(_packages(spark, sf_dir))).select("doc_id", "part_key", "kind", "content_type")
 
 
 def properties_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source and language as title and creator of every document's package, read back."""
     docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("block_idx"), F.lit(0).alias("run_idx"), F.lit("x").alias("text"), F.col("source").alias("title"), F.col("lang").alias("creator"))
     content = sink.assemble(sink.document_xml(sink.paragraph_xml(docs.drop("title", "creator"))), docs.select("doc_id", "title", "creator"))
-    got = model.core_properties(source.nodes(source.parts(content, "core_properties"), "core_properties"))
+    got = model.core_properties(source.scan(content, "core_properties"))
     return got.select(F.col("doc_id").cast("long").alias("doc_id"), "title", "creator")
 
 
@@ -191,7 +186,7 @@ def missing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     png = F.unhex(F.lit("89504E470D0A1A0A0000000D4948445200000004000000060806000000"))
     media = s.select(F.col("s_suppkey").cast("string").alias("doc_id"), F.lit("rId6").alias("rel_id"), F.lit("image").alias("rel_kind"), F.lit("media/image1.png").alias("target"), F.lit("image/png").alias("content_type"), F.when(F.col("s_suppkey") % 3 != 0, png).alias("data"))
     content = sink.assemble(sink.document_xml(sink.paragraph_xml(runs)), parts=media)
-    nodes = source.nodes(source.parts(content, "document", "document_rels"), "document", "document_rels")
+    nodes = stored(source.scan(content, "document", "document_rels"))
     images = model.images(nodes, source.image_dims(source.parts(content, "media")))
     return images.filter("target is null and width_px is null").select(F.col("doc_id").cast("long").alias("s_suppkey"), "rel_id", "description")
 
@@ -264,7 +259,7 @@ def border_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = pick("single", "dotted", "double", "none")
     about = {"border_top": edits.border(line, k % 24 + 1, F.lpad(F.hex(k), 6, "0")), "border_left": edits.border(pick("thick", "none", "zigzag"), 8), "border_right": edits.border("dashed", 2, "FF0000")}
     content = Template(p, "p_partkey").paragraph(**about).text(F.col("p_name")).table([[F.col("p_brand")]], border_bottom=about["border_top"], border_left=about["border_left"]).packages()
-    nodes = source.nodes(source.parts(content, "document"), "document")
+    nodes = stored(source.scan(content, "document"))
     got = model.paragraphs(nodes, model.runs(nodes))
     sides = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"border_{s}").alias("b")) for s in ("top", "left", "bottom", "right")))).alias("x")
     both = got.filter("container = 'body'").select("doc_id", F.lit("paragraph").alias("place"), sides).unionByName(model.table_cells(nodes, got).select("doc_id", F.lit("cell").alias("place"), sides))
@@ -282,7 +277,7 @@ def _letters(spark: SparkSession, sf_dir: str) -> Template:
 
 def template_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The letters written and read back: the blocks of each document with style, size and text."""
-    nodes = source.nodes(source.parts(_letters(spark, sf_dir).packages(), "document"), "document")
+    nodes = stored(source.scan(_letters(spark, sf_dir).packages(), "document"))
     runs = model.runs(nodes)
     p = model.paragraphs(nodes, runs)
     sizes = runs.groupBy("doc_id", "para").agg(F.max("size").alias("size"), F.max("italic").alias("italic"))
@@ -307,18 +302,12 @@ def theme_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return styles.apply_palette(runs, styles.themes(spark)).select("event_id", "color", "font", "size")
 
 
-def _folder(spark: SparkSession) -> str:
-    """A folder of its own below the shared one; without a shared one, in tests on one machine, a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="inkshred-")
-    return f"{where.rstrip('/')}/docx-{uuid.uuid4().hex}"
-
-
 def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A .docx file per customer, written, then read by path."""
-    path = _folder(spark)
+    path = f"{shared_folder(spark)}/docx-{uuid.uuid4().hex}"
     sink.write_files(sink.assemble(sink.document_xml(sink.paragraph_xml(_one_run(_t(spark, sf_dir, "customer"), "c_custkey", text=F.col("c_name"))))), path)
     files = source.packages(spark, path)
-    runs = model.runs(source.nodes(source.parts(files, "document"), "document"))
+    runs = model.runs(source.scan(files, "document"))
     number = F.regexp_extract("path", r"([0-9]+)\.docx$", 1).cast("long")
     return files.select("doc_id", number.alias("c_custkey")).join(runs, "doc_id").select("c_custkey", "text")
 

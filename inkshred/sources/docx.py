@@ -1,20 +1,23 @@
 """Scan of document packages: bytes -> parts -> XML nodes.
 
 Two small kernels run in ``mapInArrow`` tasks, one opening the archive, one
-flattening an XML part into rows (node ordinal, ancestors, attributes, text).
+flattening an XML part into rows (ordinal, interval, ancestors, attributes, text,
+and the byte offsets of the element).
 Everything above, from paragraphs to sections, is DataFrame code over the rows.
 """
 
 from __future__ import annotations
 
+import contextlib
 import io
+import lzma
 import re
 import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
 from functools import partial
-from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,11 +26,14 @@ from pyspark.sql import functions as F
 from ..ooxml import KNOWN_PARTS
 
 PARTS = "doc_id string, part_name string, part_key string, data binary, error_code string, error_message string, kind string"
-NODES = "doc_id string, part_key string, node int, parent int, place int, path string, ancestors array<int>, tag string, attrs map<string,string>, text string, error_code string, error_message string"
+NODE_FIELDS = ("node", "parent", "place", "path", "ancestors", "tag", "attrs", "text", "size", "depth", "qname", "at_open", "at_inner", "at_close", "at_after")
+NODES = "doc_id string, part_key string, node int, parent int, place int, path string, ancestors array<int>, tag string, attrs map<string,string>, text string, size int, depth int, qname string, at_open int, at_inner int, at_close int, at_after int, error_code string, error_message string"
 #: A package's contents may unpack to this many bytes, unless the scan is told otherwise.
 MOST_BYTES = 1 << 30
+#: The kinds of parts that are read as XML where none are named.
+XML_KINDS = ("document", "header", "footer", "document_rels", "rels", "content_types", "core_properties", "app_properties", "styles")
 #: What an archive or one of its members may raise where its bytes are damaged.
-BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, struct.error, ValueError, OSError, RuntimeError, NotImplementedError)
+BROKEN = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, EOFError, struct.error, ValueError, OSError, RuntimeError, NotImplementedError)
 
 
 def key_of(name: str) -> str:
@@ -51,34 +57,52 @@ def packages(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.sha2("path", 256).alias("doc_id"), "path", F.col("length").alias("package_size"), "content")
 
 
+_PART_NAMES = ["doc_id", "part_name", "part_key", "data", "error_code", "error_message", "kind"]
+_PART_TYPES = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.string(), pa.string()]
+#: Rows, and bytes of their texts or data, that a kernel hands on together.
+_ROWS, _BYTES = 1 << 12, 4 << 20
+
+
+def _members(doc_id: str, content: pa.Scalar, kinds: frozenset, most_bytes: int) -> Iterator[tuple]:
+    """The part rows of one package; what could not be read as rows of errors."""
+    try:
+        if not content.is_valid or not len(content.as_py()):
+            raise ValueError("no bytes")
+        with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
+            entries = [e for e in archive.infolist() if not e.is_dir()]
+            if sum(e.file_size for e in entries) > most_bytes:
+                raise ValueError("unpacks to too many bytes")
+            last = {key_of(e.filename): e for e in entries}
+            for key, e in last.items():
+                kind = kind_of(key)
+                if kinds and kind not in kinds:
+                    continue  # not unpacked at all
+                try:
+                    yield doc_id, e.filename, key, archive.read(e), None, None, kind
+                except BROKEN as x:  # a damaged member costs its own part only
+                    yield doc_id, e.filename, key, None, "IO_ERROR", str(x), kind
+        for key in sorted({"[content_types].xml", "word/document.xml"} - last.keys()):
+            yield doc_id, None, key, None, "INVALID_STATE", f"missing part {key}", None
+    except BROKEN as x:
+        yield doc_id, None, None, None, "INVALID_STATE", str(x), None
+
+
+def _together(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], weight: int) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of a bounded size; ``weight``: the column whose length counts."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[weight] or b"")
+        if len(held) >= _ROWS or size >= _BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), types, strict=True)], names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), types, strict=True)], names)
+
+
 def _opened(batches: Iterator[pa.RecordBatch], kinds: frozenset, most_bytes: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "part_name", "part_key", "data", "error_code", "error_message", "kind"]
-    types = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.string(), pa.string()]
-    for batch in batches:
-        for doc_id, content in zip(batch.column("doc_id").to_pylist(), batch.column("content"), strict=True):
-            rows = []
-            try:
-                if not content.is_valid or not len(content.as_py()):
-                    raise ValueError("no bytes")
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
-                    entries = [e for e in archive.infolist() if not e.is_dir()]
-                    if sum(e.file_size for e in entries) > most_bytes:
-                        raise ValueError("unpacks to too many bytes")
-                    last = {key_of(e.filename): e for e in entries}
-                    for key, e in last.items():
-                        kind = kind_of(key)
-                        if kinds and kind not in kinds:
-                            continue  # not unpacked at all
-                        try:
-                            rows.append((doc_id, e.filename, key, archive.read(e), None, None, kind))
-                        except BROKEN as x:  # a damaged member costs its own part only
-                            rows.append((doc_id, e.filename, key, None, "IO_ERROR", str(x), kind))
-                missing = {"[content_types].xml", "word/document.xml"} - last.keys()
-                rows += [(doc_id, None, key, None, "INVALID_STATE", f"missing part {key}", None) for key in sorted(missing)]
-            except BROKEN as x:
-                rows = [(doc_id, None, None, None, "INVALID_STATE", str(x), None)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names)
+    packages_ = ((d, c) for batch in batches for d, c in zip(batch.column("doc_id").to_pylist(), batch.column("content"), strict=True))
+    yield from _together((row for d, c in packages_ for row in _members(d, c, kinds, most_bytes)), _PART_NAMES, _PART_TYPES, 3)
 
 
 def parts(docs: DataFrame, *kinds: str, most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -91,60 +115,160 @@ def parts(docs: DataFrame, *kinds: str, most_bytes: int = MOST_BYTES) -> DataFra
     return docs.select("doc_id", "content").mapInArrow(open_, PARTS).withColumn("size", F.octet_length("data").cast("long"))
 
 
-class _Tree(ElementTree.TreeBuilder):
-    """A tree of a part without a document type, in whatever encoding: nothing is ever expanded."""
-
-    def doctype(self, name, pubid, system):
-        raise ValueError("document types are not read")
+#: A start tag from its first byte on: attribute values may hold a closing bracket.
+_TAG = re.compile(rb"<[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*>")
+#: Encodings whose bytes the places of elements are told in.
+_PLAIN = (None, "utf-8", "us-ascii", "ascii")
 
 
 def _local(name: str) -> str:
-    return name.rpartition("}")[2]
+    return name.split("}")[1] if "}" in name else name
+
+
+def _qualified(name: str) -> str:
+    """The name as it is written, with its prefix."""
+    pieces = name.split("}")
+    return f"{pieces[2]}:{pieces[1]}" if len(pieces) == 3 else pieces[-1]
 
 
-def flatten(data: bytes) -> list[tuple]:
-    """(node, parent, place, path, ancestors, tag, attrs, text) of every element, in document order.
+def flatten(data: bytes) -> list[list]:
+    """NODE_FIELDS of every element, in document order.
 
-    Names are local.  Character data of white space alone is dropped.  A part
-    with a document type is refused, so no entity is ever expanded.
+    Names are local.  Character data of white space alone is dropped.  A node
+    and its ``size`` descendants are numbered one after another.  The last four
+    are byte offsets: of an element's start tag, of what is inside, of its end
+    tag and of what follows (an empty element's inside and end tag are where it
+    ends); null in a part that is neither UTF-8 nor ASCII.  A part with a
+    document type is refused, so no entity is ever expanded.
     """
-    rows: list[tuple] = []
-    todo = [(ElementTree.fromstring(data, ElementTree.XMLParser(target=_Tree())), None, 0, "", [])]
-    while todo:
-        element, parent, place, above, ancestors = todo.pop()
-        node, tag = len(rows), _local(element.tag)
-        path = f"{above}/{tag}" if above else tag
-        pieces = [x for x in (element.text, *(c.tail for c in element)) if x and x.strip()]
-        line = [*ancestors, node]
-        rows.append((node, parent, place, path, line, tag, {_local(k): v for k, v in element.attrib.items()}, "".join(pieces) or None))
-        todo += [(child, node, i, path, line) for i, child in reversed(list(enumerate(element)))]
+    rows: list[list] = []
+    open_: list[tuple[list, list, list]] = []  # row, its character data since the last tag, places of its children
+    told: list[str | None] = [None]
+    parser = expat.ParserCreate(namespace_separator="}")
+    parser.namespace_prefixes = parser.buffer_text = True
+
+    def refuse(*_) -> None:
+        raise ValueError("document types are not read")
+
+    def pieces() -> None:
+        if open_:
+            row, held, _ = open_[-1]
+            piece = "".join(held)
+            held.clear()
+            if piece.strip():
+                row[7] = (row[7] or "") + piece
+
+    def start(name: str, attrs: dict) -> None:
+        pieces()
+        above = open_[-1] if open_ else None
+        node, tag, at = len(rows), _local(name), parser.CurrentByteIndex
+        path = f"{above[0][3]}/{tag}" if above else tag
+        place = len(above[2]) if above else 0
+        if above:
+            above[2].append(node)
+        row = [node, above[0][0] if above else None, place, path, [*(above[0][4] if above else ()), node], tag, {_local(k): v for k, v in attrs.items()}, None, 0, len(open_), _qualified(name), at, None, None, None]
+        rows.append(row)
+        open_.append((row, [], []))
+
+    def end(_: str) -> None:
+        pieces()
+        row = open_.pop()[0]
+        row[8] = len(rows) - row[0] - 1
+        row[13] = parser.CurrentByteIndex
+
+    parser.StartDoctypeDeclHandler, parser.StartElementHandler, parser.EndElementHandler = refuse, start, end
+    parser.CharacterDataHandler = lambda text: open_[-1][1].append(text)
+    parser.XmlDeclHandler = lambda version, encoding, alone: told.__setitem__(0, encoding)
+    parser.Parse(data, True)
+    plain = (told[0].lower() if told[0] else None) in _PLAIN and data[:2] not in (b"\xff\xfe", b"\xfe\xff")
+    for row in rows:
+        tag = _TAG.match(data, row[11]) if plain else None
+        if tag is None:
+            row[11:15] = None, None, None, None
+        elif tag[0].endswith(b"/>"):
+            row[12:15] = tag.end(), tag.end(), tag.end()
+        else:
+            row[12], row[14] = tag.end(), data.index(b">", row[13]) + 1
     return rows
 
 
+_NODE_NAMES = ["doc_id", "part_key", *NODE_FIELDS, "error_code", "error_message"]
+_NODE_TYPES = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+_NO_NODE = (None,) * len(NODE_FIELDS)
+
+
+def _node_rows(doc_id: str, key: str, data: bytes) -> Iterator[tuple]:
+    try:
+        rows = flatten(data)
+    except (expat.ExpatError, ValueError, LookupError) as e:
+        yield doc_id, key, *_NO_NODE, "XML_ERROR", str(e)
+        return
+    for r in rows:
+        yield doc_id, key, *r[:6], list(r[6].items()), *r[7:], None, None
+
+
 def _flattened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "part_key", "node", "parent", "place", "path", "ancestors", "tag", "attrs", "text", "error_code", "error_message"]
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.string()]
-    for batch in batches:
-        for doc_id, key, data in zip(batch.column("doc_id").to_pylist(), batch.column("part_key").to_pylist(), batch.column("data"), strict=True):
-            try:
-                rows = [(doc_id, key, *r[:6], list(r[6].items()), r[7], None, None) for r in flatten(data.as_py())]
-            except (ElementTree.ParseError, ValueError, LookupError) as e:
-                rows = [(doc_id, key, None, None, None, None, None, None, None, None, "XML_ERROR", str(e))]
-            for a in range(0, len(rows), 1 << 14):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + (1 << 14)], strict=True), kinds, strict=True)], names)
+    parts_ = ((d, k, x) for batch in batches for d, k, x in zip(batch.column("doc_id").to_pylist(), batch.column("part_key").to_pylist(), batch.column("data"), strict=True))
+    yield from _together((row for d, k, x in parts_ for row in _node_rows(d, k, x.as_py())), _NODE_NAMES, _NODE_TYPES, 9)
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], kinds: frozenset, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for doc_id, content in zip(batch.column("doc_id").to_pylist(), batch.column("content"), strict=True):
+                for _, _, key, data, code, message, _ in _members(doc_id, content, kinds, most_bytes):
+                    if code is not None:
+                        yield doc_id, key, *_NO_NODE, code, message
+                    else:
+                        yield from _node_rows(doc_id, key, data)
+
+    yield from _together(rows(), _NODE_NAMES, _NODE_TYPES, 9)
+
+
+def scan(docs: DataFrame, *kinds: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """The XML nodes of (doc_id, content) packages in one pass: ``parts`` and ``nodes`` without the parts' bytes in between.
+
+    kinds: as in ``nodes``.  What could not be opened is a row of an error, as
+    what could not be parsed is.
+    """
+    return docs.select("doc_id", "content").mapInArrow(partial(_scanned, kinds=frozenset(kinds or XML_KINDS), most_bytes=most_bytes), NODES)
 
 
 def nodes(part_rows: DataFrame, *kinds: str) -> DataFrame:
     """The XML nodes of the parts of these kinds (all XML kinds without any); media bytes never get here."""
-    wanted = kinds or ("document", "header", "footer", "document_rels", "rels", "content_types", "core_properties", "app_properties", "styles")
-    rows = part_rows.filter(F.col("kind").isin(*wanted) & F.col("data").isNotNull())
+    rows = part_rows.filter(F.col("kind").isin(*(kinds or XML_KINDS)) & F.col("data").isNotNull())
     return rows.select("doc_id", "part_key", "data").mapInArrow(_flattened, NODES)
 
 
+def _typed(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for doc_id, content in zip(batch.column("doc_id").to_pylist(), batch.column("content"), strict=True):
+                types: list[dict] = []
+                listed = []
+                for _, name, key, data, code, message, kind in _members(doc_id, content, frozenset(), most_bytes):
+                    if kind == "content_types" and data is not None:
+                        with contextlib.suppress(expat.ExpatError, ValueError, LookupError):
+                            types = [r[6] | {"tag": r[5]} for r in flatten(data)]
+                    listed.append((doc_id, name, key, kind, None if data is None else len(data), code, message))
+                defaults = [(t.get("Extension", "").lower(), t.get("ContentType", "")) for t in types if t["tag"] == "Default"]
+                overrides = [(key_of(t.get("PartName", "")), t.get("ContentType", "")) for t in types if t["tag"] == "Override"]
+                yield from ((*row, dict(reversed(defaults)), dict(reversed(overrides))) for row in listed)
+
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.map_(pa.string(), pa.string())]
+    names = ["doc_id", "part_name", "part_key", "kind", "size", "error_code", "error_message", "defaults", "overrides"]
+    yield from _together((tuple(list(x.items()) if isinstance(x, dict) else x for x in row) for row in rows()), names, kinds, 1)
+
+
+def typed_parts(docs: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """The parts of (doc_id, content) packages without their bytes, each with its package's content type rules (maps; the first of a name wins), in one pass."""
+    return docs.select("doc_id", "content").mapInArrow(partial(_typed, most_bytes=most_bytes), "doc_id string, part_name string, part_key string, kind string, size long, error_code string, error_message string, defaults map<string,string>, overrides map<string,string>")
+
+
 def errors(part_rows: DataFrame, node_rows: DataFrame) -> DataFrame:
     """doc_id, code, op, message, part: what could not be read, one row each; readable documents have none."""
     a = part_rows.filter("error_code is not null").select("doc_id", F.col("error_code").alias("code"), F.lit("open").alias("op"), F.col("error_message").alias("message"), F.col("part_key").alias("part"))
-    b = node_rows.filter("error_code is not null").select("doc_id", F.col("error_code").alias("code"), F.lit("parse").alias("op"), F.col("error_message").alias("message"), F.col("part_key").alias("part"))
+    b = node_rows.filter("error_code = 'XML_ERROR'").select("doc_id", F.col("error_code").alias("code"), F.lit("parse").alias("op"), F.col("error_message").alias("message"), F.col("part_key").alias("part"))
     return a.union(b)
 
 

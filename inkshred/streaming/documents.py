@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans import model
 from ..sources import docx
+from ..sources.store import stored
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -24,7 +25,7 @@ def paragraph_sink(stream: DataFrame, out: str, checkpoint: str):
     """
 
     def batch(rows: DataFrame, epoch: int) -> None:
-        nodes = docx.nodes(docx.parts(rows, "document"), "document")
+        nodes = stored(docx.scan(rows, "document"))
         model.paragraphs(nodes, model.runs(nodes)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start()
