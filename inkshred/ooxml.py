@@ -51,3 +51,9 @@ ERROR_CODES = ("INVALID_STATE", "VALIDATION_ERROR", "IO_ERROR", "XML_ERROR", "NO
 # Border lines, and the sides of a border in the order of the format.
 BORDER_LINES = ("none", "single", "dotted", "dashed", "double", "triple", "thick")
 BORDER_SIDES = ("top", "left", "bottom", "right")
+
+# The properties of a run in the order of the format.
+RUN_PROPERTIES = (
+    "rStyle", "rFonts", "b", "bCs", "i", "iCs", "caps", "smallCaps", "strike", "dstrike", "outline", "shadow", "emboss", "imprint", "noProof", "snapToGrid", "vanish", "webHidden", "color", "spacing", "w", "kern", "position",
+    "sz", "szCs", "highlight", "u", "effect", "bdr", "shd", "fitText", "vertAlign", "rtl", "cs", "em", "lang", "eastAsianLayout", "specVanish", "oMath",
+)

@@ -78,29 +78,69 @@ def add_blocks(blocks: DataFrame, added: DataFrame, key: str = "doc_id", order:
     return blocks.unionByName(moved, allowMissingColumns=True)
 
 
-def _rows_at(cells: DataFrame, edits: DataFrame, last: int, key: str, order: str) -> DataFrame:
-    """(key, at) of the edits whose row lies within their table; one edit for each table, the smallest."""
-    size = cells.groupBy(key).agg((F.max(order) + 1).alias("_rows"))
-    return edits.groupBy(key).agg(F.min("at").alias("at")).join(size, key).filter(F.col("at").between(0, F.col("_rows") - 1 + last)).select(key, "at")
+def _scripted(cells: DataFrame, script: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, rows, refused): the old indexes of a table's rows in their new order (null: a new row), and the seq of the edits out of range.
+
+    An ordered fold for each table over its edits, whose state is the list of
+    rows; tables hold 1,000 rows at most.
+    """
+    size = cells.groupBy(key).agg((F.max(order) + 1).cast("int").alias("_n"))
+    lists = script.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "op", F.col("at").cast("int").alias("at")))).alias("_edits"))
+    x = lists.join(size, key, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    rows = F.when(F.col("_n") > 0, F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(F.array().cast("array<int>"))
+
+    def step(state: Column, e: Column) -> Column:
+        rows, n, at = state["rows"], F.size(state["rows"]), e["at"]
+        fits = F.coalesce((at >= 0) & (((e["op"] == "insert") & (at <= n) & (F.col("_n") > 0)) | ((e["op"] == "delete") & (at < n))), F.lit(False))
+        more = F.when(e["op"] == "insert", F.array(F.lit(None).cast("int"))).otherwise(F.array().cast("array<int>"))
+        skip = F.when(e["op"] == "insert", 0).otherwise(1)
+        here = F.when(fits, at).otherwise(0)
+        moved = F.concat(F.slice(rows, F.lit(1), here), more, F.slice(rows, here + skip + 1, F.greatest(n - here, F.lit(0))))
+        return F.struct(F.when(fits, moved).otherwise(rows).alias("rows"), F.when(fits, state["refused"]).otherwise(F.concat(state["refused"], F.array(e["seq"].cast("long")))).alias("refused"))
+
+    start = F.struct(rows.alias("rows"), F.array().cast("array<bigint>").alias("refused"))
+    return x.select(key, F.aggregate("_edits", start, step).alias("s")).select(key, "s.rows", "s.refused")
+
+
+def edit_rows(cells: DataFrame, script: DataFrame, key: str = "table_id", order: str = "row_idx") -> DataFrame:
+    """Cells after a script of row edits (key, seq, op, at), each made on what those before it left.
+
+    op ``insert``: an empty row at index ``at`` (0 to the number of rows then),
+    with a cell for every column of its table, all other values null;
+    ``delete``: the row at ``at``.  An edit out of range, with another op or
+    with a null changes nothing; ``script_violations`` names it.  Tables
+    without edits stay as they are.
+    """
+    kinds = dict(cells.dtypes)
+    new = _scripted(cells, script, key, order).select(key, F.posexplode("rows").alias("_to", "_from"))
+    edited = script.select(key).distinct()
+    moved = cells.join(edited, key, "left_semi").join(new.filter("_from is not null"), (cells[key] == new[key]) & (cells[order] == F.col("_from"))).select(*(F.col("_to").cast(kinds[order]).alias(c) if c == order else cells[c] for c in cells.columns))
+    empty = cells.select(key, "col_idx").distinct().join(new.filter("_from is null"), key).select(key, "col_idx", F.col("_to").cast(kinds[order]).alias(order))
+    return cells.join(edited, key, "left_anti").unionByName(moved).unionByName(empty, allowMissingColumns=True)
+
+
+def script_violations(cells: DataFrame, script: DataFrame, key: str = "table_id", order: str = "row_idx") -> DataFrame:
+    """(key, seq): the edits of a script that changed nothing."""
+    return _scripted(cells, script, key, order).select(key, F.explode("refused").alias("seq"))
+
+
+def _as_script(edits: DataFrame, op: str, key: str) -> DataFrame:
+    """Edits (key, at) of one kind as a script in which each index is that of the table before: the last one first."""
+    return edits.select(key, F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last("at"))).alias("seq"), F.lit(op).alias("op"), "at")
 
 
 def insert_row(cells: DataFrame, edits: DataFrame, key: str = "table_id", order: str = "row_idx") -> DataFrame:
-    """Insert an empty row at index ``at`` (0 to the number of rows) of the tables named in ``edits`` (key, at).
+    """Insert empty rows at the indexes ``at`` (0 to the number of rows, of the table as it is) of the tables named in ``edits`` (key, at), any number a table.
 
-    Rows from it on move down by one; the new row has a cell for every column
-    of its table, all other values null.  An index out of range changes nothing.
+    Rows from an index on move down; a new row has a cell for every column of
+    its table, all other values null.  An index out of range changes nothing.
     """
-    at = _rows_at(cells, edits, 1, key, order)
-    moved = cells.join(at, key, "left").withColumn(order, F.when(F.col(order) >= F.col("at"), F.col(order) + 1).otherwise(F.col(order))).drop("at")
-    kinds = dict(cells.dtypes)
-    empty = cells.select(key, "col_idx").distinct().join(at, key).select(key, "col_idx", F.col("at").cast(kinds[order]).alias(order))
-    return moved.unionByName(empty, allowMissingColumns=True)
+    return edit_rows(cells, _as_script(edits, "insert", key), key, order)
 
 
 def delete_row(cells: DataFrame, edits: DataFrame, key: str = "table_id", order: str = "row_idx") -> DataFrame:
-    """Delete the row at index ``at`` of the tables named in ``edits`` (key, at); those below it move up, an index out of range changes nothing."""
-    x = cells.join(_rows_at(cells, edits, 0, key, order), key, "left").filter(F.col("at").isNull() | (F.col(order) != F.col("at")))
-    return x.withColumn(order, F.when(F.col(order) > F.col("at"), F.col(order) - 1).otherwise(F.col(order))).drop("at")
+    """Delete the rows at the indexes ``at`` of the tables named in ``edits`` (key, at), any number a table; those below move up, an index out of range changes nothing, nor does one named again."""
+    return edit_rows(cells, _as_script(edits.select(key, "at").distinct(), "delete", key), key, order)
 
 
 def row_violations(cells: DataFrame, edits: DataFrame, last: int = 0, key: str = "table_id", order: str = "row_idx") -> DataFrame:

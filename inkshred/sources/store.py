@@ -20,6 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once into the shared folder and read back: computed once, whatever reads it, and safe from lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Joins on more keys than those a table is bucketed by may keep its buckets.
 _KEEP = "spark.sql.requireAllClusterKeysForCoPartition"
 

@@ -4,12 +4,15 @@ import pytest
 from conftest import DATA
 from oracle import check
 
-from inkshred.plans import queries
+from inkshred.plans import edit_queries, queries
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+QUERIES, SQL = queries.QUERIES | edit_queries.QUERIES, queries.SQL | edit_queries.SQL
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_against_sql(spark, name):
-    check(spark, queries.QUERIES[name], queries.SQL[name], DATA)
+    check(spark, QUERIES[name], SQL[name], DATA)
 
 
 def test_entry_imports_and_runs(spark):
