@@ -66,7 +66,7 @@ def next_rel_id(rels: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def with_base_rels(rels: DataFrame, documents: DataFrame, base: DataFrame) -> DataFrame:
     """Relationships with those of the base set (rel_type, target) that a document lacks, numbered on from its largest id."""
-    wanted = documents.select("doc_id").distinct().crossJoin(F.broadcast(base))  # the base set is a constant of five rows
+    wanted = documents.select("doc_id").distinct().crossJoin(base)  # the base set is a constant of five rows
     lacking = wanted.join(rels.select("doc_id", "target"), ["doc_id", "target"], "left_anti")
     lacking = lacking.join(next_rel_id(rels), "doc_id", "left")
     at = F.row_number().over(Window.partitionBy("doc_id").orderBy("target")) - 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..ooxml import FIELD_CODES, FIELD_RESULTS
@@ -82,7 +82,7 @@ def without_styles(styles: DataFrame, removed: DataFrame, built_in: DataFrame) -
 def with_default(styles: DataFrame, style_id: str) -> DataFrame:
     """Styles with the named one as the default of its type; an unknown one changes nothing."""
     kind = styles.filter(F.col("style_id") == style_id).select(F.col("type").alias("_type")).dropDuplicates()
-    x = styles.join(F.broadcast(kind), F.col("type") == F.col("_type"), "left")  # one row at most
+    x = styles.join(kind, F.col("type") == F.col("_type"), "left")
     return x.withColumn("is_default", F.when(F.col("_type").isNotNull(), F.col("style_id") == style_id).otherwise(F.col("is_default"))).drop("_type")
 
 
@@ -107,7 +107,7 @@ def apply_palette(runs: DataFrame, theme: DataFrame, role: str = "role") -> Data
     said = F.create_map(*(x for r, c in colors.items() for x in (F.lit(r), F.col(c))))
     named = theme.select("theme", said.alias("_colors"), F.col("monospace").alias("_code"), F.col("small_size").alias("_small"))
     old = lambda c: F.col(c) if c in runs.columns else F.lit(None)
-    out = runs.join(F.broadcast(named), "theme", "left")  # presets of a few rows
+    out = runs.join(named, "theme", "left")
     out = out.withColumns({"color": F.coalesce(F.col("_colors")[F.col(role)], old("color")), "font": F.coalesce(F.when(F.col(role) == "code", F.col("_code")), old("font")), "size": F.coalesce(F.when(F.col(role) == "small", F.col("_small")), old("size"))})
     return out.drop("_colors", "_code", "_small")
 
@@ -118,7 +118,7 @@ def apply_theme(styles: DataFrame, theme: DataFrame) -> DataFrame:
     Touches Normal, Heading1 to 3, Title, Subtitle, Quote, IntenseQuote and
     ListParagraph; whatever a theme does not set stays as it is.
     """
-    x = styles.crossJoin(F.broadcast(theme))  # presets of a few rows; a style sheet is one row for each pair
+    x = styles.crossJoin(theme)  # a style sheet is one row for each pair
     is_ = lambda *ids: F.col("style_id").isin(*ids)
     heading = is_("Heading1", "Heading2", "Heading3")
     use = F.col("use_color")
@@ -135,6 +135,50 @@ def apply_theme(styles: DataFrame, theme: DataFrame) -> DataFrame:
     return x.select("theme", "style_id", *about, font.alias("font"), size.alias("size"), bold.alias("bold"), italic.alias("italic"), color.alias("color"), alignment.alias("alignment"), before.alias("spacing_before"), after.alias("spacing_after"))
 
 
+def resolved(styles: DataFrame, formats: tuple[str, ...], key: str = "doc_id", order: str = "style") -> DataFrame:
+    """Styles with the formatting they inherit: what one is silent about comes from the nearest style it is based on that is not.
+
+    styles: (key, order, style_id, based_on, formats and whatever else); of
+    equal ids in a sheet the first by ``order`` counts, the others are left
+    out.  Adds hops, the length of the chain, and ``violations``: ``unknown
+    base`` where based_on names no style (the chain ends there), ``cycle``
+    where the chain never ends; such a style keeps its own formatting and has
+    no hops.
+
+    A sheet is one group of some hundred rows.  In it the chains are followed
+    by pointer doubling: every round takes over the formatting of the style
+    pointed at and then points where that one does, so that a chain of h
+    styles takes log2(h) rounds, and a pointer left after all of them is on a
+    cycle.
+    """
+    others = [c for c in styles.columns if c not in (key, *formats)]
+    first = styles.withColumn("_r", F.row_number().over(Window.partitionBy(key, "style_id").orderBy(order))).filter("_r = 1").drop("_r")
+    sheet = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.struct(*others).alias("about"), F.struct(*formats).alias("look")))).alias("_s"))
+    places = F.sequence(F.lit(0), F.size("_s") - 1)
+    ids = F.transform("_s", lambda x: x["about"]["style_id"])
+    base = F.transform("_s", lambda x: F.nullif(F.array_position(F.col("_ids"), x["about"]["based_on"]).cast("int"), F.lit(0)) - 1)
+    x = sheet.withColumn("_ids", ids).withColumn("_base", base)
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size("_s") + 1)).cast("int"))
+    start = F.struct(F.col("_base").alias("to"), F.transform("_s", lambda x: x["look"]).alias("look"), F.transform("_base", lambda b: F.when(b.isNull(), 0).otherwise(1)).alias("hops"))
+
+    def step(state: Column, _: Column) -> Column:
+        def taken(i: Column) -> Column:
+            own, other = F.get(state["look"], i), F.get(state["look"], F.get(state["to"], i))
+            return F.struct(*(F.coalesce(own[c], other[c]).alias(c) for c in formats))
+
+        return F.struct(
+            F.transform(places, lambda i: F.get(state["to"], F.get(state["to"], i))).alias("to"), F.transform(places, taken).alias("look"),
+            F.transform(places, lambda i: F.get(state["hops"], i) + F.coalesce(F.get(state["hops"], F.get(state["to"], i)), F.lit(0))).alias("hops"),
+        )
+
+    x = x.withColumn("_end", F.aggregate(rounds, start, step)).select(key, F.explode(F.arrays_zip("_s", "_base", F.col("_end.to").alias("to"), F.col("_end.look").alias("look"), F.col("_end.hops").alias("hops"))).alias("x"))
+    loops = F.col("x.to").isNotNull()
+    unknown = F.col("x._base").isNull() & F.col("x._s.about.based_on").isNotNull()
+    bad = F.array_compact(F.array(F.when(loops, F.lit("cycle")), F.when(unknown, F.lit("unknown base"))))
+    look = F.when(loops, F.col("x._s.look")).otherwise(F.col("x.look"))
+    return x.select(key, *(F.col("x._s.about")[c].alias(c) for c in others), *(look[c].alias(c) for c in formats), F.when(~loops, F.col("x.hops")).alias("hops"), bad.alias("violations"))
+
+
 def _mapped(values: dict[str, str], key: Column, other: str) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[key], F.lit(other))
 

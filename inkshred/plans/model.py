@@ -60,7 +60,8 @@ def runs(nodes: DataFrame) -> DataFrame:
     breaks are listed beside it.  Runs stand in a paragraph or in a hyperlink
     or simple field of one; other wrappers are not read.  Runs without text,
     break or picture are none, but for the one at which a field parts code
-    from result.
+    from result.  ``said`` holds the switches with a null where the run is
+    silent and its styles decide.
     """
     inside = F.col("path").rlike(r"(^|/)p/((hyperlink|fldSimple)/)?r/")
     deep = F.when(F.regexp_extract("path", r"(?:^|/)p/(?:(hyperlink|fldSimple)/)?r/", 1) != "", 1).otherwise(0)
@@ -90,6 +91,7 @@ def runs(nodes: DataFrame) -> DataFrame:
         first("rPr/rFonts", _attr("cs")).alias("font_cs"),
         F.array_sort(F.collect_list(F.when(F.col("below") == "drawing", F.col("node")))).alias("drawings"),
         first("rPr/rStyle", _attr("val")).alias("style"),
+        F.struct(*(first(f"rPr/{tag}", on(_attr("val"))).alias(name) for name, tag in (("bold", "b"), ("italic", "i"), ("strike", "strike")))).alias("said"),
         F.coalesce(F.max((F.col("below") == "fldChar") & (F.lower(_attr("fldCharType")) == "separate")), F.lit(False)).alias("parts"),
     ).filter((F.col("text") != "") | (F.size("breaks") > 0) | (F.size("drawings") > 0) | F.col("parts")).drop("parts")
     at = F.row_number().over(Window.partitionBy("doc_id", "part_key", "para").orderBy("run")) - 1
@@ -246,7 +248,69 @@ def bookmarks(nodes: DataFrame) -> DataFrame:
 def paragraph_styles(paragraph_rows: DataFrame, styles: DataFrame) -> DataFrame:
     """Paragraphs with the name and formatting of their style (Normal without one); an unknown style leaves nulls."""
     s = styles.filter("type = 'paragraph'").select(F.col("style_id").alias("_style"), F.struct(*(c for c in styles.columns if c != "style_id")).alias("style"))
-    return paragraph_rows.join(F.broadcast(s), F.coalesce("style_id", F.lit("Normal")) == F.col("_style"), "left").drop("_style")  # a catalogue of some hundred styles
+    return paragraph_rows.join(s, F.coalesce("style_id", F.lit("Normal")) == F.col("_style"), "left").drop("_style")
+
+
+#: Formatting of a style: column, path below the style, attribute, and how it is read.
+_STYLE = (
+    ("font", "rPr/rFonts", "ascii", None), ("size", "rPr/sz", "val", "int"), ("bold", "rPr/b", "val", "on"), ("italic", "rPr/i", "val", "on"), ("strike", "rPr/strike", "val", "on"),
+    ("underline", "rPr/u", "val", "lower"), ("color", "rPr/color", "val", None), ("highlight", "rPr/highlight", "val", "lower"),
+    ("alignment", "pPr/jc", "val", None), ("spacing_before", "pPr/spacing", "before", "int"), ("spacing_after", "pPr/spacing", "after", "int"), ("line_value", "pPr/spacing", "line", "int"),
+    ("indent_left", "pPr/ind", "left", "int"), ("indent_right", "pPr/ind", "right", "int"), ("first_line", "pPr/ind", "firstLine", "int"), ("hanging", "pPr/ind", "hanging", "int"),
+    ("outline_level", "pPr/outlineLvl", "val", "int"), ("keep_next", "pPr/keepNext", "val", "on"), ("keep_lines", "pPr/keepLines", "val", "on"), ("page_break_before", "pPr/pageBreakBefore", "val", "on"),
+)
+STYLE_FORMATS = tuple(x[0] for x in _STYLE)
+
+
+def _formats(below: Column) -> list[Column]:
+    reads = {None: lambda c: c, "int": strict_int, "on": on, "lower": F.lower}
+    return [F.min(F.when(below == path, reads[how](_attr(name)))).alias(column) for column, path, name, how in _STYLE]
+
+
+def styles(nodes: DataFrame) -> DataFrame:
+    """doc_id, style, style_id, type, name, based_on, next, link, is_default, is_custom and STYLE_FORMATS of the styles of every document, as they stand: what a style is silent about is null."""
+    n = nodes.filter("part_key = 'word/styles.xml'")
+    heads = n.filter("path = 'styles/style'").select("doc_id", F.col("node").alias("style"), _attr("styleId").alias("style_id"), F.coalesce(_attr("type"), F.lit("paragraph")).alias("type"), on(F.coalesce(_attr("default"), F.lit("0"))).alias("is_default"), on(F.coalesce(_attr("customStyle"), F.lit("0"))).alias("is_custom"))
+    below = F.regexp_extract("path", "^styles/style/(.*)$", 1)
+    inner = n.filter(F.col("path").rlike("^styles/style/")).withColumn("below", below).groupBy("doc_id", F.get("ancestors", F.lit(1)).alias("style"))
+    said = inner.agg(*(F.min(F.when(F.col("below") == tag, _attr("val"))).alias(c) for c, tag in (("name", "name"), ("based_on", "basedOn"), ("next", "next"), ("link", "link"))), *_formats(F.col("below")))
+    return heads.join(said, ["doc_id", "style"], "left")
+
+
+def style_defaults(nodes: DataFrame) -> DataFrame:
+    """doc_id and STYLE_FORMATS: what a document's sheet sets for all of its text."""
+    n = nodes.filter("part_key = 'word/styles.xml'").withColumn("below", F.regexp_extract("path", "^styles/docDefaults/(?:rPrDefault|pPrDefault)/(.*)$", 1))
+    return n.filter("below != ''").groupBy("doc_id").agg(*_formats(F.col("below")))
+
+
+def effective_formatting(run_rows: DataFrame, paragraph_rows: DataFrame, resolved: DataFrame, defaults: DataFrame | None = None) -> DataFrame:
+    """Runs with the formatting they are shown with, in columns ``shown`` (a struct of STYLE_FORMATS), and paragraph_style and run_style as they took effect.
+
+    What a run says itself comes first, then its character style, its
+    paragraph's own settings and style (the document's default one where it
+    names none or an unknown one), then the document's defaults.  ``resolved``: of
+    ``operators.styles.resolved``.
+    """
+    keys = ["doc_id", "part_key", "para"]
+    look = F.struct(*STYLE_FORMATS)
+    of = lambda kind: resolved.filter(F.col("type") == kind)
+    named = of("paragraph").select("doc_id", F.col("style_id").alias("_para_id"), look.alias("_para"))
+    usual = of("paragraph").filter("is_default").groupBy("doc_id").agg(F.min(F.struct("style", F.col("style_id").alias("id"), look.alias("look"))).alias("_usual"))
+    character = of("character").select("doc_id", F.col("style_id").alias("_char_id"), look.alias("_char"))
+    own = [c for c in STYLE_FORMATS if c in paragraph_rows.columns]
+    p = paragraph_rows.select(*keys, F.col("style_id").alias("_para_id"), F.struct(*own).alias("_own"))
+    x = run_rows.join(p, keys).withColumn("_char_id", F.col("style")).join(named, ["doc_id", "_para_id"], "left").join(character, ["doc_id", "_char_id"], "left").join(usual, "doc_id", "left")
+    if defaults is not None:
+        x = x.join(defaults.select("doc_id", look.alias("_all")), "doc_id", "left")
+    direct = {"bold": F.col("said.bold"), "italic": F.col("said.italic"), "strike": F.col("said.strike")} | {c: F.col(c) for c in ("font", "size", "underline", "color", "highlight")}
+
+    def shown(c: str) -> Column:
+        steps = [direct[c], F.col("_char")[c]] if c in direct else [F.col("_own")[c]] if c in own else []
+        steps += [F.col("_para")[c], F.when(F.col("_para").isNull(), F.col("_usual.look")[c])] + ([F.col("_all")[c]] if defaults is not None else [])
+        return F.coalesce(*steps).alias(c)
+
+    took = F.when(F.col("_para").isNotNull(), F.col("_para_id")).otherwise(F.col("_usual.id"))
+    return x.select(*run_rows.columns, took.alias("paragraph_style"), F.when(F.col("_char").isNotNull(), F.col("_char_id")).alias("run_style"), F.struct(*map(shown, STYLE_FORMATS)).alias("shown"))
 
 
 def content_types(nodes: DataFrame, part_rows: DataFrame) -> DataFrame:

@@ -312,17 +312,6 @@ def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("doc_id", number.alias("c_custkey")).join(runs, "doc_id").select("c_custkey", "text")
 
 
-def style_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every theme's style sheet in a package, read back."""
-    sheets = sink.style_sheets(styles.apply_theme(styles.catalogue(spark).filter("type = 'paragraph'"), styles.themes(spark)), "theme")
-    xml = sink.paragraph_xml(_one_run(styles.themes(spark), "theme", text=F.col("theme")))
-    content = sink.assemble(sink.document_xml(xml).join(sheets.withColumnRenamed("theme", "doc_id"), "doc_id"))
-    n = source.nodes(source.parts(content, "styles"), "styles")
-    own = n.filter("path = 'styles/style'").select("doc_id", F.col("node").alias("style"), F.col("attrs")["styleId"].alias("style_id"))
-    inner = n.filter("path in ('styles/style/rPr/sz', 'styles/style/rPr/color')").groupBy("doc_id", F.get("ancestors", F.lit(1)).alias("style")).agg(F.min(F.when(F.col("tag") == "sz", F.col("attrs")["val"].cast("int"))).alias("size"), F.min(F.when(F.col("tag") == "color", F.col("attrs")["val"])).alias("color"))
-    return own.join(inner, ["doc_id", "style"], "left").filter(F.col("style_id").isin("Normal", "Heading1", "Title", "Subtitle", "IntenseQuote")).select(F.col("doc_id").alias("theme"), "style_id", "size", "color")
-
-
 def relationship_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relationships of every region's document: some added, one deleted."""
     n = edits.number_rows(_t(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", "k")
@@ -360,15 +349,6 @@ def hyperlink_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "pages").select("page_id", scalars.hyperlink_url(F.regexp_extract("html", r"(href=\"[^\"]*\")", 1)).alias("href"))
 
 
-def style_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return styles.catalogue(spark).groupBy("type").agg(F.count("*").alias("n"), F.count_if("is_default").alias("n_default"), F.count("based_on").alias("n_based"))
-
-
-def theme_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = styles.catalogue(spark).filter("type = 'paragraph'")
-    return styles.apply_theme(base, styles.themes(spark)).filter(F.col("style_id").isin("Normal", "Heading1", "Heading2", "Heading3", "Title", "Subtitle", "Quote", "IntenseQuote", "ListParagraph")).select("theme", "style_id", "size", "color", "spacing_before", "spacing_after")
-
-
 def atoi_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.element_at(F.array(F.lit(" "), F.lit("x"), F.lit("-"), F.lit("+"), F.lit("")), (F.pmod("p_partkey", F.lit(5)) + 1).cast("int"))
     return _t(spark, sf_dir, "part").select("p_partkey", scalars.strict_int(F.concat(bad, F.col("p_size").cast("string"))).alias("value"))
@@ -393,9 +373,9 @@ QUERIES = {
     "doc_counts": doc_counts, "first_n_paragraphs": first_n_paragraphs, "find_replace_runs": find_replace_runs, "heading_bookmarks": heading_bookmarks, "section_ordinal": section_ordinal,
     "run_concat": run_concat, "table_dims": table_dims, "table_cell_at": table_cell_at, "row_insert_delete": row_insert_delete, "merge_region": merge_region, "merge_overlap": merge_overlap,
     "rel_resolve": rel_resolve, "content_type_lookup": content_type_lookup, "missing_targets": missing_targets, "hex_encode": hex_encode, "hex_decode": hex_decode, "unit_convert": unit_convert,
-    "part_name_norm": part_name_norm, "field_classify": field_classify, "hyperlink_extract": hyperlink_extract, "style_catalogue": style_catalogue, "theme_apply": theme_apply,
+    "part_name_norm": part_name_norm, "field_classify": field_classify, "hyperlink_extract": hyperlink_extract,
     "merge_accepted": merge_accepted, "field_roundtrip": field_roundtrip, "break_kinds": break_kinds, "hyperlink_roundtrip": hyperlink_roundtrip, "corrupt_packages": corrupt_packages,
-    "formatting_roundtrip": formatting_roundtrip, "section_roundtrip": section_roundtrip, "docx_files": docx_files, "style_sheets": style_sheets, "relationship_edits": relationship_edits,
+    "formatting_roundtrip": formatting_roundtrip, "section_roundtrip": section_roundtrip, "docx_files": docx_files, "relationship_edits": relationship_edits,
     "border_roundtrip": border_roundtrip, "template_documents": template_documents, "template_violations": template_violations, "theme_palette": theme_palette,
     "atoi_validate": atoi_validate, "edit_violations": edit_violations, "violations": violations, "dedupe_first": dedupe_first,
 }
@@ -406,16 +386,6 @@ _PAD = "lpad(upper(to_hex(p_partkey % {})), 2, '0')"
 _COLOR = "concat(" + ", ".join(_PAD.format(m) for m in (256, 251, 241)) + ")"
 _PATH = r"lower(regexp_replace(replace('./' || replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '/', '\'), '\', '/'), '^(\./|/)+', ''))"
 
-# The presets' colours (primary, secondary, text, light text, heading), sizes and spacings, whether headings are coloured.
-_THEMES = """(VALUES ('corporate', '2F5496', '4F81BD', '000000', '595959', '2F5496', 22, 0, 160, 240, 120, 480, 32, 26, 24, true),
-('startup', '6A5ACD', '48D1CC', '212121', '757575', '6A5ACD', 22, 0, 200, 320, 160, 560, 36, 28, 24, true),
-('modern', '34495E', '95A5A6', '2C3E50', '7F8C8D', '34495E', 22, 0, 240, 400, 200, 640, 34, 28, 24, true),
-('fintech', '005288', '007BA7', '212121', '616161', '005288', 22, 0, 140, 280, 140, 400, 30, 26, 22, true),
-('academic', '000000', '404040', '000000', '606060', '000000', 24, 0, 0, 240, 120, 480, 28, 26, 24, false),
-('tech-presentation', '007ACC', '505050', '212121', '6C757D', '007ACC', 22, 0, 160, 320, 160, 480, 32, 26, 24, true),
-('tech-darkmode', '4FC0FF', 'CE9178', 'D4D4D4', '969696', '4FC0FF', 22, 0, 160, 320, 160, 480, 32, 26, 24, true)) t(theme, pri, sec, txt, light, head, body, pb, pa, hb, ha, ss, h1, h2, h3, use_color)"""
-_THEME_COLOR = "CASE WHEN style_id IN ('Normal', 'ListParagraph') THEN txt WHEN style_id IN ('Subtitle', 'Quote') THEN light WHEN style_id = 'IntenseQuote' THEN sec WHEN NOT use_color THEN NULL WHEN style_id = 'Title' THEN pri ELSE head END"
-
 SQL = {
     "docx_roundtrip_text": r"SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\t-\r\x{85}\p{Z}]')), '') AS text FROM documents",
     "docx_roundtrip_paragraphs": rf"SELECT doc_id, count(*) AS n_paragraphs, sum(CASE WHEN regexp_matches(text, '[^\t-\r\x{{85}}\p{{Z}}]') THEN length(text) ELSE 0 END)::BIGINT AS n_chars FROM ({_LINES}) GROUP BY doc_id",
@@ -463,11 +433,6 @@ SELECT p_partkey, ('0x' || h[1:2])::INTEGER AS r, ('0x' || h[3:4])::INTEGER AS g
     "part_name_norm": f"SELECT page_id, {_PATH} AS part_key FROM pages",
     "field_classify": "SELECT event_id, CASE " + " ".join(f"WHEN starts_with(u, '{p}') THEN '{p}'" for p in ("PAGE", "NUMPAGES", "TOC", "DATE", "TIME", "STYLEREF", "SEQ", "REF", "HYPERLINK")) + " ELSE 'CUSTOM' END AS field_type FROM (SELECT event_id, upper(trim(CASE WHEN event_id % 2 = 0 THEN 'page' ELSE 'ref ' END || event_type)) AS u FROM events)",
     "hyperlink_extract": """SELECT page_id, regexp_extract(html, 'href="([^"]*)"', 1) AS href FROM pages""",
-    "style_catalogue": "SELECT * FROM (VALUES ('paragraph', 29::BIGINT, 1::BIGINT, 28::BIGINT), ('character', 6, 1, 5), ('table', 8, 1, 7)) t(type, n, n_default, n_based)",
-    "theme_apply": f"""SELECT theme, style_id, CASE style_id WHEN 'Heading1' THEN h1 WHEN 'Heading2' THEN h2 WHEN 'Heading3' THEN h3 WHEN 'Title' THEN h1 + 8 WHEN 'Subtitle' THEN body + 4 WHEN 'IntenseQuote' THEN body + 2 WHEN 'Quote' THEN NULL ELSE body END AS size, {_THEME_COLOR} AS color,
-CASE WHEN style_id LIKE 'Heading%' THEN hb WHEN style_id = 'Normal' THEN pb WHEN style_id = 'IntenseQuote' THEN 120 END AS spacing_before,
-CASE WHEN style_id LIKE 'Heading%' THEN ha WHEN style_id = 'Normal' THEN pa WHEN style_id = 'Title' THEN ha * 2 WHEN style_id = 'Subtitle' THEN ss WHEN style_id = 'ListParagraph' THEN pa // 2 WHEN style_id = 'IntenseQuote' THEN 120 END AS spacing_after
-FROM {_THEMES}, (VALUES ('Normal'), ('Heading1'), ('Heading2'), ('Heading3'), ('Title'), ('Subtitle'), ('Quote'), ('IntenseQuote'), ('ListParagraph')) s(style_id)""",
     "merge_accepted": f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY region_id) AS k FROM ({_REGIONS}) WHERE r0 + rows <= 4 AND c0 + cols <= 4),
 f AS (SELECT table_id, k, [region_id] AS ids FROM r WHERE k = 1 UNION ALL
 SELECT r.table_id, r.k, CASE WHEN EXISTS (SELECT 1 FROM r o WHERE o.table_id = r.table_id AND list_contains(f.ids, o.region_id) AND r.r0 < o.r0 + o.rows AND o.r0 < r.r0 + r.rows AND r.c0 < o.c0 + o.cols AND o.c0 < r.c0 + r.cols) THEN f.ids ELSE list_append(f.ids, r.region_id) END
@@ -497,7 +462,6 @@ UNION ALL SELECT c_custkey, 'paragraphs', 'spacing_before' FROM customer WHERE c
 FROM (SELECT event_id, (event_id % 4)::INTEGER AS k, (event_id % 7)::INTEGER AS r FROM events) JOIN (VALUES (0, ['D9D9D9', 'C0C0C0', '2D2D2D', NULL]), (1, ['00B050', '008000', '49CC90', NULL]), (2, ['FFC000', 'FFA500', 'FFCB6B', NULL]),
 (3, ['C00000', '8B0000', 'FF5555', NULL]), (4, [NULL, NULL, NULL, NULL]), (5, [NULL, NULL, NULL, NULL]), (6, ['2F5496', '000000', '4FC0FF', NULL])) v(role, c) ON r = role""",
     "docx_files": "SELECT c_custkey, c_name AS text FROM customer",
-    "style_sheets": f"SELECT theme, style_id, nullif(CASE style_id WHEN 'Heading1' THEN h1 WHEN 'Title' THEN h1 + 8 WHEN 'Subtitle' THEN body + 4 WHEN 'IntenseQuote' THEN body + 2 ELSE body END, 22) AS size, {_THEME_COLOR} AS color FROM {_THEMES}, (VALUES ('Normal'), ('Heading1'), ('Title'), ('Subtitle'), ('IntenseQuote')) s(style_id)",
     "relationship_edits": """WITH n AS (SELECT n_regionkey AS r, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k, n_name FROM nation),
 a AS (SELECT r, k, 'image' AS rel_type, n_name AS target, '' AS target_mode FROM n UNION ALL
 SELECT r_regionkey, (SELECT count(*) FROM n WHERE r = r_regionkey) + i, 'hyperlink', CASE i WHEN 1 THEN r_name ELSE lower(r_name) END, 'External' FROM region, (VALUES (1), (2)) v(i))
