@@ -52,31 +52,55 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(every)
 
 
-def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.6, lift: float = 1.5, longest: int = 4) -> DataFrame:
-    """(rule_id, antecedent, confidence, support) of the pruned rules towards "bad".
-
-    labelled: url and bad (boolean; null teaches nothing).  Itemsets of more
-    than ``longest`` tokens are not rules.  Empty without a labelled page.
+def _classes(baskets: DataFrame) -> DataFrame:
+    """(item, rep, n): every token with the first by name of those that occur on the same pages, and how many pages those are; told apart by two hashes of the pages."""
+    each = baskets.select("basket", F.explode("items").alias("item")).select("item", *(F.xxhash64(F.lit(i), "basket").alias(f"h{i}") for i in (1, 2)))
+    pages = each.groupBy("item").agg(F.count("*").alias("n"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"))
+    reps = pages.groupBy("n", "h1", "h2").agg(F.min("item").alias("rep"))
+    return pages.join(reps, ["n", "h1", "h2"]).select("item", "rep", "n")
+
+
+def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.6, lift: float = 1.5, longest: int = 4, least: int = 5) -> DataFrame:
+    """(rule_id, antecedent, alternatives, confidence, support) of the pruned rules towards "bad".
+
+    labelled: url and bad (boolean; null teaches nothing).  A combination is
+    frequent on ``support`` of the pages, and on ``least`` of them.  Tokens that occur on
+    the very same pages are one to the miner, as all combinations of m such
+    tokens would be equally frequent, 2^m of them: the antecedent names the
+    first of each, ``alternatives`` (one array for each) all of them, and any one of them
+    will do.  Combinations of more than ``longest`` are not rules.  Empty
+    without a labelled page.
     """
     spark = labelled.sparkSession
-    baskets = labelled.filter("bad is not null and url is not null").select(F.when(F.col("bad"), F.array_append(tokens(F.col("url")), F.lit(BAD))).otherwise(tokens(F.col("url"))).alias("items"))
-    if baskets.isEmpty():
-        return spark.createDataFrame([], "rule_id long, antecedent array<string>, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    known = labelled.filter("bad is not null and url is not null")
+    baskets = written(known.select(F.monotonically_increasing_id().alias("basket"), tokens(F.col("url")).alias("items"), "bad"), "baskets")
+    n = baskets.count()
+    if not n:
+        return spark.createDataFrame([], "rule_id long, antecedent array<string>, alternatives array<array<string>>, confidence double, support double")
+    classes = written(_classes(baskets), "tokens")
+    often = classes.filter((F.col("n") >= least) & (F.col("n") >= support * n)).select("item", "rep")
+    merged = baskets.select("basket", "bad", F.explode("items").alias("item")).join(bounded(often, often.count()), "item").groupBy("basket", "bad").agg(F.array_sort(F.collect_set("rep")).alias("items"))
+    rest = baskets.join(merged.select("basket"), "basket", "left_anti").select("basket", "bad", F.array().cast("array<string>").alias("items"))
+    every = merged.unionByName(rest).select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=max(support, least / n), minConfidence=confidence).fit(every)
     rules = model.associationRules.filter((F.get("consequent", F.lit(0)) == BAD) & (F.col("lift") >= lift) & (F.size("antecedent") <= longest))
     rules = written(rules.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("antecedent"), "confidence", "support"), "rules")
     # a rule with a proper part that is as sure adds nothing
     part = rules.select(F.col("rule_id").alias("part_id"), F.size("antecedent").alias("k"), F.col("confidence").alias("c"), F.explode("antecedent").alias("item"))
     whole = rules.select("rule_id", "confidence", F.size("antecedent").alias("n"), F.explode("antecedent").alias("item"))
     inside = whole.join(part, "item").filter("k < n and c >= confidence").groupBy("rule_id", "part_id", "k").count().filter("count = k")
-    return rules.join(inside.select("rule_id").distinct(), "rule_id", "left_anti")
+    kept = rules.join(inside.select("rule_id").distinct(), "rule_id", "left_anti")
+    same = classes.groupBy("rep").agg(F.array_sort(F.collect_list("item")).alias("same"))
+    told = kept.select("rule_id", F.explode("antecedent").alias("rep")).join(same, "rep").groupBy("rule_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rep", "same"))), lambda x: x["same"]).alias("alternatives"))
+    return kept.join(told, "rule_id").select("rule_id", "antecedent", "alternatives", "confidence", "support")
 
 
 def fired(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, n_rules): distinct urls that meet at least one rule, through the inverted index."""
-    index = written(rules.select("rule_id", F.size("antecedent").alias("n"), F.explode("antecedent").alias("item")), "index")
+    """(url, n_rules): distinct urls that meet at least one rule (a token of each of its alternatives), through the inverted index."""
+    index = rules.select("rule_id", F.size("antecedent").alias("n"), F.posexplode("alternatives").alias("place", "same"))
+    index = written(index.select("rule_id", "n", "place", F.explode("same").alias("item")), "index")
     met = urls.select("url").filter("url is not null").distinct().select("url", F.explode(tokens(F.col("url"))).alias("item"))
-    met = met.join(bounded(index), "item").groupBy("url", "rule_id", "n").count().filter("count = n")
+    met = met.join(bounded(index), "item").select("url", "rule_id", "n", "place").distinct().groupBy("url", "rule_id", "n").count().filter("count = n")
     return met.groupBy("url").agg(F.count("*").alias("n_rules"))
 
 

@@ -179,6 +179,16 @@ def test_mined_url_rules_against_brute_force(spark):
     assert fired == {u: n for (u, _), s in zip(rows, sets, strict=True) if (n := sum(set(x.antecedent) <= s for x in mined))}
 
 
+def test_tokens_of_the_same_pages_are_one(spark):
+    query = "&".join(f"k{i}=v" for i in range(40))
+    rows = [(f"http://a.io/x{i}?{query}", True) for i in range(6)] + [(f"http://b.io/y{i}", False) for i in range(30)] + [("http://a.io/z?rare=1", True)]
+    rules = url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean"))
+    got = rules.collect()
+    assert sorted(len(a) for x in got for a in x.alternatives) == [1, 40] and all(len(x.antecedent) == 1 for x in got)
+    asked = spark.createDataFrame([("http://c.io/?k7=v", 0), ("http://c.io/?rare=1", 1), ("http://a.io/", 2)], "url string, page_id int")
+    assert {x.url: x.n_rules for x in url_rules.fired(asked, rules).collect()} == {"http://c.io/?k7=v": 1, "http://a.io/": 1}
+
+
 def test_url_rules_of_nothing(spark):
     none = spark.createDataFrame([], "url string, bad boolean, page_id long")
     assert url_rules.judge(none.drop("bad"), none).count() == 0
