@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import media_type
+from ..sources.store import written
 
 
 def text_blocks(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -117,3 +118,57 @@ def assign_headers(sections: DataFrame, assigned: DataFrame) -> DataFrame:
     one = assigned.groupBy("doc_id", "section_idx", "kind", "type").agg(F.min("rel_id").alias("rel_id"))
     lists = one.groupBy("doc_id", "section_idx").agg(F.array_sort(F.collect_list(F.struct("kind", "type", "rel_id"))).alias("references"))
     return sections.drop("references").join(lists, ["doc_id", "section_idx"], "left")
+
+
+def reachable(rels: DataFrame, spare: int = 64) -> DataFrame:
+    """(doc_id, part_key, hops): the parts that relationships (``model.part_relationships``) lead to from the package itself, by the shortest way.
+
+    One join a hop, each round's findings written; packages take three or
+    four, and a ring of parts ends by itself.  More than ``spare`` rounds are
+    an error.
+    """
+    edges = written(rels.filter("target_key is not null").select("doc_id", F.col("source_key").alias("part_key"), "target_key").distinct(), "edges")
+    edge = edges.filter("part_key = ''").select("doc_id", F.col("target_key").alias("part_key"), F.lit(1).alias("hops"))
+    found = edge = written(edge.distinct(), "reached")
+    for hop in range(2, spare + 2):
+        step = edge.select("doc_id", "part_key").join(edges, ["doc_id", "part_key"]).select("doc_id", F.col("target_key").alias("part_key"), F.lit(hop).alias("hops")).distinct()
+        edge = written(step.join(found, ["doc_id", "part_key"], "left_anti"), "reached")
+        if edge.isEmpty():
+            return found
+        found = found.unionByName(edge)
+    raise ValueError(f"parts lie over {spare} relationships deep")
+
+
+def unreachable(parts: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, part_key): parts that no relationship leads to; the list of content types and lists of relationships need none."""
+    some = parts.filter("part_key is not null and part_key != '[content_types].xml'").filter(~F.col("part_key").endswith(".rels"))
+    return some.select("doc_id", "part_key").join(found, ["doc_id", "part_key"], "left_anti")
+
+
+def place_pictures(pictures: DataFrame, taken: int = 5) -> DataFrame:
+    """Pictures (doc_id, source, place, name, data, ..) with target, rel_id, number and content_type.
+
+    source: the part below word/ in which a picture stands (null: the main
+    document), place: its order there.  Equal bytes of a document are one part,
+    named by the order in which they first occur; a part has one relationship
+    for each source, numbered on from ``taken`` in the main document and
+    from 0 elsewhere; the drawing numbers of a document run through all its
+    parts, the main one first.  Names without an ending are png.
+    """
+    x = pictures.withColumn("_sha", F.sha2("data", 256))
+    order = [F.col("source").asc_nulls_first(), F.col("place")]
+    x = x.withColumn("number", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
+    x = x.withColumn("_first", F.min("number").over(Window.partitionBy("doc_id", "_sha")))
+    x = x.withColumn("_n", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("_first")))
+    x = x.withColumn("_r", F.dense_rank().over(Window.partitionBy("doc_id", "source").orderBy("_n")))
+    ending = F.lower(F.regexp_extract("name", r"\.([^./]+)$", 1))
+    ending = F.first(F.when(ending == "", "png").otherwise(ending)).over(Window.partitionBy("doc_id", "_sha").orderBy("number"))
+    x = x.withColumn("target", F.concat(F.lit("media/image"), F.col("_n").cast("string"), F.lit("."), ending))
+    rel_id = F.concat(F.lit("rId"), (F.col("_r") + F.when(F.col("source").isNull(), taken).otherwise(0)).cast("string"))
+    return x.withColumn("rel_id", rel_id).withColumn("content_type", media_type(F.col("target"))).drop("_sha", "_first", "_n", "_r")
+
+
+def picture_parts(placed: DataFrame) -> DataFrame:
+    """The parts of placed pictures as ``sinks.docx.assemble`` takes them: one for each source and target."""
+    one = placed.groupBy("doc_id", "source", "rel_id", "target").agg(F.min("content_type").alias("content_type"), F.min("data").alias("data"))
+    return one.withColumn("rel_kind", F.lit("image")).withColumn("target_mode", F.lit(None).cast("string"))

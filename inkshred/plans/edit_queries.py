@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ooxml
-from ..operators import axes, edits, splice
+from ..operators import axes, edits, splice, structure
 from ..sinks import docx as sink
 from ..sources import docx as source
 from ..sources.store import stored, written
@@ -88,7 +88,47 @@ def row_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.join(bad, "table_id", "left").select("table_id", F.coalesce("texts", F.lit("")).alias("texts"), F.coalesce("n_refused", F.lit(0)).alias("n_refused"))
 
 
-QUERIES = {"lossless_run_edit": lossless_run_edit, "node_axes": node_axes, "row_scripts": row_scripts}
+def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier as a package: a picture and a link in the body and in a header, the pictures equal for every second one, a part that nothing leads to for every third."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    k = F.col("s_suppkey")
+    png = lambda w: F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), F.lpad(F.hex(w), 8, "0"), F.lpad(F.hex(F.lit(5)), 8, "0"), F.lit("0806000000")))
+    own = lambda source, w: F.struct(F.lit(source).cast("string").alias("source"), F.lit(0).alias("place"), F.lit("a.png").alias("name"), png(w).alias("data"))
+    pictures = s.select(k.cast("string").alias("doc_id"), F.explode(F.array(own(None, k + 1), own("header1.xml", F.when(k % 2 == 0, k + 1).otherwise(k + 2)))).alias("p")).select("doc_id", "p.*")
+    placed = structure.place_pictures(pictures)
+    drawing = sink.drawing(F.col("rel_id"), F.col("number"), F.lit(9525), F.lit(9525), F.lit("Logo"))
+
+    def block(test: str) -> DataFrame:
+        shown = placed.filter(test).select("doc_id", F.lit(0).alias("block_idx"), F.lit(0).alias("run_idx"), F.lit("").alias("text"), drawing.alias("drawing"), F.lit(None).cast("string").alias("rel_id"))
+        link = s.select(k.cast("string").alias("doc_id"), F.lit(0).alias("block_idx"), F.lit(1).alias("run_idx"), F.col("s_name").alias("text"), F.lit("").alias("drawing"), F.lit("rId9").alias("rel_id"))
+        return sink.paragraph_xml(shown.unionByName(link))
+
+    part = lambda df, rel_id, kind, target, content_type, data, mode, source: df.select("doc_id", F.lit(rel_id).alias("rel_id"), F.lit(kind).alias("rel_kind"), target.alias("target"), F.lit(content_type).cast("string").alias("content_type"), data.alias("data"), F.lit(mode).cast("string").alias("target_mode"), F.lit(source).cast("string").alias("source"))
+    docs = s.select(k.cast("string").alias("doc_id"))
+    null = F.lit(None).cast("binary")
+    parts = structure.picture_parts(placed).unionByName(part(sink.header_xml(block("source is not null")), "rId20", "header", F.lit("header1.xml"), ooxml.WORD_TYPE + "header+xml", F.col("data"), None, None))
+    for source in (None, "header1.xml"):
+        parts = parts.unionByName(part(docs, "rId9", "hyperlink", F.concat(F.lit(f"https://{'body' if source is None else 'header'}/"), "doc_id"), None, null, "External", source))
+    content = sink.assemble(sink.document_xml(block("source is null"), sink.section_xml(references=(("header", "default", "rId20"),))), parts=parts)
+    orphan = s.filter(k % 3 == 0).select(k.cast("string").alias("doc_id"), F.lit("word/orphan.xml").alias("part_name"), F.encode(F.lit("<x/>"), "UTF-8").alias("data"))
+    return sink.rewrite(content, orphan)
+
+
+def header_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and pictures of bodies and headers, each by its own part's relationships, with the header's section, the media that are stored, and what nothing leads to."""
+    content = written(_headed(spark, sf_dir), "headed")
+    nodes = stored(source.scan(content))
+    parts = source.parts(content).select("doc_id", "part_key", "kind", "data")
+    links = model.hyperlinks(nodes, model.runs(nodes)).select("doc_id", "part_key", "text", "url")
+    images = model.images(nodes, source.image_dims(parts.filter("kind = 'media'"))).select("doc_id", "part_key", "width_px", "number")
+    used = model.section_parts(nodes).select("doc_id", "part_key", F.col("kind").alias("used_as"))
+    lost = structure.unreachable(parts, structure.reachable(model.part_relationships(nodes))).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("part_key")), ",").alias("unreachable"))
+    media = parts.filter("kind = 'media'").groupBy("doc_id").agg(F.count("*").alias("n_media"))
+    out = links.join(images, ["doc_id", "part_key"]).join(used, ["doc_id", "part_key"], "left").join(media, "doc_id").join(lost, "doc_id", "left")
+    return out.select(F.col("doc_id").cast("long").alias("s_suppkey"), "part_key", "text", "url", "width_px", "number", "used_as", "n_media", "unreachable")
+
+
+QUERIES = {"header_parts": header_parts, "lossless_run_edit": lossless_run_edit, "node_axes": node_axes, "row_scripts": row_scripts}
 
 
 def _quoted(text: str) -> str:
@@ -105,6 +145,8 @@ def _escaped(c: str) -> str:
 _BODY = _OPEN.replace("<w:b/>", '<w:b/><w:i/><w:color w:val="FF0000"/>')
 _T = '<w:t xml:space="preserve">'
 SQL = {
+    "header_parts": """SELECT s_suppkey, part_key, s_name AS text, 'https://' || place || '/' || s_suppkey AS url, (s_suppkey + 1 + CASE WHEN place = 'header' AND s_suppkey % 2 = 1 THEN 1 ELSE 0 END)::INTEGER AS width_px, no AS number, used_as, 1 + s_suppkey % 2 AS n_media, CASE WHEN s_suppkey % 3 = 0 THEN 'word/orphan.xml' END AS unreachable
+FROM supplier, (VALUES ('body', 'word/document.xml', 1, NULL), ('header', 'word/header1.xml', 2, 'header')) v(place, part_key, no, used_as)""",
     "lossless_run_edit": f"""SELECT doc_id, sha256({_quoted('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>')} || chr(10) || {_quoted(_BODY)} || {_escaped("coalesce(source, '-')")} || {_quoted(_SDT + _T + 'Edited</w:t><w:tab/>' + _T + '&lt;')} || doc_id || {_quoted('&gt;</w:t><w:br/>' + _T + ' </w:t><w:lastRenderedPageBreak/></w:r>' + _INS)} || {_escaped("coalesce(text, '')")} || {_quoted(_CLOSE.strip())} || chr(10)) AS document_sha256, 10 AS n_kept FROM documents""",
     "node_axes": "SELECT p_partkey, b.box, b.box + 1 AS depth, k - b.box + 1 AS n_inside, (k * (k + 1) - b.box * (b.box - 1)) // 2 AS sum_inside, 1 AS n_children, b.box AS first_inside FROM (SELECT p_partkey, p_partkey % 5 + 1 AS k FROM part) p JOIN (VALUES (1), (2), (3), (4), (5)) b(box) ON b.box <= k",
     "row_scripts": """WITH RECURSIVE r AS (SELECT o_custkey AS t, list(o_orderkey::VARCHAR ORDER BY o_orderkey) AS l FROM orders GROUP BY o_custkey),

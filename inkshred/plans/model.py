@@ -137,12 +137,29 @@ def relationships(nodes: DataFrame) -> DataFrame:
     return r.select("doc_id", _attr("Id").alias("rel_id"), _attr("Type").alias("rel_type"), _attr("Target").alias("target"), F.coalesce(_attr("TargetMode"), F.lit("")).alias("target_mode"))
 
 
+def part_relationships(nodes: DataFrame) -> DataFrame:
+    """doc_id, source_key, rel_id, rel_type, target, target_mode, target_key of all lists of relationships, keyed by the part they belong to (empty: the package).
+
+    target_key: the part that is meant, found from the folder of its source
+    (from the root for a target that begins with a slash); null outside the
+    package.
+    """
+    r = nodes.filter(F.col("part_key").endswith(".rels") & (F.col("path") == "Relationships/Relationship"))
+    source = F.regexp_replace("part_key", r"(^|/)_rels/([^/]*)\.rels$", "$1$2")
+    r = r.select("doc_id", source.alias("source_key"), _attr("Id").alias("rel_id"), _attr("Type").alias("rel_type"), _attr("Target").alias("target"), F.coalesce(_attr("TargetMode"), F.lit("")).alias("target_mode"))
+    plain = F.replace(F.col("target"), F.lit("\\"), F.lit("/"))
+    whole = F.when(plain.startswith("/"), plain).otherwise(F.concat(F.regexp_replace("source_key", "[^/]*$", ""), plain))
+    up = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x.isin("", "."), done).otherwise(F.concat(done, F.array(x)))
+    key = F.lower(F.array_join(F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), up), "/"))
+    return r.withColumn("target_key", F.when(F.lower("target_mode") != "external", key))
+
+
 def hyperlinks(nodes: DataFrame, run_rows: DataFrame) -> DataFrame:
-    """doc_id, para, run, url: runs in hyperlinks, their target by relationship, else #anchor."""
+    """doc_id, part_key, para, run, text, url: runs in hyperlinks, their target by the relationships of their own part, else #anchor."""
     links = nodes.filter(F.col("path").rlike(r"(^|/)p/hyperlink$")).select("doc_id", "part_key", F.col("node").alias("wrapper"), _attr("id").alias("rel_id"), _attr("anchor").alias("anchor"))
-    rels = relationships(nodes).select("doc_id", "rel_id", "target")
+    rels = part_relationships(nodes).select("doc_id", F.col("source_key").alias("part_key"), "rel_id", "target")
     url = F.coalesce("target", F.concat(F.lit("#"), "anchor"))
-    return run_rows.join(links, ["doc_id", "part_key", "wrapper"]).join(rels, ["doc_id", "rel_id"], "left").select("doc_id", "part_key", "para", "run", "text", url.alias("url"))
+    return run_rows.join(links, ["doc_id", "part_key", "wrapper"]).join(rels, ["doc_id", "part_key", "rel_id"], "left").select("doc_id", "part_key", "para", "run", "text", url.alias("url"))
 
 
 def fields(nodes: DataFrame, run_rows: DataFrame) -> DataFrame:
@@ -334,7 +351,7 @@ def images(nodes: DataFrame, media_dims: DataFrame) -> DataFrame:
     got = inside.groupBy("doc_id", "part_key", "drawing").agg(
         F.min(F.when(F.col("tag") == "blip", _attr("embed"))).alias("rel_id"),
         F.min(F.when(F.col("tag") == "extent", strict_int(_attr("cx")))).alias("cx"), F.min(F.when(F.col("tag") == "extent", strict_int(_attr("cy")))).alias("cy"),
-        F.min(F.when(F.col("tag") == "docPr", _attr("descr"))).alias("description"),
+        F.min(F.when(F.col("tag") == "docPr", _attr("descr"))).alias("description"), F.min(F.when(F.col("tag") == "docPr", strict_int(_attr("id")))).alias("number"),
         F.when(F.max(F.when(F.col("tag") == "anchor", 1)) == 1, "floating").otherwise("inline").alias("position"),
         F.coalesce(F.max(F.when(F.col("tag") == "anchor", _attr("behindDoc") == "1")), F.lit(False)).alias("behind_text"),
         F.min(F.when(F.col("tag") == "anchor", strict_int(_attr("relativeHeight")))).alias("z_order"),
@@ -342,9 +359,9 @@ def images(nodes: DataFrame, media_dims: DataFrame) -> DataFrame:
         *(F.min(F.when(F.col("path").endswith(f"position{d}/align"), F.lower("text"))).alias(f"{d.lower()}_align") for d in "HV"),
         *(F.min(F.when(F.col("path").endswith(f"position{d}/posOffset"), strict_int(F.col("text")))).alias(f"offset_{a}") for d, a in (("H", "x"), ("V", "y"))),
     )
-    rels = relationships(nodes).select("doc_id", "rel_id", "target").withColumn("media_key", F.lower(F.concat(F.lit("word/"), F.regexp_replace("target", r"^(/?word/|\./|/|(\.\./)+)", ""))))
+    rels = part_relationships(nodes).select("doc_id", F.col("source_key").alias("part_key"), "rel_id", "target", F.col("target_key").alias("media_key"))
     dims = media_dims.select("doc_id", F.col("part_key").alias("media_key"), "width_px", "height_px")
-    return got.join(rels, ["doc_id", "rel_id"], "left").join(dims, ["doc_id", "media_key"], "left").drop("part_key")
+    return got.join(rels, ["doc_id", "part_key", "rel_id"], "left").join(dims, ["doc_id", "media_key"], "left")
 
 
 def section_parts(nodes: DataFrame) -> DataFrame:
@@ -353,7 +370,7 @@ def section_parts(nodes: DataFrame) -> DataFrame:
     refs = refs.select("doc_id", "node", _up(1).alias("section"), F.replace("tag", F.lit("Reference"), F.lit("")).alias("kind"), F.coalesce(F.when(_attr("type").isin("first", "even"), _attr("type")), F.lit("default")).alias("type"), _attr("id").alias("rel_id"))
     at = F.row_number().over(Window.partitionBy("doc_id", "section", "kind", "type").orderBy("node"))
     refs = refs.withColumn("r", at).filter("r = 1").drop("r", "node")
-    rels = relationships(nodes).select("doc_id", "rel_id", F.lower(F.concat(F.lit("word/"), F.regexp_replace("target", r"^(/?word/|\./|/)", ""))).alias("part_key"))
+    rels = part_relationships(nodes).filter("source_key = 'word/document.xml'").select("doc_id", "rel_id", F.col("target_key").alias("part_key"))
     return refs.join(rels, ["doc_id", "rel_id"], "left")
 
 

@@ -323,14 +323,22 @@ def _packed(batches: Iterator[pa.RecordBatch], styles: str) -> Iterator[pa.Recor
         out = []
         columns = (batch.column(c).to_pylist() for c in ("document_xml", "core_xml", "styles_xml", "extra"))
         for document, props, own_styles, more in zip(*columns, strict=True):
-            more = sorted((m for m in more or [] if m["data"] or m["target_mode"]), key=lambda m: m["rel_id"])
-            links = f'{HEAD}<Relationships xmlns="{PACKAGE_RELS}">{base}{"".join(rel(m["rel_id"], m["rel_kind"], m["target"], m["target_mode"] or "") for m in more)}</Relationships>'
-            more = [m | {"target": safe_target(m["target"])} for m in more if not m["target_mode"]]
+            have = {safe_target(m["target"]) for m in more or [] if m["data"] and not m["target_mode"]}
+            more = sorted((m for m in more or [] if m["target_mode"] or safe_target(m["target"]) in have), key=lambda m: m["rel_id"])
+            of: dict[str, str] = {"document.xml": base}
+            for m in more:
+                source = safe_target(m["source"] or "document.xml")
+                of[source] = of.get(source, "") + rel(m["rel_id"], m["rel_kind"], m["target"], m["target_mode"] or "")
+            links, *others = (f'{HEAD}<Relationships xmlns="{PACKAGE_RELS}">{x}</Relationships>' for x in of.values())
+            lists = [(f"word/{'/'.join(['', *x.split('/')][1:-1] + ['_rels', x.split('/')[-1]])}.rels", y) for x, y in zip(list(of)[1:], others, strict=True)]
+            more = list({safe_target(m["target"]): m | {"target": safe_target(m["target"])} for m in reversed(more) if m["data"] and not m["target_mode"]}.values())[::-1]
             types = f'{HEAD}<Types xmlns="{CONTENT_TYPES}">{fixed}{"".join(override("/word/" + m["target"], m["content_type"]) for m in more)}</Types>'
             held = io.BytesIO()
             with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
                 for name, data in (("[Content_Types].xml", types), ("_rels/.rels", root), ("word/document.xml", document), ("word/_rels/document.xml.rels", links), ("docProps/core.xml", props), ("docProps/app.xml", app), ("word/styles.xml", own_styles or styles), ("word/fontTable.xml", plain("fonts")), ("word/theme/theme1.xml", HEAD + THEME), ("word/settings.xml", plain("settings")), ("word/webSettings.xml", plain("webSettings"))):
                     z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data, zipfile.ZIP_DEFLATED)  # a fixed time: equal rows give equal bytes
+                for name, data in lists:
+                    z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data, zipfile.ZIP_DEFLATED)
                 for m in more:
                     z.writestr(zipfile.ZipInfo("word/" + m["target"], (1980, 1, 1, 0, 0, 0)), m["data"], zipfile.ZIP_DEFLATED)
             out.append(held.getvalue())
@@ -350,7 +358,7 @@ def core_xml(columns: list[str]) -> Column:
     return F.concat(F.lit(f'{HEAD}<cp:coreProperties xmlns:cp="{CORE}" {spaces}>'), *inner, F.lit("</cp:coreProperties>"))
 
 
-_EXTRA = "array<struct<rel_id:string,rel_kind:string,target:string,content_type:string,data:binary,target_mode:string>>"
+_EXTRA = "array<struct<rel_id:string,rel_kind:string,target:string,content_type:string,data:binary,target_mode:string,source:string>>"
 
 
 def assemble(documents: DataFrame, metadata: DataFrame | None = None, styles: list[dict] | None = None, parts: DataFrame | None = None) -> DataFrame:
@@ -360,13 +368,16 @@ def assemble(documents: DataFrame, metadata: DataFrame | None = None, styles: li
     ``style_sheets``).  parts: further parts (doc_id, rel_id, rel_kind, target
     below word/, content_type, data) such as headers, footers, media and
     numbering; with a target_mode it is a relationship to something outside,
-    such as a hyperlink's; those with neither bytes nor mode are left out.
+    such as a hyperlink's; those with neither bytes nor mode are left out.  A
+    column ``source`` names the part below word/ whose relationship it is (a
+    header; null: the main document), so a part that several name is written
+    once, under the lists of relationships of each.
     """
     d = documents if metadata is None else documents.join(metadata, "doc_id", "left")
     extra = F.lit(None).cast(_EXTRA)
     if parts is not None:
         mode = F.nullif(F.col("target_mode"), F.lit("")) if "target_mode" in parts.columns else F.lit(None)
-        more = parts.groupBy("doc_id").agg(F.collect_list(F.struct("rel_id", "rel_kind", "target", "content_type", "data", mode.cast("string").alias("target_mode"))).alias("extra"))
+        more = parts.groupBy("doc_id").agg(F.collect_list(F.struct("rel_id", "rel_kind", "target", "content_type", "data", mode.cast("string").alias("target_mode"), (F.col("source") if "source" in parts.columns else F.lit(None)).cast("string").alias("source"))).alias("extra"))
         d, extra = d.join(more, "doc_id", "left"), F.col("extra")
     own = F.col("styles_xml") if "styles_xml" in d.columns else F.lit(None).cast("string")
     d = d.select(F.col("doc_id").cast("string").alias("doc_id"), "document_xml", core_xml(d.columns).alias("core_xml"), own.alias("styles_xml"), extra.alias("extra"))
