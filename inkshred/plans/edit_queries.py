@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ooxml
 from ..operators import axes, edits, splice, structure
 from ..sinks import docx as sink
+from ..sources import datasource
 from ..sources import docx as source
-from ..sources.store import stored, written
+from ..sources.store import shared_folder, stored, written
 from . import model
 
 _OPEN = f'<w:document xmlns:w="{ooxml.W}" xmlns:x="urn:own" xmlns:r="{ooxml.R}"><!-- kept > --><w:body><x:own a=\'1\'  b="2 > 1"/><w:p w:rsidR="00A1"><w:r><w:rPr><w:b/></w:rPr><w:t>'
@@ -128,7 +131,22 @@ def header_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc_id").cast("long").alias("s_suppkey"), "part_key", "text", "url", "width_px", "number", "used_as", "n_media", "unreachable")
 
 
-QUERIES = {"header_parts": header_parts, "lossless_run_edit": lossless_run_edit, "node_axes": node_axes, "row_scripts": row_scripts}
+def docx_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package per customer through the data source: written twice (the second time in place of the first), then its document parts alone read back."""
+    datasource.register(spark)
+    path = f"{shared_folder(spark)}/source-{uuid.uuid4().hex}"
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    runs = c.select(F.col("c_custkey").cast("string").alias("doc_id"), F.lit(0).alias("block_idx"), F.lit(0).alias("run_idx"), F.col("c_name").alias("text"))
+    content = sink.assemble(sink.document_xml(sink.paragraph_xml(runs)))
+    content.limit(10).withColumn("doc_id", F.concat(F.lit("old"), "doc_id")).write.format("docx").mode("overwrite").save(path)
+    content.write.format("docx").mode("overwrite").save(path)
+    parts = spark.read.format("docx").load(path).filter("kind = 'document'")
+    texts = model.runs(source.nodes(parts, "document")).select("doc_id", "text")
+    half = F.col("bytes_read") < F.col("package_size")
+    return parts.select("doc_id", F.regexp_extract("path", r"([0-9]+)\.docx$", 1).cast("long").alias("c_custkey"), half.alias("read_in_part")).join(texts, "doc_id").select("c_custkey", "text", "read_in_part")
+
+
+QUERIES = {"docx_source": docx_source, "header_parts": header_parts, "lossless_run_edit": lossless_run_edit, "node_axes": node_axes, "row_scripts": row_scripts}
 
 
 def _quoted(text: str) -> str:
@@ -145,6 +163,7 @@ def _escaped(c: str) -> str:
 _BODY = _OPEN.replace("<w:b/>", '<w:b/><w:i/><w:color w:val="FF0000"/>')
 _T = '<w:t xml:space="preserve">'
 SQL = {
+    "docx_source": "SELECT c_custkey, c_name AS text, true AS read_in_part FROM customer",
     "header_parts": """SELECT s_suppkey, part_key, s_name AS text, 'https://' || place || '/' || s_suppkey AS url, (s_suppkey + 1 + CASE WHEN place = 'header' AND s_suppkey % 2 = 1 THEN 1 ELSE 0 END)::INTEGER AS width_px, no AS number, used_as, 1 + s_suppkey % 2 AS n_media, CASE WHEN s_suppkey % 3 = 0 THEN 'word/orphan.xml' END AS unreachable
 FROM supplier, (VALUES ('body', 'word/document.xml', 1, NULL), ('header', 'word/header1.xml', 2, 'header')) v(place, part_key, no, used_as)""",
     "lossless_run_edit": f"""SELECT doc_id, sha256({_quoted('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>')} || chr(10) || {_quoted(_BODY)} || {_escaped("coalesce(source, '-')")} || {_quoted(_SDT + _T + 'Edited</w:t><w:tab/>' + _T + '&lt;')} || doc_id || {_quoted('&gt;</w:t><w:br/>' + _T + ' </w:t><w:lastRenderedPageBreak/></w:r>' + _INS)} || {_escaped("coalesce(text, '')")} || {_quoted(_CLOSE.strip())} || chr(10)) AS document_sha256, 10 AS n_kept FROM documents""",

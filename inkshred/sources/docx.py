@@ -64,11 +64,16 @@ _ROWS, _BYTES = 1 << 12, 4 << 20
 
 
 def _members(doc_id: str, content: pa.Scalar, kinds: frozenset, most_bytes: int) -> Iterator[tuple]:
-    """The part rows of one package; what could not be read as rows of errors."""
+    return members(doc_id, io.BytesIO(content.as_py() or b""), kinds, most_bytes)
+
+
+def members(doc_id: str, file, kinds: frozenset, most_bytes: int) -> Iterator[tuple]:
+    """The part rows of one package, a file that can be sought in; what could not be read as rows of errors."""
     try:
-        if not content.is_valid or not len(content.as_py()):
+        if not file.seek(0, io.SEEK_END):
             raise ValueError("no bytes")
-        with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
+        file.seek(0)
+        with zipfile.ZipFile(file) as archive:
             entries = [e for e in archive.infolist() if not e.is_dir()]
             if sum(e.file_size for e in entries) > most_bytes:
                 raise ValueError("unpacks to too many bytes")
@@ -87,7 +92,7 @@ def _members(doc_id: str, content: pa.Scalar, kinds: frozenset, most_bytes: int)
         yield doc_id, None, None, None, "INVALID_STATE", str(x), None
 
 
-def _together(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], weight: int) -> Iterator[pa.RecordBatch]:
+def together(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], weight: int) -> Iterator[pa.RecordBatch]:
     """Rows as batches of a bounded size; ``weight``: the column whose length counts."""
     held, size = [], 0
     for row in rows:
@@ -102,7 +107,7 @@ def _together(rows: Iterator[tuple], names: list[str], types: list[pa.DataType],
 
 def _opened(batches: Iterator[pa.RecordBatch], kinds: frozenset, most_bytes: int) -> Iterator[pa.RecordBatch]:
     packages_ = ((d, c) for batch in batches for d, c in zip(batch.column("doc_id").to_pylist(), batch.column("content"), strict=True))
-    yield from _together((row for d, c in packages_ for row in _members(d, c, kinds, most_bytes)), _PART_NAMES, _PART_TYPES, 3)
+    yield from together((row for d, c in packages_ for row in _members(d, c, kinds, most_bytes)), _PART_NAMES, _PART_TYPES, 3)
 
 
 def parts(docs: DataFrame, *kinds: str, most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -209,7 +214,7 @@ def _node_rows(doc_id: str, key: str, data: bytes) -> Iterator[tuple]:
 
 def _flattened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts_ = ((d, k, x) for batch in batches for d, k, x in zip(batch.column("doc_id").to_pylist(), batch.column("part_key").to_pylist(), batch.column("data"), strict=True))
-    yield from _together((row for d, k, x in parts_ for row in _node_rows(d, k, x.as_py())), _NODE_NAMES, _NODE_TYPES, 9)
+    yield from together((row for d, k, x in parts_ for row in _node_rows(d, k, x.as_py())), _NODE_NAMES, _NODE_TYPES, 9)
 
 
 def _scanned(batches: Iterator[pa.RecordBatch], kinds: frozenset, most_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -222,7 +227,7 @@ def _scanned(batches: Iterator[pa.RecordBatch], kinds: frozenset, most_bytes: in
                     else:
                         yield from _node_rows(doc_id, key, data)
 
-    yield from _together(rows(), _NODE_NAMES, _NODE_TYPES, 9)
+    yield from together(rows(), _NODE_NAMES, _NODE_TYPES, 9)
 
 
 def scan(docs: DataFrame, *kinds: str, most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -257,7 +262,7 @@ def _typed(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.Re
 
     kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.map_(pa.string(), pa.string())]
     names = ["doc_id", "part_name", "part_key", "kind", "size", "error_code", "error_message", "defaults", "overrides"]
-    yield from _together((tuple(list(x.items()) if isinstance(x, dict) else x for x in row) for row in rows()), names, kinds, 1)
+    yield from together((tuple(list(x.items()) if isinstance(x, dict) else x for x in row) for row in rows()), names, kinds, 1)
 
 
 def typed_parts(docs: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:

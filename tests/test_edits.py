@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from test_documents import BODY, opened, package
 
 from inkshred import ooxml
-from inkshred.operators import axes, edits, splice
+from inkshred.operators import axes, edits, splice, structure
 from inkshred.plans import model
 from inkshred.sinks import docx as sink
+from inkshred.sources import datasource, store
 from inkshred.sources import docx as source
-from inkshred.sources import store
 
 
 def spliced(spark, content, make):
@@ -139,6 +139,69 @@ def test_row_scripts(spark):
     assert column(edits.delete_row(cells, at)) == ["200", "220"]
 
 
+def test_data_source_reads_what_is_asked_for(spark, tmp_path):
+    datasource.register(spark)
+    big = bytes(range(256)) * 4000
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/x.docx").write_bytes(package("<w:p/>", word__media__image1_DOT_png=big))
+    (tmp_path / "bad.docx").write_bytes(b"no archive")
+    (tmp_path / "y.txt").write_bytes(b"no")
+    read = lambda **o: spark.read.format("docx").options(**o).load(f"file://{tmp_path}")
+    rows = read().collect()
+    assert {(r.path.rsplit("/", 1)[1], r.part_key, r.error_code) for r in rows} == {("x.docx", k, None) for k in ("[content_types].xml", "word/document.xml", "word/_rels/document.xml.rels", "word/media/image1.png")} | {("bad.docx", None, "INVALID_STATE")}
+    for some in (read().filter("kind = 'document'"), read().filter("kind in ('document', 'styles')"), read(kinds="document").filter("error_code is null")):
+        (r,) = some.collect()
+        assert r.part_key == "word/document.xml" and r.bytes_read < 5000 < r.package_size
+    assert [r.bytes_read > len(big) / 2 or r.bytes_read for r in read(kinds="media").filter("kind = 'media'").collect()] != []
+    (lost,) = spark.read.format("docx").load(f"file://{tmp_path}/none").collect()
+    assert (lost.error_code, lost.part_key) == ("NOT_FOUND", None)
+
+
+def test_data_source_commits_whole_or_not_at_all(spark, tmp_path):
+    datasource.register(spark)
+    path = f"file://{tmp_path}/out"
+    docs = spark.createDataFrame([(f"d/{i}", bytearray(package(f"<w:p><w:r><w:t>{i}</w:t></w:r></w:p>"))) for i in range(6)], "doc_id string, content binary").repartition(3)
+    names = lambda: sorted(r.path.rsplit("/", 1)[1] for r in spark.read.format("docx").load(path).filter("kind = 'document'").collect())
+    docs.write.format("docx").mode("append").save(path)
+    assert names() == [f"d%2F{i}.docx" for i in range(6)]
+    with pytest.raises(Exception, match="needs doc_id"):
+        docs.unionByName(spark.createDataFrame([("z", None)], docs.schema)).write.format("docx").mode("overwrite").save(path)
+    assert names() == [f"d%2F{i}.docx" for i in range(6)]
+    files = sorted(p.name for p in (tmp_path / "out").rglob("*.docx"))
+    assert files == [f"d%2F{i}.docx" for i in range(6)]  # the failed job left nothing
+    docs.limit(2).withColumn("doc_id", F.concat(F.lit("n"), "doc_id")).write.format("docx").mode("append").save(path)
+    assert len(names()) == 8
+    docs.filter("doc_id = 'd/1'").write.format("docx").mode("overwrite").save(path)
+    assert names() == ["d%2F1.docx"] == [p.name for p in (tmp_path / "out").rglob("*.docx")]
+
+
+def test_relationships_lead_from_part_to_part(spark):
+    rel = lambda i, target, mode="": f'<Relationship Id="{i}" Type="t" Target="{target}"{mode}/>'
+    more = {"_rels/.rels": rel("r1", "/word/document.xml") + rel("r2", "docProps/core.xml"), "word/_rels/header1.xml.rels": rel("r1", "../word/./media/A.png") + rel("r2", "document.xml") + rel("r3", "https://x", ' TargetMode="External"')}
+    content = package("<w:p/>", rel("r5", "header1.xml"), word__header1_DOT_xml=b"<hdr/>", word__media__a_DOT_png=b"x", word__lost_DOT_xml=b"<x/>")
+    held = io.BytesIO(content)
+    with zipfile.ZipFile(held, "a") as z:
+        for name, inner in more.items():
+            z.writestr(name, f'<Relationships xmlns="{ooxml.PACKAGE_RELS}">{inner}</Relationships>')
+    parts, nodes, _ = opened(spark, held.getvalue())
+    rels = model.part_relationships(nodes)
+    assert {(r.source_key, r.rel_id): r.target_key for r in rels.collect()} == {("", "r1"): "word/document.xml", ("", "r2"): "docprops/core.xml", ("word/document.xml", "r5"): "word/header1.xml", ("word/header1.xml", "r1"): "word/media/a.png", ("word/header1.xml", "r2"): "word/document.xml", ("word/header1.xml", "r3"): None}
+    found = structure.reachable(rels)
+    assert {(r.part_key, r.hops) for r in found.collect()} == {("word/document.xml", 1), ("docprops/core.xml", 1), ("word/header1.xml", 2), ("word/media/a.png", 3)}
+    assert [r.part_key for r in structure.unreachable(parts, found).collect()] == ["word/lost.xml"]
+
+
+def test_pictures_are_stored_once(spark):
+    rows = [("d", None, 2, "b.PNG", b"two"), ("d", None, 1, "a.gif", b"one"), ("d", None, 3, "c", b"one"), ("d", "header1.xml", 1, "x.png", b"two"), ("d", "header1.xml", 2, "y.jpg", b"three"), ("e", "header1.xml", 1, "z", b"one")]
+    placed = structure.place_pictures(spark.createDataFrame([(*r[:4], bytearray(r[4])) for r in rows], "doc_id string, source string, place int, name string, data binary"))
+    got = {(r.doc_id, r.source, r.place): (r.target, r.rel_id, r.number) for r in placed.collect()}
+    assert got == {
+        ("d", None, 1): ("media/image1.gif", "rId6", 1), ("d", None, 2): ("media/image2.png", "rId7", 2), ("d", None, 3): ("media/image1.gif", "rId6", 3),
+        ("d", "header1.xml", 1): ("media/image2.png", "rId1", 4), ("d", "header1.xml", 2): ("media/image3.jpg", "rId2", 5), ("e", "header1.xml", 1): ("media/image1.png", "rId1", 1),
+    }
+    assert structure.picture_parts(placed).count() == 5
+
+
 def test_shared_folder_is_never_guessed_on_a_cluster():
     class Cluster:
         conf = {}
