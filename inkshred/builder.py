@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import ooxml
@@ -128,6 +128,10 @@ _SECTION = {"width": "int", "height": "int", "orientation": "string", "columns":
 _KEYS = {"runs": ("block_idx", "run_idx"), "paragraphs": ("block_idx",), "cells": ("block_idx", "row_idx", "col_idx"), "sections": ("section_idx", "block_idx")}
 
 
+#: Block numbers between two places of a template that has paragraphs of children.
+ROOM = 1 << 32
+
+
 class Template:
     """One document for each row of ``rows``, every value a Column of the row or a constant.
 
@@ -138,13 +142,17 @@ class Template:
     row's value out of range is left out and named in the ``violations`` of
     the rows that ``build`` returns.  A null text is an empty one.  Rows that
     share a key would share a document, so the key must be unique.
+    ``each_table`` and ``each_paragraph`` take their rows from a child table
+    (the orders of a customer), any number for each document.
     """
 
     def __init__(self, rows: DataFrame, key: str, title: Column | str | None = None, creator: Column | str | None = None) -> None:
         self.rows, self.key = rows, key
         self.metadata = {k: _value(v) for k, v in (("title", title), ("creator", creator)) if v is not None}
         self._made: dict[str, list[dict]] = {k: [] for k in _KEYS}
+        self._each: dict[str, list[tuple[DataFrame, list[str]]]] = {k: [] for k in _KEYS}
         self._blocks = 0
+        self._room = False  # whether paragraphs of children need block numbers of their own
         self._runs = -1  # of the last paragraph; -1: no paragraph is open
 
     def _add(self, kind: str, known: dict[str, str], values: dict, **at) -> None:
@@ -177,6 +185,52 @@ class Template:
         self._blocks, self._runs = self._blocks + 1, -1
         return self
 
+    def each_table(self, children: DataFrame, key: str, order: str, cells: list[Column | str], header: list[Column | str] | None = None, **properties) -> Template:
+        """A table with a row for every row of ``children`` whose ``key`` is the document's, in their order, below a ``header`` where there is one.
+
+        ``cells`` are Columns of the children, ``header`` of the document's
+        row.  Rows over the format's limit are kept and named in
+        ``violations``; a document without children has the header alone, or
+        no table.
+        """
+        if not ooxml.COLS[0] <= len(cells) <= ooxml.COLS[1] or header is not None and len(header) != len(cells):
+            raise ValueError(f"a table of {len(cells)} columns")
+        for c, text in enumerate(header or []):
+            self._add("cells", _CELL, properties, block_idx=self._blocks, row_idx=0, col_idx=c, text=F.coalesce(_value(text).cast("string"), F.lit("")))
+        unknown = properties.keys() - _CELL.keys()
+        if unknown:
+            raise ValueError(f"cells have no {', '.join(sorted(unknown))}")
+        at = self._numbered(children, key, order) + int(header is not None)
+        each = children.withColumn("_at", at).select(F.col(key).cast("string").alias("doc_id"), F.col("_at").alias("row_idx"), F.posexplode(F.array(*(F.coalesce(_value(c).cast("string"), F.lit("")) for c in cells))).alias("col_idx", "text"), *(_value(v).cast(_CELL[c]).alias(c) for c, v in properties.items()))
+        over = F.when(F.col("row_idx") >= ooxml.ROWS[1], F.array(F.lit("rows"))).otherwise(F.array().cast("array<string>"))
+        self._each["cells"].append((each.withColumns({"block_idx": F.lit(self._blocks), "violations": over}), list(properties)))
+        self._blocks, self._runs = self._blocks + 1, -1
+        return self
+
+    def each_paragraph(self, children: DataFrame, key: str, order: str, text: Column | str, style_id: Column | str | None = None, **formatting) -> Template:
+        """A paragraph of one run for every row of ``children`` whose ``key`` is the document's, in their order; all of them stand in one place of the template.
+
+        Blocks are then numbered with room for the children between two
+        places, so that later blocks follow however many there are.
+        """
+        unknown = formatting.keys() - _RUN.keys()
+        if unknown:
+            raise ValueError(f"runs have no {', '.join(sorted(unknown))}")
+        self._room = True
+        at = F.lit(self._blocks).cast("long") * ROOM + self._numbered(children, key, order)
+        doc = F.col(key).cast("string").alias("doc_id")
+        none = F.array().cast("array<string>").alias("violations")
+        run = children.select(doc, at.alias("block_idx"), F.lit(0).alias("run_idx"), F.coalesce(_value(text).cast("string"), F.lit("")).alias("text"), *(_value(v).cast(_RUN[c]).alias(c) for c, v in formatting.items()), none)
+        about = children.select(doc, at.alias("block_idx"), _value(style_id).cast("string").alias("style_id"), none)
+        self._each["runs"].append((run, list(formatting)))
+        self._each["paragraphs"].append((about, ["style_id"]))
+        self._blocks, self._runs = self._blocks + 1, -1
+        return self
+
+    @staticmethod
+    def _numbered(children: DataFrame, key: str, order: str) -> Column:
+        return F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+
     def section(self, last: bool = False, **properties) -> Template:
         """Ends a section here; ``last`` sets the document's final one."""
         self._add("sections", _SECTION, properties, section_idx=len(self._made["sections"]), block_idx=None if last else self._blocks)
@@ -189,15 +243,23 @@ class Template:
         rules = {"runs": edits.set_run, "paragraphs": edits.set_paragraph, "cells": edits.set_cell, "sections": edits.set_section}
         out = {}
         for kind, made in self._made.items():
-            if not made:
-                continue
             keys = [*_KEYS[kind], *(["text"] if kind in ("runs", "cells") else [])]
-            used = [c for c in known[kind] if any(c in m for m in made)]
-            null = lambda m, c: F.lit(None).cast(known[kind][c]) if c not in m else m[c]  # noqa: B023, E731
-            one = [F.struct(*((m[c] if isinstance(m[c], Column) else F.lit(m[c]).cast("int")).alias(c) for c in keys), *(null(m, c).alias(c) for c in used)) for m in made]
-            each = self.rows.select(F.col(self.key).cast("string").alias("doc_id"), F.explode(F.array(*one)).alias("made"))
-            bare = each.select("doc_id", *(F.col(f"made.{c}").alias(c) for c in keys), *(F.lit(None).cast(known[kind][c]).alias(c) for c in used), "made")
-            out[kind] = rules[kind](bare, **{c: F.col(f"made.{c}") for c in used}).drop("made")
+            if made:
+                used = [c for c in known[kind] if any(c in m for m in made)]
+                null = lambda m, c: F.lit(None).cast(known[kind][c]) if c not in m else m[c]  # noqa: B023, E731
+                one = [F.struct(*((m[c] if isinstance(m[c], Column) else F.lit(m[c]).cast("int")).alias(c) for c in keys), *(null(m, c).alias(c) for c in used)) for m in made]
+                each = self.rows.select(F.col(self.key).cast("string").alias("doc_id"), F.explode(F.array(*one)).alias("made"))
+                bare = each.select("doc_id", *(F.col(f"made.{c}").alias(c) for c in keys), *(F.lit(None).cast(known[kind][c]).alias(c) for c in used), "made")
+                out[kind] = rules[kind](bare, **{c: F.col(f"made.{c}") for c in used}).drop("made")
+                if self._room:
+                    out[kind] = out[kind].withColumn("block_idx", F.col("block_idx").cast("long") * ROOM)
+            for rows, used in self._each.get(kind, []):
+                if kind == "cells" and self._room:
+                    rows = rows.withColumn("block_idx", F.col("block_idx").cast("long") * ROOM)
+                rows = rows.join(self.rows.select(F.col(self.key).cast("string").alias("doc_id")), "doc_id", "left_semi")
+                told = rows.select(*(F.col(c) for c in rows.columns if c not in used), *(F.col(c).alias(f"_new_{c}") for c in used), *(F.lit(None).cast(known[kind][c]).alias(c) for c in used))
+                more = rules[kind](told, **{c: F.col(f"_new_{c}") for c in used}).drop(*(f"_new_{c}" for c in used))
+                out[kind] = out[kind].unionByName(more, allowMissingColumns=True) if kind in out else more
         return out
 
     def packages(self) -> DataFrame:

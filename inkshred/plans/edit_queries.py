@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ooxml
+from ..builder import Template
 from ..operators import axes, edits, splice, structure
 from ..sinks import docx as sink
 from ..sources import datasource
@@ -146,7 +147,42 @@ def docx_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("doc_id", F.regexp_extract("path", r"([0-9]+)\.docx$", 1).cast("long").alias("c_custkey"), half.alias("read_in_part")).join(texts, "doc_id").select("c_custkey", "text", "read_in_part")
 
 
-QUERIES = {"docx_source": docx_source, "header_parts": header_parts, "lossless_run_edit": lossless_run_edit, "node_axes": node_axes, "row_scripts": row_scripts}
+def nested_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as documents: a table of nations, in each nation's cell a table of its suppliers, in each of theirs one of name and phone; through package and back."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    n = edits.number_rows(read("nation"), "n_regionkey", "n_nationkey", "k").select(F.col("n_regionkey").alias("r"), F.col("n_nationkey").alias("nk"), "n_name", (F.col("k") - 1).alias("k"))
+    s = edits.number_rows(read("supplier"), "s_nationkey", "s_suppkey", "k").select(F.col("s_nationkey").alias("nk"), F.col("s_suppkey").alias("sk"), "s_name", "s_nationkey", (F.col("k") - 1).alias("k")).join(n.select("nk", "r"), "nk")
+    null = F.lit(None).cast("string")
+    cell = lambda df, depth, table, cell_id, parent, row, col, text: df.select(F.col("r").cast("string").alias("doc_id"), F.lit(0).alias("block_idx"), F.lit(depth).alias("depth"), table.alias("table_id"), cell_id.alias("cell_id"), parent.alias("parent_id"), F.lit(0).alias("place"), row.cast("int").alias("row_idx"), F.lit(col).alias("col_idx"), text.alias("text"))
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    top = cell(n, 0, F.lit("t"), name("n", "nk"), null, F.col("k"), 0, F.col("n_name"))
+    middle = cell(s, 1, name("tn", "nk"), name("s", "sk"), name("n", "nk"), F.col("k"), 0, F.col("sk").cast("string"))
+    deep = [cell(s, 2, name("ts", "sk"), F.concat(name("d", "sk"), F.lit(f"-{c}")), name("s", "sk"), F.lit(0), c, F.col(x).cast("string")) for c, x in enumerate(("s_name", "s_nationkey"))]
+    blocks = sink.nested_table_xml(top.unionByName(middle).unionByName(deep[0]).unionByName(deep[1]), 2)
+    nodes = stored(source.scan(sink.assemble(sink.document_xml(blocks)), "document"))
+    got = model.table_cells(nodes, model.paragraphs(nodes, model.runs(nodes)))
+    up = got.select("doc_id", F.col("cell").alias("parent_cell"), F.rtrim("text", F.lit("\n")).alias("parent"))
+    out = got.join(up, ["doc_id", "parent_cell"], "left")
+    return out.select(F.col("doc_id").cast("int").alias("region"), F.rtrim("text", F.lit("\n")).alias("text"), "parent", F.col("row_idx").cast("int").alias("row_idx"), F.col("col_idx").cast("int").alias("col_idx"))
+
+
+def template_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement for every customer: a heading, a paragraph and a table row for each order, and a last paragraph; written and read back."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    made = Template(c, "c_custkey").paragraph("Heading1").text(F.col("c_name"))
+    made = made.each_paragraph(o, "o_custkey", "o_orderkey", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")), bold=F.pmod("o_orderkey", F.lit(2)) == 0)
+    made = made.each_table(o, "o_custkey", "o_orderkey", [F.col("o_orderkey"), F.col("o_orderpriority")], header=["order", "priority"]).paragraph().text("Total ").text(F.col("c_mktsegment"))
+    nodes = stored(source.scan(made.packages(), "document"))
+    runs = model.runs(nodes)
+    p = model.paragraphs(nodes, runs)
+    bold = runs.groupBy("doc_id", "para").agg(F.max("bold").alias("bold"))
+    body = p.filter("container = 'body' and n_runs > 0").join(bold, ["doc_id", "para"]).select("doc_id", F.lit("p").alias("kind"), F.col("para_idx").cast("int").alias("at"), F.lit(0).alias("col"), "text", "bold")
+    cells = model.table_cells(nodes, p).select("doc_id", F.lit("tc").alias("kind"), F.col("row_idx").cast("int").alias("at"), F.col("col_idx").cast("int").alias("col"), "text", F.lit(None).cast("boolean").alias("bold"))
+    return body.unionByName(cells).withColumn("c_custkey", F.col("doc_id").cast("long")).drop("doc_id")
+
+
+QUERIES = {"nested_tables": nested_tables, "template_orders": template_orders, "docx_source": docx_source, "header_parts": header_parts, "lossless_run_edit": lossless_run_edit, "node_axes": node_axes, "row_scripts": row_scripts}
 
 
 def _quoted(text: str) -> str:
@@ -163,6 +199,14 @@ def _escaped(c: str) -> str:
 _BODY = _OPEN.replace("<w:b/>", '<w:b/><w:i/><w:color w:val="FF0000"/>')
 _T = '<w:t xml:space="preserve">'
 SQL = {
+    "nested_tables": """WITH n AS (SELECT n_regionkey AS r, n_nationkey AS nk, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS k FROM nation),
+s AS (SELECT r, nk, n_name, s_suppkey, s_name, row_number() OVER (PARTITION BY nk ORDER BY s_suppkey) - 1 AS k FROM supplier JOIN n ON s_nationkey = nk)
+SELECT r AS region, n_name AS text, NULL AS parent, k::INTEGER AS row_idx, 0 AS col_idx FROM n UNION ALL SELECT r, s_suppkey::VARCHAR, n_name, k::INTEGER, 0 FROM s
+UNION ALL SELECT r, s_name, s_suppkey::VARCHAR, 0, 0 FROM s UNION ALL SELECT r, nk::VARCHAR, s_suppkey::VARCHAR, 0, 1 FROM s""",
+    "template_orders": """WITH o AS (SELECT o_custkey AS c, o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)),
+n AS (SELECT c_custkey AS c, c_name, c_mktsegment, (SELECT count(*) FROM o WHERE o.c = c_custkey) AS n FROM customer)
+SELECT c AS c_custkey, 'p' AS kind, 0 AS "at", 0 AS col, c_name AS text, false AS bold FROM n UNION ALL SELECT c, 'p', k::INTEGER, 0, 'Order ' || o_orderkey, o_orderkey % 2 = 0 FROM o UNION ALL SELECT c, 'p', n::INTEGER + 1, 0, 'Total ' || c_mktsegment, false FROM n
+UNION ALL SELECT c, 'tc', 0, i, t, NULL FROM n, (VALUES (0, 'order'), (1, 'priority')) v(i, t) UNION ALL SELECT c, 'tc', k::INTEGER, 0, o_orderkey::VARCHAR, NULL FROM o UNION ALL SELECT c, 'tc', k::INTEGER, 1, o_orderpriority, NULL FROM o""",
     "docx_source": "SELECT c_custkey, c_name AS text, true AS read_in_part FROM customer",
     "header_parts": """SELECT s_suppkey, part_key, s_name AS text, 'https://' || place || '/' || s_suppkey AS url, (s_suppkey + 1 + CASE WHEN place = 'header' AND s_suppkey % 2 = 1 THEN 1 ELSE 0 END)::INTEGER AS width_px, no AS number, used_as, 1 + s_suppkey % 2 AS n_media, CASE WHEN s_suppkey % 3 = 0 THEN 'word/orphan.xml' END AS unreachable
 FROM supplier, (VALUES ('body', 'word/document.xml', 1, NULL), ('header', 'word/header1.xml', 2, 'header')) v(place, part_key, no, used_as)""",

@@ -201,6 +201,28 @@ def table_xml(cells: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "block_idx").agg(F.concat(F.lit("<w:tbl>"), F.max("about"), grid, _folded("row_idx", F.col("row")), F.lit("</w:tbl>")).alias("xml"))
 
 
+def nested_table_xml(cells: DataFrame, deepest: int) -> DataFrame:
+    """doc_id, block_idx, xml: tables within the cells of tables, folded from the deepest level up.
+
+    cells: as for ``table_xml``, with table_id (of its document), depth (0 to
+    ``deepest``), cell_id, and parent_id and place: the cell in which a table
+    of depth 1 or more stands, after its text, and its order there.  A table
+    whose parent cell is not there is left out.
+    """
+    cells = cells.drop("xml")
+    inner = None
+    for depth in range(deepest, -1, -1):
+        level = cells.filter(F.col("depth") == depth)
+        about = level.groupBy("doc_id", "table_id").agg(F.min("block_idx").alias("_block"), F.min("parent_id").alias("_parent"), F.min("place").alias("_place"))
+        own = level.drop("block_idx").withColumnRenamed("table_id", "block_idx")
+        if inner is not None:
+            own = own.join(inner, ["doc_id", "cell_id"], "left")
+        made = table_xml(own).withColumnRenamed("block_idx", "table_id").join(about, ["doc_id", "table_id"])
+        if depth == 0:
+            return made.select("doc_id", F.col("_block").alias("block_idx"), "xml")
+        inner = made.groupBy("doc_id", F.col("_parent").alias("cell_id")).agg(_folded("_place", F.col("xml")).alias("xml"))
+
+
 def section_xml(width: int = 11906, height: int = 16838, margins: dict | None = None, columns: int = 1, landscape: bool = False, references: tuple = ()) -> str:
     """The final sectPr; landscape swaps a portrait size, columns are written where there are several.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from test_documents import BODY, opened, package
 
 from inkshred import ooxml
+from inkshred.builder import Template
 from inkshred.operators import axes, edits, splice, structure
 from inkshred.plans import model
 from inkshred.sinks import docx as sink
@@ -202,6 +203,20 @@ def test_pictures_are_stored_once(spark):
     assert structure.picture_parts(placed).count() == 5
 
 
+def test_templates_of_child_tables(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k long, name string")
+    children = spark.createDataFrame([(1, 5, "x"), (1, 4, None), (9, 1, "orphan")], "k long, no int, t string")
+    made = Template(rows, "k").paragraph().text(F.col("name")).each_paragraph(children, "k", "no", F.col("t"), size=F.col("no") * 1000).each_table(children, "k", "no", [F.col("no"), F.col("t")], width=7).section(columns=2).paragraph().text("end")
+    out = made.build()
+    assert sorted((r.doc_id, r.text, r.size, r.violations) for r in out["runs"].collect()) == [("1", "", None, ["size"]), ("1", "a", None, []), ("1", "end", None, []), ("1", "x", None, ["size"]), ("2", "b", None, []), ("2", "end", None, [])]
+    assert sorted((r.doc_id, r.row_idx, r.col_idx, r.text, r.width) for r in out["cells"].collect()) == [("1", 0, 0, "4", 7), ("1", 0, 1, "", 7), ("1", 1, 0, "5", 7), ("1", 1, 1, "x", 7)]
+    nodes = store.stored(source.scan(made.packages(), "document"))
+    blocks = sorted((r.doc_id, r.block_idx, r.kind) for r in model.blocks(nodes).collect())
+    assert [k for d, _, k in blocks if d == "1"] == ["p", "p", "p", "tbl", "p", "p"] and [k for d, _, k in blocks if d == "2"] == ["p", "p", "p"]
+    with pytest.raises(ValueError):
+        made.each_table(children, "k", "no", [])
+
+
 def test_shared_folder_is_never_guessed_on_a_cluster():
     class Cluster:
         conf = {}
