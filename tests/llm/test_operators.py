@@ -761,6 +761,62 @@ def test_quality_knows_the_pages_of_a_document(spark, docs, empty):
     assert quality.assess(empty, lab, sites=quality.page_sites(pages)).count() == 0
 
 
+def test_quality_posteriors_replayed(spark):
+    """Every number but the measurements recomputed in plain Python: the classifier's optimum, rates, strengths, posteriors and scores."""
+    r = random.Random(21)
+    text = [" ".join((w.upper() + "#" if r.random() < q else w) for w in (r.choice(WORDS) for _ in range(r.randint(5, 60)))) for q in (r.random() for _ in range(200))]
+    links = [(i, f"h{r.randint(0, 5)}" if r.random() < 0.9 else None, f"p{r.randint(0, 3)}") for i in range(180) for _ in range(r.randint(0, 3))]
+    labels = {i: int(text[i].count("#") * 3 < len(text[i].split())) for i in range(0, 200, 2)}
+    docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    lab = spark.createDataFrame([*labels.items(), (3, None)], "doc_id long, quality int")
+    sites = spark.createDataFrame(links, "doc_id long, host string, path string")
+    got = {x.doc_id: x for x in quality.assess(docs, lab, sites=sites).collect()}
+
+    measured = rules.measure(docs).selectExpr("doc_id", *(f"cast({e} as double) as {c}" for c, e in quality.INPUTS.items())).toPandas().sort_values("doc_id")
+    x = measured[list(quality.INPUTS)].to_numpy(float)
+    own = sorted(labels)
+    std = np.maximum(x[own].std(0), 1e-6)
+    sample = rules.measure(docs).join(lab.filter("quality is not null"), "doc_id").withColumn("good", F.col("quality"))
+    w = quality.fit(sample)
+    slope = np.array([w[c] for c in quality.INPUTS])
+    p = 1 / (1 + np.exp(-(x @ slope + w[""])))
+    y = np.array([labels[i] for i in own])
+    pull = ((x[own] - x[own].mean(0)) / std).T @ (p[own] - y) + slope * std  # the gradient of the penalised likelihood vanishes
+    assert np.abs(pull).max() < 1e-4 and abs((p[own] - y).sum()) < 1e-4
+    z = np.clip(x @ slope + w[""], -6, 6)
+    p = 1 / (1 + np.exp(-z))
+
+    n = {i: 1.0 if i in labels else quality.SOFT for i in range(200)}
+    s = {i: n[i] * labels.get(i, p[i]) for i in range(200)}
+    base = (sum(s.values()) + 0.5) / (sum(n.values()) + 1)
+    of = {i: sorted({(h, q) for d, h, q in links if d == i}, key=lambda t: ("-" if t[0] is None else "+" + t[0], t[1])) for i in range(200)}
+    hosts, paths = collections.defaultdict(lambda: [0.0, 0.0]), collections.defaultdict(lambda: [0.0, 0.0])
+    for i in range(200):
+        for groups, keys in ((hosts, {h for h, _ in of[i]}), (paths, set(of[i]))):
+            for k in keys:
+                groups[k][0] += n[i]
+                groups[k][1] += s[i]
+
+    def strength(rows):  # (n, s, rate of the level above)
+        total = sum(a for a, _, _ in rows)
+        between = max((sum(a * (b / a - m) ** 2 for a, b, m in rows) - sum(m * (1 - m) for _, _, m in rows)) / total, 1e-12)
+        return min(1e4, max(1.0, sum(a * m * (1 - m) for a, _, m in rows) / total / between - 1))
+
+    k_host = strength([(a, b, base) for a, b in hosts.values()])
+    k_path = strength([(a, b, (hosts[h][1] + k_host * base) / (hosts[h][0] + k_host)) for (h, _), (a, b) in paths.items()])
+    logit = lambda q: math.log(q / (1 - q))
+    for i in range(200):
+        rates = []
+        for h, q in of[i]:
+            host = (max(hosts[h][1] - s[i], 0) + k_host * base) / (max(hosts[h][0] - n[i], 0) + k_host)
+            path = (max(paths[h, q][1] - s[i], 0) + k_path * host) / (max(paths[h, q][0] - n[i], 0) + k_path)
+            rates.append((host, path, logit(path)))
+        host, path, odds = np.mean(rates, 0) if rates else (base, base, logit(base))
+        score = 1 / (1 + math.exp(-(z[i] + odds - logit(base))))
+        assert (got[i].host, got[i].path) == (of[i][0] if of[i] else (None, None))
+        assert [got[i].p_document, got[i].host_rate, got[i].path_rate, got[i].score] == pytest.approx([p[i], host, path, score], abs=1e-6)
+
+
 def test_quality_query_reads_urls(spark):
     shown = collections.defaultdict(set)
     for x in spark.read.parquet(f"{DATA}/pages.parquet").collect():
