@@ -113,6 +113,25 @@ def add_media(media: DataFrame, added: DataFrame) -> DataFrame:
     return media.unionByName(rows.select("doc_id", F.concat(F.lit("img"), "n").alias("media_id"), target.alias("target"), media_type(F.col("name")).alias("content_type"), "data"))
 
 
+def header_targets(assigned: DataFrame, rels: DataFrame) -> DataFrame:
+    """Headers and footers (doc_id, section_idx, kind, type, and perhaps target and rel_id) with the targets and relationship ids they lack.
+
+    Targets are header1.xml, header2.xml, .. of a document in the order of
+    sections and types (default, first, even), past the numbers that are
+    taken; ids go on from the largest of the document's relationships ``rels``.
+    """
+    of = lambda c: F.col(c) if c in assigned.columns else F.lit(None).cast("string")
+    x = assigned.withColumns({"target": F.nullif(of("target"), F.lit("")), "rel_id": F.nullif(of("rel_id"), F.lit(""))})
+    number = F.expr("try_cast(regexp_extract(target, '^(?:header|footer)([0-9]+)[.]xml$', 1) as int)")
+    taken = F.coalesce(F.max(number).over(Window.partitionBy("doc_id", "kind")), F.lit(0))
+    turn = F.when(F.col("type") == "default", 0).when(F.col("type") == "first", 1).otherwise(2)
+    n = F.sum(F.when(F.col("target").isNull(), 1).otherwise(0)).over(Window.partitionBy("doc_id", "kind").orderBy("section_idx", turn, "type"))
+    x = x.withColumn("target", F.coalesce("target", F.concat("kind", (taken + n).cast("string"), F.lit(".xml"))))
+    m = F.sum(F.when(F.col("rel_id").isNull(), 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("section_idx", "kind", turn, "type"))
+    x = x.withColumn("_m", m).join(next_rel_id(rels), "doc_id", "left")
+    return x.withColumn("rel_id", F.coalesce("rel_id", F.concat(F.lit("rId"), (F.coalesce("next_id", F.lit(1)) + F.col("_m") - 1).cast("string")))).drop("_m", "next_id")
+
+
 def assign_headers(sections: DataFrame, assigned: DataFrame) -> DataFrame:
     """Sections with ``references``, an array of (kind, type, rel_id), from (doc_id, section_idx, kind, type, rel_id); the first id of a kind and type counts."""
     one = assigned.groupBy("doc_id", "section_idx", "kind", "type").agg(F.min("rel_id").alias("rel_id"))

@@ -28,6 +28,8 @@ _T = [
     ("TableNormal", "Table Normal"), ("TableGrid", "Table Grid"), ("PlainTable1", "Plain Table 1"), ("MediumShading1", "Medium Shading 1"), ("LightShading", "Light Shading"),
     ("ColorfulList", "Colorful List"), ("MediumShading1Accent1", "Medium Shading 1 Accent 1"), ("MediumShading1Accent2", "Medium Shading 1 Accent 2"),
 ]
+#: Both indents of a quotation, half an inch in twips.
+QUOTE_INDENT = 720
 #: Reserved ids without an object: built in, but not in the catalogue and not to be added.
 RESERVED = ("FootnoteText", "EndnoteText", "BodyTextIndent", "Subtle", "IntenseEmphasis", "IntenseReference", "BookTitle")
 
@@ -115,8 +117,9 @@ def apply_palette(runs: DataFrame, theme: DataFrame, role: str = "role") -> Data
 def apply_theme(styles: DataFrame, theme: DataFrame) -> DataFrame:
     """Styles as a theme sets them (theme: rows of ``themes``; one result per theme and style).
 
-    Touches Normal, Heading1 to 3, Title, Subtitle, Quote, IntenseQuote and
-    ListParagraph; whatever a theme does not set stays as it is.
+    Touches Normal (with its line spacing), Heading1 to 3, Title, Subtitle,
+    Quote (with its indents), IntenseQuote and ListParagraph; whatever a theme
+    does not set stays as it is.
     """
     x = styles.crossJoin(theme)  # a style sheet is one row for each pair
     is_ = lambda *ids: F.col("style_id").isin(*ids)
@@ -131,8 +134,15 @@ def apply_theme(styles: DataFrame, theme: DataFrame) -> DataFrame:
     before = pick(F.col("spacing_before"), (heading, F.col("heading_before")), (is_("Normal"), F.col("para_before")))
     alignment = pick(F.col("alignment"), (heading, F.lit("left")), (is_("Title", "Subtitle", "IntenseQuote"), F.lit("center")))
     italic = pick(F.col("italic"), (is_("Quote"), F.lit(True)))
+    line = F.when(is_("Normal"), F.col("line"))
+    quoted = F.when(is_("Quote"), F.lit(QUOTE_INDENT))
     about = [c for c in ("name", "type", "based_on", "is_default", "is_custom", "outline_level") if c in styles.columns]
-    return x.select("theme", "style_id", *about, font.alias("font"), size.alias("size"), bold.alias("bold"), italic.alias("italic"), color.alias("color"), alignment.alias("alignment"), before.alias("spacing_before"), after.alias("spacing_after"))
+    return x.select("theme", "style_id", *about, font.alias("font"), size.alias("size"), bold.alias("bold"), italic.alias("italic"), color.alias("color"), alignment.alias("alignment"), before.alias("spacing_before"), after.alias("spacing_after"), line.alias("line_value"), quoted.alias("indent_left"), quoted.alias("indent_right"))
+
+
+def theme_backgrounds(documents: DataFrame, theme: DataFrame) -> DataFrame:
+    """(doc_id, color): the backgrounds of documents (doc_id, theme) as their themes set them; an unknown theme sets none."""
+    return documents.join(theme.select("theme", F.col("background").alias("color")), "theme").select("doc_id", "color")
 
 
 def resolved(styles: DataFrame, formats: tuple[str, ...], key: str = "doc_id", order: str = "style") -> DataFrame:
@@ -184,7 +194,7 @@ def _mapped(values: dict[str, str], key: Column, other: str) -> Column:
 
 
 def field(kind: Column, target: Column | None = None, display: Column | None = None) -> Column:
-    """struct(type, code, result, is_dirty) of a new field: its default code, placeholder result and a clean state.
+    """struct(type, code, result, is_dirty, properties) of a new field: its default code, placeholder result, a clean state and what it was made with.
 
     A HYPERLINK takes the target's url and shows ``display``; STYLEREF, SEQ
     and REF name their target.
@@ -192,7 +202,31 @@ def field(kind: Column, target: Column | None = None, display: Column | None = N
     target = F.lit(None).cast("string") if target is None else target
     named = F.when(kind == "HYPERLINK", F.concat(F.lit('HYPERLINK "'), target, F.lit('"'))).when(kind == "STYLEREF", F.concat(F.lit('STYLEREF "'), target, F.lit('"'))).when(kind.isin("SEQ", "REF"), F.concat(kind, F.lit(" "), target))
     result = F.when(kind == "HYPERLINK", F.coalesce(display if display is not None else F.lit(None), target)).otherwise(_mapped(FIELD_RESULTS, kind, ""))
-    return F.struct(kind.alias("type"), F.coalesce(named, field_code(kind)).alias("code"), result.alias("result"), F.lit(False).alias("is_dirty"))
+    said = F.when(kind == "HYPERLINK", F.create_map(F.lit("url"), target, F.lit("display"), F.coalesce(display if display is not None else F.lit(None), target))).when(kind == "STYLEREF", F.create_map(F.lit("style"), target))
+    properties = F.coalesce(said, F.create_map().cast("map<string,string>"))
+    return F.struct(kind.alias("type"), F.coalesce(named, field_code(kind)).alias("code"), result.alias("result"), F.lit(False).alias("is_dirty"), properties.alias("properties"))
+
+
+def set_field_code(field: Column, code: Column) -> Column:
+    """The field with another code, which makes it dirty; a blank code changes nothing (``edits.set_values`` can name it)."""
+    return F.when(F.trim(F.coalesce(code, F.lit(""))) == "", field).otherwise(field.withField("code", code).withField("is_dirty", F.lit(True)))
+
+
+def set_field_result(field: Column, result: Column) -> Column:
+    """The field with a result of the caller's, which makes it clean."""
+    return field.withField("result", result).withField("is_dirty", F.lit(False))
+
+
+def set_field_property(field: Column, name: Column | str, value: Column) -> Column:
+    """The field with a property set, which makes it dirty."""
+    name = F.lit(name) if isinstance(name, str) else name
+    others = F.map_filter(field["properties"], lambda k, _: k != name)
+    return field.withField("properties", F.map_concat(others, F.create_map(name, value))).withField("is_dirty", F.lit(True))
+
+
+def update_field(field: Column) -> Column:
+    """The field brought up to date: a dirty one gets its type's placeholder, a hyperlink its display text; a clean one stays."""
+    return field.withField("result", updated_result(field["type"], field["is_dirty"], field["result"], field["properties"]["display"])).withField("is_dirty", F.lit(False))
 
 
 def field_code(kind: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import ooxml
+from ..functions import enums
 
 BODY = "document/body"
 
@@ -355,7 +356,7 @@ def images(nodes: DataFrame, media_dims: DataFrame) -> DataFrame:
         F.when(F.max(F.when(F.col("tag") == "anchor", 1)) == 1, "floating").otherwise("inline").alias("position"),
         F.coalesce(F.max(F.when(F.col("tag") == "anchor", _attr("behindDoc") == "1")), F.lit(False)).alias("behind_text"),
         F.min(F.when(F.col("tag") == "anchor", strict_int(_attr("relativeHeight")))).alias("z_order"),
-        F.min(F.when(F.col("tag").startswith("wrap"), F.lower(F.substring("tag", 5, 20)))).alias("wrap"),
+        F.min(F.when(F.col("tag").startswith("wrap") & (F.col("tag") != "wrapPolygon"), F.lower(F.substring("tag", 5, 20)))).alias("wrap"),
         *(F.min(F.when(F.col("path").endswith(f"position{d}/align"), F.lower("text"))).alias(f"{d.lower()}_align") for d in "HV"),
         *(F.min(F.when(F.col("path").endswith(f"position{d}/posOffset"), strict_int(F.col("text")))).alias(f"offset_{a}") for d, a in (("H", "x"), ("V", "y"))),
     )
@@ -364,6 +365,13 @@ def images(nodes: DataFrame, media_dims: DataFrame) -> DataFrame:
     return got.join(rels, ["doc_id", "part_key", "rel_id"], "left").join(dims, ["doc_id", "media_key"], "left")
 
 
+def wrap_type(images: DataFrame) -> DataFrame:
+    """Images with wrap_type, the meaning of how text runs around them: without wrapping, a floating one lies behind the text or in front of it."""
+    plain = enums.meaning("wrap", F.col("wrap"))
+    kind = F.when(F.col("position") == "inline", "none").when((plain == "none") & F.col("behind_text"), "behindText").when(plain == "none", "inFrontText").otherwise(plain)
+    return images.withColumn("wrap_type", kind)
+
+
 def section_parts(nodes: DataFrame) -> DataFrame:
     """doc_id, section, kind (header or footer), type and part_key: the references of every section, resolved; the first of a type wins."""
     refs = nodes.filter(F.col("path").rlike(rf"^{BODY}/(p/pPr/)?sectPr/(header|footer)Reference$"))
@@ -374,6 +382,13 @@ def section_parts(nodes: DataFrame) -> DataFrame:
     return refs.join(rels, ["doc_id", "rel_id"], "left")
 
 
+def app_properties(nodes: DataFrame) -> DataFrame:
+    """doc_id, application, n_paragraphs, n_tables of the extended properties."""
+    p = nodes.filter("part_key = 'docprops/app.xml'")
+    one = lambda tag: F.min(F.when(F.col("tag") == tag, F.col("text")))
+    return p.groupBy("doc_id").agg(one("Application").alias("application"), strict_int(one("Paragraphs")).alias("n_paragraphs"), strict_int(one("Tables")).alias("n_tables"))
+
+
 def core_properties(nodes: DataFrame) -> DataFrame:
     """doc_id, title, subject, creator, keywords (array), description, created, modified; times stay text."""
     p = nodes.filter("part_key = 'docprops/core.xml'")

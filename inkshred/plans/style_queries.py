@@ -71,16 +71,18 @@ def _themed(spark: SparkSession, rows: DataFrame, key: str, *ids: str) -> DataFr
 def theme_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer's styles in a theme."""
     out = _themed(spark, _t(spark, sf_dir, "customer"), "c_custkey", "Normal", "Heading1", "Heading2", "Heading3", "Title", "Subtitle", "Quote", "IntenseQuote", "ListParagraph")
-    return out.select("c_custkey", "theme", "style_id", "size", "color", "spacing_before", "spacing_after")
+    return out.select("c_custkey", "theme", "style_id", "size", "color", "spacing_before", "spacing_after", "line_value", "indent_left", "indent_right")
 
 
 def style_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every supplier's style sheet in a package, read back."""
     themed = _themed(spark, _t(spark, sf_dir, "supplier"), "s_suppkey", "Normal", "Heading1", "Title", "Subtitle", "IntenseQuote").withColumn("doc_id", F.col("s_suppkey").cast("string"))
     text = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_id"), F.lit(0).alias("block_idx"), F.lit(0).alias("run_idx"), F.col("s_name").alias("text"))
-    documents = sink.document_xml(sink.paragraph_xml(text)).join(sink.style_sheets(themed.drop("theme", "s_suppkey"), "doc_id"), "doc_id")
-    got = model.styles(stored(source.scan(sink.assemble(documents), "styles")))
-    return got.select(F.col("doc_id").cast("long").alias("s_suppkey"), "style_id", F.col("size").cast("int").alias("size"), "color")
+    back = styles.theme_backgrounds(themed.select("doc_id", "theme").distinct(), styles.themes(spark))
+    documents = sink.document_xml(sink.paragraph_xml(text), backgrounds=back).join(sink.style_sheets(themed.drop("theme", "s_suppkey"), "doc_id"), "doc_id")
+    nodes = stored(source.scan(sink.assemble(documents), "document", "styles"))
+    got = model.styles(nodes).join(model.background(nodes).select("doc_id", F.col("color").alias("background")), "doc_id", "left")
+    return got.select(F.col("doc_id").cast("long").alias("s_suppkey"), "style_id", F.col("size").cast("int").alias("size"), "color", "background")
 
 
 QUERIES = {"effective_formatting": effective_formatting, "style_catalogue": style_catalogue, "theme_apply": theme_apply, "style_sheets": style_sheets}
@@ -114,7 +116,8 @@ c AS (SELECT * FROM (VALUES ('paragraph', 29::BIGINT, 1::BIGINT, 28::BIGINT), ('
 SELECT type, n + (SELECT count(*) FROM a WHERE kind = type) AS n, n_default, n_based + (SELECT count(*) FROM a WHERE kind = type AND kind = 'paragraph') AS n_based FROM c""",
     "theme_apply": f"""SELECT c_custkey, theme, style_id, CASE style_id WHEN 'Heading1' THEN h1 WHEN 'Heading2' THEN h2 WHEN 'Heading3' THEN h3 WHEN 'Title' THEN h1 + 8 WHEN 'Subtitle' THEN body + 4 WHEN 'IntenseQuote' THEN body + 2 WHEN 'Quote' THEN NULL ELSE body END AS size, {_COLOR} AS color,
 CASE WHEN style_id LIKE 'Heading%' THEN hb WHEN style_id = 'Normal' THEN pb WHEN style_id = 'IntenseQuote' THEN 120 END AS spacing_before,
-CASE WHEN style_id LIKE 'Heading%' THEN ha WHEN style_id = 'Normal' THEN pa WHEN style_id = 'Title' THEN ha * 2 WHEN style_id = 'Subtitle' THEN ss WHEN style_id = 'ListParagraph' THEN pa // 2 WHEN style_id = 'IntenseQuote' THEN 120 END AS spacing_after
+CASE WHEN style_id LIKE 'Heading%' THEN ha WHEN style_id = 'Normal' THEN pa WHEN style_id = 'Title' THEN ha * 2 WHEN style_id = 'Subtitle' THEN ss WHEN style_id = 'ListParagraph' THEN pa // 2 WHEN style_id = 'IntenseQuote' THEN 120 END AS spacing_after,
+CASE WHEN style_id = 'Normal' THEN [240, 280, 300, 240, 480, 260, 260][(no + 1)::INTEGER] END AS line_value, CASE WHEN style_id = 'Quote' THEN 720 END AS indent_left, CASE WHEN style_id = 'Quote' THEN 720 END AS indent_right
 FROM customer JOIN {_PRESETS} ON no = c_custkey % 7, (VALUES ('Normal'), ('Heading1'), ('Heading2'), ('Heading3'), ('Title'), ('Subtitle'), ('Quote'), ('IntenseQuote'), ('ListParagraph')) s(style_id)""",
-    "style_sheets": f"SELECT s_suppkey, style_id, nullif(CASE style_id WHEN 'Heading1' THEN h1 WHEN 'Title' THEN h1 + 8 WHEN 'Subtitle' THEN body + 4 WHEN 'IntenseQuote' THEN body + 2 ELSE body END, 22) AS size, {_COLOR} AS color FROM supplier JOIN {_PRESETS} ON no = s_suppkey % 7, (VALUES ('Normal'), ('Heading1'), ('Title'), ('Subtitle'), ('IntenseQuote')) s(style_id)",
+    "style_sheets": f"SELECT s_suppkey, style_id, nullif(CASE style_id WHEN 'Heading1' THEN h1 WHEN 'Title' THEN h1 + 8 WHEN 'Subtitle' THEN body + 4 WHEN 'IntenseQuote' THEN body + 2 ELSE body END, 22) AS size, {_COLOR} AS color, CASE theme WHEN 'tech-darkmode' THEN '1E1E1E' ELSE 'FFFFFF' END AS background FROM supplier JOIN {_PRESETS} ON no = s_suppkey % 7, (VALUES ('Normal'), ('Heading1'), ('Title'), ('Subtitle'), ('IntenseQuote')) s(style_id)",
 }

@@ -301,7 +301,7 @@ def styles_xml(styles: list[dict] | None = None) -> str:
 
 
 def drawing(rel_id: Column, number: Column, cx: Column, cy: Column, description: Column, position: dict[str, Column] | None = None) -> Column:
-    """An inline picture, or a floating one with ``position`` (offset_x, offset_y, behind, z_order)."""
+    """An inline picture, or a floating one with ``position``: offset_x and offset_y, or where one is 0 or null h_align and v_align; wrap (a meaning of ``functions.enums``), z_order, and behind."""
     text = lambda c: escaped(F.coalesce(c.cast("string"), F.lit("")))
     extent = F.concat(F.lit('<wp:extent cx="'), text(cx), F.lit('" cy="'), text(cy), F.lit('"/>'))
     about = F.concat(F.lit('<wp:docPr id="'), text(number), F.lit('" name="Picture '), text(number), F.lit('" descr="'), text(description), F.lit('"/>'))
@@ -314,9 +314,23 @@ def drawing(rel_id: Column, number: Column, cx: Column, cy: Column, description:
     space = F.lit('xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"')
     if position is None:
         return F.concat(F.lit("<w:drawing><wp:inline "), space, F.lit(">"), extent, about, picture, F.lit("</wp:inline></w:drawing>"))
-    at = lambda tag, base, c: F.concat(F.lit(f'<wp:{tag} relativeFrom="{base}"><wp:posOffset>'), text(c), F.lit(f"</wp:posOffset></wp:{tag}>"))
-    head = F.concat(F.lit("<w:drawing><wp:anchor "), space, F.lit(' behindDoc="'), F.when(position["behind"], "1").otherwise("0"), F.lit('" relativeHeight="'), text(position["z_order"]), F.lit('">'))
-    return F.concat(head, at("positionH", "column", position["offset_x"]), at("positionV", "paragraph", position["offset_y"]), extent, F.lit("<wp:wrapSquare wrapText=\"bothSides\"/>"), about, picture, F.lit("</wp:anchor></w:drawing>"))
+    of = lambda c, default: F.coalesce(position[c], F.lit(default)) if c in position else F.lit(default)
+
+    def at(tag: str, base: str, offset: Column, align: Column) -> Column:
+        inner = F.when(offset != 0, F.concat(F.lit("<wp:posOffset>"), text(offset), F.lit("</wp:posOffset>"))).otherwise(F.concat(F.lit("<wp:align>"), text(align), F.lit("</wp:align>")))
+        return F.concat(F.lit(f'<wp:{tag} relativeFrom="{base}">'), inner, F.lit(f"</wp:{tag}>"))
+
+    wrap = of("wrap", "square")
+    behind = of("behind", False) | (wrap == "behindText")
+    contour = '<wp:wrapPolygon edited="0"><wp:start x="0" y="0"/><wp:lineTo x="0" y="21600"/><wp:lineTo x="21600" y="21600"/><wp:lineTo x="21600" y="0"/><wp:lineTo x="0" y="0"/></wp:wrapPolygon>'
+    around = F.when(wrap == "square", '<wp:wrapSquare wrapText="bothSides"/>').when(wrap == "tight", f'<wp:wrapTight wrapText="bothSides">{contour}</wp:wrapTight>').when(wrap == "through", f'<wp:wrapThrough wrapText="bothSides">{contour}</wp:wrapThrough>')
+    around = around.when(wrap == "topBottom", "<wp:wrapTopAndBottom/>").otherwise("<wp:wrapNone/>")
+    head = F.concat(
+        F.lit("<w:drawing><wp:anchor "), space, F.lit(' distT="114300" distB="114300" distL="114300" distR="114300" simplePos="0" locked="0" layoutInCell="1" allowOverlap="1" behindDoc="'),
+        F.when(behind, "1").otherwise("0"), F.lit('" relativeHeight="'), text(of("z_order", 0)), F.lit('"><wp:simplePos x="0" y="0"/>'),
+    )
+    placed = F.concat(at("positionH", "column", of("offset_x", 0), of("h_align", "left")), at("positionV", "paragraph", of("offset_y", 0), of("v_align", "top")))
+    return F.concat(head, placed, extent, F.lit('<wp:effectExtent l="0" t="0" r="0" b="0"/>'), around, about, picture, F.lit("</wp:anchor></w:drawing>"))
 
 
 def header_xml(paragraphs: DataFrame, kind: str = "header") -> DataFrame:
@@ -340,11 +354,11 @@ def _packed(batches: Iterator[pa.RecordBatch], styles: str) -> Iterator[pa.Recor
     root = f'{HEAD}<Relationships xmlns="{PACKAGE_RELS}">{rel("rId1", "officeDocument", "word/document.xml")}{core_rel}{rel("rId3", "extended-properties", "docProps/app.xml")}</Relationships>'
     base = "".join(rel(*x) for x in BASE_RELS)
     plain = lambda tag: f'{HEAD}<w:{tag} xmlns:w="{W}"/>'
-    app = f'{HEAD}<Properties xmlns="{EXTENDED}"><Application>inkshred</Application></Properties>'
+    app = lambda n, t: f'{HEAD}<Properties xmlns="{EXTENDED}"><Application>inkshred</Application>{"" if n is None else f"<Paragraphs>{n}</Paragraphs>"}{"" if t is None else f"<Tables>{t}</Tables>"}</Properties>'
     for batch in batches:
         out = []
-        columns = (batch.column(c).to_pylist() for c in ("document_xml", "core_xml", "styles_xml", "extra"))
-        for document, props, own_styles, more in zip(*columns, strict=True):
+        columns = (batch.column(c).to_pylist() for c in ("document_xml", "core_xml", "styles_xml", "extra", "n_paragraphs", "n_tables"))
+        for document, props, own_styles, more, n_paragraphs, n_tables in zip(*columns, strict=True):
             have = {safe_target(m["target"]) for m in more or [] if m["data"] and not m["target_mode"]}
             more = sorted((m for m in more or [] if m["target_mode"] or safe_target(m["target"]) in have), key=lambda m: m["rel_id"])
             of: dict[str, str] = {"document.xml": base}
@@ -357,7 +371,7 @@ def _packed(batches: Iterator[pa.RecordBatch], styles: str) -> Iterator[pa.Recor
             types = f'{HEAD}<Types xmlns="{CONTENT_TYPES}">{fixed}{"".join(override("/word/" + m["target"], m["content_type"]) for m in more)}</Types>'
             held = io.BytesIO()
             with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-                for name, data in (("[Content_Types].xml", types), ("_rels/.rels", root), ("word/document.xml", document), ("word/_rels/document.xml.rels", links), ("docProps/core.xml", props), ("docProps/app.xml", app), ("word/styles.xml", own_styles or styles), ("word/fontTable.xml", plain("fonts")), ("word/theme/theme1.xml", HEAD + THEME), ("word/settings.xml", plain("settings")), ("word/webSettings.xml", plain("webSettings"))):
+                for name, data in (("[Content_Types].xml", types), ("_rels/.rels", root), ("word/document.xml", document), ("word/_rels/document.xml.rels", links), ("docProps/core.xml", props), ("docProps/app.xml", app(n_paragraphs, n_tables)), ("word/styles.xml", own_styles or styles), ("word/fontTable.xml", plain("fonts")), ("word/theme/theme1.xml", HEAD + THEME), ("word/settings.xml", plain("settings")), ("word/webSettings.xml", plain("webSettings"))):
                     z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data, zipfile.ZIP_DEFLATED)  # a fixed time: equal rows give equal bytes
                 for name, data in lists:
                     z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data, zipfile.ZIP_DEFLATED)
@@ -393,7 +407,8 @@ def assemble(documents: DataFrame, metadata: DataFrame | None = None, styles: li
     such as a hyperlink's; those with neither bytes nor mode are left out.  A
     column ``source`` names the part below word/ whose relationship it is (a
     header; null: the main document), so a part that several name is written
-    once, under the lists of relationships of each.
+    once, under the lists of relationships of each.  Columns n_paragraphs and
+    n_tables of the documents or metadata become extended properties.
     """
     d = documents if metadata is None else documents.join(metadata, "doc_id", "left")
     extra = F.lit(None).cast(_EXTRA)
@@ -402,11 +417,17 @@ def assemble(documents: DataFrame, metadata: DataFrame | None = None, styles: li
         more = parts.groupBy("doc_id").agg(F.collect_list(F.struct("rel_id", "rel_kind", "target", "content_type", "data", mode.cast("string").alias("target_mode"), (F.col("source") if "source" in parts.columns else F.lit(None)).cast("string").alias("source"))).alias("extra"))
         d, extra = d.join(more, "doc_id", "left"), F.col("extra")
     own = F.col("styles_xml") if "styles_xml" in d.columns else F.lit(None).cast("string")
-    d = d.select(F.col("doc_id").cast("string").alias("doc_id"), "document_xml", core_xml(d.columns).alias("core_xml"), own.alias("styles_xml"), extra.alias("extra"))
+    d = d.select(F.col("doc_id").cast("string").alias("doc_id"), "document_xml", core_xml(d.columns).alias("core_xml"), own.alias("styles_xml"), extra.alias("extra"), *((F.col(c) if c in d.columns else F.lit(None)).cast("long").alias(c) for c in ("n_paragraphs", "n_tables")))
     sheet = styles_xml(styles)
     return d.mapInArrow(lambda batches: _packed(batches, sheet), "doc_id string, content binary")
 
 
+def empty_documents(keys: DataFrame) -> DataFrame:
+    """doc_id, document_xml of new documents without a block, one for each (doc_id): the default section, and with ``assemble`` the base relationships."""
+    spaces = f'xmlns:w="{W}" xmlns:r="{R}"'
+    return keys.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(f"{HEAD}<w:document {spaces}><w:body>{section_xml()}</w:body></w:document>").alias("document_xml"))
+
+
 def save(packages: DataFrame, path: str) -> None:
     """Write (doc_id, content) packages as rows of a Parquet table, the form in which a cluster keeps many small files."""
     packages.write.mode("overwrite").parquet(path)

@@ -20,7 +20,7 @@ from functools import partial
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ooxml import KNOWN_PARTS
@@ -271,12 +271,28 @@ def typed_parts(docs: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
 
 
 def errors(part_rows: DataFrame, node_rows: DataFrame) -> DataFrame:
-    """doc_id, code, op, message, part: what could not be read, one row each; readable documents have none."""
-    a = part_rows.filter("error_code is not null").select("doc_id", F.col("error_code").alias("code"), F.lit("open").alias("op"), F.col("error_message").alias("message"), F.col("part_key").alias("part"))
-    b = node_rows.filter("error_code = 'XML_ERROR'").select("doc_id", F.col("error_code").alias("code"), F.lit("parse").alias("op"), F.col("error_message").alias("message"), F.col("part_key").alias("part"))
+    """doc_id, code, op, message, part, context: what could not be read, one row each; readable documents have none.
+
+    context: what else is known, by name.
+    """
+    known = lambda **c: F.map_filter(F.create_map(*(x for k, v in c.items() for x in (F.lit(k), v))), lambda _, v: v.isNotNull())
+    a = part_rows.filter("error_code is not null").select("doc_id", F.col("error_code").alias("code"), F.lit("open").alias("op"), F.col("error_message").alias("message"), F.col("part_key").alias("part"), known(kind=F.col("kind"), name=F.col("part_name")).alias("context"))
+    b = node_rows.filter("error_code = 'XML_ERROR'").select("doc_id", F.col("error_code").alias("code"), F.lit("parse").alias("op"), F.col("error_message").alias("message"), F.col("part_key").alias("part"), known(place=F.nullif(F.regexp_extract("error_message", "(line [0-9]+, column [0-9]+)", 1), F.lit(""))).alias("context"))
     return a.union(b)
 
 
+def error_text(errors: DataFrame) -> Column:
+    """An error row as one line: operation, code, message and context, as far as they are known."""
+    context = F.array_join(F.transform(F.array_sort(F.map_entries("context")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
+    return F.concat_ws(" | ", F.concat(F.lit("operation="), "op"), F.concat(F.lit("code="), "code"), "message", F.when(F.size("context") > 0, F.concat(F.lit("context={"), context, F.lit("}"))))
+
+
+def fail_fast(rows: DataFrame) -> DataFrame:
+    """Part or node rows that end the job at the first error instead of carrying it."""
+    told = F.concat_ws(" | ", F.concat(F.lit("code="), "error_code"), F.concat(F.lit("document="), "doc_id"), F.concat(F.lit("part="), "part_key"), "error_message")
+    return rows.filter(F.when(F.col("error_code").isNotNull(), F.raise_error(told).cast("boolean")).otherwise(F.lit(True)))
+
+
 def image_size(data: bytes) -> tuple[int, int] | None:
     """Width and height in pixels from a PNG, GIF or JPEG header; None for anything else."""
     if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:

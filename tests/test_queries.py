@@ -4,10 +4,10 @@ import pytest
 from conftest import DATA
 from oracle import check
 
-from inkshred.plans import edit_queries, queries, style_queries
+from inkshred.plans import detail_queries, edit_queries, queries, style_queries
 
 
-QUERIES, SQL = queries.QUERIES | edit_queries.QUERIES | style_queries.QUERIES, queries.SQL | edit_queries.SQL | style_queries.SQL
+QUERIES, SQL = queries.QUERIES | edit_queries.QUERIES | style_queries.QUERIES | detail_queries.QUERIES, queries.SQL | edit_queries.SQL | style_queries.SQL | detail_queries.SQL
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
