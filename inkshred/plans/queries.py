@@ -28,7 +28,7 @@ def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def roundtrip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document as a package and read its text back."""
-    runs = model.runs(source.scan(_packages(spark, sf_dir), "document"))
+    runs = model.runs(stored(source.scan(_packages(spark, sf_dir), "document")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", "run", "text"))), lambda s: s["text"]), "")
     texts = runs.groupBy("doc_id").agg(text.alias("text"))
     every = _t(spark, sf_dir, "documents").select("doc_id")

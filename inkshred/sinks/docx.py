@@ -119,7 +119,8 @@ def paragraph_xml(runs: DataFrame, paragraphs: DataFrame | None = None) -> DataF
     border_bottom and border_right, and bookmark_id with bookmark_name, where
     it has them; paragraphs without runs come from it too.
     """
-    inner = runs.groupBy("doc_id", "block_idx").agg(_folded("run_idx", run_xml(runs.columns)).alias("inner"))
+    # dealt by document at once, so that the folds into paragraphs and documents share one shuffle
+    inner = runs.repartition("doc_id").groupBy("doc_id", "block_idx").agg(_folded("run_idx", run_xml(runs.columns)).alias("inner"))
     head, before, after = F.lit(""), F.lit(""), F.lit("")
     if paragraphs is not None:
         inner = paragraphs.join(inner, ["doc_id", "block_idx"], "left")
