@@ -7,51 +7,87 @@ escaping to shorter contexts down to a uniform alphabet; the shortest code
 names the language.
 
 Training counts (context, byte) windows on a bounded sample of labelled texts
-(``sample`` per language, drawn by a hash of the id; whole texts) as a grouped
-sum.  Scoring is one pass over the documents without a shuffle: all positions
-of a batch walk the trees together in numpy, one table lookup per depth.
+(``sample_bytes``; whole texts, drawn by a hash) as a grouped sum, and turns
+them into code lengths on the executors.  The model holds what was seen as
+sorted pairs of (context, byte) and language, no dense table of all.  Scoring
+is one pass over the documents without a shuffle: the distinct windows of a
+piece of a batch are looked up together in numpy, once per context length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel
-from .common import carried, crc_of, mapped, named, table
+from .common import bounded, carried, crc_of, mapped, named, table, written
 
-STEP = 1 << 16
+#: Floats of one matrix [position, language] while scoring.
+CELLS = 1 << 23
+
+
+@dataclass
+class Sparse:
+    """Values of (key, language) pairs that training saw: those of keys[i] are at start[i] .. start[i + 1]."""
+
+    keys: np.ndarray
+    start: np.ndarray
+    lang: np.ndarray
+    bits: np.ndarray
+
+    def of(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``asked``, language, bits) of every pair whose key is asked for."""
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        row = np.flatnonzero(self.keys[at] == asked)
+        first = self.start[at[row]]
+        n = self.start[at[row] + 1] - first
+        pair = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        return np.repeat(row, n), self.lang[pair], self.bits[pair]
 
 
 @dataclass
 class Model:
-    """Frozen statistics of all languages over one shared context tree.
+    """Frozen statistics of all languages.
 
-    step[node, symbol]: the node of the context one byte longer, or a closed
-    copy of the node where that context is unknown.  bits[node, symbol, lang]:
-    code length of the symbol after the context.
+    levels[k]: code lengths of the escapes from contexts of k bytes, and of the
+    symbols seen after them (key: context and symbol).
     """
 
     langs: list[str]
-    symbol: np.ndarray
-    step: np.ndarray
-    bits: np.ndarray
-    depth: int
-
-
-def _windows(data: np.ndarray, offsets: np.ndarray, a: int, b: int, depth: int) -> Iterator[np.ndarray]:
-    """For positions a..b the byte 1, 2, .. ``depth`` places before; 0 before the text's start."""
+    levels: list[tuple[Sparse, Sparse]]
+
+    @property
+    def depth(self) -> int:
+        return len(self.levels) - 1
+
+    def code_lengths(self, windows: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each window in each language, [window, lang]."""
+        out = np.full((len(windows), len(self.langs)), np.log2(256.0), np.float32)  # the uniform alphabet
+        for k, (escapes, symbols) in enumerate(self.levels):
+            key = windows & windows.dtype.type((1 << (8 * (k + 1))) - 1)
+            row, lang, bits = escapes.of(key >> windows.dtype.type(8))
+            out[row, lang] += bits
+            row, lang, bits = symbols.of(key)
+            out[row, lang] = bits
+        return out
+
+
+def _keys(data: np.ndarray, offsets: np.ndarray, a: int, b: int, depth: int) -> np.ndarray:
+    """For positions a..b the byte there (lowest 8 bits) and the ``depth`` ones before; 0 before the text's start."""
     at = np.arange(a, b)
     since = at - offsets[np.searchsorted(offsets, at, "right") - 1]
+    key = data[a:b].astype(np.int64)
     for k in range(1, depth + 1):
-        yield np.where(since >= k, data[np.maximum(at - k, 0)], 0)
+        key |= np.where(since >= k, data[np.maximum(at - k, 0)], 0).astype(np.int64) << (8 * k)
+    return key
 
 
 def _counts(docs: DataFrame, depth: int) -> DataFrame:
@@ -64,102 +100,73 @@ def _counts(docs: DataFrame, depth: int) -> DataFrame:
                 data, offsets = kernel.buffers(pc.utf8_lower(own.column("text")))
                 for a in range(0, len(data), 1 << 20):
                     b = min(len(data), a + (1 << 20))
-                    key = data[a:b].astype(np.int64)
-                    for k, byte in enumerate(_windows(data, offsets, a, b, depth), 1):
-                        key |= byte.astype(np.int64) << (8 * k)
-                    key, n = np.unique(key, return_counts=True)
+                    key, n = np.unique(_keys(data, offsets, a, b, depth), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key), pa.array(n.astype(np.int64))], ["lang", "window", "n"])
 
     return mapped(docs.select("lang", "text"), count, "lang string, window long, n long").groupBy("lang", "window").agg(F.sum("n").alias("n"))
 
 
-def build(langs: list[str], lang: np.ndarray, window: np.ndarray, n: np.ndarray, depth: int, max_contexts: int) -> Model:
-    """Fold window counts into the shared tree and its code lengths."""
-    size = len(langs)
-    seen = np.unique(np.concatenate([(window >> (8 * k)) & 255 for k in range(depth + 1)]))
-    symbol = np.zeros(256, np.int64)  # 0: a byte that training never saw
-    symbol[seen] = np.arange(1, len(seen) + 1)
-    width = len(seen) + 1
-    counts = np.zeros((width, size))
-    np.add.at(counts, (symbol[window & 255], lang), n)
-    # the context of no bytes: counted symbols, else an escape to the uniform alphabet
-    bits = [_shorter(counts[None], np.full((1, width, size), np.log2(256.0)))]
-    nodes = {(): 0}
-    step = {}
-    for k in range(1, depth + 1):
-        part = (window >> 8) & ((1 << (8 * k)) - 1)
-        keys, inverse = np.unique(part, return_inverse=True)
-        weight = np.bincount(inverse, n)
-        keep = np.zeros(len(keys), bool)
-        keep[np.lexsort((keys, -weight))[:max_contexts]] = True
-        contexts = [tuple(int(x >> (8 * j)) & 255 for j in range(k)) for x in keys]
-        keep &= [c[:-1] in nodes and nodes[c[:-1]] is not None for c in contexts]
-        rank = np.cumsum(keep) - 1
-        counts = np.zeros((int(keep.sum()), width, size), np.float32)  # exact up to 2^24
-        own = keep[inverse]
-        np.add.at(counts, (rank[inverse[own]], symbol[window[own] & 255], lang[own]), n[own])
-        parents = np.array([nodes[c[:-1]] for c, y in zip(contexts, keep, strict=True) if y], np.int64)
-        start = len(nodes)
-        above, first = bits[-1], start - len(bits[-1])  # parents are one byte shorter: the level before
-        level_bits = np.empty(counts.shape, np.float32)
-        for a in range(0, len(counts), 1024):  # in pieces, so that the driver holds no further copies of the level
-            level_bits[a : a + 1024] = _shorter(counts[a : a + 1024], above[parents[a : a + 1024] - first])
-        bits.append(level_bits)
-        level = [c for c, y in zip(contexts, keep, strict=True) if y]
-        for i, c in enumerate(level):
-            nodes[c] = start + i
-            step[int(parents[i]), int(symbol[c[-1]])] = start + i
-    total = len(nodes)
-    moves = np.tile(np.concatenate([np.arange(total) + total, np.arange(total) + total])[:, None], (1, width)).astype(np.int32)
-    for (node, s), child in step.items():
-        moves[node, s] = child
-    return Model(langs, symbol, moves, np.concatenate(bits).astype(np.float32, copy=False), depth)
-
-
-def _shorter(counts: np.ndarray, above: np.ndarray) -> np.ndarray:
-    """Code lengths of contexts [context, symbol, lang]; ``above``: those of the contexts one byte shorter."""
-    total, distinct = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        own = -np.log2(counts / (total + distinct))
-        escape = above - np.log2(distinct / (total + distinct))
-    return np.where(total == 0, above, np.where(counts > 0, own, escape))
-
-
-def train(docs: DataFrame, held_out: Column, depth: int = 3, sample: int = 1000, max_contexts: int = 20000, most_langs: int = 1000) -> Model | None:
-    """Fit on at most about ``sample`` texts of each language with ``held_out`` false; None without any.
-
-    The model is of bounded size, whatever the corpus: the ``most_langs``
-    languages with the most texts are learned (equal counts: by name), and of
-    the contexts of each length the ``max_contexts`` most frequent ones in the
-    sample; a longer context that is not kept is coded by its shorter one.
+def _code_lengths(counts: DataFrame, depth: int) -> DataFrame:
+    """(k, key, lang, bits, escape) in order: code length of a symbol after its context of k bytes, and that of the escape from there."""
+    kinds = F.array(*(F.struct(F.lit(k).alias("k"), F.col("window").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("key")) for k in range(depth + 1)))
+    each = counts.select("lang", F.explode(kinds).alias("x"), "n").groupBy("lang", "x.k", "x.key").agg(F.sum("n").alias("n"))
+    context = Window.partitionBy("lang", "k", F.shiftright("key", 8))  # at most 256 rows
+    total, distinct = F.sum("n").over(context), F.count("*").over(context)
+    bits = -F.log2(F.col("n") / (total + distinct))
+    escape = -F.log2(distinct / (total + distinct))
+    return each.select("k", "key", "lang", bits.cast("float").alias("bits"), escape.cast("float").alias("escape")).orderBy("k", "key", "lang")
+
+
+def _pack(key: np.ndarray, lang: np.ndarray, bits: np.ndarray, depth: int) -> Sparse:
+    """Sorted pairs with their keys once each."""
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return Sparse(key[first].astype(_key_type(depth)), np.append(first, len(key)), lang, bits)
+
+
+def _key_type(depth: int) -> type:
+    return np.uint32 if depth <= 3 else np.int64
+
+
+def train(docs: DataFrame, held_out: Column, depth: int = 3, sample_bytes: int = 1 << 24) -> Model | None:
+    """Fit on a sample of about ``sample_bytes`` of the labelled texts with ``held_out`` false; None without any.
+
+    Every language has an equal share of the bytes; whole texts are drawn by
+    a hash of id and text, all of them where the share suffices.  A language
+    is learned where a text of it is drawn.  Everything that the sample holds
+    is kept, by (context, symbol) and language, so the model has at most
+    depth + 1 such pairs for each byte of the sample.  ``depth``: 6 at most.
     """
-    able = docs.filter(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    per = {r.lang: r.n for r in able.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
-    if not per:
+    able = docs.filter(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    per = written(able.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size")), "languages")
+    n = per.count()
+    if not n:
         return None
-    able = able.filter(F.col("lang").isin(*per))
-    rate = F.create_map(*(F.lit(x) for lang, n in sorted(per.items()) for x in (lang, min(1.0, sample / n))))
-    drawn = able.filter(F.pmod(F.xxhash64(F.lit("ppm"), "doc_id", "text"), F.lit(1 << 30)) < F.element_at(rate, F.col("lang")) * (1 << 30))
-    rows = _counts(drawn, depth).toPandas()
-    langs = sorted(set(rows.lang))
-    if not langs:
+    rates = bounded(per.filter("size > 0").select("lang", (F.lit(sample_bytes / n) / F.col("size")).alias("rate")), n)
+    drawn = able.join(rates, "lang").filter(F.pmod(F.xxhash64(F.lit("ppm"), "doc_id", "text"), F.lit(1 << 30)) < F.col("rate") * (1 << 30))
+    rows = _code_lengths(_counts(drawn, depth), depth).toArrow()
+    if not rows.num_rows:
         return None
-    return build(langs, rows.lang.map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64), rows.window.to_numpy(np.int64), rows.n.to_numpy(np.int64), depth, max_contexts)
+    names = rows.column("lang").combine_chunks().dictionary_encode()
+    langs = sorted(names.dictionary.to_pylist())
+    rank = {x: i for i, x in enumerate(langs)}
+    lang = np.array([rank[x] for x in names.dictionary.to_pylist()], np.int32)[names.indices.to_numpy()]
+    k, key, bits, escape = (rows.column(c).to_numpy() for c in ("k", "key", "bits", "escape"))
+    levels = []
+    for a, b in pairwise(np.searchsorted(k, np.arange(depth + 2))):
+        context = (key[a:b] >> 8) * len(langs) + lang[a:b]
+        known, first = np.unique(context, return_index=True)
+        levels.append((_pack(known // len(langs), lang[a:b][first], escape[a:b][first], depth), _pack(key[a:b], lang[a:b], bits[a:b], depth)))
+    return Model(langs, levels)
 
 
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Bits of each text in each language, [text, lang]."""
+    """Bits of each text in each language, [text, lang]; every distinct window of a piece is looked up once."""
     out = np.zeros((len(offsets) - 1, len(model.langs)))
-    width = model.step.shape[1]
-    total = model.step.shape[0] // 2
-    step, bits = model.step.ravel(), model.bits.reshape(-1, len(model.langs))
-    for a in range(0, len(data), STEP):
-        b = min(len(data), a + STEP)
-        node = np.zeros(b - a, np.int64)
-        for byte in _windows(data, offsets, a, b, model.depth):
-            node = step[node * width + model.symbol[byte]]
-        node = np.where(node >= total, node - total, node).astype(np.int64)
-        cost = bits[node * width + model.symbol[data[a:b]]]
+    step = max(1 << 12, min(1 << 18, CELLS // len(model.langs)))
+    for a in range(0, len(data), step):
+        b = min(len(data), a + step)
+        window, place = np.unique(_keys(data, offsets, a, b, model.depth).astype(_key_type(model.depth)), return_inverse=True)
+        cost = model.code_lengths(window)[place]
         cuts = np.unique(np.concatenate([[a], offsets[(offsets > a) & (offsets < b)]]))
         owner = np.searchsorted(offsets, cuts, "right") - 1
         np.add.at(out, owner, np.add.reduceat(cost, cuts - a, axis=0, dtype=np.float64))

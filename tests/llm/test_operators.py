@@ -135,10 +135,30 @@ def test_languages_are_told(spark):
     assert len(out) > 40 and (out.lang == out.lang_pred).mean() > 0.95 and out.score.between(0, 1).all()
 
 
-def test_many_languages_are_no_error(spark):
-    rows = [(i, f"text of {'abc'[i % 3] * 4}", f"l{i % 30}") for i in range(90)]
-    df = spark.createDataFrame([*rows, (90, "text of aaaa", "l3")], "doc_id long, text string, lang string")
-    assert langid.train(df, F.lit(False), most_langs=4).langs == ["l0", "l1", "l10", "l3"]
+def test_many_languages_are_all_learned(spark):
+    """300 languages, each with words of its own: a small model, and every text is told."""
+    r = random.Random(5)
+    own = {f"l{j:03}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for j in range(300)}
+    rows = [(i, " ".join(r.choice(own[lang]) for _ in range(60)), lang) for i, lang in enumerate(sorted(own) * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, F.col("doc_id") >= 600)
+    assert model.langs == sorted(own)
+    assert sum(x.nbytes for level in model.levels for part in level for x in (part.keys, part.start, part.lang, part.bits)) < 4 << 20
+    out = langid.identify(df.filter("doc_id >= 600"), model).collect()
+    assert len(out) == 300 and all(x.lang == x.lang_pred for x in out)
+
+
+def test_language_sample_is_bounded_by_bytes(spark):
+    """Shares are equal, so the large language does not crowd out the small one; all that was drawn is kept."""
+    r = random.Random(6)
+    text = lambda letters: "".join(r.choice(letters) for _ in range(100))
+    rows = [(i, text("abcdefgh"), "big") for i in range(2000)] + [(2000 + i, text("stuvwxyz"), "small") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, F.lit(False), sample_bytes=20000)
+    pairs = [np.bincount(part.lang, minlength=2).tolist() for _, part in model.levels]
+    assert model.langs == ["big", "small"] and pairs[0] == [8, 8] and pairs[1][1] > 64
+    drawn = 10000  # expected of "big"; at most one new pair a byte and level
+    assert pairs[3][0] < 1.5 * drawn and pairs[3][0] > 2000
 
 
 def test_language_edges(docs, empty, spark):
