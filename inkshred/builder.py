@@ -122,6 +122,8 @@ def _value(x) -> Column:
 
 #: Formatting of a template's runs, paragraphs, cells and sections, with the types of the model.
 _RUN = {"font": "string", "size": "int", "color": "string", "bold": "boolean", "italic": "boolean", "strike": "boolean", "underline": "string", "highlight": "string"}
+#: What a run may be besides its text: a field before it, or a link around it.
+_INSIDE = {"field_code": "string", "field_result": "string", "field_dirty": "boolean", "rel_id": "string", "anchor": "string", "url": "string"}
 _PARAGRAPH = {"style_id": "string", "alignment": "string", "line_rule": "string"} | dict.fromkeys(("indent_left", "indent_right", "first_line", "hanging", "spacing_before", "spacing_after", "line_value", "num_id", "num_level"), "int") | {f"border_{s}": "struct<style:string,size:bigint,color:string>" for s in ooxml.BORDER_SIDES}
 _CELL = {"width": "int", "v_align": "string", "shading": "string", "table_style": "string", "table_alignment": "string", "table_width": "int", "row_height": "int"} | {f"border_{s}": "struct<style:string,size:bigint,color:string>" for s in ooxml.BORDER_SIDES}
 _SECTION = {"width": "int", "height": "int", "orientation": "string", "columns": "int", "break_type": "string"} | {f"margin_{m}": "int" for m in ooxml.MARGINS}
@@ -142,7 +144,7 @@ class Template:
     row's value out of range is left out and named in the ``violations`` of
     the rows that ``build`` returns.  A null text is an empty one.  Rows that
     share a key would share a document, so the key must be unique.
-    ``each_table`` and ``each_paragraph`` take their rows from a child table
+    ``field`` and ``link`` are runs too.  ``each_table`` and ``each_paragraph`` take their rows from a child table
     (the orders of a customer), any number for each document.
     """
 
@@ -152,6 +154,7 @@ class Template:
         self._made: dict[str, list[dict]] = {k: [] for k in _KEYS}
         self._each: dict[str, list[tuple[DataFrame, list[str]]]] = {k: [] for k in _KEYS}
         self._blocks = 0
+        self._links = 0
         self._room = False  # whether paragraphs of children need block numbers of their own
         self._runs = -1  # of the last paragraph; -1: no paragraph is open
 
@@ -174,6 +177,31 @@ class Template:
         self._runs += 1
         return self
 
+    def field(self, code: Column | str, result: Column | str = "", dirty: Column | bool = False, **formatting) -> Template:
+        """A complex field in the last paragraph, shown as ``result``; where ``code`` is null or blank there is none."""
+        said = F.nullif(F.trim(_value(code).cast("string")), F.lit(""))
+        return self._inside(formatting, text=F.lit(""), field_code=said, field_result=_value(result).cast("string"), field_dirty=_value(dirty).cast("boolean"))
+
+    def link(self, text: Column | str, url: Column | str | None = None, anchor: Column | str | None = None, **formatting) -> Template:
+        """A run of the last paragraph that leads to a url outside or to a bookmark (``anchor``); where neither is said it is plain text.
+
+        A url has a relationship of its own, numbered by its
+        place among the template's links.
+        """
+        outside = F.nullif(_value(url).cast("string"), F.lit("")) if url is not None else F.lit(None).cast("string")
+        inside = F.when(outside.isNull(), F.nullif(_value(anchor).cast("string"), F.lit(""))) if anchor is not None else F.lit(None).cast("string")
+        self._links += 1
+        rel_id = F.when(outside.isNotNull(), F.lit(f"rIdLink{self._links}"))
+        return self._inside(formatting, text=F.coalesce(_value(text).cast("string"), F.lit("")), url=outside, rel_id=rel_id, anchor=inside)
+
+    def _inside(self, formatting: dict, text: Column, **what: Column) -> Template:
+        if self._runs < 0:
+            raise ValueError("a field or link before any paragraph")
+        self._add("runs", _RUN, formatting, block_idx=self._blocks - 1, run_idx=self._runs, text=text)
+        self._made["runs"][-1] |= what
+        self._runs += 1
+        return self
+
     def table(self, cells: list[list[Column | str]], **properties) -> Template:
         """A table; ``properties`` hold for all of its cells."""
         wide = max(map(len, cells), default=0)
@@ -239,7 +267,7 @@ class Template:
 
     def build(self) -> dict[str, DataFrame]:
         """The kinds there are of runs, paragraphs, cells and sections, with ``violations``."""
-        known = {"runs": _RUN, "paragraphs": _PARAGRAPH, "cells": _CELL, "sections": _SECTION}
+        known = {"runs": _RUN | _INSIDE, "paragraphs": _PARAGRAPH, "cells": _CELL, "sections": _SECTION}
         rules = {"runs": edits.set_run, "paragraphs": edits.set_paragraph, "cells": edits.set_cell, "sections": edits.set_section}
         out = {}
         for kind, made in self._made.items():
@@ -267,9 +295,13 @@ class Template:
         if not self._blocks:
             raise ValueError("an empty document")
         made = {k: x.drop("violations") for k, x in self.build().items()}
-        blocks = []
+        blocks, links = [], None
         if "paragraphs" in made:
             runs = made.get("runs")
+            if runs is not None and "url" in runs.columns:
+                outside = runs.filter("url is not null")
+                links = outside.select("doc_id", "rel_id", F.lit("hyperlink").alias("rel_kind"), F.col("url").alias("target"), F.lit(None).cast("string").alias("content_type"), F.lit(None).cast("binary").alias("data"), F.lit("External").alias("target_mode"))
+                runs = runs.drop("url")
             if runs is None:
                 runs = made["paragraphs"].select("doc_id", "block_idx", F.lit(0).alias("run_idx"), F.lit("").alias("text"))
             blocks.append(sink.paragraph_xml(runs, made["paragraphs"]))
@@ -279,4 +311,4 @@ class Template:
         for more in blocks[1:]:
             rows = rows.unionByName(more)
         about = self.rows.select(F.col(self.key).cast("string").alias("doc_id"), *(c.cast("string").alias(k) for k, c in self.metadata.items())) if self.metadata else None
-        return sink.assemble(sink.document_xml(rows, sections=made.get("sections")), about)
+        return sink.assemble(sink.document_xml(rows, sections=made.get("sections")), about, parts=links)

@@ -182,7 +182,25 @@ def template_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.unionByName(cells).withColumn("c_custkey", F.col("doc_id").cast("long")).drop("doc_id")
 
 
-QUERIES = {"nested_tables": nested_tables, "template_orders": template_orders, "docx_source": docx_source, "header_parts": header_parts, "lossless_run_edit": lossless_run_edit, "node_axes": node_axes, "row_scripts": row_scripts}
+def template_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A note for every supplier with a field, a link outside and one to a bookmark, some of them not said; written and read back."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    k = F.col("s_suppkey")
+    code = F.when(k % 4 != 0, F.concat(F.lit("SEQ s"), k.cast("string")))
+    url = F.when(k % 3 != 0, F.concat(F.lit("https://example.com/?a=1&s="), k.cast("string")))
+    note = Template(s, "s_suppkey").paragraph().text("No. ").field(code, k, k % 2 == 0, bold=True)
+    note = note.paragraph().link(F.col("s_name"), url, italic=True).text(" or ").link("below", anchor=F.concat(F.lit("n"), F.col("s_nationkey").cast("string")))
+    nodes = stored(source.scan(note.packages(), "document", "document_rels"))
+    runs = model.runs(nodes)
+    id_ = F.col("doc_id").cast("long").alias("s_suppkey")
+    f = model.fields(nodes, runs).select(id_, F.lit("field").alias("kind"), F.col("code").alias("target"), F.col("result").alias("text"), F.col("dirty").alias("flag"))
+    look = runs.select("doc_id", "part_key", "para", "run", F.coalesce("italic", F.lit(False)).alias("flag"))
+    h = model.hyperlinks(nodes, runs).join(look, ["doc_id", "part_key", "para", "run"]).select(id_, F.lit("link").alias("kind"), F.col("url").alias("target"), "text", "flag")
+    p = model.paragraphs(nodes, runs).filter("n_runs > 0").select(id_, F.lit("paragraph").alias("kind"), F.col("para_idx").cast("string").alias("target"), "text", F.lit(False).alias("flag"))
+    return f.unionByName(h).unionByName(p.filter("target = '1'"))
+
+
+QUERIES = {"nested_tables": nested_tables, "template_orders": template_orders, "template_links": template_links, "docx_source": docx_source, "header_parts": header_parts, "lossless_run_edit": lossless_run_edit, "node_axes": node_axes, "row_scripts": row_scripts}
 
 
 def _quoted(text: str) -> str:
@@ -207,6 +225,9 @@ UNION ALL SELECT r, s_name, s_suppkey::VARCHAR, 0, 0 FROM s UNION ALL SELECT r,
 n AS (SELECT c_custkey AS c, c_name, c_mktsegment, (SELECT count(*) FROM o WHERE o.c = c_custkey) AS n FROM customer)
 SELECT c AS c_custkey, 'p' AS kind, 0 AS "at", 0 AS col, c_name AS text, false AS bold FROM n UNION ALL SELECT c, 'p', k::INTEGER, 0, 'Order ' || o_orderkey, o_orderkey % 2 = 0 FROM o UNION ALL SELECT c, 'p', n::INTEGER + 1, 0, 'Total ' || c_mktsegment, false FROM n
 UNION ALL SELECT c, 'tc', 0, i, t, NULL FROM n, (VALUES (0, 'order'), (1, 'priority')) v(i, t) UNION ALL SELECT c, 'tc', k::INTEGER, 0, o_orderkey::VARCHAR, NULL FROM o UNION ALL SELECT c, 'tc', k::INTEGER, 1, o_orderpriority, NULL FROM o""",
+    "template_links": """SELECT s_suppkey, 'field' AS kind, 'SEQ s' || s_suppkey AS target, s_suppkey::VARCHAR AS text, s_suppkey % 2 = 0 AS flag FROM supplier WHERE s_suppkey % 4 != 0
+UNION ALL SELECT s_suppkey, 'link', 'https://example.com/?a=1&s=' || s_suppkey, s_name, true FROM supplier WHERE s_suppkey % 3 != 0 UNION ALL SELECT s_suppkey, 'link', '#n' || s_nationkey, 'below', false FROM supplier
+UNION ALL SELECT s_suppkey, 'paragraph', '1', s_name || ' or below', false FROM supplier""",
     "docx_source": "SELECT c_custkey, c_name AS text, true AS read_in_part FROM customer",
     "header_parts": """SELECT s_suppkey, part_key, s_name AS text, 'https://' || place || '/' || s_suppkey AS url, (s_suppkey + 1 + CASE WHEN place = 'header' AND s_suppkey % 2 = 1 THEN 1 ELSE 0 END)::INTEGER AS width_px, no AS number, used_as, 1 + s_suppkey % 2 AS n_media, CASE WHEN s_suppkey % 3 = 0 THEN 'word/orphan.xml' END AS unreachable
 FROM supplier, (VALUES ('body', 'word/document.xml', 1, NULL), ('header', 'word/header1.xml', 2, 'header')) v(place, part_key, no, used_as)""",

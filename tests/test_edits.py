@@ -217,6 +217,19 @@ def test_templates_of_child_tables(spark):
         made.each_table(children, "k", "no", [])
 
 
+def test_template_fields_and_links(spark):
+    rows = spark.createDataFrame([(1, "https://a.example/?x=1&y=2", "PAGE"), (2, None, " "), (3, "", None)], "k long, u string, c string")
+    made = Template(rows, "k").paragraph().field(F.col("c"), "7").link("go", F.col("u"), anchor="here", size=F.col("k") * 2000).section(columns=2)
+    assert sorted((r.doc_id, r.violations) for r in made.build()["runs"].filter("text = 'go'").collect()) == [("1", []), ("2", ["size"]), ("3", ["size"])]
+    nodes = store.stored(source.scan(made.packages(), "document", "document_rels"))
+    runs = model.runs(nodes)
+    assert sorted((r.doc_id, r.text, r.url) for r in model.hyperlinks(nodes, runs).collect()) == [("1", "go", "https://a.example/?x=1&y=2"), ("2", "go", "#here"), ("3", "go", "#here")]
+    assert [(r.doc_id, r.code, r.result) for r in model.fields(nodes, runs).collect()] == [("1", "PAGE", "7")]
+    for wrong in (lambda t: t.field("PAGE"), lambda t: t.link("x", "y"), lambda t: t.paragraph().link("x", "y", weight=1)):
+        with pytest.raises(ValueError):
+            wrong(Template(rows, "k"))
+
+
 def test_shared_folder_is_never_guessed_on_a_cluster():
     class Cluster:
         conf = {}
