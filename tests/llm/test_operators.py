@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -674,6 +675,25 @@ def test_jaccard_of_a_family_of_near_copies(spark):
     assert len(set(want.values())) > 1
 
 
+def test_join_leaves_no_shuffle_files_and_no_large_tables(spark, docs, tmp_path, monkeypatch):
+    """Disk holds one step's shuffle at a time, whenever the driver collects garbage; only narrow tables stay."""
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall("shuffle_[0-9]+", held.getAllFiles().mkString(" ")))
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    docs.count()  # its cache has a shuffle of its own
+    before = files()
+    common.written(docs.repartition(7, "doc_id"), "dealt")
+    for _ in range(100):  # removal is asked for at the end of the write, and done a little later
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    out = ngram_join.jaccard_components(docs)
+    assert {x.name.rsplit("-", 1)[0] for x in tmp_path.iterdir()} == {"dealt", "slim", "labels"}
+    assert out.count() == docs.count()
+    assert spark.conf.get(common._RELEASE, "false") == "false"
+
+
 @pytest.mark.parametrize("options", [{}, {"long_list": 2, "heavy_level": 1, "salts": 3, "block": 50}])
 def test_link_counts_against_all_pairs(spark, docs, empty, options):
     r = random.Random(9)
