@@ -9,7 +9,7 @@ from ..functions import enums
 from ..operators import edits, structure, styles
 from ..sinks import docx as sink
 from ..sources import docx as source
-from ..sources.store import stored, written
+from ..sources.store import dealt, stored, written
 from . import model
 
 
@@ -60,7 +60,7 @@ def error_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "customer")
     k = F.pmod(F.col("c_custkey"), F.lit(3))
     xml = c.select(F.col("c_custkey").cast("string").alias("doc_id"), F.when(k == 1, "<a>").otherwise("<a/>").alias("document_xml"))
-    content = sink.assemble(xml).withColumn("content", F.when(F.pmod(F.col("doc_id").cast("long"), F.lit(3)) == 2, F.lit(None)).otherwise(F.col("content")))
+    content = sink.assemble(dealt(xml)).withColumn("content", F.when(F.pmod(F.col("doc_id").cast("long"), F.lit(3)) == 2, F.lit(None)).otherwise(F.col("content")))
     parts = written(source.parts(content, "document"), "parts")
     errors = source.errors(parts, source.nodes(parts, "document"))
     return errors.select(F.col("doc_id").cast("long").alias("c_custkey"), "code", "part", source.error_text(errors).alias("line"))
@@ -71,7 +71,7 @@ def empty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _t(spark, sf_dir, "supplier")
     docs = sink.empty_documents(s.select(F.col("s_suppkey").alias("doc_id")))
     counts = s.select(F.col("s_suppkey").cast("string").alias("doc_id"), F.col("s_nationkey").alias("n_paragraphs"), F.when(F.col("s_suppkey") % 2 == 0, 3).alias("n_tables"))
-    nodes = stored(source.scan(sink.assemble(docs, counts)))
+    nodes = stored(source.scan(sink.assemble(dealt(docs), counts)))
     blocks = model.blocks(nodes).groupBy("doc_id").agg(F.count("*").alias("n_blocks"))
     sections = model.sections(nodes).groupBy("doc_id").agg(F.count("*").alias("n_sections"), F.max("width").alias("width"))
     rels = model.relationships(nodes).groupBy("doc_id").agg(F.count("*").alias("n_rels"))

@@ -2,6 +2,7 @@ import io
 import struct
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from inkshred.operators import edits, structure, styles
 from inkshred.plans import model
 from inkshred.sinks import docx as sink
 from inkshred.sources import docx as source
+from inkshred.sources import store
 from inkshred.streaming import documents as streaming
 
 BODY = f'<w:document xmlns:w="{ooxml.W}" xmlns:r="{ooxml.R}"><w:body>%s</w:body></w:document>'
@@ -401,3 +403,25 @@ def test_borders_without_a_line_are_not_written(spark):
     assert "pBdr" not in sink.paragraph_xml(runs, p).first().xml
     order = sink.paragraph_xml(runs, p.withColumn("border_right", edits.border("thick")).withColumn("border_top", edits.border("single", 6, "00FF00"))).first().xml
     assert order.index('<w:top w:val="single" w:sz="6" w:space="0" w:color="00FF00"/>') < order.index('<w:right w:val="thick" w:sz="4" w:space="0" w:color="auto"/>')
+
+
+def test_few_bytes_are_still_dealt_over_all_tasks(spark):
+    """Adaptive execution joins small partitions by bytes; a package is little to read and much work."""
+    runs = spark.range(200).select(F.col("id").cast("string").alias("doc_id"), F.lit(0).alias("block_idx"), F.lit(0).alias("run_idx"), F.lit("x").alias("text"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sink.document_xml(sink.paragraph_xml(runs)).rdd.getNumPartitions() == n
+    told = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(told)
+    out = store.written(runs.groupBy("doc_id").count().select("doc_id", F.spark_partition_id().alias("p")), "dealt")
+    assert out.select("p").distinct().count() == n  # one partition before
+    assert spark.conf.get(told) == before
+
+
+def test_packages_are_handed_on_a_few_at_a_time():
+    """A batch of narrow rows is thousands of packages, of kilobytes each."""
+    n = 3 * sink.FEW + 1
+    extra = pa.list_(pa.struct([("rel_id", pa.string())]))
+    rows = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(n)]), pa.array(["<a/>"] * n), pa.array(["<b/>"] * n), pa.nulls(n, pa.string()), pa.nulls(n, extra), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], ["doc_id", "document_xml", "core_xml", "styles_xml", "extra", "n_paragraphs", "n_tables"])
+    out = list(sink._packed(iter([rows]), sink.styles_xml()))
+    assert [b.num_rows for b in out] == [sink.FEW] * 3 + [1]
+    assert [x for b in out for x in b.column("doc_id").to_pylist()] == [str(i) for i in range(n)]
