@@ -292,6 +292,16 @@ class Template:
 
     def packages(self) -> DataFrame:
         """doc_id, content: the packages of ``build``'s rows."""
+        documents, about, links = self._written()
+        return sink.assemble(documents, about, parts=links)
+
+    def nodes(self, *kinds: str) -> DataFrame:
+        """The XML nodes of ``packages``, made and read in one pass (``assemble_and_scan``)."""
+        documents, about, links = self._written()
+        return sink.assemble_and_scan(documents, *kinds, metadata=about, parts=links)
+
+    def _written(self) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+        """doc_id and document_xml, the documents' metadata and their links."""
         if not self._blocks:
             raise ValueError("an empty document")
         made = {k: x.drop("violations") for k, x in self.build().items()}
@@ -311,4 +321,4 @@ class Template:
         for more in blocks[1:]:
             rows = rows.unionByName(more)
         about = self.rows.select(F.col(self.key).cast("string").alias("doc_id"), *(c.cast("string").alias(k) for k, c in self.metadata.items())) if self.metadata else None
-        return sink.assemble(sink.document_xml(rows, sections=made.get("sections")), about, parts=links)
+        return sink.document_xml(rows, sections=made.get("sections")), about, links

@@ -20,15 +20,20 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document of the table as a package: one paragraph, its text one run."""
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The XML of each document of the table: one paragraph, its text one run."""
     runs = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("block_idx"), F.lit(0).alias("run_idx"), "text")
-    return sink.assemble(sink.document_xml(sink.paragraph_xml(runs)))
+    return sink.document_xml(sink.paragraph_xml(runs))
+
+
+def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document of the table as a package."""
+    return sink.assemble(_documents(spark, sf_dir))
 
 
 def roundtrip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document as a package and read its text back."""
-    runs = model.runs(stored(source.scan(_packages(spark, sf_dir), "document")))
+    runs = model.runs(stored(sink.assemble_and_scan(_documents(spark, sf_dir), "document"), dealt=True))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", "run", "text"))), lambda s: s["text"]), "")
     texts = runs.groupBy("doc_id").agg(text.alias("text"))
     every = _t(spark, sf_dir, "documents").select("doc_id")
@@ -45,7 +50,7 @@ def paragraph_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _read(block_rows: DataFrame, *kinds: str, parts: DataFrame | None = None, sections: DataFrame | None = None) -> DataFrame:
     """The XML nodes of packages written from block rows, parsed and stored once."""
-    return stored(source.scan(sink.assemble(sink.document_xml(block_rows, sections=sections), parts=parts), *(kinds or ("document",))))
+    return stored(sink.assemble_and_scan(sink.document_xml(block_rows, sections=sections), *(kinds or ("document",)), parts=parts), dealt=True)
 
 
 def _nation_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +282,7 @@ def _letters(spark: SparkSession, sf_dir: str) -> Template:
 
 def template_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The letters written and read back: the blocks of each document with style, size and text."""
-    nodes = stored(source.scan(_letters(spark, sf_dir).packages(), "document"))
+    nodes = stored(_letters(spark, sf_dir).nodes("document"), dealt=True)
     runs = model.runs(nodes)
     p = model.paragraphs(nodes, runs)
     sizes = runs.groupBy("doc_id", "para").agg(F.max("size").alias("size"), F.max("italic").alias("italic"))
