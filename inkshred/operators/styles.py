@@ -166,8 +166,9 @@ def resolved(styles: DataFrame, formats: tuple[str, ...], key: str = "doc_id", o
     sheet = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.struct(*others).alias("about"), F.struct(*formats).alias("look")))).alias("_s"))
     places = F.sequence(F.lit(0), F.size("_s") - 1)
     ids = F.transform("_s", lambda x: x["about"]["style_id"])
-    base = F.transform("_s", lambda x: F.nullif(F.array_position(F.col("_ids"), x["about"]["based_on"]).cast("int"), F.lit(0)) - 1)
-    x = sheet.withColumn("_ids", ids).withColumn("_base", base)
+    # the ids are bound once a sheet; named as a column they would be gathered again for each of its styles
+    base = F.transform(F.array(ids), lambda known: F.transform("_s", lambda x: F.nullif(F.array_position(known, x["about"]["based_on"]).cast("int"), F.lit(0)) - 1))
+    x = sheet.withColumn("_base", F.get(base, F.lit(0)))
     rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size("_s") + 1)).cast("int"))
     start = F.struct(F.col("_base").alias("to"), F.transform("_s", lambda x: x["look"]).alias("look"), F.transform("_base", lambda b: F.when(b.isNull(), 0).otherwise(1)).alias("hops"))
 

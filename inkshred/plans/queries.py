@@ -238,7 +238,7 @@ def formatting_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = _one_run(p, "p_partkey", text=F.col("p_name"), bold=k % 2 == 0, italic=k % 3 == 0, strike=k % 5 == 0, underline=pick("none", "single", "double"), highlight=pick("green", "none"), color=F.lpad(F.hex(k), 6, "0"), size=(F.pmod(k, F.lit(40)) + 24).cast("int"), font=pick("Arial", "Times New Roman"), font_east_asia=F.lit("SimSun"), font_cs=pick("Arial", None))
     about = p.select(k.cast("string").alias("doc_id"), F.lit(0).alias("block_idx"), pick("Heading1", None).alias("style_id"), pick("left", "center", "right").alias("alignment"), (k % 360).alias("spacing_before"), F.lit(120).alias("spacing_after"), F.lit(480).alias("line_value"), F.lit("exact").alias("line_rule"), (k % 720).alias("indent_left"), F.lit(360).alias("indent_right"), F.when(k % 2 == 0, 240).alias("first_line"), F.when(k % 2 == 1, 200).alias("hanging"), F.when(k % 4 == 0, 1).alias("num_id"), F.when(k % 4 == 0, k % 9).alias("num_level"))
     nodes = _read(sink.paragraph_xml(runs, about))
-    r = model.runs(nodes)
+    r = model.stored_runs(nodes)
     got = model.paragraphs(nodes, r).select("doc_id", "style_id", "alignment", "spacing_before", "spacing_after", "line_value", "line_rule", "indent_left", "indent_right", "first_line", "hanging", "num_id", "num_level")
     names = ("text", "bold", "italic", "strike", "underline", "highlight", "color", "size", "font", "font_east_asia", "font_cs")
     return r.select("doc_id", *names).join(got, "doc_id").withColumn("p_partkey", F.col("doc_id").cast("long")).drop("doc_id")
@@ -283,8 +283,8 @@ def _letters(spark: SparkSession, sf_dir: str) -> Template:
 def template_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The letters written and read back: the blocks of each document with style, size and text."""
     nodes = stored(_letters(spark, sf_dir).nodes("document"), dealt=True)
-    runs = model.runs(nodes)
-    p = model.paragraphs(nodes, runs)
+    runs = model.stored_runs(nodes)
+    p = model.stored_paragraphs(nodes, runs)
     sizes = runs.groupBy("doc_id", "para").agg(F.max("size").alias("size"), F.max("italic").alias("italic"))
     texts = p.filter("container = 'body' and n_runs > 0").join(sizes, ["doc_id", "para"]).select("doc_id", F.col("para_idx").cast("int").alias("at"), F.lit("p").alias("kind"), F.col("style_id").alias("style"), "text", F.col("size").cast("long").alias("size"), "italic", "spacing_before")
     cells = model.table_cells(nodes, p).select("doc_id", (F.col("row_idx") * 2 + F.col("col_idx")).cast("int").alias("at"), F.lit("tc").alias("kind"), F.lit(None).cast("string").alias("style"), "text")

@@ -42,7 +42,7 @@ def effective_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = stored(sink.assemble_and_scan(documents, "document", "styles"), dealt=True)
     # read by four joins, made once
     whole = stored(styles.resolved(model.styles(nodes), model.STYLE_FORMATS), keys=("doc_id", "style_id"), dealt=True)
-    r = model.runs(nodes)
+    r = model.stored_runs(nodes)
     got = model.effective_formatting(r, model.paragraphs(nodes, r), whole)
     bad = whole.select("doc_id", F.col("style_id").alias("paragraph_style"), "hops", F.array_join("violations", ",").alias("violations"))
     out = got.join(bad, ["doc_id", "paragraph_style"])

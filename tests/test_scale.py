@@ -65,3 +65,12 @@ def test_long_parts_are_cut_into_bounded_batches():
     assert [r["attrs"] for r in rows if r["tag"] == "i"] == [[("a", "1")]] * 12 + [[("a", "1"), ("b", "2")]]
     assert [r["error_code"] for r in rows if r["tag"] is None] == ["XML_ERROR", "IO_ERROR"]
     assert all(r["ancestors"] is None and r["attrs"] is None for r in rows if r["tag"] is None)
+
+
+def test_runs_and_styles_that_several_joins_read_are_made_once(spark):
+    from inkshred.plans import style_queries
+
+    got = style_queries.effective_formatting(spark, DATA)
+    text = _plan(got).split("Physical Plan")[1]
+    assert "part_key = word/styles.xml" not in text and "at_open" not in text  # neither the sheets nor their chains are folded again
+    assert text.count("FileScan") >= 4 and "aggregate(sequence" not in text
