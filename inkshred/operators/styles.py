@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,12 +62,19 @@ PALETTES = {
 }
 
 
+def _constant(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of fixed values; as an Arrow table they start no Python workers, which rows of Python objects would, a task each."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    fields = [pa.field(c.split(" ")[0], kinds[c.split(" ")[1]]) for c in schema.split(", ")]
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], pa.schema(fields)))
+
+
 def catalogue(spark: SparkSession) -> DataFrame:
     """style_id, name, type, based_on, is_default and formatting of the built-in styles."""
     rows = [(*p[:2], "paragraph", p[2], p[0] == "Normal", *p[3:]) for p in _P]
     rows += [(i, n, "character", None if k == 0 else "DefaultParagraphFont", k == 0, None, i == "Strong", i == "Emphasis", None, None, None, None) for k, (i, n) in enumerate(_C)]
     rows += [(i, n, "table", None if k == 0 else "TableNormal", k == 0, None, False, False, None, None, None, None) for k, (i, n) in enumerate(_T)]
-    return spark.createDataFrame(rows, "style_id string, name string, type string, based_on string, is_default boolean, size int, bold boolean, italic boolean, alignment string, spacing_before int, spacing_after int, outline_level int")
+    return _constant(spark, rows, "style_id string, name string, type string, based_on string, is_default boolean, size int, bold boolean, italic boolean, alignment string, spacing_before int, spacing_after int, outline_level int")
 
 
 def with_styles(base: DataFrame, added: DataFrame) -> DataFrame:
@@ -95,7 +103,7 @@ def paragraph_style(style_id: str, name: str, based_on: str | None = "Normal", *
 
 def themes(spark: SparkSession) -> DataFrame:
     """The presets, a row each; a variant is a row with other values (``withColumn``)."""
-    return spark.createDataFrame([(k, *v, *PALETTES[k]) for k, v in THEMES.items()], _THEME_COLUMNS)
+    return _constant(spark, [(k, *v, *PALETTES[k]) for k, v in THEMES.items()], _THEME_COLUMNS)
 
 
 def apply_palette(runs: DataFrame, theme: DataFrame, role: str = "role") -> DataFrame:

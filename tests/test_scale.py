@@ -74,3 +74,12 @@ def test_runs_and_styles_that_several_joins_read_are_made_once(spark):
     text = _plan(got).split("Physical Plan")[1]
     assert "part_key = word/styles.xml" not in text and "at_open" not in text  # neither the sheets nor their chains are folded again
     assert text.count("FileScan") >= 4 and "aggregate(sequence" not in text
+
+
+def test_fixed_tables_start_no_python_workers(spark):
+    from inkshred.operators import styles
+
+    for made in (styles.catalogue(spark), styles.themes(spark)):
+        assert "ExistingRDD" not in _plan(made)
+    assert styles.themes(spark).count() == len(styles.THEMES)
+    assert styles.catalogue(spark).filter("is_default").count() == 3
