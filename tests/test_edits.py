@@ -2,14 +2,16 @@ import io
 import random
 import zipfile
 
+import pyarrow as pa
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 from test_documents import BODY, opened, package
 
 from inkshred import ooxml
 from inkshred.builder import Template
 from inkshred.operators import axes, edits, splice, structure
-from inkshred.plans import model
+from inkshred.plans import edit_queries, model
 from inkshred.sinks import docx as sink
 from inkshred.sources import datasource, store
 from inkshred.sources import docx as source
@@ -176,6 +178,45 @@ def test_data_source_commits_whole_or_not_at_all(spark, tmp_path):
     assert names() == ["d%2F1.docx"] == [p.name for p in (tmp_path / "out").rglob("*.docx")]
 
 
+def test_data_source_leaves_the_list_of_files_to_the_tasks(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/out"
+    content = package("<w:p/>")
+    batch = lambda a, b: pa.RecordBatch.from_pydict({"doc_id": [f"d{i}" for i in range(a, b)], "content": [content] * (b - a)})
+    monkeypatch.setattr(datasource, "MOST_FILES", 40)
+    job = datasource._Writer(path, True)
+    lost = job.write(iter([batch(0, 5)]))  # an attempt that does not count
+    job.commit([job.write(iter([batch(0, 60), batch(60, 100)])), job.write(iter([])), job.write(iter([batch(100, 110)]))])
+    reader = lambda **o: datasource._Reader({"path": path} | o)
+    groups = reader().partitions()
+    assert ".docx" not in repr(groups)  # as long as the list of pieces, not as that of packages
+    assert sum(len(g.folders) for g in groups) == 4 and len(groups) >= 3
+    names = lambda r: sorted(p.rsplit("/", 1)[1] for g in r.partitions() for b in r.read(g) for p in b.column("path").to_pylist())
+    every = sorted(f"d{i}.docx" for i in range(110) for _ in range(3))
+    assert names(reader()) == names(reader(partitionBytes=2 * len(content))) == every
+    assert max(len(g.paths) for g in reader(partitionBytes=2 * len(content)).partitions()) == 2
+    assert not (tmp_path / "out" / lost.folder).exists()
+
+
+def test_tasks_of_a_failed_job_have_nowhere_to_write(tmp_path):
+    job = datasource._Writer(f"file://{tmp_path}/out", True)
+    rows = pa.RecordBatch.from_pydict({"doc_id": ["a"], "content": [b"x"]})
+
+    def late():
+        yield rows
+        job.abort([])
+        yield rows
+
+    for batches in (late(), iter([rows])):
+        with pytest.raises(OSError):
+            job.write(batches)
+    assert list((tmp_path / "out").iterdir()) == []
+
+
+def test_docx_source_opens_packages_once(spark):
+    plan = edit_queries.docx_source(spark, DATA)._jdf.queryExecution().toString().split("Physical Plan")[1]
+    assert "BatchScan" not in plan
+
+
 def test_relationships_lead_from_part_to_part(spark):
     rel = lambda i, target, mode="": f'<Relationship Id="{i}" Type="t" Target="{target}"{mode}/>'
     more = {"_rels/.rels": rel("r1", "/word/document.xml") + rel("r2", "docProps/core.xml"), "word/_rels/header1.xml.rels": rel("r1", "../word/./media/A.png") + rel("r2", "document.xml") + rel("r3", "https://x", ' TargetMode="External"')}
