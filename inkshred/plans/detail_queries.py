@@ -38,7 +38,7 @@ def floating_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     place = {"offset_x": F.pmod(k, F.lit(3)) * 635, "offset_y": F.pmod(k, F.lit(4)) * 1270, "h_align": _pick(k, "left", "center", "outside"), "v_align": _pick(k, "bottom", "inside"), "wrap": _pick(k, "square", "tight", "through", "topBottom", "behindText", "inFrontText"), "z_order": k}
     runs = p.select(k.cast("string").alias("doc_id"), F.lit(0).alias("block_idx"), F.lit(0).alias("run_idx"), F.lit("").alias("text"), sink.drawing(F.lit("rId6"), F.lit(1), F.lit(9525), F.lit(9525), F.col("p_name"), place).alias("drawing"))
-    nodes = stored(sink.assemble_and_scan(sink.document_xml(sink.paragraph_xml(runs)), "document", "document_rels"), dealt=True)
+    nodes = stored(sink.assemble_and_scan(sink.document_xml(sink.paragraph_xml(runs)), "document", "document_rels", places=False), dealt=True)
     none = spark.createDataFrame([], "doc_id string, part_key string, width_px int, height_px int")
     got = model.wrap_type(model.images(nodes, none))
     return got.select(F.col("doc_id").cast("long").alias("p_partkey"), "description", "wrap_type", "behind_text", "z_order", F.col("h_align").alias("h_align"), F.col("v_align").alias("v_align"), "offset_x", "offset_y")
@@ -71,7 +71,7 @@ def empty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _t(spark, sf_dir, "supplier")
     docs = sink.empty_documents(s.select(F.col("s_suppkey").alias("doc_id")))
     counts = s.select(F.col("s_suppkey").cast("string").alias("doc_id"), F.col("s_nationkey").alias("n_paragraphs"), F.when(F.col("s_suppkey") % 2 == 0, 3).alias("n_tables"))
-    nodes = stored(sink.assemble_and_scan(dealt(docs), metadata=counts), dealt=True)
+    nodes = stored(sink.assemble_and_scan(dealt(docs), metadata=counts, places=False), dealt=True)
     blocks = model.blocks(nodes).groupBy("doc_id").agg(F.count("*").alias("n_blocks"))
     sections = model.sections(nodes).groupBy("doc_id").agg(F.count("*").alias("n_sections"), F.max("width").alias("width"))
     rels = model.relationships(nodes).groupBy("doc_id").agg(F.count("*").alias("n_rels"))

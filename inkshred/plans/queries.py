@@ -33,7 +33,7 @@ def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def roundtrip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document as a package and read its text back."""
-    runs = model.runs(stored(sink.assemble_and_scan(_documents(spark, sf_dir), "document"), dealt=True))
+    runs = model.runs(stored(model.of_paragraphs(sink.assemble_and_scan(_documents(spark, sf_dir), "document", places=False)), dealt=True))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", "run", "text"))), lambda s: s["text"]), "")
     texts = runs.groupBy("doc_id").agg(text.alias("text"))
     every = _t(spark, sf_dir, "documents").select("doc_id")
@@ -43,14 +43,14 @@ def roundtrip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paragraph_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One paragraph per line through package and back: per document paragraphs and characters."""
     lines = structure.text_blocks(_t(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("doc_id"), "block_idx", F.lit(0).alias("run_idx"), "text")
-    nodes = _read(sink.paragraph_xml(lines))
+    nodes = stored(model.of_paragraphs(sink.assemble_and_scan(sink.document_xml(sink.paragraph_xml(lines)), "document", places=False)), dealt=True)
     p = model.paragraphs(nodes, model.runs(nodes)).filter("container = 'body'")
     return p.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n_paragraphs"), F.sum(F.length("text")).alias("n_chars"))
 
 
 def _read(block_rows: DataFrame, *kinds: str, parts: DataFrame | None = None, sections: DataFrame | None = None) -> DataFrame:
     """The XML nodes of packages written from block rows, parsed and stored once."""
-    return stored(sink.assemble_and_scan(sink.document_xml(block_rows, sections=sections), *(kinds or ("document",)), parts=parts), dealt=True)
+    return stored(sink.assemble_and_scan(sink.document_xml(block_rows, sections=sections), *(kinds or ("document",)), parts=parts, places=False), dealt=True)
 
 
 def _nation_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ def effective_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = p.select("doc_id", F.explode(F.array(run(0, 0), run(0, 1, "C1"), run(1, 0, size=26))).alias("r")).select("doc_id", "r.*")
     about = p.select("doc_id", F.lit(0).alias("block_idx"), F.concat(F.lit("S"), F.col("h").cast("string")).alias("style_id")).unionByName(p.select("doc_id", F.lit(1).alias("block_idx"), F.lit(None).cast("string").alias("style_id")))
     documents = sink.document_xml(sink.paragraph_xml(runs, about)).join(sink.style_sheets(_sheets(spark, sf_dir), "doc_id"), "doc_id")
-    nodes = stored(sink.assemble_and_scan(documents, "document", "styles"), dealt=True)
+    nodes = stored(sink.assemble_and_scan(documents, "document", "styles", places=False), dealt=True)
     # read by four joins, made once
     whole = stored(styles.resolved(model.styles(nodes), model.STYLE_FORMATS), keys=("doc_id", "style_id"), dealt=True)
     r = model.stored_runs(nodes)
@@ -80,7 +80,7 @@ def style_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_id"), F.lit(0).alias("block_idx"), F.lit(0).alias("run_idx"), F.col("s_name").alias("text"))
     back = styles.theme_backgrounds(themed.select("doc_id", "theme").distinct(), styles.themes(spark))
     documents = sink.document_xml(sink.paragraph_xml(text), backgrounds=back).join(sink.style_sheets(themed.drop("theme", "s_suppkey"), "doc_id"), "doc_id")
-    nodes = stored(sink.assemble_and_scan(documents, "document", "styles"), dealt=True)
+    nodes = stored(sink.assemble_and_scan(documents, "document", "styles", places=False), dealt=True)
     got = model.styles(nodes).join(model.background(nodes).select("doc_id", F.col("color").alias("background")), "doc_id", "left")
     return got.select(F.col("doc_id").cast("long").alias("s_suppkey"), "style_id", F.col("size").cast("int").alias("size"), "color", "background")
 

@@ -4,6 +4,7 @@ import zipfile
 
 from conftest import DATA
 
+from inkshred import ooxml
 from inkshred.plans import edit_queries
 from inkshred.sinks import docx as sink
 from inkshred.sources import docx as source
@@ -83,3 +84,51 @@ def test_fixed_tables_start_no_python_workers(spark):
         assert "ExistingRDD" not in _plan(made)
     assert styles.themes(spark).count() == len(styles.THEMES)
     assert styles.catalogue(spark).filter("is_default").count() == 3
+
+
+def test_nodes_without_places_are_the_same_but_for_these(spark):
+    documents = edit_queries._nested(spark, DATA)
+    every, lean = sink.assemble_and_scan(documents, "document"), sink.assemble_and_scan(documents, "document", places=False)
+    assert set(every.columns) - set(lean.columns) == set(source.PLACES)
+    plain = lambda df: sorted(map(repr, df.collect()))
+    assert plain(lean) == plain(every.drop(*source.PLACES)) != []
+    bad = [("d", "k", b"<r", None, None), ("d", "k", None, "IO_ERROR", "no"), ("d", "k", b"<r>t</r>", None, None)]
+    every, lean = ([r for b in source._node_batches(iter(bad), places=x) for r in b.to_pylist()] for x in (True, False))
+    assert lean == [{k: v for k, v in r.items() if k not in source.PLACES} for r in every] and len(lean) == 3
+
+
+def test_plain_archives_are_read_as_zipfile_reads_them():
+    def archive(*names, packing=zipfile.ZIP_DEFLATED, comment=b""):
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", packing) as z:
+            z.comment = comment
+            for i, name in enumerate(names):
+                z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), f"<a>{i}{name}</a>" * 40, packing)
+        return held.getvalue()
+
+    names = ("[Content_Types].xml", "word/document.xml", "/Word\\é.xml", "e")
+    whole = [archive(*names), archive(*names, packing=zipfile.ZIP_STORED), archive("a"), archive(), sink._archive([(n, b"<x/>", True) for n in names])]
+    both = lambda data, kinds=frozenset(), most=1 << 20: (source._plain_members("d", data, kinds, most), list(source.members("d", io.BytesIO(data), kinds, most)))
+    for data in whole:
+        for kinds in (frozenset(), frozenset(["document"])):
+            got, expected = both(data, kinds)
+            assert got == expected
+    assert both(whole[0], most=100)[0] is None  # would unpack to too much: an error row
+    for other in (archive(*names, comment=b"c"), archive(*names, "dir/"), b"no" + whole[0], whole[0] + b"x", b""):
+        assert source._plain_members("d", other, frozenset(), 1 << 20) is None
+    for data in whole:
+        for i in range(len(data)):
+            damaged = data[:i] + bytes([data[i] ^ 0x55]) + data[i + 1 :]
+            got, expected = both(damaged)
+            assert got is None or got == expected
+
+
+def test_nodes_that_no_paragraph_reads_are_not_stored(spark):
+    from inkshred.plans import model
+
+    body = '<w:p><w:pPr><w:jc w:val="center"/><w:pBdr><w:top w:val="single"/></w:pBdr></w:pPr><w:r><w:rPr><w:b/></w:rPr><w:t>a</w:t><w:tab/></w:r><w:hyperlink><w:r><w:t>b</w:t></w:r></w:hyperlink></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>c</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p/><w:sectPr/>'
+    docs = spark.createDataFrame([("d", f'<w:document xmlns:w="{ooxml.W}"><w:body>{body}</w:body></w:document>')], "doc_id string, document_xml string")
+    nodes = sink.assemble_and_scan(docs, "document").cache()
+    kept = model.of_paragraphs(nodes)
+    rows = lambda n: (sorted(map(repr, model.runs(n).collect())), sorted(map(repr, model.paragraphs(n, model.runs(n)).collect())))
+    assert rows(kept) == rows(nodes) and kept.count() < nodes.count()
