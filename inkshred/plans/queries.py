@@ -23,7 +23,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The XML of each document of the table: one paragraph, its text one run."""
     runs = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("block_idx"), F.lit(0).alias("run_idx"), "text")
-    return sink.document_xml(sink.paragraph_xml(runs))
+    return sink.documents_of_runs(runs)
 
 
 def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def roundtrip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paragraph_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One paragraph per line through package and back: per document paragraphs and characters."""
     lines = structure.text_blocks(_t(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("doc_id"), "block_idx", F.lit(0).alias("run_idx"), "text")
-    nodes = stored(model.of_paragraphs(sink.assemble_and_scan(sink.document_xml(sink.paragraph_xml(lines)), "document", places=False)), dealt=True)
+    nodes = stored(model.of_paragraphs(sink.assemble_and_scan(sink.documents_of_runs(lines), "document", places=False)), dealt=True)
     p = model.paragraphs(nodes, model.runs(nodes)).filter("container = 'body'")
     return p.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n_paragraphs"), F.sum(F.length("text")).alias("n_chars"))
 

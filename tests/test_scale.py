@@ -132,3 +132,23 @@ def test_nodes_that_no_paragraph_reads_are_not_stored(spark):
     kept = model.of_paragraphs(nodes)
     rows = lambda n: (sorted(map(repr, model.runs(n).collect())), sorted(map(repr, model.paragraphs(n, model.runs(n)).collect())))
     assert rows(kept) == rows(nodes) and kept.count() < nodes.count()
+
+
+def test_documents_of_runs_are_folded_once(spark):
+    rows = [("a", 1, 0, "x & y\nz"), ("a", 0, 1, None), ("a", 0, 0, " b "), ("a", 0, 10, ""), ("a", 0, 2, "c"), ("b", None, 0, "n"), ("b", None, 1, "m"), ("b", 3, None, "o"), ("b", 3, 0, "p"), ("c", 0, 0, None), ("a", 1, 0, "same place"), (None, 0, 0, "q")]
+    runs = spark.createDataFrame([(*r, i % 3 == 0) for i, r in enumerate(rows)], "doc_id string, block_idx int, run_idx int, text string, bold boolean")
+    one, two = sink.documents_of_runs(runs), sink.document_xml(sink.paragraph_xml(runs))
+    plain = lambda df: sorted(map(repr, df.collect()))
+    assert plain(one) == plain(two) and one.count() == 4
+    count = lambda df: _plan(df).split("Physical Plan")[1].count("collect_list(")
+    assert count(one) < count(two)
+
+
+def test_only_texts_with_other_characters_are_searched_for_them(spark):
+    odd = ["", None, "a\tb\nc\rd", "\x7f\x85\u2028\ud7ff\ue000\ufffd", "\U00010000\U0010ffff", "a\x00b", "\x08", "\x0b\x0c", "\x1f ", "\ufffe", "x\uffff", "\U0001f600\x01", "x" * 3_000_000, "\U0001f600" * 300_000 + "\x02", "<&>\"\r"]
+    df = spark.createDataFrame(list(enumerate(odd)), "i int, text string")
+    expected = [t and "".join("\ufffd" if ord(c) < 32 and c not in "\t\n\r" or c in "\ufffe\uffff" else c for c in t) for t in odd]
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\r", "&#13;")):
+        expected = [t and t.replace(a, b) for t in expected]
+    assert [r.x for r in df.orderBy("i").select(sink.escaped("text").alias("x")).collect()] == expected
+    assert "RLIKE" in _plan(df.select(sink.escaped(df["text"])))
