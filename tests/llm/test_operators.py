@@ -694,6 +694,27 @@ def test_join_leaves_no_shuffle_files_and_no_large_tables(spark, docs, tmp_path,
     assert spark.conf.get(common._RELEASE, "false") == "false"
 
 
+def test_postings_and_pairs_go_slice_by_slice(spark, docs, monkeypatch):
+    """No shuffle holds the postings of all shingles, or the sets of all pairs, at once; the copies are taken out once."""
+    for name, value in (("POSTINGS", 400), ("SLICES", 3), ("PAIRS", 2), ("BROADCAST_ROWS", 1)):
+        monkeypatch.setattr(ngram_join, name, value)
+    made, before = [], ngram_join.written
+
+    def written(df, name, keep=False):
+        out = before(df, name, keep)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", written)
+    want, _ = plain_groups([(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None])
+    for r in ngram_join.jaccard_components(docs, long_list=2).collect():
+        assert r.doc_id is None or r.component_id == want[r.doc_id]
+    postings = [n for name, n in made if name == "shared"]
+    assert len(postings) == 3 + 2 and max(postings[:3]) < postings[3] <= sum(postings[:3])
+    assert [name for name, _ in made].count("reps") == 1
+    assert [name for name, _ in made].count("verified") > 1
+
+
 @pytest.mark.parametrize("options", [{}, {"long_list": 2, "heavy_level": 1, "salts": 3, "block": 50}])
 def test_link_counts_against_all_pairs(spark, docs, empty, options):
     r = random.Random(9)
