@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from . import ooxml
 from .operators import edits
 from .sinks import docx as sink
+from .sources.store import merged
 
 _RUNS = "doc_id string, block_idx int, run_idx int, text string, bold boolean, italic boolean, underline string, color string, size int"
 _PARAGRAPHS = "doc_id string, block_idx int, style_id string, alignment string"
@@ -284,7 +285,7 @@ class Template:
             for rows, used in self._each.get(kind, []):
                 if kind == "cells" and self._room:
                     rows = rows.withColumn("block_idx", F.col("block_idx").cast("long") * ROOM)
-                rows = rows.join(self.rows.select(F.col(self.key).cast("string").alias("doc_id")), "doc_id", "left_semi")
+                rows = rows.join(merged(self.rows.select(F.col(self.key).cast("string").alias("doc_id"))), "doc_id", "left_semi")
                 told = rows.select(*(F.col(c) for c in rows.columns if c not in used), *(F.col(c).alias(f"_new_{c}") for c in used), *(F.lit(None).cast(known[kind][c]).alias(c) for c in used))
                 more = rules[kind](told, **{c: F.col(f"_new_{c}") for c in used}).drop(*(f"_new_{c}" for c in used))
                 out[kind] = out[kind].unionByName(more, allowMissingColumns=True) if kind in out else more

@@ -12,7 +12,7 @@ from ..functions import scalars
 from ..operators import edits, structure, styles
 from ..sinks import docx as sink
 from ..sources import docx as source
-from ..sources.store import shared_folder, stored
+from ..sources.store import merged, shared_folder, stored
 from . import model
 
 
@@ -241,7 +241,7 @@ def formatting_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = model.stored_runs(nodes)
     got = model.paragraphs(nodes, r).select("doc_id", "style_id", "alignment", "spacing_before", "spacing_after", "line_value", "line_rule", "indent_left", "indent_right", "first_line", "hanging", "num_id", "num_level")
     names = ("text", "bold", "italic", "strike", "underline", "highlight", "color", "size", "font", "font_east_asia", "font_cs")
-    return r.select("doc_id", *names).join(got, "doc_id").withColumn("p_partkey", F.col("doc_id").cast("long")).drop("doc_id")
+    return r.select("doc_id", *names).join(merged(got), "doc_id").withColumn("p_partkey", F.col("doc_id").cast("long")).drop("doc_id")
 
 
 def section_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,7 +286,7 @@ def template_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = model.stored_runs(nodes)
     p = model.stored_paragraphs(nodes, runs)
     sizes = runs.groupBy("doc_id", "para").agg(F.max("size").alias("size"), F.max("italic").alias("italic"))
-    texts = p.filter("container = 'body' and n_runs > 0").join(sizes, ["doc_id", "para"]).select("doc_id", F.col("para_idx").cast("int").alias("at"), F.lit("p").alias("kind"), F.col("style_id").alias("style"), "text", F.col("size").cast("long").alias("size"), "italic", "spacing_before")
+    texts = p.filter("container = 'body' and n_runs > 0").join(merged(sizes), ["doc_id", "para"]).select("doc_id", F.col("para_idx").cast("int").alias("at"), F.lit("p").alias("kind"), F.col("style_id").alias("style"), "text", F.col("size").cast("long").alias("size"), "italic", "spacing_before")
     cells = model.table_cells(nodes, p).select("doc_id", (F.col("row_idx") * 2 + F.col("col_idx")).cast("int").alias("at"), F.lit("tc").alias("kind"), F.lit(None).cast("string").alias("style"), "text")
     sections = model.sections(nodes).select("doc_id", F.col("section_idx").cast("int").alias("at"), F.lit("sect").alias("kind"), F.col("orientation").alias("style"), F.col("columns").cast("string").alias("text"))
     out = texts.unionByName(cells, allowMissingColumns=True).unionByName(sections, allowMissingColumns=True)

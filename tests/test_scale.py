@@ -5,7 +5,7 @@ import zipfile
 from conftest import DATA
 
 from inkshred import ooxml
-from inkshred.plans import edit_queries
+from inkshred.plans import edit_queries, queries
 from inkshred.sinks import docx as sink
 from inkshred.sources import docx as source
 from inkshred.sources import store
@@ -68,6 +68,15 @@ def test_long_parts_are_cut_into_bounded_batches():
     assert all(r["ancestors"] is None and r["attrs"] is None for r in rows if r["tag"] is None)
 
 
+def test_xml_of_documents_is_never_broadcast(spark):
+    """Spark takes a row's XML for 20 bytes, so that of a million documents would go through the driver."""
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("bB")) > 1 << 20
+    letters = queries._letters(spark, DATA)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(letters.nodes("document")) and "SortMergeJoin" in plan(letters.nodes("document"))
+    assert "Broadcast" not in plan(queries.template_documents(spark, DATA))
+
+
 def test_runs_and_styles_that_several_joins_read_are_made_once(spark):
     from inkshred.plans import style_queries
 
