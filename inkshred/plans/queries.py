@@ -311,10 +311,9 @@ def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A .docx file per customer, written, then read by path."""
     path = f"{shared_folder(spark)}/docx-{uuid.uuid4().hex}"
     sink.write_files(sink.assemble(sink.document_xml(sink.paragraph_xml(_one_run(_t(spark, sf_dir, "customer"), "c_custkey", text=F.col("c_name"))))), path)
-    files = source.packages(spark, path)
-    runs = model.runs(source.scan(files, "document"))
+    runs = model.runs(source.scan_listed(spark, path, "document", places=False))
     number = F.regexp_extract("path", r"([0-9]+)\.docx$", 1).cast("long")
-    return files.select("doc_id", number.alias("c_custkey")).join(runs, "doc_id").select("c_custkey", "text")
+    return source.listed(spark, path).select("doc_id", number.alias("c_custkey")).join(merged(runs), "doc_id").select("c_custkey", "text")
 
 
 def relationship_edits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,6 +77,21 @@ def test_xml_of_documents_is_never_broadcast(spark):
     assert "Broadcast" not in plan(queries.template_documents(spark, DATA))
 
 
+def test_written_files_are_listed_by_tasks(spark, tmp_path):
+    """The driver holds no file's name: a folder of a million packages is read from the list that the write left."""
+    got = queries.docx_files(spark, DATA)
+    text = _plan(got).split("Physical Plan")[1]
+    assert "binaryFile" not in text and "Broadcast" not in text
+    assert got.count() == spark.read.parquet(f"{DATA}/customer.parquet").count()
+    where = f"file://{tmp_path}/out"
+    runs = spark.createDataFrame([(x, 0, 0, f"text {x}") for x in ("a/1", "b ä", "c%", "1")], "doc_id string, block_idx int, run_idx int, text string")
+    sink.write_files(sink.assemble(sink.documents_of_runs(runs)), where)
+    plain = lambda df: sorted(map(repr, df.collect()))
+    found, tasks = source.packages(spark, where), source.listed(spark, where)
+    assert plain(tasks) == plain(found.drop("content")) and tasks.count() == 4
+    assert plain(source.scan_listed(spark, where, "document")) == plain(source.scan(found, "document"))
+
+
 def test_runs_and_styles_that_several_joins_read_are_made_once(spark):
     from inkshred.plans import style_queries
 
